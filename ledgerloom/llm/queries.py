@@ -80,26 +80,26 @@ def _spans_sql(rank: int, kind: str, pattern: str, keep: str) -> str:
     return rf"""
   SELECT row, {rank} AS rank, '{kind}' AS kind, begin_at + length(m) AS end_at, begin_at AS start_at FROM (
     SELECT row, f[i] AS m,
-           list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(f[1:i-1], x -> length(x))), 0) AS begin_at
+           list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0) AS begin_at
     FROM (SELECT row, f, g, unnest(range(1, len(f) + 1)) AS i
           FROM (SELECT row, regexp_extract_all(t, '{pattern}') AS f, string_split_regex(t, '{pattern}') AS g FROM d))
   ) WHERE {keep}"""
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
-_LUHN = rf"""length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), i ->
+_LUHN = rf"""length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
       CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST(substr({_DIGITS}, i, 1) AS INT)
            ELSE (CAST(substr({_DIGITS}, i, 1) AS INT) * 2) // 10 + (CAST(substr({_DIGITS}, i, 1) AS INT) * 2) % 10 END)) % 10 = 0"""
 _TURNED = "(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4))"
-_MOD97 = rf"""list_reduce(list_prepend(0, list_transform(range(1, length({_TURNED}) + 1), i -> ascii(substr({_TURNED}, i, 1)))),
-      (a, c) -> CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"""
+_MOD97 = rf"""list_reduce(list_prepend(0, list_transform(range(1, length({_TURNED}) + 1), lambda i: ascii(substr({_TURNED}, i, 1)))),
+      lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"""
 
 OP8_SQL = (
     "WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents), s AS ("
     + " UNION ALL ".join(
         [
             _spans_sql(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-            _spans_sql(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"list_max(list_transform(string_split(m, '.'), x -> CAST(right(ltrim(x, '0'), 9) AS BIGINT) + CASE WHEN length(ltrim(x, '0')) > 9 THEN 1000 ELSE 0 END)) <= 255".replace("CAST(right(ltrim(x, '0'), 9) AS BIGINT)", "coalesce(TRY_CAST(right(ltrim(x, '0'), 9) AS BIGINT), 0)")),
+            _spans_sql(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"list_max(list_transform(string_split(m, '.'), lambda x: CAST(right(ltrim(x, '0'), 9) AS BIGINT) + CASE WHEN length(ltrim(x, '0')) > 9 THEN 1000 ELSE 0 END)) <= 255".replace("CAST(right(ltrim(x, '0'), 9) AS BIGINT)", "coalesce(TRY_CAST(right(ltrim(x, '0'), 9) AS BIGINT), 0)")),
             _spans_sql(2, "card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
             _spans_sql(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
             _spans_sql(4, "iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", _MOD97),
