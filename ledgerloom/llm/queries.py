@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, pii
+from . import decontaminate, exact_dedup, mixing, pii, simhash
 from .common import table
 
 
@@ -151,9 +151,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (row) LEFT JOIN g USING (row)
 """
 
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op3_simhash": op3_simhash,
     "op8_pii": op8_pii,
     "op10_decontamination": op10_decontamination,
 }
