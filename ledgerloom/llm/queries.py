@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, pii, simhash
-from .common import table
+from . import decontaminate, exact_dedup, mixing, pii, simhash, token_counts
+from .common import shared_dir, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +157,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache of its own, so every call encodes all distinct texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counts = token_counts.token_counts(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), path, f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}", by_piece=True
+    )
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op3_simhash": op3_simhash,
+    "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
     "op10_decontamination": op10_decontamination,
 }
