@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, pii, simhash, token_counts
+from . import decontaminate, exact_dedup, language, mixing, pii, simhash, token_counts
 from .common import shared_dir, table
 
 
@@ -169,9 +169,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    docs = docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+    labelled = docs.filter(part != 2)
+    found = language.identify_languages(docs.drop("lang"), labelled, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op2_language": op2_language,
     "op3_simhash": op3_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
