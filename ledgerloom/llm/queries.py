@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, mixing, pii, simhash, token_counts
+from . import decontaminate, exact_dedup, html_text, language, mixing, pii, simhash, token_counts
 from .common import shared_dir, table
 
 
@@ -179,8 +179,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op4_html_text": op4_html_text,
     "op5_exact_dedup": op5_exact_dedup,
     "op2_language": op2_language,
     "op3_simhash": op3_simhash,
