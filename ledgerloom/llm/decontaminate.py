@@ -12,33 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, without, written
-from .words import LOWER, chunks, runs, word_bounds, word_hashes
+from .words import LOWER, Lookup, chunks, runs, word_bounds, word_hashes
 
 #: Words of a shingle, the token of the join.
 SHINGLE = 3
 ADDED = ("n_words", "n_hit", "items", "contaminated")
 
 
-class Lookup:
-    """Sorted 64-bit keys with a bitmap of their first bits, which settles most misses."""
-
-    BITS = 20
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.bitmap = np.zeros(1 << self.BITS, bool)
-        self.bitmap[keys >> np.uint64(64 - self.BITS)] = True
-
-    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of tokens that are keys, and the keys' numbers."""
-        place = np.flatnonzero(self.bitmap[tokens >> np.uint64(64 - self.BITS)])
-        if not len(place):
-            return place, place
-        at = np.minimum(np.searchsorted(self.keys, tokens[place]), len(self.keys) - 1)
-        same = self.keys[at] == tokens[place]
-        return place[same], at[same]
-
-
 @dataclass
 class Block:
     """Benchmark windows, and by necessary token the windows to verify."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language, mixing, pii, simhash, token_counts
+from . import decontaminate, exact_dedup, html_text, language, mixing, pii, quality, simhash, token_counts
 from .common import shared_dir, table
 
 
@@ -184,12 +184,19 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_html_text": op4_html_text,
     "op5_exact_dedup": op5_exact_dedup,
     "op2_language": op2_language,
     "op3_simhash": op3_simhash,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
     "op10_decontamination": op10_decontamination,
