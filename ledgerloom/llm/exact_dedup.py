@@ -39,11 +39,11 @@ def exact_dedup(
     their group by its digest where only one text has it, as that was just compared, else by digest
     and text. ``digest`` is a parameter for tests of that second case.
     """
-    digest = digest or (lambda norm: F.sha2(norm, 256))
+    sha256 = lambda norm: F.sha2(norm, 256)
     docs = without(docs, *ADDED)
-    n = fresh(docs, "norm", "digest", "rank", "salt", "size", "best", "texts", "row")
+    n = fresh(docs, "norm", "digest", "rank", "salt", "size", "best", "texts", "row", "sha")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    norm, dig, rank, salt, size, best, texts = (n[k] for k in ("norm", "digest", "rank", "salt", "size", "best", "texts"))
+    norm, dig, rank, salt, size, best, texts, sha = (n[k] for k in ("norm", "digest", "rank", "salt", "size", "best", "texts", "sha"))
 
     identity = F.col(id_col).cast("bigint")
     row = F.lit(0).cast("bigint")
@@ -53,7 +53,8 @@ def exact_dedup(
         row = F.col(n["row"])
     rows = (
         docs.withColumn(norm, normalised(F.col(text_col)))
-        .withColumn(dig, digest(F.col(norm)))
+        .withColumn(sha, sha256(F.col(norm)))
+        .withColumn(dig, digest(F.col(norm)) if digest else F.col(sha))
         # The largest rank stays; bitwise not turns the order of integers round without overflow.
         .withColumn(
             rank,
@@ -83,7 +84,7 @@ def exact_dedup(
             chosen.alias("keep_id"),
             F.col(size).alias("group_size"),
             (F.col(rank) == F.col(best)).alias("kept"),
-            F.sha2(F.col(norm), 256).alias("text_sha256"),
+            F.col(sha).alias("text_sha256"),
         )
 
     single = by_digest.filter(F.col(texts) == 1)
