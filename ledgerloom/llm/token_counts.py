@@ -6,6 +6,7 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,11 @@ from .common import fresh, text_of, without
 
 ADDED = ("n_bytes", "n_tokens")
 #: Counts of pieces that a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Texts or pieces that are encoded together; an encoding takes about a kilobyte while it lives.
+TOGETHER = 2_000
+#: Bytes of texts that are worked on together; a longer text is worked on alone.
+CHUNK = 1 << 20
 
 _LOADED: dict[str, tuple[Callable[[list[str]], list[int]], dict[str, int]]] = {}
 
@@ -50,20 +55,26 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str, by_piece: b
     for batch in batches:
         out: list[int] = []
         texts = batch.column(text)
-        size = pc.sum(pc.binary_length(texts)).as_py() or 0
-        step = max(1, int(len(texts) * (4 << 20) / max(size, 1)))  # about 4 MB at once
-        for k in range(0, len(texts), step):
-            some = texts.slice(k, step).to_pylist()
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy() if len(texts) else []
+        row = 0
+        while row < len(texts):
+            begin = ends[row - 1] if row else 0
+            end = max(row + 1, int(np.searchsorted(ends, begin + CHUNK, side="right")))
+            some = texts.slice(row, end - row).to_pylist()
+            row = end
             if not by_piece:
-                out += count(some)
+                for k in range(0, len(some), TOGETHER):
+                    out += count(some[k : k + TOGETHER])
                 continue
-            split = [t.split() for t in some]
-            new = list({p for pieces in split for p in pieces if p not in known})
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list({p for pieces in split for p in pieces})
-            known.update(zip(new, count(new)))
-            out += [sum(map(known.__getitem__, pieces)) for pieces in split]
+            for t in some:
+                pieces = t.split()
+                new = [p for p in dict.fromkeys(pieces) if p not in known]
+                if len(known) + len(new) > REMEMBERED:
+                    known.clear()
+                    new = list(dict.fromkeys(pieces))
+                for k in range(0, len(new), TOGETHER):
+                    known.update(zip(new[k : k + TOGETHER], count(new[k : k + TOGETHER])))
+                out.append(sum(map(known.__getitem__, pieces)))
         rest = [c for c in batch.schema.names if c != text]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.int64())], [*rest, "n_tokens"])
 
