@@ -152,7 +152,7 @@ def hour_clip(spark, d):
 
 @query(
     "tradeable_age",
-    f"""WITH {INTERVALS_SQL}, {GAPS_SQL} SELECT i.acct, i.interval_id, i.end_us - i.start_us - CAST(coalesce(sum(least(i.end_us, gap_end) - greatest(i.start_us, gap_start)), 0) AS BIGINT) AS tradeable_us
+    f"""WITH {INTERVALS_SQL}, {GAPS_SQL} SELECT i.acct, i.interval_id, i.end_us - i.start_us - CAST(coalesce(sum(CASE WHEN gap_end IS NOT NULL THEN least(i.end_us, gap_end) - greatest(i.start_us, gap_start) END), 0) AS BIGINT) AS tradeable_us
 FROM intervals i LEFT JOIN gaps g ON g.gap_start < i.end_us AND g.gap_end > i.start_us GROUP BY i.acct, i.interval_id, i.start_us, i.end_us""",
 )
 def tradeable_age(spark, d):

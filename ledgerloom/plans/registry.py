@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import interval_queries, lifecycle_queries
+from . import interval_queries, lifecycle_queries, tick_queries
 
-_MODULES = (lifecycle_queries, interval_queries)
+_MODULES = (lifecycle_queries, interval_queries, tick_queries)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.Q.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
