@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language, mixing, pii, quality, simhash, token_counts
+from . import decontaminate, exact_dedup, html_text, language, lm_scores, mixing, pii, quality, simhash, token_counts
 from .common import shared_dir, table
 
 
@@ -157,7 +157,6 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache of its own, so every call encodes all distinct texts."""
     import public_tokenizers
@@ -169,7 +168,6 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     part = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -179,17 +177,37 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
-
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return quality.classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scores.score_documents(docs, keep=["doc_id"])
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (
+  SELECT row, CASE WHEN k > 1 THEN w[k - 1] ELSE '' END AS before, w[k] AS word FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS k FROM d)
+), c1 AS (SELECT word, count(*) AS n FROM t GROUP BY word UNION ALL SELECT '', count(*) FROM d WHERE len(w) > 0),
+c2 AS (SELECT before, word, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 2),
+s AS (
+  SELECT row, sum(CASE WHEN c2.n IS NOT NULL THEN ln(c2.n) - ln(b.n) ELSE ln(0.4) + ln(o.n) - ln((SELECT count(*) FROM t)) END) AS score
+  FROM t JOIN c1 o ON t.word = o.word JOIN c1 b ON t.before = b.word LEFT JOIN c2 ON t.before = c2.before AND t.word = c2.word GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0), 6) AS log_score, CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS mean_score
+FROM d LEFT JOIN s USING (row)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_html_text": op4_html_text,
@@ -199,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
+    "op9_lm_scores": op9_lm_scores,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_pii": OP8_SQL, "op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_pii": OP8_SQL, "op9_lm_scores": OP9_SQL, "op10_decontamination": OP10_SQL}
