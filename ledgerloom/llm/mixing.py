@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, text_of, without
 
 ADDED = ("size", "source_size", "target", "taken")
+#: The fewest buckets of a source's hash range, and the rows that one has at most on average.
+LEAST_BUCKETS, BUCKET_ROWS = 1024, 50_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeat: int) -> DataFrame:
@@ -58,7 +60,7 @@ def mix_sources(
     source_col: str = "source",
     size: Column | None = None,
     seed: str = "mix-1",
-    buckets: int = 1024,
+    buckets: int | None = None,
 ) -> DataFrame:
     """How many words of each document a mix with the given weights of sources takes.
 
@@ -74,9 +76,15 @@ def mix_sources(
     The prefix sums are distributed: a source's hash range is cut into equal buckets, each bucket's
     words are summed before any shuffle, the sums of the buckets before it (at most ``buckets`` rows
     a source) give its offset, and documents are sorted only within their bucket. A source with a
-    third of all rows is as many buckets as any other.
+    third of all rows is as many buckets as any other. By default there are LEAST_BUCKETS, and more
+    where they would have over BUCKET_ROWS of all rows each; their number doesn't change the result.
     """
     docs = without(docs, *ADDED)
+    if buckets is None:
+        buckets = LEAST_BUCKETS
+        rows = docs.count()
+        while rows > buckets * BUCKET_ROWS:
+            buckets *= 2
     n = fresh(docs, "no_source", "source", "key", "bucket", "offset", "before", "size")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     words = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint") if size is None else size.cast("bigint")
