@@ -60,7 +60,7 @@ def mod97(iban: Column) -> Column:
     turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
     value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
     step = lambda acc, c: (acc * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1
+    return F.aggregate(F.split(turned, "(?!^|$)"), F.lit(0), step) == 1
 
 
 def valid(kind: str, found: Column) -> Column:

@@ -238,4 +238,6 @@ def classify(
         return sigmoid(F.col(n[t]) + logit(prior))
 
     df = df.select(*keep, posterior("quality").alias("p_quality"), posterior("toxic").alias("p_toxic"))
-    return df.withColumn("rejected", (F.col("p_quality") < least_quality) | (F.col("p_toxic") > most_toxic))
+    poor = F.col("p_quality") < least_quality if "quality" in model.value else F.lit(False)
+    toxic = F.col("p_toxic") > most_toxic if "toxic" in model.value else F.lit(False)
+    return df.withColumn("rejected", poor | toxic)

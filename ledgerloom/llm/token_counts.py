@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import fresh, text_of, without
 
 ADDED = ("n_bytes", "n_tokens")
+#: White space to all tokenizers, which others of Unicode's need not be.
+SPACES = re.compile("[ \t\n\r]+")
 #: Counts of pieces that a Python worker remembers.
 REMEMBERED = 200_000
 #: Texts or pieces that are encoded together; an encoding takes about a kilobyte while it lives.
@@ -67,7 +70,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str, by_piece: b
                     out += count(some[k : k + TOGETHER])
                 continue
             for t in some:
-                pieces = t.split()
+                pieces = [p for p in SPACES.split(t) if p]
                 new = [p for p in dict.fromkeys(pieces) if p not in known]
                 if len(known) + len(new) > REMEMBERED:
                     known.clear()
