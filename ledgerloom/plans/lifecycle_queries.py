@@ -248,6 +248,26 @@ def merged_positions(spark, d):
     return good.select("position_id", "sources", "is_carry_over")
 
 
+@query(
+    "merged_reports",
+    """WITH lines AS (SELECT l_orderkey AS position_id, l_suppkey % 3 AS report_id, CASE WHEN l_orderkey % 4 = 0 THEN l_returnflag ELSE 'N' END AS symbol, l_orderkey % 100 AS open_price, l_linestatus = 'F' AS closed,
+  CASE WHEN l_linestatus = 'F' THEN epoch_us(l_shipdate) END AS close_us FROM lineitem),
+every AS (SELECT * FROM lines l WHERE closed OR NOT EXISTS (SELECT 1 FROM lines c WHERE c.closed AND c.position_id = l.position_id)),
+ids AS (SELECT position_id, count(DISTINCT (symbol, open_price)) AS versions, max(close_us) AS close_us, array_to_string(list_sort(list_distinct(list(CAST(report_id AS VARCHAR)))), '|') AS sources, count(DISTINCT report_id) > 1 AS is_carry_over FROM every GROUP BY position_id)
+SELECT position_id, versions, CASE WHEN versions = 1 THEN sources END AS sources, CASE WHEN versions = 1 THEN is_carry_over END AS is_carry_over, CASE WHEN versions = 1 THEN close_us IS NOT NULL END AS is_closed, CASE WHEN versions = 1 THEN close_us END AS close_us FROM ids""",
+)
+def merged_reports(spark, d):
+    """All rows of lineitem, by line status closed positions or open snapshots; the lines of three orders in four agree. Conflicts have their number of versions."""
+    key = F.col("l_orderkey")
+    lines = table(spark, d, "lineitem").select(
+        key.alias("position_id"), (F.col("l_suppkey") % 3).cast("string").alias("report_id"), F.when(key % 4 == 0, F.col("l_returnflag")).otherwise("N").alias("symbol"), F.lit("buy").alias("side"),
+        F.lit(1).alias("volume"), key.alias("open_us"), (key % 100).alias("open_price"), to_us("l_shipdate").alias("close_us"), (key % 100).alias("close_price"), F.col("l_linestatus").alias("status"),
+    )
+    good, conflicts = L.merge_positions(lines.filter("status = 'F'").drop("status"), lines.filter("status = 'O'").drop("status", "close_us", "close_price"))
+    good = good.select("position_id", F.lit(1).cast("bigint").alias("versions"), "sources", "is_carry_over", "is_closed", "close_us")
+    return good.unionByName(conflicts, allowMissingColumns=True)
+
+
 @query(
     "duration_rank",
     f"WITH {positions_sql()}, {timeline_sql()} SELECT acct, interval_id, rank() OVER (PARTITION BY acct, state ORDER BY end_us - start_us DESC) AS place FROM intervals",
