@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import align as A
@@ -33,8 +35,12 @@ def anchors(spark, d):
     return quotes(spark, d).filter("seq % 3 = 0").select("symbol", F.col("seq").alias("anchor_id"), (F.col("us") + 37 * SECOND).alias("us"))
 
 
+def every_anchor(spark, d):
+    return quotes(spark, d).select("symbol", F.col("seq").alias("anchor_id"), (F.col("us") + 37 * SECOND).alias("us"))
+
+
 @query("asof_backward", f"WITH {ANCHORS_SQL} SELECT a.anchor_id, q.us AS tick_us, q.seq AS tick_seq, q.mid FROM anchors a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.us >= q.us")
-def backward(spark, d):
+def backward(spark, d, anchors=anchors):
     return asof_backward(anchors(spark, d), quotes(spark, d), ["symbol"], "us", "us", ["seq"], {"tick_us": "us", "tick_seq": "seq", "mid": "mid"}).select("anchor_id", "tick_us", "tick_seq", "mid")
 
 
@@ -50,7 +56,7 @@ def backward_strict(spark, d):
     f"""WITH {ANCHORS_SQL} SELECT a.anchor_id, min(q.us) AS tick_us, arg_min(q.mid, (q.us, q.seq)) AS mid, count(q.us) AS n
 FROM anchors a LEFT JOIN quotes q ON a.symbol = q.symbol AND q.us >= a.us AND q.us < a.us + {30 * MINUTE} GROUP BY a.anchor_id""",
 )
-def forward_window(spark, d):
+def forward_window(spark, d, anchors=anchors):
     """The first tick in a half-open window, and how many there are."""
     a = anchors(spark, d)
     pairs = range_join(a, quotes(spark, d), ["symbol"], F.col("us"), F.col("us") + 30 * MINUTE, "us", 30 * MINUTE)
@@ -59,7 +65,7 @@ def forward_window(spark, d):
 
 
 @query("asof_forward", f"WITH {ANCHORS_SQL} SELECT a.anchor_id, q.us AS tick_us, q.mid FROM anchors a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.us <= q.us")
-def forward(spark, d):
+def forward(spark, d, anchors=anchors):
     return asof_forward(anchors(spark, d), quotes(spark, d), ["symbol"], "us", "us", ["seq"], {"tick_us": "us", "mid": "mid"}).select("anchor_id", "tick_us", "mid")
 
 
@@ -70,7 +76,7 @@ f AS (SELECT a.anchor_id, q.us AS fwd FROM anchors a ASOF LEFT JOIN quotes q ON
 SELECT anchor_id, CASE WHEN d <= {10 * MINUTE} THEN t END AS tick_us FROM (SELECT anchor_id, us, CASE WHEN back IS NULL OR fwd - us < us - back THEN fwd ELSE back END AS t,
  abs(us - CASE WHEN back IS NULL OR fwd - us < us - back THEN fwd ELSE back END) AS d FROM b JOIN f USING (anchor_id))""",
 )
-def nearest(spark, d):
+def nearest(spark, d, anchors=anchors):
     """The nearest tick within a tolerance; of two as near the earlier one."""
     a, q = anchors(spark, d), quotes(spark, d)
     a = asof_backward(a, q, ["symbol"], "us", "us", ["seq"], {"back": "us"})
@@ -92,7 +98,7 @@ def marked(spark, d):
 SELECT anchor_id, CASE WHEN first_ok IS NULL THEN 'no_quote' WHEN first_bad <= first_ok THEN 'invalid_before' WHEN first_ok - us > {20 * MINUTE} THEN 'beyond_horizon' ELSE 'ok' END AS status,
   CASE WHEN first_ok IS NOT NULL AND coalesce(first_bad > first_ok, true) AND first_ok - us <= {20 * MINUTE} THEN first_ok END AS quote_us FROM c""",
 )
-def execution_quote(spark, d):
+def execution_quote(spark, d, anchors=anchors):
     """The first valid quote from the target on; refused beyond the horizon or if an invalid one comes at or before it."""
     a = anchors(spark, d)
     pairs = range_join(a, marked(spark, d), ["symbol"], F.col("us"), F.col("us") + 30 * MINUTE, "us", 30 * MINUTE)
@@ -110,7 +116,7 @@ def execution_quote(spark, d):
 SELECT anchor_id, CASE WHEN last_ok IS NULL THEN 'no_quote' WHEN last_bad >= last_ok THEN 'invalid_after' WHEN us - last_ok > {20 * MINUTE} THEN 'stale' ELSE 'ok' END AS status,
   CASE WHEN last_ok IS NOT NULL AND coalesce(last_bad < last_ok, true) AND us - last_ok <= {20 * MINUTE} THEN last_ok END AS quote_us FROM c""",
 )
-def mark_quote(spark, d):
+def mark_quote(spark, d, anchors=anchors):
     """The last valid quote up to the mark; refused if stale or if an invalid one comes at or after it."""
     a = anchors(spark, d)
     pairs = range_join(a, marked(spark, d), ["symbol"], F.col("us") - HOUR, F.col("us") + 1, "us", HOUR)
@@ -243,7 +249,7 @@ sn AS (SELECT an.*, coalesce(n, 0) AS n, greatest(high, anchor_mid) AS high, lea
   CASE WHEN anchor_us IS NOT NULL THEN round((high - anchor_mid) * 100, 6) END AS sell_adverse, CASE WHEN anchor_us IS NOT NULL THEN longest END AS longest_gap,
   CASE WHEN anchor_us IS NULL THEN 'no_anchor' WHEN longest > {HOUR} THEN 'quote_gap' ELSE 'supported' END AS support FROM sn""",
 )
-def snapshot_60(spark, d):
+def snapshot_60(spark, d, anchors=anchors):
     return X.snapshot(anchors(spark, d).withColumnRenamed("anchor_id", "decision_id"), quotes(spark, d), ["symbol"], WINDOW, HOUR)
 
 
@@ -273,3 +279,11 @@ def winsor_caps(spark, d):
 def json_props(spark, d):
     e = table(spark, d, "events").withColumn("p", F.from_json("props", "k bigint"))
     return e.groupBy("event_type", (F.col("p.k") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# The queries on anchors over every quote's time. The SQL above is fixed, so these stand beside them.
+EVERY_ANCHOR_SQL = f"{QUOTES_SQL}, anchors AS (SELECT symbol, seq AS anchor_id, us + 37000000 AS us FROM quotes)"
+ON_ANCHORS = ("asof_backward", "asof_forward", "asof_forward_window", "asof_nearest", "execution_quote", "mark_quote", "snapshot_60")
+
+for _name in ON_ANCHORS:
+    query(f"{_name}_every", SQL[_name].replace(ANCHORS_SQL, EVERY_ANCHOR_SQL))(partial(Q[_name], anchors=every_anchor))

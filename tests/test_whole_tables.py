@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 
-from ledgerloom.plans import registry
+import pytest
+
+from ledgerloom.plans import registry, tick_queries
 
 from .test_queries import SF, con, plain  # noqa: F401
 
@@ -22,3 +24,9 @@ def test_merged_reports_of_all_lines(spark, con):  # noqa: F811
     assert len(found) == con.execute("SELECT count(DISTINCT l_orderkey) FROM lineitem").fetchone()[0]
     kinds = Counter((r.versions > 1, r.is_carry_over, r.is_closed) for r in found)
     assert set(kinds) == {(True, None, None), (False, True, True), (False, True, False), (False, False, True), (False, False, False)}
+
+
+@pytest.mark.parametrize("name", tick_queries.ON_ANCHORS)
+def test_every_quote_is_an_anchor(spark, con, name):  # noqa: F811
+    found = compared(spark, con, f"{name}_every")
+    assert sorted(r[0] for r in found) == [r[0] for r in con.execute("SELECT event_id FROM events ORDER BY 1").fetchall()]
