@@ -1,275 +1,376 @@
-"""Main text of web pages: structure, and removal of what a site repeats on many of its pages."""
+"""Main text of web pages: subtrees that a host repeats on many of its pages go, then what an element's own markup rules out."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from urllib.parse import urlsplit
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, without, written
 
-ADDED = ("text", "n_chars")
+ADDED = ("text", "n_chars", "n_template")
 
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body button caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
+    "h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav object ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content isn't markup.
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+#: Elements whose content isn't text of the page.
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg canvas".split())
 #: Elements that are never main text.
-DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe input menu nav noembed noframes noscript object script select style svg template textarea title".split())
-#: Words of class, id and role that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
-MARKS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
-    "cookie cookies dialog discussion disqus footer gdpr login menu menubar modal nav navbar navigation newsletter notice notices notification "
-    "overlay pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social "
-    "sponsor sponsored subscribe subscription toolbar widget widgets".split()
+DROPPED = frozenset("aside button datalist dialog footer head menu nav object optgroup option search select".split())
+#: Roles of what isn't main text.
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Whole class and id names of adverts, notices, forms, menus and readers' comments.
+NAMES = frozenset(
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment-form comment-list comments commentlist cookie-banner cookie-consent cookie-notice disqus_thread "
+    "footer login-form masthead menu modal nav navbar navigation newsletter pagination popup promo related-posts respond search-form share sharing sidebar "
+    "site-footer site-header skip-link social sponsored subscribe toolbar topbar widget".split()
 )
-#: Marks of page headers, which an article's own header may have.
-HEADS = frozenset("header masthead topbar".split())
 #: What an element's start tag ends, if it is open.
 ENDS = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "tbody"),
 }
-#: Elements that an end tag inside them doesn't reach beyond.
-SCOPES = frozenset("table td th article main section ul ol".split())
+#: Elements that such an end doesn't reach beyond.
+SCOPES = frozenset("table td th article main section ul ol dl select".split())
+#: An element that class, id or form tag marks is around the main text, not beside it, from this share of the page's text on.
+AROUND = 0.9
+#: A subtree recurs on at least so many of a host's pages, from SHARE of them or ROOT times their square root on; within articles from OWN_LEAST and OWN_SHARE.
+LEAST, SHARE, ROOT = 3, 0.6, 2.0
+OWN_LEAST, OWN_SHARE = 10, 0.6
+#: Parts that the deletions of one very frequent subtree are dealt to.
+SALTS = 16
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.DOTALL
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+HIDDEN = re.compile(r"display\s*:\s*none")
+CLEAR, MAYBE, CERTAIN = 0, 1, 2
+
+
+def verdict(tag: str, rest: str, in_article: bool) -> int:
+    """What an element's name and attributes say: CERTAIN that it isn't main text, MAYBE, or nothing (CLEAR)."""
+    if tag in DROPPED or tag == "header" and not in_article:
+        return CERTAIN
+    found = MAYBE if tag == "form" else CLEAR
+    for name, *values in ATTRIBUTE.findall(rest):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and HIDDEN.search(value):
+            return CERTAIN
+        if name == "role" and ROLES.intersection(value.split()):
+            return CERTAIN
+        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and NAMES.intersection(value.split()):
+            found = MAYBE
+    return found
 
 
-@dataclass
 class Node:
-    tag: str
-    dropped: bool
-    article: bool
-    part: int  # the number of parts, and
-    block: int  # of blocks, before it
+    """An open element. Marked inline elements are nodes too; other inline elements aren't.
 
+    limit: the number of blocks at the first block (of an inline element) or article inside it. If the
+    element is never ended itself, what markup says of it holds up to there.
+    """
 
-@dataclass
-class Page:
-    """What is left of a page after its structure is applied."""
+    __slots__ = ("above", "article", "block", "depth", "digest", "ended", "inline", "limit", "tag", "verdict")
 
-    blocks: list[str] = field(default_factory=list)
-    of_article: list[bool] = field(default_factory=list)
-    subtrees: list[tuple[int, int, int]] = field(default_factory=list)  # hash, first block, end block
+    def __init__(self, tag: str, block: int, verdict: int, article: bool, inline: bool, above: Node | None):
+        self.tag, self.block, self.verdict, self.article, self.inline, self.above = tag, block, verdict, article, inline, above
+        self.depth, self.ended, self.limit = 1, False, None
+        self.digest = None if inline else xxhash.xxh64(tag.encode("utf-8", "surrogatepass"))
 
-    def chosen(self, repeated: frozenset[int] | set[int] = frozenset()) -> list[str]:
-        """The blocks of the article (of all the page, if none has text), without repeated subtrees."""
-        gone = {k for h, a, b in self.subtrees if h in repeated for k in range(a, b)}
-        kept = [k for k in range(len(self.blocks)) if k not in gone]
-        main = [k for k in kept if self.of_article[k]]
-        return [self.blocks[k] for k in (main if any(self.of_article) else kept)]
 
+#: A piece of text, the marked inline element that it is in, and whether a block began in that before.
+Piece = tuple[str, Node | None, bool]
 
-def marked(rest: str, tag: str, in_article: bool) -> bool:
-    """Whether an element's name or attributes say that it isn't main text."""
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    for name, *values in ATTRIBUTE.findall(rest):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "main"):
-            found = set(re.split(r"[^a-z]+", value))
-            if found & MARKS or not in_article and found & HEADS:
-                return True
-    return False
-
-
-def parse(source: str) -> Page:
-    """One pass over a page with a stack of open elements."""
-    page, stack = Page(), [Node("", False, False, 0, 0)]
-    parts: list[str] = []  # tags and block texts, for the hashes of subtrees
-    pieces: list[str] = []  # of the block that is open
-    seen_article = False
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(pieces)).split())
-        pieces.clear()
-        if text:
-            page.blocks.append(text)
-            page.of_article.append(stack[-1].article)
-            parts.append(text)
-
-    def close() -> None:
-        flush()
-        node = stack.pop()
-        if node.tag in BLOCKS and not node.dropped and len(page.blocks) > node.block:
-            digest = xxhash.xxh64_intdigest("\x1f".join([node.tag, *parts[node.part :]]).encode("utf-8", "surrogatepass"))
-            page.subtrees.append((digest - (1 << 64) if digest >> 63 else digest, node.block, len(page.blocks)))
-
-    def close_through(tags: set[str] | frozenset[str]) -> None:
-        """Close the innermost open element with one of the tags and what is open inside it."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                while len(stack) > k:
-                    close()
-                return
-            if stack[k].tag in SCOPES:
-                return
-
-    at = 0
-    while True:
-        token = TOKEN.search(source, at)
-        if not stack[-1].dropped:
-            pieces.append(source[at : token.start() if token else len(source)])
-        if token is None:
-            break
-        at = token.end()
-        tag = (token["tag"] or "").lower()
-        if not tag:
-            continue
-        if token["end"]:
-            if tag in BLOCKS or tag in DROPPED:
-                if any(n.tag == tag for n in stack):
-                    while stack[-1].tag != tag:
-                        close()
-                    close()
-                else:
-                    flush()
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
-            at = end.start() if end else len(source)
-            continue
-        if tag == "br":
-            pieces.append(" ")
-        if tag in VOID:
-            if tag == "hr":
-                flush()
-            continue
-        if tag not in BLOCKS and tag not in DROPPED:
-            if marked(token["rest"], tag, stack[-1].article) and f"</{tag}" in source[at : at + 20000].lower():
-                flush()
-                stack.append(Node(tag, True, stack[-1].article, len(parts), len(page.blocks)))
-                at = skip_inline(source, at, tag)
-                stack.pop()
-            continue
-        flush()
-        if tag in BLOCKS and stack[-1].tag == "p":
-            close()
+
+class Page:
+    """A page's blocks in order, which of them its markup leaves in the main text, and the hash of each element with its blocks."""
+
+    def __init__(self, source: str):
+        self.blocks: list[str] = []
+        self.main: list[bool] = []
+        self.has_article = False
+        self.subtrees: list[tuple[int, int, int]] = []
+        self._parts: list[list[Piece]] = []
+        self._in_article: list[bool] = []
+        self._dropped: list[tuple[int, int, int]] = []
+        self._stack = [Node("", 0, CLEAR, False, False, None)]
+        self._open: Counter[str] = Counter()
+        self._marked: list[Node] = []  # open elements that an article has not begun in
+        self._pieces: list[Piece] = []
+        self._read(source)
+        self._decide()
+
+    def _block_node(self) -> Node:
+        top = self._stack[-1]
+        return top.above if top.inline else top  # a marked inline element holds no other one directly
+
+    def _flush(self) -> None:
+        if not self._pieces:
+            return
+        whole = " ".join("".join(p for p, _, _ in self._pieces).split())
+        if whole:
+            node = self._block_node()
+            node.digest.update(b"\x01" + whole.encode("utf-8", "surrogatepass"))
+            self._parts.append(self._pieces)
+            self._in_article.append(node.article)
+        self._pieces = []
+
+    def _push(self, tag: str, found: int, article: bool, inline: bool) -> None:
+        self._stack.append(Node(tag, len(self._parts), found, article, inline, self._stack[-1]))
+        self._open[tag] += 1
+
+    def _pop(self, ended: bool) -> None:
+        """Close the innermost element, by its own end or by that of one around it."""
+        node = self._stack[-1]
+        node.ended = ended
+        if not node.inline:
+            self._flush()
+        self._stack.pop()
+        self._open[node.tag] -= 1
+        if node.inline:
+            if ended and node.limit is not None:
+                self._dropped.append((node.verdict, node.limit, len(self._parts)))
+        elif len(self._parts) > node.block:
+            digest = node.digest.digest()
+            self._block_node().digest.update(b"\x02" + digest)
+            self.subtrees.append((int.from_bytes(digest, "big", signed=True), node.block, len(self._parts)))
+            if node.verdict:
+                self._dropped.append((node.verdict, node.block, len(self._parts) if ended or node.limit is None else node.limit))
+
+    def _pop_to(self, tag: str) -> None:
+        while self._stack[-1].tag != tag or self._stack[-1].inline:
+            self._pop(False)
+        self._pop(True)
+
+    def _close_first(self, tags: tuple[str, ...]) -> None:
+        """Close the innermost open element of each of the tags in turn, with what is open inside it, up to a scope's edge."""
+        for tag in tags:
+            if not self._open[tag]:
+                continue
+            for node in reversed(self._stack):
+                if node.tag == tag and not node.inline:
+                    self._pop_to(tag)
+                    break
+                if node.tag in SCOPES and node.tag not in tags:
+                    break
+
+    def _read(self, source: str) -> None:
+        at = 0
+        while True:
+            token = TOKEN.search(source, at)
+            text = source[at : token.start() if token else len(source)]
+            if text:
+                self._text(html.unescape(text) if "&" in text else text)
+            if token is None:
+                break
+            at = token.end()
+            tag = (token["tag"] or "").lower()
+            if not tag:
+                continue
+            if token["end"]:
+                self._end(tag)
+            elif tag in RAW:
+                if tag != "svg" or not token["rest"].endswith("/"):
+                    end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
+                    at = end.start() if end else len(source)
+            elif tag in VOID:
+                if tag == "hr":
+                    self._flush()
+                elif tag == "br":
+                    self._text(" ")
+            elif tag in BLOCKS:
+                self._block(tag, token["rest"])
+            else:
+                self._inline(tag, token["rest"])
+        while len(self._stack) > 1:
+            self._pop(False)
+        self._flush()
+
+    def _text(self, text: str) -> None:
+        top = self._stack[-1]
+        self._pieces.append((text, top, top.limit is not None) if top.inline else (text, None, False))
+
+    def _end(self, tag: str) -> None:
+        if tag in BLOCKS:
+            if self._open[tag]:
+                self._pop_to(tag)
+            else:
+                self._flush()
+            return
+        top = self._stack[-1]
+        if top.inline and top.tag == tag:
+            top.depth -= 1
+            if not top.depth:
+                self._pop(True)
+
+    def _inline(self, tag: str, rest: str) -> None:
+        top = self._stack[-1]
+        if top.inline:
+            top.depth += top.tag == tag
+        elif rest and not rest.endswith("/") and (found := verdict(tag, rest, top.article)):
+            self._push(tag, found, top.article, True)
+
+    def _block(self, tag: str, rest: str) -> None:
+        self._flush()
+        if self._stack[-1].tag == "p":
+            self._pop(True)
         if tag in ENDS:
-            close_through(ENDS[tag])
-        main = tag in ("article", "main")
-        drop = marked(token["rest"], tag, stack[-1].article)
-        if main and not drop and not seen_article:
-            while any(n.dropped for n in stack):  # an element that was never closed doesn't swallow the article
-                close()
-            seen_article = True
-        parts.append(tag)
-        above = stack[-1]
-        stack.append(Node(tag, above.dropped or drop, above.article or main and not drop, len(parts), len(page.blocks)))
-    while len(stack) > 1:
-        close()
-    flush()
-    return page
-
-
-def skip_inline(source: str, at: int, tag: str) -> int:
-    """Where a dropped inline element ends, elements of its name inside it counted."""
-    depth = 1
-    for token in TOKEN.finditer(source, at):
-        if (token["tag"] or "").lower() == tag:
-            depth += -1 if token["end"] else 1
-            if not depth:
-                return token.end()
-    return len(source)
-
-
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").removeprefix("www.")
-    except ValueError:
-        return ""
-
-
-def signed(text: str) -> int:
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
-
-
-def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, subtree) of each element with text, host and page as hashes; subtree null once for each page."""
+            self._close_first(ENDS[tag])
+        top = self._stack[-1]
+        if top.inline and top.limit is None:
+            top.limit = len(self._parts)
+        article = tag in ("article", "main")
+        found = verdict(tag, rest, top.article)
+        if article and not found:
+            for node in self._marked:
+                node.limit = len(self._parts)
+            self._marked.clear()
+        self._push(tag, found, top.article or article and not found, False)
+        if found:
+            self._marked.append(self._stack[-1])
+
+    def _decide(self) -> None:
+        """The blocks' texts, and which of them are main text."""
+        sizes = [0]
+        for parts in self._parts:
+            kept = (p for p, node, late in parts if node is None or late and not node.ended)
+            self.blocks.append(" ".join("".join(kept).split()))
+            sizes.append(sizes[-1] + len(self.blocks[-1]))
+        out = outside([(a, b) for found, a, b in self._dropped if found == CERTAIN or sizes[b] - sizes[a] < AROUND * sizes[-1]], len(self.blocks))
+        left = [x and bool(t) for x, t in zip(out, self.blocks)]
+        of_article = [x and y for x, y in zip(left, self._in_article)]
+        self.has_article = any(of_article)
+        self.main = of_article if self.has_article else left
+
+
+def outside(spans: list[tuple[int, int]], n: int) -> list[bool]:
+    """Of n places those that no half-open span covers."""
+    change = [0] * (n + 1)
+    for a, b in spans:
+        change[a] += 1
+        change[b] -= 1
+    return [x == 0 for x in accumulate(change[:n])]
+
+
+def signed64(data: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(data), "big", signed=True)
+
+
+def parsed(batches: Iterator[pa.RecordBatch], html_col: str, keep: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Each page once: its blocks (empty where the markup rules them out), its content's hash and its subtrees."""
     for batch in batches:
-        rows: list[tuple[int, int, int | None]] = []
-        for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            page = parse(source or "")
-            if page.blocks:
-                host, content = signed(host_of(url)), signed("\n\n".join(page.blocks))
-                rows += [(host, content, None), *((host, content, h) for h in {h for h, _, _ in page.subtrees})]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], ["host", "page", "subtree"])
+        blocks, main, content, subtrees = [], [], [], []
+        for source in batch.column(html_col).to_pylist():
+            page = Page(source or "")
+            blocks.append([t if m else "" for t, m in zip(page.blocks, page.main)])
+            main.append(page.main)
+            own = [t for t, m in zip(page.blocks, page.main) if m] or page.blocks
+            content.append(signed64("\n\n".join(own).encode("utf-8", "surrogatepass")))
+            inside = [0]
+            for m in page.main:
+                inside.append(inside[-1] + m)
+            subtrees.append([{"hash": h, "a": a, "b": b, "own": page.has_article and inside[b] > inside[a]} for h, a, b in page.subtrees])
+        columns = [*(batch.column(c) for c in keep), pa.array(blocks), pa.array(main), pa.array(content), pa.array(subtrees)]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def joined_blocks(batches: Iterator[pa.RecordBatch], names: dict[str, str], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The text of the blocks that are left, and how many the site's template took."""
+    for batch in batches:
+        texts, taken = [], []
+        for blocks, main, gone in zip(*(batch.column(names[c]).to_pylist() for c in ("blocks", "main", "gone"))):
+            left = outside([(x["a"], x["b"]) for x in gone or ()], len(blocks))
+            texts.append("\n\n".join(t for t, m, x in zip(blocks, main, left) if m and x))
+            taken.append(left.count(False))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(taken, pa.int64())], [*keep, names["text"], names["n"]])
 
 
-def extracted(batches: Iterator[pa.RecordBatch], names: dict[str, str], drop: set[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        repeated = batch.column(names["repeated"]).to_pylist()
-        texts = ["\n\n".join(parse(s or "").chosen(set(r or ()))) for s, r in zip(batch.column(names["html"]).to_pylist(), repeated)]
-        rest = [c for c in batch.schema.names if c not in drop]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, names["text"]])
+def least_pages(pages: Column, own: Column) -> Column:
+    """On how many of a host's different pages a subtree must stand to be its template; own: it holds main text of an article."""
+    anywhere = F.greatest(F.lit(LEAST), F.least(pages * SHARE, F.sqrt(pages) * ROOT))
+    return F.when(own, F.greatest(F.lit(OWN_LEAST), pages * OWN_SHARE)).otherwise(anywhere)
 
 
-def repeated_subtrees(pages: DataFrame, url_col: str, html_col: str, least_pages: int, share: float) -> DataFrame:
-    """(host, repeated): of each host the hashes of subtrees that stand on many of its pages.
+def template_subtrees(pages: DataFrame) -> DataFrame:
+    """(host, subtree, own) of the subtrees that recur across a host's pages, from (host, content, subtrees).
 
-    Many: at least ``least_pages`` pages and a ``share`` of the host's, pages with the same content
-    counted once, so that copies of one article don't make its paragraphs a template. A host has no
-    more of them than a page has subtrees over ``share``.
+    Pages of one content count once, so copies of one article don't make its paragraphs a template.
+    Pages and their subtrees are summed by host and subtree, combined before the shuffle; a host's
+    number of pages meets its subtrees in SALTS parts.
     """
-    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    counts = rows.mapInArrow(subtrees, "host long, page long, subtree long").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.filter((F.col("n") >= least_pages) | F.col("subtree").isNull())
-    counts = written(counts, "html-subtrees")
-    of_host = counts.filter("subtree IS NULL").select("host", F.col("n").alias("pages"))
-    many = counts.filter("subtree IS NOT NULL").join(of_host, "host").filter(F.col("n") >= F.col("pages") * share)
-    return written(many.groupBy("host").agg(F.collect_list("subtree").alias("repeated")), "html-repeated")
-
-
-def extract_text(
-    pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None, least_pages: int = 20, share: float = 0.6, broadcast_hosts: int = 10_000
-) -> DataFrame:
+    seen = pages.select("host", "content", F.explode(F.array_distinct(F.transform("subtrees", lambda s: F.struct(s["hash"].alias("subtree"), s["own"].alias("own"))))).alias("s"))
+    counts = seen.select("host", "content", "s.subtree", "s.own").distinct().groupBy("host", "subtree", "own").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.filter(F.col("n") >= LEAST).withColumn("salt", F.pmod("subtree", F.lit(SALTS)))
+    hosts = pages.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    many = counts.join(hosts, ["host", "salt"]).filter(F.col("n") >= least_pages(F.col("pages"), F.col("own")))
+    return many.select("host", "subtree", "own")
+
+
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The main text of each page.
 
-    A page's structure says what is text: not scripts, styles, comments of the markup, nor elements
-    whose name, class, id or role marks a menu, header, footer, sidebar, notice, advert, form or
-    readers' comments; of an article (article or main element) with text only that. Then subtrees
-    that repeat across many pages of a host are removed: each element's subtree is hashed, the hashes
-    are counted per host, and those on at least ``least_pages`` different pages and ``share`` of the
-    host's are deleted. Character references are decoded, white space within a block becomes one
-    space, and blocks are joined by two line feeds in their order.
-
-    Returns pages (columns ``keep``, all by default) with text and n_chars (code points); input
-    columns of these names give way, unless they are the html. Null or empty html gives an empty text.
-    Pages without a url or with a broken one share a host. Repeated rows are answered alike; an empty
-    table gives no rows. The repeated hashes of up to ``broadcast_hosts`` hosts are broadcast, more are
-    joined by host, where Spark splits a host with very many pages.
+    A page is parsed once into blocks of text and elements. Every element's subtree is hashed from its
+    name, its texts and its children's hashes; the hashes are counted per host over pages of different
+    content, and subtrees that recur on many of the host's pages (least_pages: three at least, of small
+    hosts 0.6, of large ones as many as twice the root of their pages) are deleted from it. Within
+    articles (or main elements) only what stands on ten pages and 0.6 of all is, as a passage that
+    several articles share is theirs.
+
+    What a page says of itself does the rest, so that single pages have a text too: of an article with
+    text only that is taken; hidden elements, menus, asides, footers and headers outside articles go,
+    as do elements whose role, or one of whose whole class or id names, marks an advert, a notice, a
+    form or comments, unless nine tenths of the page's text are in them. A marked inline element goes
+    to its end tag, or if it has none up to the next block. Character references are decoded, white
+    space within a block becomes one space, and blocks are joined by two line feeds in their order.
+
+    Returns pages (columns ``keep``, all by default) with text, n_chars (code points) and n_template
+    (blocks that were deleted as the site's); input columns of these names give way, unless they are
+    the html. Null, empty or broken html and one without text give an empty text. Pages without a url
+    or with a broken one share a host. A page of any length or depth is read whole, in time in
+    proportion to it. Repeated rows are answered alike; an empty table gives no rows.
+
+    The texts aren't shuffled by host: (host, subtree) pairs are joined, and what is found goes back
+    to its page by a number. A subtree that is on a third of all pages is dealt to SALTS tasks.
     """
     keep = list(pages.columns) if keep is None else keep
-    names = fresh(pages, "html", "host", "repeated", "text")
     keep = [c for c in keep if c in without(pages, *ADDED).columns]
-    repeated = repeated_subtrees(pages, url_col, html_col, least_pages, share)
-    host = F.pandas_udf(lambda urls: urls.map(lambda u: signed(host_of(u))), "long")
-    df = pages.select(*keep, F.col(html_col).cast("string").alias(names["html"]), host(F.col(url_col).cast("string")).alias(names["host"]))
-    repeated = repeated.select(F.col("host").alias(names["host"]), F.col("repeated").alias(names["repeated"]))
-    if repeated.count() <= broadcast_hosts:
-        repeated = F.broadcast(repeated)
-    df = df.join(repeated, names["host"], "left")
-    drop = {names["html"], names["host"], names["repeated"]}
-    schema = T.StructType([f for f in df.schema.fields if f.name not in drop]).add(names["text"], T.StringType())
-    df = df.mapInArrow(lambda batches: extracted(batches, names, drop), schema)
-    return df.select(*keep, F.col(names["text"]).alias("text"), F.length(names["text"]).cast("bigint").alias("n_chars"))
+    n = fresh(pages, "html", "host", "row", "blocks", "main", "content", "subtrees", "gone", "text", "n")
+    host = F.xxhash64(F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST")), F.lit(""))), r"^www\.", ""))
+    df = pages.select(*keep, F.col(html_col).cast("string").alias(n["html"]), host.alias(n["host"]), F.monotonically_increasing_id().alias(n["row"]))
+    passed = [*keep, n["host"], n["row"]]
+    kinds = {f.name: f for f in df.schema.fields}
+    tree = T.StructType.fromDDL("hash long, a int, b int, own boolean")
+    schema = T.StructType([kinds[c] for c in passed]).add(n["blocks"], T.ArrayType(T.StringType())).add(n["main"], T.ArrayType(T.BooleanType())).add(n["content"], "long").add(n["subtrees"], T.ArrayType(tree))
+    own = pa.struct([("hash", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("own", pa.bool_())])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.schema.field(c) for c in passed]
+            kinds += [pa.field(n["blocks"], pa.list_(pa.string())), pa.field(n["main"], pa.list_(pa.bool_())), pa.field(n["content"], pa.int64()), pa.field(n["subtrees"], pa.list_(own))]
+            yield from parsed(iter([batch]), n["html"], passed, pa.schema(kinds))
+
+    df = written(df.mapInArrow(parse, schema), "html-parsed")
+    seen = df.select(F.col(n["host"]).alias("host"), F.col(n["content"]).alias("content"), F.col(n["subtrees"]).alias("subtrees"))
+    template = written(template_subtrees(seen), "html-template")
+    spots = df.select(F.col(n["row"]).alias("row"), F.col(n["host"]).alias("host"), F.explode(n["subtrees"]).alias("s"))
+    spots = spots.select("row", "host", "s.hash", "s.own", "s.a", "s.b", F.pmod("row", F.lit(SALTS)).alias("salt"))
+    template = template.select("host", F.col("subtree").alias("hash"), "own", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
+    gone = spots.join(template, ["host", "hash", "own", "salt"]).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias(n["gone"]))
+    df = df.drop(n["subtrees"], n["content"], n["host"]).join(gone.withColumnRenamed("row", n["row"]), n["row"], "left")
+    schema = T.StructType([kinds[c] for c in keep]).add(n["text"], T.StringType()).add(n["n"], T.LongType())
+    df = df.mapInArrow(lambda batches: joined_blocks(batches, n, keep), schema)
+    return df.select(*keep, F.col(n["text"]).alias("text"), F.length(n["text"]).cast("bigint").alias("n_chars"), F.col(n["n"]).alias("n_template"))
