@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (local tests) is a temporary folder set.
+    Where the session names none, a local session gets a temporary folder; on a cluster that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -61,6 +63,33 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in lower])
 
 
+#: A key is hot if it has more than this share of the rows; there are no more than its inverse of them.
+HOT = 1 / 1000
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with the other columns of table (null where their key isn't in it), whatever share of rows a key has.
+
+    table has each key once, and in ``n`` how many rows have it; it is read three times. Keys of over HOT
+    of the rows, so 1 / HOT keys at most, are broadcast; in the shuffle for the others their rows are
+    dealt out by number. Keys are strings, binary or long, never null.
+    """
+    names = fresh(rows, "hot", "rest", "key", "place")
+    values = [c for c in table.columns if c not in (key, n)]
+    total = table.agg(F.sum(n)).first()[0] or 0
+    row = F.struct(*[F.col(f"`{c}`") for c in values])
+    is_hot = F.col(n) > total * HOT
+    hot = table.filter(is_hot).select(F.col(key).alias(names["key"]), row.alias(names["hot"]))
+    rest = table.filter(~is_hot).select(F.col(key).alias(names["place"]), row.alias(names["rest"]))
+    number = F.monotonically_increasing_id()
+    if rows.schema[key].dataType.typeName() != "long":
+        number = number.cast("string").cast(rows.schema[key].dataType)
+    out = rows.join(F.broadcast(hot), rows[key] == hot[names["key"]], "left")
+    out = out.withColumn(names["place"], F.when(F.col(names["hot"]).isNull(), F.col(f"`{key}`")).otherwise(number)).join(rest, names["place"], "left")
+    found = F.coalesce(names["hot"], names["rest"])
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[found[v].alias(v) for v in values])
+
+
 def text_of(col: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

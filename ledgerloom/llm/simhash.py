@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, join_skewed, written
 
 SEED = 42
 #: Shingles whose bits are counted together.
@@ -85,137 +85,104 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def tile_links(prints: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one tile pair that connect what all its links connect: at most one for each fingerprint.
+def tile_pairs(unit: np.ndarray, ones: np.ndarray, radius: int, size: int) -> tuple[list[tuple[int, int]], int]:
+    """Which tiles are compared: (first rows of) pairs of tiles, and how many pairs are skipped.
 
-    side: 0 and 1 for the two tiles, 2 for one tile against itself.
+    Rows are sorted by unit and, in it, by bit count; each ``size`` of them are a tile. A tile is
+    compared with itself, and with the later ones that its last unit goes on in while their bit
+    counts differ by the radius at most.
     """
-    if (side == 2).any():
-        order = np.argsort(np.bitwise_count(prints), kind="stable")
-        i, j = [], []
-        pop = np.bitwise_count(prints[order])
-        for k in range(0, len(order), 512):  # sub-tiles in order of bit counts; those too far apart are skipped
-            end = np.searchsorted(pop, pop[min(k + 511, len(order) - 1)] + radius, side="right")
-            a, b = near(prints[order[k : k + 512]], prints[order[k:end]], radius)
-            i.append(order[k + a])
-            j.append(order[k + b])
-        i, j = np.concatenate(i), np.concatenate(j)
-    else:
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        i, j = near(prints[left], prints[right], radius)
-        i, j = left[i], right[j]
-    label = forest(len(prints), i, j)
+    starts = np.arange(0, len(unit), size)
+    last = np.minimum(starts + size, len(unit)) - 1
+    end = np.searchsorted(starts, np.searchsorted(unit, unit[last], side="right"))  # after the tiles with rows of that unit
+    near_enough = np.array([i + 1 + np.searchsorted(ones[starts[i + 1 : e]], ones[z] + radius, side="right") for i, (z, e) in enumerate(zip(last, end))], np.int64)
+    pairs = [(a, starts[j]) for i, a in enumerate(starts) for j in range(i, max(i + 1, near_enough[i]))]
+    return pairs, int((end - np.maximum(near_enough, np.arange(1, len(starts) + 1))).clip(0).sum())
+
+
+def tile_links(unit: np.ndarray, prints: np.ndarray, radius: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows that connect what all links within the compared tiles connect: at most one for each row.
+
+    What a tile has of other units is compared as well: links are links, whichever unit they are found in.
+    """
+    i, j = [], []
+    for a, b in tile_pairs(unit, np.bitwise_count(prints).astype(np.int64), radius, size)[0]:
+        x, y = near(prints[a : a + size], prints[b : b + size], radius)
+        own = a + x < b + y
+        i.append(a + x[own])
+        j.append(b + y[own])
+    label = forest(len(prints), np.concatenate(i), np.concatenate(j))
     own = np.flatnonzero(label != np.arange(len(prints)))
     return label[own], own
 
 
-def small_links(unit: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within many small units at once: each row against the next ones of its unit."""
-    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    at = np.arange(len(unit))
-    for d in range(1, len(unit)):
-        at = at[: np.searchsorted(at, len(unit) - d)]
-        at = at[unit[at] == unit[at + d]]
-        if not len(at):
-            break
-        close = at[np.bitwise_count(prints[at] ^ prints[at + d]) <= radius]
-        i.append(close)
-        j.append(close + d)
-    return np.concatenate(i), np.concatenate(j)
-
-
-def links(batches: Iterator[pa.RecordBatch], radius: int, small: int = 64) -> Iterator[pa.RecordBatch]:
-    """(a, b) node links of a partition's units, which come sorted by unit; a unit's rows are held together."""
-
-    def done(unit: np.ndarray, prints: np.ndarray, node: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-        edges = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
-        sizes = np.diff(edges)
-        large = [(a, b) for a, b in zip(edges[:-1], edges[1:]) if b - a > small or side[a] != 2]
-        of_small = np.repeat((sizes <= small) & (side[edges[:-1]] == 2), sizes)
-        own = np.flatnonzero(of_small)
-        i, j = small_links(unit[own], prints[own], radius)
-        i, j = [own[i]], [own[j]]
-        for a, b in large:
-            x, y = tile_links(prints[a:b], side[a:b], radius)
-            i.append(a + x)
-            j.append(a + y)
-        i, j = np.concatenate(i), np.concatenate(j)
+def links(batches: Iterator[pa.RecordBatch], radius: int, size: int = 256) -> Iterator[pa.RecordBatch]:
+    """(a, b) node links of a partition's units, which come sorted by unit and bit count; a unit's rows are held together."""
+
+    def done(unit: np.ndarray, prints: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        i, j = tile_links(unit, prints.view(np.uint64), radius, size)
         return pa.RecordBatch.from_pydict({"a": node[i], "b": node[j]})
 
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in ("unit", "print", "node", "side")])
-        unit = held[-1][0]
-        if sum(len(h[0]) for h in held) < 1 << 16 and len(unit):
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in ("unit", "print", "node")])
+        if sum(len(h[0]) for h in held) < 1 << 16:
             continue
-        unit, prints, node, side = (np.concatenate(x) for x in zip(*held))
-        cut = len(unit) - int((unit[::-1] != unit[-1]).argmax()) if unit[0] != unit[-1] else 0
+        unit, prints, node = (np.concatenate(x) for x in zip(*held))
+        cut = int(np.searchsorted(unit, unit[-1]))
         if cut:
-            yield done(unit[:cut], prints[:cut].view(np.uint64), node[:cut], side[:cut])
-        held = [[unit[cut:], prints[cut:], node[cut:], side[cut:]]]
+            yield done(unit[:cut], prints[:cut], node[:cut])
+        held = [[unit[cut:], prints[cut:], node[cut:]]]
     if held:
-        unit, prints, node, side = (np.concatenate(x) for x in zip(*held))
-        if len(unit):
-            yield done(unit, prints.view(np.uint64), node, side)
+        yield done(*(np.concatenate(x) for x in zip(*held)))
 
 
 def units(nodes: DataFrame, radius: int, tile: int, n: int) -> DataFrame:
-    """(unit, print, node, side): what is compared with what.
+    """(unit, ones, print, node): what is compared with what.
 
-    Fingerprints with the same bits under a mask meet. Up to ``tile`` of them are one unit. A larger
-    group is cut into tiles by bit count and, within one bit count, by a hash; its units are the
-    pairs of tiles whose bit counts differ by the radius at most, and tiles with themselves.
+    Fingerprints with the same bits under a mask meet; in such a group they are ordered by bit count
+    and, within one, by a hash, and each ``tile`` of them are a tile. A group of one tile is a unit.
+    A larger one has a unit for each pair of its tiles whose bit counts differ by the radius at most.
     """
     masks = key_masks(radius, n)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select("print", "node", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in signed])).alias("mask", "bits")).select(
-        "print", "node", "mask", F.col("print").bitwiseAND(F.col("bits")).alias("key"), F.bit_count("print").cast("int").alias("ones")
+    keyed = nodes.select("print", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.lit(m).cast("bigint").alias("bits")) for k, m in enumerate(signed)])).alias("m")).select(
+        F.xxhash64("m.mask", F.col("print").bitwiseAND(F.col("m.bits"))).alias("group"), F.bit_count("print").cast("int").alias("ones"), "print", "node"
     )
-    counts = keyed.groupBy("mask", "key", "ones").agg(F.count(F.lit(1)).alias("n"))
-    large = counts.groupBy("mask", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int")))).alias("tiles"))
-    large = written(large.filter(F.col("all") > tile).drop("all"), "simhash-large")
-    pairs = F.flatten(
+    counts = keyed.groupBy("group", "ones").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("group").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int")))).alias("tiles"))
+    groups = written(groups.filter(F.col("n") > tile), "simhash-groups")
+    none = F.array().cast("array<struct<ones:int,tile:int>>")
+    others = F.flatten(
         F.transform(
             F.sequence(F.col("ones") - radius, F.col("ones") + radius),
-            lambda o: F.transform(
-                F.when(F.coalesce(F.try_element_at("tiles", o), F.lit(0)) > 0, F.sequence(F.lit(0), F.try_element_at("tiles", o) - 1)).otherwise(F.array().cast("array<int>")),
-                lambda t: F.struct(o.alias("ones"), t.alias("tile")),
-            ),
-        )
-    )
-    own = F.struct(F.col("ones").alias("ones"), F.pmod(F.xxhash64("print"), F.element_at("tiles", F.col("ones"))).cast("int").alias("tile"))
-    if large.isEmpty():
-        return keyed.select(F.xxhash64("mask", "key").alias("unit"), "print", "node", F.lit(2).alias("side"))
-    joined = keyed.join(large, ["mask", "key"], "left")
-    plain = joined.filter(F.col("tiles").isNull()).select(F.xxhash64("mask", "key").alias("unit"), "print", "node", F.lit(2).alias("side"))
-    tiled = (
-        joined.filter(F.col("tiles").isNotNull())
-        .withColumn("own", own)
-        .withColumn("other", F.explode(pairs))
-        .select(
-            F.xxhash64("mask", "key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-            "print",
-            "node",
-            F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
+            lambda o: F.when(
+                F.try_element_at("tiles", o).isNotNull(), F.transform(F.sequence(F.lit(0), F.try_element_at("tiles", o) - 1), lambda t: F.struct(o.alias("ones"), t.alias("tile")))
+            ).otherwise(none),
         )
     )
-    return plain.unionByName(tiled)
+    joined = join_skewed(keyed, groups, "group", "n")
+    own = F.struct(F.col("ones").alias("ones"), F.pmod(F.xxhash64("print"), F.coalesce(F.try_element_at("tiles", F.col("ones")), F.lit(1))).cast("int").alias("tile"))
+    joined = joined.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("tiles").isNull(), F.array("own")).otherwise(others)))
+    alone = F.struct(F.lit(-1).alias("ones"), F.lit(0).alias("tile"))
+    pair = [F.when(F.col("tiles").isNull(), alone).otherwise(f("own", "other")) for f in (F.least, F.greatest)]
+    return joined.select(F.xxhash64("group", *pair).alias("unit"), "ones", "print", "node")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the links (a, b) reaches.
 
     Alternates two steps until nothing changes: each node sends its larger neighbours to the smallest
-    one it knows, then its smaller ones. Every step is a minimum by node (summed before its shuffle) and a
-    join, which Spark splits where a node has very many links; the links are written after each round.
+    one it knows, then its smaller ones. Every step is a minimum by node, summed before its shuffle, and
+    a join in which a node with very many links is broadcast; the links are written after each round.
     """
 
     def round_of(links: DataFrame, larger: bool) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else links
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        joined = both.join(low, "a")
+        low = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count(F.lit(1)).alias("n")), "simhash-low")
+        joined = join_skewed(both, low, "a", "n")
         if larger:
             return joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         moved = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
@@ -227,7 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash-links")
     seen = state(links)
     while True:
-        links = written(round_of(round_of(links, True), False), "simhash-links")
+        links = written(round_of(written(round_of(links, True), "simhash-links"), False), "simhash-links")
         now = state(links)
         if now == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -248,27 +215,21 @@ def simhash_components(
     null. An empty table gives no rows.
 
     Equal fingerprints are one node, so copies are compared once. Exact: any pair within the radius
-    shares the bits of at least one mask of key_masks, and all pairs that share them are compared in
-    tiles by exclusive-or and bit counts, skipping tile pairs whose bit counts are too far apart.
-    Only links that connect something new within their tile pair are kept, so a dense group gives
-    as many as it has members, not their square.
+    shares the bits of at least one mask of key_masks, so the masks only order the fingerprints; they
+    are compared in tiles by exclusive-or and bit counts, and tile pairs whose bit counts are too far
+    apart are skipped. Only links that connect something new within the tiles that a task holds are
+    kept, so a dense group gives about as many as it has members, not their square.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = written(own.mapInArrow(lambda batches: fingerprints(batches, "text", "print", shingle), "id long, print long"), "simhash-prints")
-    nodes = written(prints.groupBy("print").agg(F.min("id").alias("id")), "simhash-nodes")
-    n = nodes.count()
-    compared = units(nodes.select("print", F.col("print").alias("node")), radius, tile, n)
-    found = compared.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: links(batches, radius), "a long, b long")
+    nodes = written(prints.groupBy("print").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    compared = units(nodes.select("print", F.col("print").alias("node")), radius, tile, nodes.count())
+    found = compared.repartition("unit").sortWithinPartitions("unit", "ones").select("unit", "print", "node").mapInArrow(lambda batches: links(batches, radius), "a long, b long")
     of_print = components(found)
     # A component's root is a fingerprint; its id is the smallest one of its fingerprints.
-    rooted = nodes.join(of_print, nodes["print"] == of_print["node"], "left").select("print", "id", F.coalesce("component", "print").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = rooted.join(ids, "root").select("print", "component_id")
-    return prints.join(classes, "print").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that are the first of their component, by id; ids must be unique. Rows without id stay."""
-    name = fresh(docs, "id")["id"]
-    first = simhash_components(docs, id_col=id_col, text_col=text_col, **options).filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(name))
-    return docs.join(first, docs[id_col].cast("bigint") == first[name], "left_anti")
+    rooted = nodes.join(of_print, nodes["print"] == of_print["node"], "left").select("print", "id", "n", F.coalesce("component", "print").alias("root"))
+    rooted = written(rooted, "simhash-rooted")
+    ids = written(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("prints")), "simhash-components")
+    classes = written(join_skewed(rooted.select("print", "n", "root"), ids, "root", "prints").select("print", "n", "component_id"), "simhash-classes")
+    found = join_skewed(prints, classes, "print", "n")
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
