@@ -9,33 +9,40 @@ from .common import fresh, text_of, without
 
 #: The kinds in the order in which spans that start together are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban",)
+ADDED_KINDS = ("iban", "ssn", "account", "secret")
 
-#: The contract's expressions. Possessive repeats match the same, as what follows never begins with
-#: what they took, but need no recursion and no going back on long runs. Runs of an expression's
-#: first characters match from their start or, after a match, from its end, or not at all: all
-#: starts within a run meet the same end, so only those two are tried.
+#: The contract's expressions, then those of the added kinds. Possessive repeats match the same, as
+#: what follows never begins with what they took, but need no recursion and no going back on long
+#: runs. Runs of an expression's first characters match from their start or, after a match, from its
+#: end, or not at all: all starts within a run meet the same end, so only those two are tried.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "ssn": r"[0-9]++-[0-9]++-[0-9]++",
+    "account": r"[0-9]{8,}+",
+    "secret": r"[A-Za-z0-9_-]{20,}+",
 }
 #: What a text with a match must contain, to skip the expression where it can't match.
-NEEDS = {"email": "@", "phone": "+"}
+NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
 
-#: Score of a span whose validator agrees, and what a context word adds.
-VALID_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
-CONTEXT_SCORE = 0.3
+#: Score in hundredths of a span whose validator agrees, what context words before it add, and what words of made-up examples take.
+VALID_SCORE = {"email": 90, "ip": 60, "card": 80, "phone": 60, "iban": 60, "ssn": 40, "account": 30, "secret": 40}
+CONTEXT_SCORE, EXAMPLE_SCORE = 30, 30
 CONTEXT_POINTS = 40
 CONTEXT_WORDS = {
-    "email": "email|mail|contact|write to",
+    "email": "email|e-mail|mail|contact|write to",
     "ip": "ip|address|host|server|client",
     "card": "card|visa|mastercard|credit|debit|payment",
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank|transfer",
+    "ssn": "ssn|social security|social insurance|tax id",
+    "account": "account|acct|account no|account number|konto|routing|sort code",
+    "secret": "token|secret|password|passwd|api key|api_key|apikey|access key|access_key|private key|bearer|credentials",
 }
+EXAMPLE_WORDS = "example|sample|dummy|fake|fictitious|placeholder"
 BLOCK = 256
 
 
@@ -74,20 +81,40 @@ def valid(kind: str, found: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         return mod97(found)
+    if kind == "ssn":
+        return found.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~found.rlike(r"^(?:000|666|9)|-00-|-0000$")
+    if kind == "account":
+        return F.length(found) <= 12
+    if kind == "secret":
+        return found.rlike("[0-9]") & found.rlike("[A-Za-z]")
     return F.lit(True)
 
 
+def names_one(words: str) -> str:
+    """An expression for lower-cased text that has one of the words on its own."""
+    return f"(?:^|[^a-z0-9])(?:{words})(?:$|[^a-z0-9])"
+
+
+def context_score(kind: str, before: Column) -> Column:
+    """What the words before a span add to its kind's score, in hundredths."""
+    near = F.translate(before, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    score = F.lit(VALID_SCORE[kind]) + F.when(near.rlike(names_one(CONTEXT_WORDS[kind])), CONTEXT_SCORE).otherwise(0)
+    return F.least(F.lit(100), score - F.when(near.rlike(names_one(EXAMPLE_WORDS)), EXAMPLE_SCORE).otherwise(0))
+
+
 def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.6) -> DataFrame:
     """Spans of personal data in whole texts.
 
     Returns the rows of docs with ``pii``: an array of (start, rank, kind, end, score) by start, then
     kind in the order of BASE_KINDS and ADDED_KINDS; an input column of that name gives way. Offsets
     are code points, the end exclusive. Expressions propose, leftmost and not overlapping per kind;
-    validators (octets up to 255, Luhn, mod 97, digit counts) confirm; the score is the kind's, plus
-    CONTEXT_SCORE where a context word stands in the CONTEXT_POINTS before the span (back to the
-    span of its kind before it). Base kinds stay
-    whatever their score, added kinds from ``threshold`` on. A null text is empty, an empty text has
-    no spans, repeated rows are answered alike, and a text of any length is read whole.
+    validators (octets up to 255, Luhn, mod 97, digit counts, ranges of numbers that are given out)
+    confirm; the score is the kind's, more where a context word stands in the CONTEXT_POINTS before
+    the span (back to what its kind's expression found before it), less where a word of made-up
+    examples does. Base kinds stay whatever their score, added kinds from ``threshold`` on, which a
+    bank account number with its check digits has unless it is an example, but the others (social
+    security and account numbers, secrets) only have with a context word. A null text is empty, an empty text has no spans,
+    repeated rows are answered alike, and a text of any length is read whole.
 
     All in one pass without a shuffle: matches come from regexp_extract_all, their places from the
     lengths of what split leaves between them, which is only done where there are matches.
@@ -115,8 +142,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.6) ->
 
         def span(m: Column, i: Column) -> Column:
             end = F.get(at, i)
-            near = F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT_POINTS))).rlike(rf"\b(?:{CONTEXT_WORDS[k]})\b")
-            score = F.least(F.lit(1.0), F.lit(VALID_SCORE[k]) + F.when(near, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)))
+            score = context_score(k, F.right(F.get(gaps, i), F.lit(CONTEXT_POINTS))) / F.lit(100.0)
             return F.struct(
                 (end - F.length(m)).cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(k).alias("kind"), end.alias("end"), score.alias("score"), valid(k, m).alias("valid")
             )
@@ -136,7 +162,11 @@ def span_list(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The texts with every span replaced by its kind in brackets; overlapping spans count for the first."""
+    """The rows of docs and ``pii``, the texts with every span replaced by its kind in brackets.
+
+    Of spans that overlap the first counts. A null text becomes an empty one; repeated rows are
+    answered alike, an empty table gives no rows, and an input column ``pii`` gives way.
+    """
     found = find_pii(docs, text_col)
     text = text_of(text_col)
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
