@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, text_of, without, written
+from .common import SPACE, fresh, join_skewed, text_of, without, written
 
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -37,11 +37,11 @@ def exact_dedup(
     shuffle combines within a salt of the digest, the second combines the salts' winners. So a text
     that a third of all rows share reaches any task as one row per map task and salt. Rows learn of
     their group by its digest where only one text has it, as that was just compared, else by digest
-    and text. ``digest`` is a parameter for tests of that second case.
+    and text; the groups of very frequent digests are broadcast for that (join_skewed). ``digest`` is a parameter for tests of that second case.
     """
     sha256 = lambda norm: F.sha2(norm, 256)
     docs = without(docs, *ADDED)
-    n = fresh(docs, "norm", "digest", "rank", "salt", "size", "best", "texts", "row", "sha")
+    n = fresh(docs, "norm", "digest", "rank", "salt", "size", "best", "texts", "row", "sha", "rows")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     norm, dig, rank, salt, size, best, texts, sha = (n[k] for k in ("norm", "digest", "rank", "salt", "size", "best", "texts", "sha"))
 
@@ -73,7 +73,7 @@ def exact_dedup(
     )
     groups = salted.groupBy(dig, norm).agg(F.max(best).alias(best), F.sum(size).alias(size))
     by_digest = written(
-        groups.groupBy(dig).agg(F.max(best).alias(best), F.sum(size).alias(size), F.count(F.lit(1)).alias(texts)),
+        groups.groupBy(dig).agg(F.max(best).alias(best), F.sum(size).alias(size), F.sum(size).alias(n["rows"]), F.count(F.lit(1)).alias(texts)),
         "dedup-groups",
     )
 
@@ -87,14 +87,15 @@ def exact_dedup(
             F.col(sha).alias("text_sha256"),
         )
 
-    single = by_digest.filter(F.col(texts) == 1)
+    single = by_digest.filter(F.col(texts) == 1).drop(texts)
+    found = marked(join_skewed(rows, single, dig, n["rows"]).filter(F.col(best).isNotNull()))
     if by_digest.filter(F.col(texts) > 1).isEmpty():
-        return marked(rows.join(single, dig))
+        return found
     several = by_digest.filter(F.col(texts) > 1).select(dig)
     by_text = written(groups.join(several, dig, "left_semi"), "dedup-collisions")
-    return marked(rows.join(single, dig)).unionByName(marked(rows.join(by_text, [dig, norm])))
+    return found.unionByName(marked(rows.join(by_text, [dig, norm])))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of docs."""
+    """The rows that stay, with the columns of docs: one of each group of equal texts, also among null texts and repeated or null ids."""
     return exact_dedup(docs, id_col, text_col).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
