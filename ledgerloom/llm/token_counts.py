@@ -10,14 +10,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of, without
+from .common import fresh, join_skewed, text_of, without, written
 
 ADDED = ("n_bytes", "n_tokens")
 #: White space to all tokenizers, which others of Unicode's need not be.
 SPACES = re.compile("[ \t\n\r]+")
+#: Tokenizers whose pre-tokenizer drops white space and never joins what it separates, as tests have found.
+BY_PIECE = ("word_bpe_49k.json",)
 #: Counts of pieces that a Python worker remembers.
 REMEMBERED = 200_000
 #: Texts or pieces that are encoded together; an encoding takes about a kilobyte while it lives.
@@ -82,14 +84,22 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str, by_piece: b
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.int64())], [*rest, "n_tokens"])
 
 
-def cached_counts(spark, cache: str, tokenizer: str) -> DataFrame | None:
-    """(digest, n_tokens) that the cache has for a tokenizer version; None if it has none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{cache}/tokenizer={tokenizer}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    stored = spark.read.schema("digest binary, n_tokens long").parquet(f"{cache}/tokenizer={tokenizer}")
-    return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+CACHED = "digest binary, n_tokens long"
+
+
+def one_space(text: Column) -> Column:
+    """Text with the same count for tokenizers in BY_PIECE: runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, "[ \t\n\r]+", " "))
+
+
+def cached_counts(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
+    """(digest, n_tokens) that the cache has for a tokenizer version.
+
+    An empty part is appended first, so that there is something to read.
+    """
+    path = f"{cache}/tokenizer={tokenizer}"
+    spark.createDataFrame([], CACHED).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(CACHED).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def token_counts(
@@ -104,30 +114,33 @@ def token_counts(
 
     Returns the rows of docs with n_bytes (UTF-8) and n_tokens; input columns of these names give
     way. Null is the empty text. Repeated texts get the same counts; an empty table gives no rows.
-
-    The cache is a Parquet folder of (digest, n_tokens), one part per tokenizer version. Contents
-    are joined to it by digest; of those that it lacks each is encoded once and appended, and only
-    they are shuffled with their texts. Appending twice (a job run twice) does no harm: equal
-    contents have equal counts. ``normalise`` may map texts that certainly have the same count to
-    one content; the default is the text as it is. ``by_piece`` may be set for tokenizers whose
-    pre-tokenizer drops white space and never joins what it separates (tests compare); then counts
-    of pieces are remembered within a Python worker.
+    A text of any length is encoded whole, a very long one alone or, ``by_piece``, in pieces.
+
+    The cache is a Parquet folder of (digest, n_tokens), one part per tokenizer version, the digest of
+    its file. Normalised contents are joined to it by digest; of those that it lacks each is encoded
+    once and appended. Appending twice (a job run twice) does no harm: equal contents have equal
+    counts. ``normalise`` maps texts that certainly have the same count to one content; the default is
+    the text as it is. ``by_piece`` is for the tokenizers in BY_PIECE, others are refused: counts of
+    pieces between white space are remembered within a Python worker, and one_space is the default
+    of ``normalise``.
+
+    Copies are combined before any shuffle, so a content that a third of all rows share is one row a
+    map task when it meets the cache; its count goes back to its rows by broadcast (join_skewed).
     """
+    if by_piece and os.path.basename(tokenizer_path) not in BY_PIECE:
+        raise ValueError(f"{os.path.basename(tokenizer_path)} isn't known to count texts by their pieces")
     docs = without(docs, *ADDED)
     spark = docs.sparkSession
-    n = fresh(docs, "digest")
-    digest = n["digest"]
-    content = text_of(text_col) if normalise is None else normalise(text_of(text_col))
+    digest = fresh(docs, "digest")["digest"]
+    normalise = normalise or (one_space if by_piece else lambda text: text)
+    content = normalise(text_of(text_col))
     key = F.unhex(F.sha2(content, 256))
     tokenizer = version(tokenizer_path)
-    contents = docs.select(key.alias("digest"), content.alias("text"))
-    stored = cached_counts(spark, cache, tokenizer)
-    if stored is not None:
-        missing = contents.select("digest").distinct().join(stored, "digest", "left_anti")
-        contents = contents.join(missing, "digest", "left_semi")
-    # distinct() combines copies in the map tasks, before texts are shuffled.
-    counted = contents.distinct().mapInArrow(lambda batches: encoded(batches, tokenizer_path, "text", by_piece), "digest binary, n_tokens long")
-    counted.write.mode("append").parquet(f"{cache}/tokenizer={tokenizer}")
-    known = cached_counts(spark, cache, tokenizer).withColumnRenamed("digest", digest)
+    # Copies are combined in the map tasks, before texts are shuffled; what is left is one row a digest.
+    contents = docs.select(key.alias("digest"), content.alias("text")).dropDuplicates(["digest"])
+    missing = contents.join(cached_counts(spark, cache, tokenizer), "digest", "left_anti")
+    missing.mapInArrow(lambda batches: encoded(batches, tokenizer_path, "text", by_piece), CACHED).write.mode("append").parquet(f"{cache}/tokenizer={tokenizer}")
+    found = docs.select(key.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    known = written(found.join(cached_counts(spark, cache, tokenizer), "digest").withColumnRenamed("digest", digest), "token-counts")
     rows = docs.withColumn(digest, key).withColumn("n_bytes", F.octet_length(text_of(text_col)).cast("bigint"))
-    return rows.join(known, digest).drop(digest)
+    return join_skewed(rows, known, digest, "n").drop(digest)
