@@ -73,18 +73,24 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    counts = [count(k) for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+    counts, more = [count(k) for k in pii.BASE_KINDS], [count(k) for k in pii.ADDED_KINDS]
+    scores = F.array_join(F.transform("pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    digest = F.sha2(pii.span_list(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.span_list(F.col("pii")).alias("spans"), *more, F.size("pii").cast("bigint").alias("n_spans"), scores.alias("scores"))
 
 
 def _spans_sql(rank: int, kind: str, pattern: str, keep: str) -> str:
+    """Spans of one kind with their scores in hundredths; g has what stands between the expression's matches f."""
+    near = "translate(right(g[i], 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    score = rf"""least(100, {pii.VALID_SCORE[kind]} + CASE WHEN regexp_matches({near}, '{pii.names_one(pii.CONTEXT_WORDS[kind])}') THEN 30 ELSE 0 END
+      - CASE WHEN regexp_matches({near}, '{pii.names_one(pii.EXAMPLE_WORDS)}') THEN 30 ELSE 0 END)"""
     return rf"""
-  SELECT row, {rank} AS rank, '{kind}' AS kind, begin_at + length(m) AS end_at, begin_at AS start_at FROM (
-    SELECT row, f[i] AS m,
+  SELECT row, {rank} AS rank, '{kind}' AS kind, begin_at + length(m) AS end_at, begin_at AS start_at, score FROM (
+    SELECT row, f[i] AS m, {score} AS score,
            list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0) AS begin_at
     FROM (SELECT row, f, g, unnest(range(1, len(f) + 1)) AS i
           FROM (SELECT row, regexp_extract_all(t, '{pattern}') AS f, string_split_regex(t, '{pattern}') AS g FROM d))
-  ) WHERE {keep}"""
+  ) WHERE {keep}{'' if rank < 4 else ' AND score >= 60'}"""
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -100,20 +106,25 @@ OP8_SQL = (
     + " UNION ALL ".join(
         [
             _spans_sql(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-            _spans_sql(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"list_max(list_transform(string_split(m, '.'), lambda x: CAST(right(ltrim(x, '0'), 9) AS BIGINT) + CASE WHEN length(ltrim(x, '0')) > 9 THEN 1000 ELSE 0 END)) <= 255".replace("CAST(right(ltrim(x, '0'), 9) AS BIGINT)", "coalesce(TRY_CAST(right(ltrim(x, '0'), 9) AS BIGINT), 0)")),
+            _spans_sql(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"list_max(list_transform(string_split(m, '.'), lambda x: coalesce(TRY_CAST(right(ltrim(x, '0'), 9) AS BIGINT), 0) + CASE WHEN length(ltrim(x, '0')) > 9 THEN 1000 ELSE 0 END)) <= 255"),
             _spans_sql(2, "card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
             _spans_sql(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
             _spans_sql(4, "iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", _MOD97),
+            _spans_sql(5, "ssn", r"[0-9]+-[0-9]+-[0-9]+", "regexp_matches(m, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') AND NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$')"),
+            _spans_sql(6, "account", r"[0-9]{8,}", "length(m) <= 12"),
+            _spans_sql(7, "secret", r"[A-Za-z0-9_-]{20,}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"),
         ]
     )
     + """), a AS (
-  SELECT row, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
-         count(*) FILTER (kind = 'phone') AS n_phone,
+  SELECT row, """
+    + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in (*pii.BASE_KINDS, *pii.ADDED_KINDS))
+    + """, count(*) AS n_spans,
          string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, rank) FILTER (rank < 4) AS base,
-         string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, rank) AS spans
+         string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, rank) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY start_at, rank) AS scores
   FROM s GROUP BY row)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, """
+    + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*pii.BASE_KINDS, *pii.ADDED_KINDS, "spans"))
+    + """, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN a USING (row)"""
 )
 
@@ -158,13 +169,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts from an empty cache of its own, so every call encodes all distinct texts."""
+    """In two calls with a cache that begins empty, so that the second meets contents of the first: the shorter texts, then all."""
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    counts = token_counts.token_counts(
-        table(spark, sf_dir, "documents").select("doc_id", "text"), path, f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}", by_piece=True
-    )
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_counts.token_counts(docs.filter(F.length("text") < 1000), path, cache, by_piece=True)
+    counts = token_counts.token_counts(docs, path, cache, by_piece=True)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
@@ -198,7 +209,7 @@ WITH d AS (
 ), t AS (
   SELECT row, CASE WHEN k > 1 THEN w[k - 1] ELSE '' END AS before, w[k] AS word FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS k FROM d)
 ), c1 AS (SELECT word, count(*) AS n FROM t GROUP BY word UNION ALL SELECT '', count(*) FROM d WHERE len(w) > 0),
-c2 AS (SELECT before, word, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 2),
+c2 AS (SELECT before, word, count(*) AS n FROM t GROUP BY ALL),
 s AS (
   SELECT row, sum(CASE WHEN c2.n IS NOT NULL THEN ln(c2.n) - ln(b.n) ELSE ln(0.4) + ln(o.n) - ln((SELECT count(*) FROM t)) END) AS score
   FROM t JOIN c1 o ON t.word = o.word JOIN c1 b ON t.before = b.word LEFT JOIN c2 ON t.before = c2.before AND t.word = c2.word GROUP BY row
