@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import xxhash
 
@@ -32,3 +35,80 @@ def linked_components(prints: list[tuple[int, int]], radius: int = 3) -> dict[in
                 low, high = sorted((root(i), root(j)))
                 parent[high] = low
     return {i: root(i) for i in parent}
+
+
+class Tree(HTMLParser):
+    """Well-formed pages as nested [tag, children], children being elements and texts."""
+
+    def __init__(self, source: str):
+        super().__init__()
+        self.root = ["", []]
+        self.open = [self.root]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, [], dict(attrs)]
+        self.open[-1][1].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.open[-1][1].append(" ".join(data.split()))
+
+
+def site_pages(rng: random.Random) -> list[tuple[int, str, str]]:
+    """Well-formed pages of hosts with 1 to 40 pages: menus, two sections' sidebars, notices, repeated paragraphs, and articles on some hosts."""
+    out: list[tuple[int, str, str]] = []
+    for h, n in enumerate((1, 2, 3, 5, 9, 16, 40)):
+        article = h % 2 == 0
+        body = lambda inner: f"<article>{inner}</article>" if article else f"<div>{inner}</div>"  # noqa: E731, B023
+        for k in range(n):
+            paragraphs = [f"host {h} page {k} line {j} {rng.random()}" for j in range(rng.randrange(1, 5))]
+            if rng.random() < 0.7:
+                paragraphs.insert(rng.randrange(len(paragraphs)), f"what host {h} says in all articles")
+            if rng.random() < 0.2:
+                paragraphs = [f"host {h} the same article"]
+            side = f"<section><p>section {k % 2} of {h}</p><p>more</p></section>"
+            menu = f"<div><ul><li>a {h}</li><li>b</li></ul></div>"
+            notice = f"<p>notice {h}</p>" if rng.random() < 0.5 else ""
+            foot = f"<footer><p>foot {h}</p><p>{rng.random()}</p></footer>"
+            out.append((len(out), f"https://www.h{h}.example/{k}", f"<html><body>{menu}{side}{notice}{body(''.join(f'<p>{p}</p>' for p in paragraphs))}{foot}</body></html>"))
+    return out
+
+
+def main_texts(pages: list[tuple[str, str]]) -> list[str]:
+    """Each page's text: of the article, else of all but footers, without subtrees on many pages of different content of the host."""
+    trees = [Tree(source).root for _, source in pages]
+
+    def leaves(node, inside=False, out=False):
+        """(text, path of subtrees' identities, in article, in footer) in order."""
+        if isinstance(node, str):
+            return [(node, [], inside, out)]
+        inside, out = inside or node[0] == "article", out or node[0] == "footer"
+        found = [x for child in node[1] for x in leaves(child, inside, out)]
+        return [(t, [repr(node[:2]), *path], i, o) for t, path, i, o in found]
+
+    read = [leaves(t) for t in trees]
+    main = [[(i if any(x[2] for x in page) else True) and not o for _, _, i, o in page] for page in read]
+    content = ["\n\n".join(x[0] for x, m in zip(page, own) if m) for page, own in zip(read, main)]
+    hosts = [url.split("/")[2] for url, _ in pages]
+    n_pages = Counter(h for h, _ in set(zip(hosts, content)))
+    seen = defaultdict(set)
+    for host, page, own, text in zip(hosts, read, main, content):
+        holds = {tree for (_, path, i, _), m in zip(page, own) if m and i for tree in path}
+        for _, path, _, _ in page:
+            for tree in path:
+                seen[host, tree, tree in holds].add(text)
+    def many(host, tree, own):
+        n, p = len(seen[host, tree, own]), n_pages[host]
+        return n >= (max(10, 0.6 * p) if own else max(3, min(0.6 * p, 2 * p**0.5)))
+    out = []
+    for host, page, own in zip(hosts, read, main):
+        holds = {tree for (_, path, i, _), m in zip(page, own) if m and i for tree in path}
+        kept = [t for (t, path, _, _), m in zip(page, own) if m and not any(many(host, tree, tree in holds) for tree in path)]
+        out.append("\n\n".join(kept))
+    return out

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -16,7 +19,7 @@ import __spark_entry__ as entry_module
 import corpus_pipeline
 from ledgerloom.llm import exact_dedup, html_text, lm_scores, mixing, pii, quality, queries, simhash, token_counts
 
-from .spec import linked_components, simhash as spec_simhash
+from .spec import linked_components, main_texts, simhash as spec_simhash, site_pages
 
 SCHEMAS = {
     "documents": pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())] + [(c, pa.string()) for c in ("pii", "size", "row", "keep_id", "rejected", "score", "items", "N_Words")]),
@@ -99,20 +102,36 @@ def test_simhash_tiles_lose_no_link(spark):
     prints = sorted({s ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for s in seeds for _ in range(30)} | {rng.getrandbits(64) for _ in range(200)})
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     nodes = spark.createDataFrame([(p, p) for p in signed], "print long, node long")
-    found = simhash.units(nodes, 3, 8, len(prints)).repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda b: simhash.links(b, 3), "a long, b long")
+    found = simhash.units(nodes, 3, 8, len(prints)).repartition("unit").sortWithinPartitions("unit", "ones").select("unit", "print", "node").mapInArrow(lambda b: simhash.links(b, 3), "a long, b long")
     component = {r.node: r.component for r in simhash.components(found).collect()}
     expected = linked_components(list(zip(signed, prints)))
     groups = lambda of: {frozenset(k for k in signed if of(k) == g) for g in {of(k) for k in signed}}
     assert groups(lambda k: component.get(k, k)) == groups(expected.__getitem__)
 
 
+def test_simhash_compares_tiles_and_skips_those_too_far_apart():
+    rng = np.random.default_rng(5)
+    prints = np.unique(rng.integers(0, 1 << 20, 3000, dtype=np.uint64) | np.uint64(rng.integers(0, 2**63)) << np.uint64(20))
+    prints = prints[np.argsort(np.bitwise_count(prints), kind="stable")]
+    ones = np.bitwise_count(prints).astype(np.int64)
+    pairs, skipped = simhash.tile_pairs(np.zeros(len(prints), np.int64), ones, 1, 64)
+    tiles = -(-len(prints) // 64)
+    assert len(pairs) + skipped == tiles * (tiles + 1) // 2 and skipped > tiles
+    units = np.repeat(np.arange(-(-len(prints) // 8)), 8)[: len(prints)]
+    assert len(simhash.tile_pairs(units, ones, 1, 64)[0]) == tiles  # whole units in each tile: only tiles with themselves
+    i, j = simhash.tile_links(np.zeros(len(prints), np.int64), prints, 1, 64)
+    label = simhash.forest(len(prints), i, j)
+    all_i, all_j = simhash.near(prints, prints, 1)
+    assert (label == simhash.forest(len(prints), all_i, all_j)).all()
+
+
 def test_token_counts_by_piece_are_those_of_whole_texts(spark, odd):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = random.Random(5)
     pieces = ["a", "'s", "é", "́", "Ünï", " ", "　", "​", "\x1c", "\x85", " ", "<|endoftext|>", "<|startoftext|>", "1 2", "日本語", "😀", "\t", "\n\n", "...", "DON'T", "﻿", "ﬁ"]
-    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
     count = token_counts.counter(path)
     whole = count(texts)
     batch = pa.RecordBatch.from_pydict({"digest": pa.array([b""] * len(texts)), "t": pa.array(texts)})
@@ -181,6 +200,51 @@ def test_html_text_without_the_site_template(spark, odd):
     assert found[3] == "Page 3 has its own words" and found[77] == "Menu of the site"
 
 
+def test_html_template_of_small_hosts_and_of_sections(spark):
+    own = lambda host, k, menu: (1000 * len(host) + k, f"http://{host}/{k}", f"<div class='wrap no-sidebar'><ul>{menu}</ul><div><p>Own words {host} {k}</p></div></div>")
+    pages = [own("five", k, "<li>Menu of five</li>") for k in range(5)] + [own("sections", k, f"<li>Section {k % 2}</li><li>News</li>") for k in range(40)] + [own("two", k, "<li>Menu of two</li>") for k in range(2)]
+    found = {r.page_id: (r.text, r.n_template) for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found[4003] == ("Own words five 3", 1) and found[8007] == ("Own words sections 7", 2)
+    assert found[3001] == ("Menu of two\n\nOwn words two 1", 0)  # two pages are no site
+
+
+def test_html_text_is_the_brute_force_result(spark):
+    pages = site_pages(random.Random(11))
+    expected = main_texts([(url, source) for _, url, source in pages])
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [found[k] for k in range(len(pages))] == expected and len(set(expected)) > 50
+
+
+@pytest.mark.parametrize(
+    ("source", "blocks"),
+    [
+        ('<article><p>x</p><section id="related-work"><p>y</p></section></article>', ["x", "y"]),
+        ('<article><p>one <span class="ad">promo <b>t</b></span> two</p><p>three</p></article>', ["one two", "three"]),
+        ('<article><p><span class="ad">promo</p><p>three</p></article>', ["three"]),
+        ("<article><span class=ad>promo <p>a</p><p>b</p></article>", ["a", "b"]),
+        ("<article><span class=ad>promo <div>a</div></span><p>b</p></article>", ["b"]),
+        ("<form><nav>m</nav><article><p>t</p></article></form>", ["t"]),
+        ("<nav>m<article><p>t</p></article>", ["t"]),
+        ("<aside>teaser<article>no</article></aside><p>main</p>", ["main"]),
+        ('<article><p>t</p><div id="comments"><p>c</p></div></article>', ["t"]),
+        (f'<span class="ad">{"x" * 30_000}</span>rest', ["rest"]),
+        ("<div>a" * 20_000 + "</div>" * 20_000, ["a"] * 20_000),
+        ("<p>word &amp; " + "long " * 200_000, ["word & " + "long " * 199_999 + "long"]),
+    ],
+)
+def test_blocks_of_single_pages(source, blocks):
+    page = html_text.Page(source)
+    assert [t for t, m in zip(page.blocks, page.main) if m] == blocks
+
+
+def test_context_words_decide(spark):
+    number, secret = "1234567890", "a1b2c3d4e5f6a7b8c9d0e1f2"
+    texts = [f"account {number}", f"order {number}", f"token = {secret}", f"commit {secret}", f"example token {secret}", "ssn 123-45-6789", "part 123-45-6789", "GB82 WEST 1234 5698 7654 32", "sample GB82 WEST 1234 5698 7654 32", "example me@x.example"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.score) for s in r.pii] for r in pii.find_pii(docs).collect()}
+    assert found == {0: [("account", 0.6)], 1: [], 2: [("secret", 0.7)], 3: [], 4: [], 5: [("ssn", 0.7)], 6: [], 7: [("iban", 0.6)], 8: [], 9: [("email", 0.6)]}
+
+
 def test_digests_that_collide_do_not_merge_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, "d"), (5, " d ")], "doc_id long, text string")
     found = exact_dedup.exact_dedup(docs, digest=lambda norm: F.lit("same"))
@@ -205,10 +269,30 @@ def test_redaction_names_the_kinds(spark):
     assert [(s.kind, s.start, s.end) for s in spans] == [("email", 9, 20)] and spans[0].score == 1.0
 
 
-def test_both_ways_of_scoring_agree(spark, odd):
-    docs = spark.read.parquet(f"{odd}/documents.parquet")
-    packed, plain = (Counter(rounded(r) for r in lm_scores.score_documents(docs, keep=["doc_id"], broadcast_words=n).collect()) for n in (4_000_000, 0))
-    assert packed == plain
+def brute_force_scores(texts, corpus, least=1, alpha=0.4):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x7f" else c for c in t or ""))
+    one, two = Counter(), Counter()
+    for own in map(words, corpus):
+        one.update([*own, *[""] * bool(own)])
+        two.update(zip(["", *own], own))
+    total = sum(n for w, n in one.items() if w)
+    score = lambda a, b: two[a, b] / one[a] if two[a, b] >= least else alpha * max(one[b], 1) / max(total, 1)
+    return [round(sum(math.log(score(a, b)) for a, b in zip(["", *own], own)), 4) for own in map(words, texts)]
+
+
+@pytest.mark.parametrize("least", [1, 2])
+@pytest.mark.parametrize("share", [1 / 1000, 1 / 10, 1 / 100_000])
+def test_scores_are_the_brute_force_result(spark, monkeypatch, least, share):
+    monkeypatch.setattr(lm_scores, "SHARE", share)
+    monkeypatch.setattr(lm_scores, "PENDING", 500)
+    rng = random.Random(2)
+    texts = [None, "", "one", "ONE two", *(" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(60))) for _ in range(80))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: round(r.log_score, 4) for r in lm_scores.score_documents(docs, least=least).collect()}
+    assert [found[k] for k in range(len(texts))] == pytest.approx(brute_force_scores(texts, texts, least), abs=2e-4)
+    half = docs.filter("doc_id % 2 = 0")
+    found = {r.doc_id: round(r.log_score, 4) for r in lm_scores.score_documents(docs, least=least, corpus=half).collect()}
+    assert [found[k] for k in range(len(texts))] == pytest.approx(brute_force_scores(texts, texts[::2], least), abs=2e-4)
 
 
 def test_pipeline_stages(spark, odd):
