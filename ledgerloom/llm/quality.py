@@ -153,6 +153,34 @@ def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
+#: Bounds of a prior's weight in documents; it is the upper one where sites don't differ, or there is but one.
+LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1e6
+
+
+def prior_weight(within: float, within_df: float, between: float, between_df: float, sites: float) -> float:
+    """The spread within sites over that between them, by moments; sites: documents of a site, a mean."""
+    if between_df <= 0 or within_df <= 0 or sites <= 0:
+        return MOST_WEIGHT
+    noise = within / within_df
+    signal = (between / between_df - noise) / sites
+    return min(max(noise / signal, LEAST_WEIGHT), MOST_WEIGHT) if signal > 0 else MOST_WEIGHT
+
+
+def spread(sums: DataFrame, hosts: DataFrame, target: str) -> tuple[float, float, float]:
+    """The mean of a target over all documents, and the weights of the hosts' and of the paths' priors."""
+    paths = sums.join(hosts.select("host", "host_n"), "host").agg(
+        *[F.coalesce(x, F.lit(0.0)).cast("double") for x in (F.sum("n"), F.count(F.lit(1)), F.sum(target), F.sum(f"square_{target}"), F.sum(F.col(target) * F.col(target) / F.col("n")), F.sum(F.col("n") * F.col("n") / F.col("host_n")))]
+    )
+    own = hosts.agg(*[F.coalesce(x, F.lit(0.0)).cast("double") for x in (F.count(F.lit(1)), F.sum(F.col(f"host_{target}") * F.col(f"host_{target}") / F.col("host_n")), F.sum(F.col("host_n") * F.col("host_n")))])
+    n, n_paths, total, squares, of_paths, path_sizes = paths.first()
+    n_hosts, of_hosts, host_sizes = own.first()
+    if not n:
+        return 0.5, MOST_WEIGHT, MOST_WEIGHT
+    host_weight = prior_weight(squares - of_hosts, n - n_hosts, of_hosts - total * total / n, n_hosts - 1, (n - host_sizes / n) / max(n_hosts - 1, 1))
+    path_weight = prior_weight(squares - of_paths, n - n_paths, of_paths - of_hosts, n_paths - n_hosts, (n - path_sizes) / max(n_paths - n_hosts, 1))
+    return total / n, host_weight, path_weight
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -162,7 +190,7 @@ def classify(
     text_col: str = "text",
     keep: list[str] | None = None,
     examples: int = 12_000,
-    strength: float = 20.0,
+    strength: float | None = None,
     least_quality: float = 0.5,
     most_toxic: float = 0.3,
     rounds: int = 800,
@@ -176,15 +204,18 @@ def classify(
     documents. A document's evidence is the log odds by its classifier less those of the examples.
     Sites are a hierarchy: all documents, ``host``, and ``path`` within the host (columns; null is a
     value like any other; by default the columns source and lang). The mean probability of all
-    documents is the prior of the hosts, each host's posterior mean that of its paths, each with the
-    weight of ``strength`` documents, so a site with few documents is like the level above. A path's
-    posterior, without the document itself, is the prior that its evidence is added to.
+    documents is the prior of the hosts, each host's posterior mean that of its paths. A prior weighs
+    as many documents as the spread of documents within sites is times that between sites (both of a
+    level, from sums over all documents; ``strength`` sets it instead), so a site with few documents is
+    like the level above, and all are where sites don't differ. A path's posterior, without the
+    document itself, is the prior that its evidence is added to.
 
     Returns docs (columns ``keep``, all by default) with p_quality, p_toxic and rejected (p_quality
     under ``least_quality`` or p_toxic over ``most_toxic``); input columns of these names give way.
     Null and empty texts have no words and are judged by their measures and site. Where labels of
     one kind are missing the evidence is 0 and the mean one half, so nothing is rejected for it.
-    Repeated rows are answered alike; an empty table gives no rows.
+    Repeated rows are answered alike, and of rows of one id the first by text is an example; equal
+    hashes of ids come by id. An empty table gives no rows. Texts are read whole, of any length.
 
     Hosts and paths are grouped sums, combined before their shuffle, so a site with a third of all
     rows is one row per map task. The posteriors of up to ``broadcast_sites`` sites are broadcast;
@@ -202,7 +233,8 @@ def classify(
     known = known.groupBy("id").agg(*[F.when(F.avg(t).isNotNull(), (F.avg(t) >= 0.5).cast("double")).alias(t) for t in TARGETS])
     known = known.orderBy(F.xxhash64("id"), "id").limit(examples)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), "id").mapInArrow(example_rows, "quality double, toxic double, words array<long>, measures array<double>")
+    rows = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), *[F.first(t).alias(t) for t in TARGETS])
+    rows = rows.select("text", *TARGETS).mapInArrow(example_rows, "quality double, toxic double, words array<long>, measures array<double>")
     kinds = "target string, words array<long>, weights array<double>, intercept double, rate double"
     fitted = written(rows, "quality-examples").coalesce(1).mapInArrow(lambda b: train(b, rounds, decay), kinds)
     model = spark.sparkContext.broadcast({r["target"]: Classifier(r["words"], r["weights"], r["intercept"], r["rate"]) for r in fitted.collect()})
@@ -218,11 +250,14 @@ def classify(
 
     rate = {t: F.lit(model.value[t].rate if t in model.value else 0.5) for t in TARGETS}
     p = {t: sigmoid(F.col(n[t]) + logit(rate[t])) for t in TARGETS}
-    sums = df.groupBy(F.col(n["host"]).alias("host"), F.col(n["path"]).alias("path")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(p[t]).alias(t) for t in TARGETS])
+    sums = df.groupBy(F.col(n["host"]).alias("host"), F.col(n["path"]).alias("path")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(p[t]).alias(t) for t in TARGETS], *[F.sum(p[t] * p[t]).alias(f"square_{t}") for t in TARGETS]
+    )
     sums = written(sums, "quality-sites")
-    total = sums.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
-    mean = {t: F.lit(float(total[t] / total["n"]) if total["n"] else 0.5) for t in TARGETS}
     hosts = sums.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(t).alias(f"host_{t}") for t in TARGETS])
+    spreads = {t: spread(sums, hosts, t) for t in TARGETS}
+    mean = {t: F.lit(spreads[t][0]) for t in TARGETS}
+    weight = {t: [F.lit(float(w if strength is None else strength)) for w in spreads[t][1:]] for t in TARGETS}
     sites = sums.join(hosts, "host").select(
         F.col("host").alias(n["host"]), F.col("path").alias(n["path"]), F.col("n").alias("site_n"), "host_n", *[F.col(t).alias(f"site_{t}") for t in TARGETS], *[f"host_{t}" for t in TARGETS]
     )
@@ -232,8 +267,9 @@ def classify(
 
     def posterior(t: str) -> Column:
         own = p[t]
-        of_host = (F.col(f"host_{t}") - own + strength * mean[t]) / (F.col("host_n") - 1 + strength)
-        of_path = (F.col(f"site_{t}") - own + strength * of_host) / (F.col("site_n") - 1 + strength)
+        host_weight, path_weight = weight[t]
+        of_host = (F.col(f"host_{t}") - own + host_weight * mean[t]) / (F.col("host_n") - 1 + host_weight)
+        of_path = (F.col(f"site_{t}") - own + path_weight * of_host) / (F.col("site_n") - 1 + path_weight)
         prior = F.greatest(F.least(of_path, F.lit(1 - 1e-6)), F.lit(1e-6))
         return sigmoid(F.col(n[t]) + logit(prior))
 
