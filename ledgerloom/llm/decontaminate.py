@@ -16,6 +16,8 @@ from .words import LOWER, Lookup, chunks, runs, word_bounds, word_hashes
 
 #: Words of a shingle, the token of the join.
 SHINGLE = 3
+#: Parts of a window's items, so that one which very many items share is in several blocks.
+PARTS = 64
 ADDED = ("n_words", "n_hit", "items", "contaminated")
 
 
@@ -191,7 +193,7 @@ def decontaminate(
     occur in all documents (a pass that counts the items' tokens). All tokens of a window must
     occur, so its necessary prefix is the rarest one; the join by it, then length and position, then
     the exact words decide. The documents stay where they are: the index of a block of windows,
-    bounded by ``block_windows`` and ``block_bytes``, goes to all tasks. A larger benchmark is
+    bounded by ``block_windows`` and ``block_bytes`` (windows and the ids of their items), goes to all tasks. A larger benchmark is
     joined in several such blocks, one after the other in the same stage, so nothing is left out.
     """
     keep = list(docs.columns) if keep is None else keep
@@ -202,11 +204,12 @@ def decontaminate(
     items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     windows = written(
         items.mapInArrow(lambda batches: spelled_windows(batches, size, "item", "text"), "window string, item string")
-        .groupBy("window")
+        .groupBy("window", F.pmod(F.xxhash64("item"), F.lit(PARTS)).alias("part"))
         .agg(F.collect_set("item").alias("items")),
         "benchmark-windows",
     )
-    n, n_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    size_of = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda acc, x: acc + F.octet_length(x) + 8)
+    n, n_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(size_of), F.lit(0))).first()
     blocks = max(1, -(-n // block_windows), -(-n_bytes // block_bytes))
     text = docs.select(text_col)
     marked = docs
@@ -214,7 +217,7 @@ def decontaminate(
     for name, kind in ((names["words"], T.LongType()), (names["spans"], T.ArrayType(T.ArrayType(T.LongType()))), (names["items"], T.ArrayType(T.StringType()))):
         schema = schema.add(name, kind)
     for k in range(blocks):
-        own = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect() if blocks > 1 else windows.collect()
+        own = windows.filter(F.pmod(F.xxhash64("window", "part"), F.lit(blocks)) == k).collect() if blocks > 1 else windows.collect()
         own = sorted((r["window"], r["items"]) for r in own)
         known = spark.sparkContext.broadcast(vocabulary([w for w, _ in own]))
         rarity = (
