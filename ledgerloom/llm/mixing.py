@@ -65,8 +65,9 @@ def mix_sources(
     """How many words of each document a mix with the given weights of sources takes.
 
     Sources in code point order (null is a source of its own, the last) have the weights in turn.
-    Each source's documents are ordered by a seeded hash of their id, which is a random but
-    repeatable order; equal ids come by size, and rows equal in both are interchangeable. A source's
+    Each source's documents are ordered by a seeded hash of their id (of their text where that is
+    null), which is a random but repeatable order; equal ids come by size, and rows equal in both are
+    interchangeable. A source's
     budget is the whole part of its target. It takes all documents as often as whole epochs fit,
     then the documents up to the budget in hash order; the last one is cut, so each source takes
     exactly its budget and no document more than max_repeat times its size. Documents without words
@@ -91,7 +92,8 @@ def mix_sources(
     digits = len(f"{buckets - 1:x}")
     if buckets != 16**digits and buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
-    key = F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 16)
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.col(text_col).cast("string")), F.lit("-"))
+    key = F.substring(F.md5(F.concat(name, F.lit(f":{seed}"))), 1, 16)
     rows = docs.select(
         *columns,
         F.col(source_col).isNull().alias(n["no_source"]),
