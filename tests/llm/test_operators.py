@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
-from ledgerloom.llm import exact_dedup, html_text, lm_scores, mixing, pii, quality, queries, simhash, token_counts
+from ledgerloom.llm import decontaminate, exact_dedup, html_text, language, lm_scores, mixing, pii, quality, queries, simhash, token_counts
 
 from .spec import linked_components, main_texts, simhash as spec_simhash, site_pages
 
@@ -168,6 +169,59 @@ def test_languages_of_held_out_documents(spark, odd):
             assert (r.lang_pred, r.score) == ("und", 0.0)
 
 
+def brute_force_languages(model, text: str, penalty: float) -> tuple[list[float], list[float]]:
+    """Proportions of the chosen languages and of all, by loops."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    n = Counter(language.trigrams(data, np.array([0, len(data)]))[1].tolist())
+    k, total = len(model.langs), sum(n.values())
+    ratio = {f: [float(x) for x in model.ratio[f]] for f in n}
+
+    def em(langs):
+        share = [1 / len(langs) if j in langs else 0.0 for j in range(k)]
+        for _ in range(25):
+            new = [0.0] * k
+            for f, c in n.items():
+                whole = sum(ratio[f][j] * share[j] for j in langs)
+                for j in langs:
+                    new[j] += c * ratio[f][j] * share[j] / whole / total
+            share, change = new, max(abs(a - b) for a, b in zip(share, new))
+            if change < 1e-3:
+                break
+        return share, sum(c * math.log(sum(ratio[f][j] * share[j] for j in langs)) for f, c in n.items())
+
+    every, _ = em(range(k))
+    order = sorted(range(k), key=lambda j: -every[j])
+    cost = penalty * math.log(total + 1)
+    first = max(range(k), key=lambda j: sum(c * math.log(ratio[f][j]) for f, c in n.items()))
+    sets = [[first], *(order[:size] for size in range(2, k + 1))]
+    return max((em(s) for s in sets), key=lambda x: x[1] - cost * (sum(y > 0 for y in x[0]) - 1))[0], every
+
+
+def test_mixtures_are_the_brute_force_result():
+    rng = random.Random(8)
+    alphabets = ["abcde", "defgh", "ghijk", "jklma", "mnopq", "xyzab"]
+    prose = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    counts = np.zeros((language.FEATURES, len(alphabets)))
+    for j, a in enumerate(alphabets):
+        data = np.frombuffer(prose(a, 2000).encode(), np.uint8)
+        np.add.at(counts[:, j], language.trigrams(data, np.array([0, len(data)]))[1], 1)
+    model = language.Model([f"l{j}" for j in range(len(alphabets))], counts)
+    texts = [" ".join(prose(a, rng.randrange(5, 60)) for a in rng.sample(alphabets, size)) for size in (1, 1, 2, 3, 4, 5, 6) for _ in range(3)]
+    whole = np.frombuffer("".join(texts).encode(), np.uint8)
+    chosen, every = language.infer(model, whole, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), 3.0, 25)
+    for t, own, all_ in zip(texts, chosen, every):
+        expected = brute_force_languages(model, t, 3.0)
+        assert own == pytest.approx(expected[0], abs=1e-5) and all_ == pytest.approx(expected[1], abs=1e-5)
+    assert max(np.count_nonzero(chosen, axis=1)) > 3
+
+
+def test_tied_and_many_languages(spark):
+    labelled = spark.createDataFrame([("aaa bbb", "x"), ("aaa bbb", "y"), *((f"{chr(945 + k // 20)}{chr(1072 + k % 20)} " * 9, f"l{k:03}") for k in range(300))], "text string, lang string")
+    docs = spark.createDataFrame([(0, "aaa bbb"), (1, f"{chr(945)}{chr(1079)} {chr(945)}{chr(1079)}"), (2, "12"), (3, None), (0, "aaa bbb")], "doc_id long, text string")
+    found = [(r.doc_id, r.lang_pred) for r in language.identify_languages(docs, labelled, keep=["doc_id"]).collect()]
+    assert sorted(found) == [(0, "x"), (0, "x"), (1, "l007"), (2, "und"), (3, "und")]
+
+
 def test_quality_of_labels_that_were_not_learned(spark, odd):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -182,10 +236,39 @@ def test_quality_of_labels_that_were_not_learned(spark, odd):
     assert quality.classify(docs, none).filter("rejected").count() == 0
 
 
+def test_weights_of_priors_are_the_brute_force_result(spark):
+    """Sites' means and spreads in numpy."""
+    rng = np.random.default_rng(4)
+    rows = [(k, f"t{k}", f"h{h}", f"p{p}") for k, (h, p) in enumerate((h, p) for h in range(6) for p in range(1 + h % 3) for _ in range(1 + (7 * h + 3 * p) % 11))]
+    rows += [rows[0], (None, None, None, None), (900, "t900", "h1", None)]
+    evidence = {r[1]: float(x) for r, x in zip(rows, rng.normal(0, 1.5, len(rows)) + [0.8 * len(r[2] or "") * ((r[2] or "h0") > "h2") for r in rows])}
+    table = pd.DataFrame([(r[2] or "", r[3] or "", 1 / (1 + np.exp(-evidence[r[1]]))) for r in rows], columns=["host", "path", "p"])
+    sums = table.assign(square=table.p**2).groupby(["host", "path"]).agg(n=("p", "size"), quality=("p", "sum"), square_quality=("square", "sum")).reset_index()
+    hosts = sums.groupby("host").agg(host_n=("n", "sum"), host_quality=("quality", "sum")).reset_index()
+    found = quality.spread(spark.createDataFrame(sums), spark.createDataFrame(hosts), "quality")
+    n, (h, s) = len(table), (table.groupby("host").p, table.groupby(["host", "path"]).p)
+    within_host, within_path = ((table.p - g.transform("mean")) ** 2 for g in (h, s))
+    between_host, between_path = (h.transform("mean") - table.p.mean()) ** 2, (s.transform("mean") - h.transform("mean")) ** 2
+    k, m = h.ngroups, s.ngroups
+    noise = within_host.sum() / (n - k)
+    signal = (between_host.sum() / (k - 1) - noise) / ((n - (h.size() ** 2).sum() / n) / (k - 1))
+    assert found[0] == pytest.approx(table.p.mean()) and found[1] == pytest.approx(min(max(noise / signal, 1), 1e6) if signal > 0 else 1e6)
+    noise = within_path.sum() / (n - m)
+    sizes = n - (s.size() ** 2 / s.size().groupby("host").transform("sum")).sum()
+    signal = (between_path.sum() / (m - k) - noise) / (sizes / (m - k))
+    assert found[2] == pytest.approx(min(max(noise / signal, 1), 1e6) if signal > 0 else 1e6)
+
+
 def test_site_posterior_shrinks_small_sites(spark):
     docs = spark.createDataFrame([(k, "same words here", "big", "p") for k in range(50)] + [(99, "same words here", "small", "p")], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {round(r.p_quality, 6) for r in quality.classify(docs, none).collect()} == {0.5}
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = [(k, f"{'good fine' if k % 2 else 'bad poor'} words {k}", "a" if k < 30 else "b", None) for k in range(40)]
+    rows += [rows[3]] * 30 + [(None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    by_text = [{(r.text, r.p_quality, r.rejected) for r in quality.classify(docs, labels, strength=w).collect()} for w in (None, 20.0)]
+    assert all(len({t for t, _, _ in found}) == len(found) == 41 for found in by_text)  # repeated rows are answered alike
 
 
 def test_html_text_without_the_site_template(spark, odd):
@@ -315,6 +398,13 @@ def test_pipeline_by_brute_force(spark):
     assert {r.doc_id for r in docs.collect()} == {1, 2, 3, 4, 6}
 
 
+def test_several_blocks_of_windows_find_the_same(spark, odd):
+    docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
+    many = items.unionByName(spark.createDataFrame([(1000 + k, "one two three four five six seven eight nine ten") for k in range(500)], "item_id long, text string"))
+    found = [sorted((str(r.doc_id), r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(docs, many, keep=["doc_id"], **options).collect()) for options in ({}, {"block_windows": 3}, {"block_bytes": 2000})]
+    assert found[0] == found[1] == found[2] and max(len(r[2]) for r in found[0]) > 500
+
+
 def test_long_words_and_texts_are_read_whole(spark):
     docs = spark.createDataFrame([(1, "w " * 300_000 + "a@b.example", None)], "doc_id long, text string, source string")
     assert mixing.mix_sources(docs).first()["size"] == 300_001
