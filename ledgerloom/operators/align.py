@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .order import range_join
+from .order import bucket_of
 
 
 def quote_of(type_: Column, side: Column, bid: Column, ask: Column) -> Column:
@@ -21,54 +22,62 @@ def tier(delta: Column, unit: int) -> Column:
 
 
 def candidates(events: DataFrame, ticks: DataFrame, keys: Sequence[str], unit: int) -> DataFrame:
-    """Ticks in [t - 2, t + 3) units of each event with error, tier and their rank by tier, error, distance, time and sequence.
+    """Events with the ticks in [t - 2, t + 3) units of them, with error, tier and rank by tier, error, distance, time and sequence.
 
-    events: keys, event_id, us, type, side, price. An event's candidates are the ticks of its window.
+    events: keys, event_id, us, type, side, price and whatever else is to stay with them. An event
+    without such a tick is one row without a tick, of rank 1. as_good counts an event's ticks with
+    the same tier, error and distance. Events and ticks are read once: they meet in buckets of time,
+    and the windows share the order within events.
     """
-    pairs = range_join(events, ticks, keys, F.col("us") - 2 * unit, F.col("us") + 3 * unit, "us", 5 * unit)
-    quote = quote_of(F.col("l.type"), F.col("l.side"), F.col("r.bid"), F.col("r.ask"))
-    c = pairs.select("l.event_id", "l.us", "l.price", F.col("r.us").alias("tick_us"), F.col("r.seq").alias("tick_seq"), quote.alias("quote"))
-    c = c.withColumns({"delta": F.col("tick_us") - F.col("us"), "error": F.round(F.abs(F.col("quote") - F.col("price")), 9)})
-    c = c.withColumn("tier", tier(F.col("delta"), unit))
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("event_id").orderBy("tier", "error", F.abs("delta"), "tick_us", "tick_seq")
-    return c.withColumn("rank", F.row_number().over(w).cast("bigint"))
-
-
-def best_matches(events: DataFrame, ranked: DataFrame, tight: float, loose: float, largest: float) -> DataFrame:
-    """One row per event: its best candidate, how many are as good, and the quality they give.
+    width = 5 * unit
+    fields = [c for c in events.columns if c not in keys]
+    l = events.select(F.struct(*fields).alias("l"), *keys, (F.col("us") - 2 * unit).alias("_from"), (F.col("us") + 3 * unit).alias("_to"))
+    l = l.withColumn("_bucket", F.explode(F.sequence(bucket_of("_from", width), bucket_of(F.col("_to") - 1, width))))
+    r = ticks.select(*keys, F.col("us").alias("tick_us"), F.col("seq").alias("tick_seq"), "bid", "ask", bucket_of("us", width).alias("_bucket"))
+    pairs = l.join(r, [*keys, "_bucket"], "left")
+    inside = (F.col("tick_us") >= F.col("_from")) & (F.col("tick_us") < F.col("_to"))
+    pairs = pairs.select(*keys, "l.*", *[F.when(inside, F.col(c)).alias(c) for c in ("tick_us", "tick_seq", "bid", "ask")])
+    quote = quote_of(F.col("type"), F.col("side"), F.col("bid"), F.col("ask"))
+    c = pairs.withColumn("quote", quote).withColumns({"delta": F.col("tick_us") - F.col("us"), "error": F.round(F.abs(F.col("quote") - F.col("price")), 9)})
+    c = c.withColumns({"tier": F.when(F.col("tick_us").isNotNull(), tier(F.col("delta"), unit)), "distance": F.abs("delta")})
+    order = [F.col(x).asc_nulls_last() for x in ("tier", "error", "distance", "tick_us", "tick_seq")]
+    c = c.withColumns({"rank": F.row_number().over(W.partitionBy("event_id").orderBy(*order)).cast("bigint"), "as_good": F.count("tick_us").over(W.partitionBy("event_id", "tier", "error", "distance"))})
+    return c.filter(F.col("tick_us").isNotNull() | (F.col("rank") == 1)).drop("bid", "ask", "distance")
+
+
+def best_matches(ranked: DataFrame, tight: float, loose: float, largest: float) -> DataFrame:
+    """One row per event of candidates(): its best tick, how many are as good (ties), and the quality they give.
 
     HIGH: tier A, error up to tight, alone. MEDIUM: A or B, up to loose, alone. LOW: up to largest,
     alone. AMBIGUOUS: up to largest, tied. Else UNMATCHED, with the reason.
     """
-    best = ranked.filter("rank = 1").select("event_id", "tick_us", "tick_seq", "quote", "delta", "error", "tier")
-    as_good = (F.col("c.tier") == F.col("b.tier")) & (F.col("c.error") == F.col("b.error")) & (F.abs("c.delta") == F.abs("b.delta"))
-    ties = ranked.alias("c").join(best.alias("b"), "event_id").filter(as_good).groupBy("event_id").agg(F.count(F.lit(1)).alias("ties"))
-    out = events.join(best, "event_id", "left").join(ties, "event_id", "left")
-    alone = F.col("ties") == 1
+    found = F.col("tick_us").isNotNull()
+    alone = F.col("as_good") == 1
     quality = (
-        F.when(F.col("tick_us").isNull(), "UNMATCHED")
+        F.when(~found, "UNMATCHED")
         .when((F.col("tier") == "A") & (F.col("error") <= tight) & alone, "HIGH")
         .when(F.col("tier").isin("A", "B") & (F.col("error") <= loose) & alone, "MEDIUM")
         .when((F.col("error") <= largest) & alone, "LOW")
         .when(F.col("error") <= largest, "AMBIGUOUS")
         .otherwise("UNMATCHED")
     )
-    reason = F.when(F.col("tick_us").isNull(), "no_ticks_in_search_window").when(F.col("error") > largest, "price_error_above_threshold")
-    return out.withColumns({"quality": quality, "unmatched_reason": reason})
+    reason = F.when(~found, "no_ticks_in_search_window").when(F.col("error") > largest, "price_error_above_threshold")
+    return ranked.filter("rank = 1").withColumns({"quality": quality, "unmatched_reason": reason, "ties": F.when(found, F.col("as_good"))}).drop("rank", "as_good")
 
 
 def same_time_order(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Events of one reported time: resolvable if there are several, all HIGH or MEDIUM, on different ticks; then in tick order."""
-    from pyspark.sql import Window as W
+    """Ambiguous events of one reported time: resolvable if there are several, all HIGH or MEDIUM, on ticks of different times; then in the ticks' order.
 
-    g = matched.groupBy(*keys, "us").agg(
-        F.count(F.lit(1)).alias("size"), F.bool_and(F.col("quality").isin("HIGH", "MEDIUM")).alias("good"), F.countDistinct("tick_us", "tick_seq").alias("ticks")
-    )
-    out = matched.join(g, [*keys, "us"]).withColumn("resolvable", (F.col("size") > 1) & F.col("good") & (F.col("ticks") == F.col("size")))
-    w = W.partitionBy(*keys, "us").orderBy("tick_us", "tick_seq", "event_id")
-    return out.withColumn("place", F.when(F.col("resolvable"), F.row_number().over(w).cast("bigint"))).drop("good", "ticks")
+    resolution is resolved or still_ambiguous, and not_applicable for events that aren't ambiguous.
+    """
+    own = F.col("category") == "ambiguous_ordering"
+    group = W.partitionBy(*keys, "us", "category")
+    times = F.size(F.collect_set("tick_us").over(group))
+    out = matched.withColumns({"size": F.count(F.lit(1)).over(group), "good": F.min(F.col("quality").isin("HIGH", "MEDIUM")).over(group), "times": times})
+    out = out.withColumn("resolvable", own & (F.col("size") > 1) & F.col("good") & (F.col("times") == F.col("size")))
+    place = F.row_number().over(group.orderBy(F.col("tick_us").asc_nulls_last(), "tick_seq", "event_id")).cast("bigint")
+    resolution = F.when(~own, "not_applicable").when(F.col("resolvable"), "resolved").otherwise("still_ambiguous")
+    return out.withColumns({"resolution": resolution, "place": F.when(F.col("resolvable"), place)}).drop("good", "times")
 
 
 def is_primary(volume: Column, category: Column, before: Column, after: Column, quality: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .order import DAY, asof_backward, range_join, with_halo, with_previous
+from .order import DAY, range_join, with_halo, with_previous
 
 
 def rolling(ticks: DataFrame, keys: Sequence[str], width: int, bucket: int = DAY) -> DataFrame:
@@ -80,35 +80,94 @@ def retracement(ticks: DataFrame, keys: Sequence[str], width: int, bucket: int =
     return out.select(*keys, "seq", "us", "touch_us", (F.col("us") - F.col("touch_us")).alias("lead"), F.round(F.col("top") - F.col("last"), 9).alias("retracement"))
 
 
-def snapshot(decisions: DataFrame, ticks: DataFrame, keys: Sequence[str], width: int, gap: int, bucket: int = DAY) -> DataFrame:
-    """What a policy may know at a decision: from the last tick at or before us - width (the anchor) on.
+def with_repeats(ticks: DataFrame, keys: Sequence[str], bucket: int = DAY) -> DataFrame:
+    """ticks with us_before, the time of the one before, and repeats: it has the same time, or the tick is marked as a duplicate."""
+    t = with_previous(ticks, keys, "us", ["seq"], {"us_before": "us"}, bucket)
+    return t.withColumn("repeats", F.col("duplicate") | F.coalesce(F.col("us") == F.col("us_before"), F.lit(False)))
+
+
+def snapshot(decisions: DataFrame, ticks: DataFrame, keys: Sequence[str], width: int, gap: int, lookback: int, bucket: int = DAY) -> DataFrame:
+    """What a policy may know at a decision, from the ticks of [us - lookback, us], its prefix.
 
-    Increment and adverse excursions are in points of 0.01. Support is no_anchor, quote_gap (between
-    ticks or up to the decision longer than ``gap``) or supported, in that order. The ticks counted are
-    those of the window itself, without an older anchor. decisions needs keys, decision_id and us.
+    The anchor is the last tick at or before us - width; what counts is the anchor and all after it.
+    Increment, adverse excursions and spread are in points of 0.01, exact in decimals. They are null
+    unless support is "supported"; the other reasons, the first that applies: invalid_row (any in the
+    prefix isn't valid), empty_prefix, without an anchor duplicate_timestamp (any in the prefix
+    repeats a time) or no_anchor, with one duplicate_timestamp (the anchor or a later one does),
+    quote_gap (between ticks or up to the decision longer than ``gap``; longest_gap says how long). n:
+    ticks of [us - width, us]. decisions needs keys, decision_id and us; ticks seq, us, bid, ask,
+    valid and duplicate.
     """
     keys = list(keys)
-    d = decisions.withColumn("window_us", F.col("us") - width)
-    d = asof_backward(d, ticks, keys, "window_us", "us", ["seq"], {"anchor_us": "us", "anchor_mid": "mid"}, bucket=bucket)
-    t = with_previous(ticks, keys, "us", ["seq"], {"us_before": "us"}, bucket)
-    pairs = range_join(d, t, keys, F.col("us") - width, F.col("us") + 1, "us", width)
-    inside = pairs.groupBy("l").agg(
-        F.count(F.lit(1)).alias("n"), F.max("r.mid").alias("high"), F.min("r.mid").alias("low"), F.max_by("r.mid", F.struct("r.us", "r.seq")).alias("last"), F.max("r.us").alias("last_us"),
-        F.max(F.col("r.us") - F.greatest(F.col("r.us_before"), F.col("l.anchor_us"))).alias("longest"),
-    )
-    got = inside.select("l.decision_id", "n", "high", "low", "last", "last_us", "longest")
-    out = d.join(got, "decision_id", "left")
-    last, high, low = F.coalesce("last", "anchor_mid"), F.greatest("high", "anchor_mid"), F.least("low", "anchor_mid")
-    longest = F.greatest(F.coalesce("longest", F.lit(0)), F.col("us") - F.coalesce("last_us", "anchor_us"))
-    support = F.when(F.col("anchor_us").isNull(), "no_anchor").when(longest > gap, "quote_gap").otherwise("supported")
-    known = F.col("anchor_us").isNotNull()
-    points = lambda x: F.when(known, F.round(x * 100, 6))
+    exact = "decimal(16,8)"
+    t = ticks.withColumns({"bid": F.col("bid").cast(exact), "ask": F.col("ask").cast(exact)})
+    t = with_repeats(t, keys, bucket).withColumns({"mid": ((F.col("bid") + F.col("ask")) / 2).cast("decimal(18,9)"), "spread": F.col("ask") - F.col("bid")})
+    t = t.select(*keys, "seq", "us", "us_before", "repeats", "valid", "mid", "spread")
+    pairs = range_join(decisions.select(*keys, "decision_id", "us"), t, keys, F.col("us") - lookback, F.col("us") + 1, "us", lookback)
+    before = F.col("r.us") <= F.col("l.us") - width
+    order = F.struct("r.us", "r.seq")
+    anchors = pairs.groupBy("l.decision_id").agg(F.max(F.when(before, order)).alias("anchor"))
+    pairs = pairs.select("l.decision_id", F.col("l.us").alias("decided"), "r.*").join(anchors, "decision_id")
+    counted = F.struct("us", "seq") >= F.col("anchor")
+    later = F.struct("us", "seq") > F.col("anchor")
+    got = pairs.groupBy("decision_id").agg(
+        F.count_if(F.col("us") >= F.col("decided") - width).alias("n"),
+        F.bool_or(~F.col("valid")).alias("invalid"),
+        F.max("anchor.us").alias("anchor_us"),
+        F.bool_or("repeats").alias("repeats"),
+        F.bool_or(counted & F.col("repeats")).alias("window_repeats"),
+        F.max(F.when(later, F.col("us") - F.col("us_before"))).alias("longest"),
+        F.max("us").alias("last_us"),
+        F.max(F.when(counted, F.col("mid"))).alias("high"),
+        F.min(F.when(counted, F.col("mid"))).alias("low"),
+        F.min_by("mid", F.when(counted, F.struct("us", "seq"))).alias("first"),
+        F.max_by("mid", F.struct("us", "seq")).alias("last"),
+        F.max_by("spread", F.struct("us", "seq")).alias("spread"),
+    )
+    out = decisions.select("decision_id", "us").join(got, "decision_id", "left")
+    longest = F.greatest(F.coalesce("longest", F.lit(0)), F.col("us") - F.col("last_us"))
+    support = (
+        F.when(F.col("invalid"), "invalid_row")
+        .when(F.col("last_us").isNull(), "empty_prefix")
+        .when(F.col("anchor_us").isNull(), F.when(F.col("repeats"), "duplicate_timestamp").otherwise("no_anchor"))
+        .when(F.col("window_repeats"), "duplicate_timestamp")
+        .when(longest > gap, "quote_gap")
+        .otherwise("supported")
+    )
+    out = out.withColumns({"support": support, "longest": longest})
+    points = lambda x: F.when(F.col("support") == "supported", x * 100)
     return out.select(
-        "decision_id", "us", "anchor_us", F.coalesce("n", F.lit(0)).alias("n"), points(last - F.col("anchor_mid")).alias("increment"), points(F.col("anchor_mid") - low).alias("buy_adverse"),
-        points(high - F.col("anchor_mid")).alias("sell_adverse"), F.when(known, longest).alias("longest_gap"), support.alias("support"),
+        "decision_id", "us", "support", F.coalesce("n", F.lit(0)).alias("n"), points(F.col("last") - F.col("first")).alias("increment"), points(F.col("first") - F.col("low")).alias("buy_adverse"),
+        points(F.col("high") - F.col("first")).alias("sell_adverse"), points(F.col("spread")).alias("spread"), F.when(F.col("support").isin("supported", "quote_gap"), F.col("longest")).alias("longest_gap"),
     )
 
 
+def quote_times(quotes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row for each time of quotes: valid ones at it, whether one of them is a duplicate, whether one isn't valid, the first's sequence."""
+    return quotes.groupBy(*keys, "us").agg(
+        F.count_if("valid").alias("n"), F.bool_or(F.col("valid") & F.col("duplicate")).alias("duplicate"), F.bool_or(~F.col("valid")).alias("invalid"), F.min(F.when(F.col("valid"), F.col("seq"))).alias("seq")
+    )
+
+
+def execution_quotes(targets: DataFrame, quotes: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
+    """The first valid quote of [us, us + horizon] of each target, refused if there is none, an invalid one comes at or before it, another has its time, or it is a duplicate."""
+    pairs = range_join(targets.select(*keys, "anchor_id", "us"), quote_times(quotes, keys), keys, F.col("us"), F.col("us") + horizon + 1, "us", horizon)
+    got = pairs.groupBy("l.anchor_id").agg(F.min(F.when(F.col("r.n") > 0, F.col("r"))).alias("q"), F.min(F.when(F.col("r.invalid"), F.col("r.us"))).alias("invalid_us"))
+    out = targets.select("anchor_id").join(got.select("anchor_id", "invalid_us", F.col("q.us").alias("q_us"), F.col("q.n").alias("n"), F.col("q.duplicate").alias("duplicate"), F.col("q.seq").alias("seq")), "anchor_id", "left")
+    status = F.when(F.col("q_us").isNull(), "no_quote").when(F.col("invalid_us") <= F.col("q_us"), "invalid_quote").when(F.col("n") > 1, "same_time").when(F.col("duplicate"), "duplicate").otherwise("selected")
+    return out.select("anchor_id", status.alias("status"), F.when(status == "selected", F.col("q_us")).alias("quote_us"), F.when(status == "selected", F.col("seq")).alias("quote_seq"))
+
+
+def mark_quotes(marks: DataFrame, quotes: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
+    """The last valid quote of [us - horizon, us] of each mark, refused if there is none, two valid ones there have one time, one is a duplicate, or an invalid one comes at or after it."""
+    pairs = range_join(marks.select(*keys, "anchor_id", "us"), quote_times(quotes, keys), keys, F.col("us") - horizon, F.col("us") + 1, "us", horizon)
+    good = F.when(F.col("r.n") > 0, F.struct("r.us", "r.seq"))
+    got = pairs.groupBy("l.anchor_id").agg(F.max(good).alias("q"), F.max("r.n").alias("n"), F.bool_or("r.duplicate").alias("duplicate"), F.max(F.when(F.col("r.invalid"), F.col("r.us"))).alias("invalid_us"))
+    out = marks.select("anchor_id").join(got.select("anchor_id", "n", "duplicate", "invalid_us", F.col("q.us").alias("q_us"), F.col("q.seq").alias("seq")), "anchor_id", "left")
+    status = F.when(F.col("q_us").isNull(), "no_quote").when(F.col("n") > 1, "same_time").when(F.col("duplicate"), "duplicate").when(F.col("invalid_us") >= F.col("q_us"), "invalid_quote").otherwise("selected")
+    return out.select("anchor_id", status.alias("status"), F.when(status == "selected", F.col("q_us")).alias("quote_us"), F.when(status == "selected", F.col("seq")).alias("quote_seq"))
+
+
 def first_reason(reasons: dict[str, Column]) -> Column:
     """The name of the first condition that holds, null if none does."""
     return F.coalesce(*[F.when(c, F.lit(name)) for name, c in reasons.items()])

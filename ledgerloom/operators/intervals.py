@@ -56,33 +56,42 @@ def cut_at(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return df.withColumns({start: F.greatest(F.col(start), F.col("_k") * width), end: F.least(F.col(end), (F.col("_k") + 1) * width)}).drop("_k")
 
 
+def by_day(gaps: DataFrame) -> DataFrame:
+    """(day, gaps): the gaps of each day, cut at midnights, in order. A day has as many as its length over their least length."""
+    cut = cut_at(gaps.select(F.col("gap_start").alias("a"), F.col("gap_end").alias("b")), "a", "b", DAY)
+    return cut.groupBy(F.floor(F.col("a") / DAY).cast("bigint").alias("day")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gaps"))
+
+
+def crossed(gaps: str, start: str, end: str) -> Column:
+    """What of a day's gaps lies in a span; an empty array where there are none."""
+    own = F.transform(F.col(gaps), lambda x: F.struct(F.greatest(x["a"], F.col(start)).alias("a"), F.least(x["b"], F.col(end)).alias("b")))
+    return F.coalesce(F.filter(own, lambda x: x["a"] < x["b"]), F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
+
 def partition_risk(intervals: DataFrame, gaps: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
     """Fragments of intervals inside [low, high), cut at midnights and at gaps (columns gap_start, gap_end, no keys).
 
     Each is in a gap or not; is_left_truncated says that its interval began before ``low``, is_zero
-    marks an interval of no length, which stays as one accounting row.
+    marks an interval of no length, which stays as one accounting row. Intervals are read once: a
+    part within a day meets that day's gaps.
     """
-    keys = list(keys)
-    zero = intervals.filter("start_us = end_us").withColumns({"is_gap": F.lit(False), "is_left_truncated": F.col("start_us") < low, "is_zero": F.lit(True), "interval_start": F.col("start_us"), "interval_end": F.col("end_us")})
-    own = intervals.filter("start_us < end_us").withColumns({"interval_start": F.col("start_us"), "interval_end": F.col("end_us"), "is_left_truncated": F.col("start_us") < low})
-    own = own.withColumns({"start_us": F.greatest("start_us", F.lit(low).cast("bigint")), "end_us": F.least("end_us", F.lit(high).cast("bigint"))})
-    own = cut_at(own, "start_us", "end_us", DAY)
-    crossed = overlap_join(own, gaps, [], ("start_us", "end_us"), ("gap_start", "gap_end")) if not gaps.isEmpty() else None
-    fields = own.columns
-    if crossed is None:
-        parts = own.withColumn("is_gap", F.lit(False))
-    else:
-        per = crossed.groupBy("l").agg(F.array_sort(F.collect_list(F.struct(F.greatest("l.start_us", "r.gap_start").alias("a"), F.least("l.end_us", "r.gap_end").alias("b")))).alias("g"))
-        per = per.select("l.*", "g")
-        whole = own.join(per.select(*keys, "interval_id", "start_us", "g"), [*keys, "interval_id", "start_us"], "left")
-        # Between the gaps of a fragment is what is left: from each gap's end to the next one's start.
-        edges = F.array_distinct(F.array_sort(F.concat(F.array("start_us", "end_us"), F.flatten(F.transform(F.coalesce("g", F.array().cast("array<struct<a:bigint,b:bigint>>")), lambda x: F.array(x["a"], x["b"]))))))
-        pieces = whole.withColumn("edges", edges).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)))
-        pieces = pieces.withColumns({"a": F.get("edges", F.col("at")), "b": F.get("edges", F.col("at") + 1)})
-        inside = F.exists(F.coalesce("g", F.array().cast("array<struct<a:bigint,b:bigint>>")), lambda x: (x["a"] <= F.col("a")) & (F.col("b") <= x["b"]))
-        pieces = pieces.withColumn("is_gap", inside).withColumns({"start_us": F.col("a"), "end_us": F.col("b")})
-        parts = pieces.select(*fields, "is_gap")
-    return parts.withColumn("is_zero", F.lit(False)).unionByName(zero.select(*fields, "is_gap", "is_zero"))
+    bounds = {"interval_start": F.col("start_us"), "interval_end": F.col("end_us"), "is_left_truncated": F.col("start_us") < low, "is_zero": F.col("start_us") == F.col("end_us")}
+    own = intervals.filter("start_us <= end_us").withColumns(bounds)
+    inside = [F.when(F.col("is_zero"), F.col(c)).otherwise(f(c, F.lit(edge).cast("bigint"))) for c, f, edge in (("start_us", F.greatest, low), ("end_us", F.least, high))]
+    own = own.withColumns({"start_us": inside[0], "end_us": inside[1]}).filter(F.col("is_zero") | (F.col("start_us") < F.col("end_us")))
+    day = lambda us: F.floor(us / DAY).cast("bigint")
+    own = own.withColumn("day", F.explode(F.sequence(day(F.col("start_us")), day(F.greatest(F.col("end_us") - 1, F.col("start_us"))))))
+    cut = {"start_us": F.greatest(F.col("start_us"), F.col("day") * DAY), "end_us": F.when(F.col("is_zero"), F.col("end_us")).otherwise(F.least(F.col("end_us"), (F.col("day") + 1) * DAY))}
+    own = own.withColumns(cut).join(by_day(gaps), "day", "left").withColumn("gaps", crossed("gaps", "start_us", "end_us"))
+    # Between the gaps of a fragment is what is left: from each gap's end to the next one's start.
+    edges = F.array_distinct(F.array_sort(F.concat(F.array("start_us", "end_us"), F.flatten(F.transform("gaps", lambda x: F.array(x["a"], x["b"]))))))
+    spans = F.when(F.col("is_zero"), F.array(F.struct(F.col("start_us").alias("a"), F.col("end_us").alias("b")))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda k: F.struct(F.get("edges", k - 1).alias("a"), F.get("edges", k).alias("b")))
+    )
+    pieces = own.withColumn("edges", edges).withColumn("piece", F.explode(spans))
+    in_gap = ~F.col("is_zero") & F.exists("gaps", lambda x: (x["a"] <= F.col("piece.a")) & (F.col("piece.b") <= x["b"]))
+    fields = [c for c in own.columns if c not in ("day", "gaps", "start_us", "end_us", "is_zero")]
+    return pieces.select(*fields, F.col("piece.a").alias("start_us"), F.col("piece.b").alias("end_us"), in_gap.alias("is_gap"), "is_zero")
 
 
 def clip_to_hours(fragments: DataFrame, first_hour: int, last_hour: int) -> DataFrame:
@@ -93,17 +102,24 @@ def clip_to_hours(fragments: DataFrame, first_hour: int, last_hour: int) -> Data
     return out.filter("start_us < end_us")
 
 
+def lost_to_gaps(points: DataFrame, gaps: DataFrame, start: str, end: str) -> DataFrame:
+    """points, distinct rows, with lost_us: how much of [start, end) gaps cover. They meet day by day; points are read once."""
+    day = lambda us: F.floor(us / DAY).cast("bigint")
+    rows = points.select(F.struct(*points.columns).alias("point"), F.col(start).alias("_start"), F.col(end).alias("_end"))
+    rows = rows.withColumn("day", F.explode(F.sequence(day(F.col("_start")), day(F.greatest(F.col("_end") - 1, F.col("_start"))))))
+    rows = rows.join(by_day(gaps), "day", "left")
+    own = F.aggregate(crossed("gaps", "_start", "_end"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["b"] - x["a"])
+    return rows.groupBy("point").agg(F.sum(own).alias("lost_us")).select("point.*", "lost_us")
+
+
 def paused_age(points: DataFrame, gaps: DataFrame, start: str, at: str) -> DataFrame:
-    """points with tradeable_us: the time from start to at without what gaps cover of it. points needs a unique point_id."""
-    over = overlap_join(points, gaps, [], (start, at), ("gap_start", "gap_end"))
-    lost = over.groupBy(F.col("l.point_id").alias("point_id")).agg(F.sum(F.least(F.col(f"l.{at}"), F.col("r.gap_end")) - F.greatest(F.col(f"l.{start}"), F.col("r.gap_start"))).alias("lost"))
-    return points.join(lost, "point_id", "left").withColumn("tradeable_us", F.col(at) - F.col(start) - F.coalesce("lost", F.lit(0))).drop("lost")
+    """points, distinct rows, with tradeable_us: the time from start to at without what gaps cover of it."""
+    return lost_to_gaps(points, gaps, start, at).withColumn("tradeable_us", F.col(at) - F.col(start) - F.col("lost_us")).drop("lost_us")
 
 
 def crosses_gap(points: DataFrame, gaps: DataFrame, window_start: str, window_end: str) -> DataFrame:
-    """points with crosses_gap: whether a gap starts before the window's end and ends after its start."""
-    hit = overlap_join(points, gaps, [], (window_start, window_end), ("gap_start", "gap_end")).select(F.col("l.point_id").alias("point_id")).distinct()
-    return points.join(hit.withColumn("crosses_gap", F.lit(True)), "point_id", "left").withColumn("crosses_gap", F.coalesce("crosses_gap", F.lit(False)))
+    """points, distinct rows, with crosses_gap: whether a gap starts before the window's end and ends after its start."""
+    return lost_to_gaps(points, gaps, window_start, window_end).withColumn("crosses_gap", F.col("lost_us") > 0).drop("lost_us")
 
 
 def grid(df: DataFrame, start: str, end: str, width: int) -> DataFrame:

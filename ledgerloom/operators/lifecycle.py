@@ -4,32 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .order import DAY, running_sums, with_previous
-
 
 def merge_positions(closed: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(positions, conflicts): one row per position_id of closed rows, and of snapshots that no closed row supersedes.
+    """(positions, conflicts): every closed row, and one row for each id of open snapshots that isn't closed.
 
-    Rows of one id must agree in symbol, side, volume, open_us and open_price, else the id is a
-    conflict and left out. sources lists the reports, is_carry_over says that there are several.
+    Snapshots of one id must agree in symbol, side, volume, open_us and open_price (null is a value),
+    else the id is a conflict, with its number of versions; a closed row of that id stays all the same. A
+    closed row has its report as its source and is no carry-over. Snapshots list their reports,
+    comma-joined; several make a carry-over. Both sides are grouped once, in one shuffle by id.
     """
     facts = ("symbol", "side", "volume", "open_us", "open_price")
-    open_only = snapshots.join(closed.select("position_id"), "position_id", "left_anti")
-    every = closed.unionByName(open_only, allowMissingColumns=True)
-    grouped = every.groupBy("position_id").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in facts],
-        F.countDistinct(F.struct(*facts)).alias("versions"),
-        F.max("close_us").alias("close_us"),
-        F.max_by("close_price", "close_us").alias("close_price"),
-        F.array_join(F.array_sort(F.collect_set("report_id")), "|").alias("sources"),
-        (F.countDistinct("report_id") > 1).alias("is_carry_over"),
+    both = closed.withColumn("is_closed", F.lit(True)).unionByName(snapshots.withColumn("is_closed", F.lit(False)), allowMissingColumns=True)
+    of_id = W.partitionBy("position_id")
+    both = both.withColumns(
+        {
+            "has_closed": F.max("is_closed").over(of_id),
+            "versions": F.size(F.collect_set(F.when(~F.col("is_closed"), F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}))).over(of_id)),
+            "sources": F.when(F.col("is_closed"), F.col("report_id")).otherwise(F.array_join(F.array_sort(F.collect_set(F.when(~F.col("is_closed"), F.col("report_id"))).over(of_id)), ",")),
+        }
     )
-    good = grouped.filter("versions = 1").drop("versions").withColumn("is_closed", F.col("close_us").isNotNull())
-    return good, grouped.filter("versions > 1").select("position_id", "versions")
+    good = both.filter(F.col("is_closed") | (~F.col("has_closed") & (F.col("versions") == 1)))
+    good = good.withColumn("is_carry_over", ~F.col("is_closed") & F.contains("sources", F.lit(",")))
+    # Of an id's snapshots, which agree, the first one stands for all.
+    place = F.row_number().over(W.partitionBy("position_id", "is_closed").orderBy("report_id", *facts))
+    good = good.withColumn("place", place).filter(F.col("is_closed") | (F.col("place") == 1))
+    good = good.select("position_id", *facts, "close_us", "close_price", "sources", "is_closed", "is_carry_over")
+    conflicts = both.filter(~F.col("is_closed") & (F.col("versions") > 1)).groupBy("position_id").agg(F.max("versions").cast("bigint").alias("versions"))
+    return good, conflicts
 
 
 def dedupe_conservative(rows: DataFrame, key: Sequence[str], facts: Sequence[str], start: str, end: str) -> DataFrame:
@@ -43,14 +48,16 @@ def dedupe_conservative(rows: DataFrame, key: Sequence[str], facts: Sequence[str
 
 
 def timeline(positions: DataFrame, keys: Sequence[str] = ("acct",)) -> DataFrame:
-    """OPEN and CLOSE events. Of one time they are in the order of their positions' opening, then of ids as text, then CLOSE first."""
-    common = [*keys, "position_id", "side", "volume"]
-    tie = [F.col("open_us"), F.col("position_id").cast("string").alias("tie")]
-    opened = positions.select(*common, *tie, F.col("open_us").alias("us"), F.col("open_price").alias("price"), F.lit("OPEN").alias("type"), F.lit(1).alias("d"))
-    closed = positions.filter(F.col("close_us").isNotNull()).select(
-        *common, *tie, F.col("close_us").alias("us"), F.col("close_price").alias("price"), F.lit("CLOSE").alias("type"), F.lit(-1).alias("d")
-    )
-    return opened.unionByName(closed)
+    """OPEN and CLOSE events, from one pass over positions.
+
+    Of one time they are in the order of their positions' opening, then of ids as text, then CLOSE
+    first. d is what an event adds to its side: a close before its position's opening finds none to
+    close and adds nothing, so the position stays open; one at the time of the opening takes it back.
+    """
+    event = lambda us, price, kind, d: F.struct(F.col(us).alias("us"), F.col(price).alias("price"), F.lit(kind).alias("type"), d.alias("d"))
+    closes = event("close_us", "close_price", "CLOSE", F.when(F.col("close_us") < F.col("open_us"), 0).otherwise(-1))
+    both = F.when(F.col("close_us").isNull(), F.array(event("open_us", "open_price", "OPEN", F.lit(1)))).otherwise(F.array(event("open_us", "open_price", "OPEN", F.lit(1)), closes))
+    return positions.select(*keys, "position_id", "side", "volume", "open_us", F.col("position_id").cast("string").alias("tie"), F.inline(both))
 
 
 def m2_state(buys: Column, sells: Column, buy_volume: Column, sell_volume: Column) -> Column:
@@ -105,40 +112,46 @@ def category(behavior_: Column, before: Column, after: Column, same: Column) ->
     )
 
 
-def lifecycle(positions: DataFrame, keys: Sequence[str] = ("acct",), bucket: int = 30 * DAY) -> DataFrame:
+def book_order(keys: Sequence[str], *order: str) -> tuple[WindowSpec, WindowSpec]:
+    """The window over a book's events in their order, for lag and lead, and its frame up to the event, for running sums.
+
+    A book is what one account does, so it is sorted in one task; all windows over it share one shuffle.
+    """
+    w = W.partitionBy(*keys).orderBy(*order)
+    return w, w.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def running_legs(side: Column, d: Column, volume: Column, upto: WindowSpec) -> dict[str, Column]:
+    """Running numbers and volumes of open legs by side."""
+    out = {}
+    for s in ("buy", "sell"):
+        own = F.when(side == s, d).otherwise(0)
+        out[f"{s}s"] = F.sum(own).over(upto)
+        out[f"{s}_volume"] = F.sum((own * volume).cast("decimal(22,8)")).over(upto)
+    return out
+
+
+def lifecycle(positions: DataFrame, keys: Sequence[str] = ("acct",)) -> DataFrame:
     """The event log with running legs, states before and after, behaviour and accounting category.
 
     Legs are running sums, so a position opened and closed at one time leaves nothing behind.
     """
     keys = list(keys)
-    t = timeline(positions, keys)
-    of = lambda s: F.col("side") == s
-    t = t.withColumns(
-        {
-            "one": F.lit(1),
-            "d_buy": F.when(of("buy"), F.col("d")).otherwise(0),
-            "d_sell": F.when(of("sell"), F.col("d")).otherwise(0),
-            "dv_buy": F.when(of("buy"), F.col("d") * F.col("volume")).otherwise(0).cast("decimal(22,8)"),
-            "dv_sell": F.when(of("sell"), F.col("d") * F.col("volume")).otherwise(0).cast("decimal(22,8)"),
-        }
-    )
-    order = ["open_us", "tie", "type"]
-    t = running_sums(t, keys, "us", order, {"seq": "one", "buys": "d_buy", "sells": "d_sell", "buy_volume": "dv_buy", "sell_volume": "dv_sell"}, bucket)
+    w, upto = book_order(keys, "us", "open_us", "tie", "type")
+    t = timeline(positions, keys).withColumns({"seq": F.row_number().over(w).cast("bigint"), **running_legs(F.col("side"), F.col("d"), F.col("volume"), upto)})
     t = t.withColumn("after", m2_state(F.col("buys"), F.col("sells"), F.col("buy_volume"), F.col("sell_volume")))
-    t = with_previous(t, keys, "us", order, {"before": "after"}, bucket).withColumn("before", F.coalesce("before", F.lit("FLAT")))
-    same = t.groupBy(*keys, "us").agg(F.count(F.lit(1)).alias("same"))
-    t = t.join(same, [*keys, "us"])
+    t = t.withColumns({"before": F.coalesce(F.lag("after").over(w), F.lit("FLAT")), "same": F.count(F.lit(1)).over(W.partitionBy(*keys, "us"))})
     t = t.withColumn("behavior", behavior(F.col("type"), F.col("side"), F.col("before"), F.col("after")))
     t = t.withColumn("category", category(F.col("behavior"), F.col("before"), F.col("after"), F.col("same")))
-    return t.drop("one", "d", "d_buy", "d_sell", "dv_buy", "dv_sell", "tie")
+    return t.drop("d", "tie")
 
 
-def intervals(events: DataFrame, keys: Sequence[str] = ("acct",), bucket: int = 30 * DAY) -> DataFrame:
+def intervals(events: DataFrame, keys: Sequence[str] = ("acct",)) -> DataFrame:
     """Half-open spans between consecutive events with the state in them and the events at both ends."""
     keys = list(keys)
-    back = events.withColumn("minus_us", -F.col("us")).withColumn("minus_seq", -F.col("seq"))
-    back = with_previous(back, keys, "minus_us", ["minus_seq"], {"end_us": "us", "following": "behavior", "following_same": "same"}, bucket)
-    return back.filter(F.col("end_us").isNotNull()).select(
+    w, _ = book_order(keys, "seq")
+    following = {"end_us": F.lead("us").over(w), "following": F.lead("behavior").over(w), "following_same": F.lead("same").over(w)}
+    return events.withColumns(following).filter(F.col("end_us").isNotNull()).select(
         *keys, F.col("seq").alias("interval_id"), F.col("us").alias("start_us"), "end_us", F.col("after").alias("state"), "type", "behavior", "following", "same", "following_same"
     )
 
@@ -149,61 +162,43 @@ def orphan_closes(closes: DataFrame, opens: DataFrame, keys: Sequence[str]) -> D
     return closes.join(o, [*keys, "position_id"], "left").filter(F.col("opened_us").isNull() | (F.col("opened_us") > F.col("us"))).drop("opened_us")
 
 
-def observed_replay(positions: DataFrame, start: int, end: int, keys: Sequence[str] = ("acct",), bucket: int = 30 * DAY) -> DataFrame:
+def observed_replay(positions: DataFrame, start: int, end: int, keys: Sequence[str] = ("acct",)) -> DataFrame:
     """Events of [start, end) with the observed state before and after each, positions from before carried in.
 
     positions has status OBSERVED or CENSORED; a censored one is in doubt from its start to its end.
     At one time the order is: end of doubt, close, start of doubt, open.
     """
     keys = list(keys)
-    rank = {("CENSORED", False): 0, ("OBSERVED", False): 1, ("CENSORED", True): 2, ("OBSERVED", True): 3}
-    parts = []
-    for (status, opens), r in rank.items():
-        own = positions.filter(F.col("status") == status)
-        own = own if opens else own.filter(F.col("close_us").isNotNull())
-        parts.append(own.select(*keys, "position_id", "side", "volume", F.col("open_us" if opens else "close_us").alias("us"), F.lit(r).alias("rank"), F.lit(1 if opens else -1).alias("d")))
-    t = parts[0]
-    for p in parts[1:]:
-        t = t.unionByName(p)
-    t = t.filter(F.col("us") < end)
+    doubt = F.col("status") == "CENSORED"
+    event = lambda us, rank, d: F.struct(F.col(us).alias("us"), rank.alias("rank"), F.lit(d).alias("d"))
+    opens, closes = event("open_us", F.when(doubt, 2).otherwise(3), 1), event("close_us", F.when(doubt, 0).otherwise(1), -1)
+    both = F.when(F.col("close_us").isNull(), F.array(opens)).otherwise(F.array(opens, closes))
+    t = positions.filter(F.col("status").isin("OBSERVED", "CENSORED")).select(*keys, "position_id", "side", "volume", F.inline(both)).filter(F.col("us") < end)
     live = F.col("rank").isin(1, 3)
-    pick = lambda s, v: F.when(live & (F.col("side") == s), v).otherwise(0)
-    t = t.withColumns(
-        {
-            "d_buy": pick("buy", F.col("d")),
-            "d_sell": pick("sell", F.col("d")),
-            "dv_buy": pick("buy", F.col("d") * F.col("volume")).cast("decimal(22,8)"),
-            "dv_sell": pick("sell", F.col("d") * F.col("volume")).cast("decimal(22,8)"),
-            "d_censored": F.when(live, 0).otherwise(F.col("d")),
-        }
-    )
-    order = ["rank", "position_id"]
-    t = running_sums(t, keys, "us", order, {"buys": "d_buy", "sells": "d_sell", "buy_volume": "dv_buy", "sell_volume": "dv_sell", "censored": "d_censored"}, bucket)
+    w, upto = book_order(keys, "us", "rank", "position_id")
+    t = t.withColumns({**running_legs(F.col("side"), F.when(live, F.col("d")).otherwise(0), F.col("volume"), upto), "censored": F.sum(F.when(live, 0).otherwise(F.col("d"))).over(upto)})
     t = t.withColumn("after", observed_state(F.col("buys"), F.col("sells"), F.col("censored"), F.col("buy_volume"), F.col("sell_volume")))
-    t = with_previous(t, keys, "us", order, {"before": "after"}, bucket).withColumn("before", F.coalesce("before", F.lit("FLAT")))
+    t = t.withColumn("before", F.coalesce(F.lag("after").over(w), F.lit("FLAT")))
     return t.filter(F.col("us") >= start).select(*keys, "position_id", "us", "rank", "before", "after")
 
 
-def concurrency(positions: DataFrame, keys: Sequence[str] = ("acct",), bucket: int = 30 * DAY) -> DataFrame:
+def concurrency(positions: DataFrame, keys: Sequence[str] = ("acct",)) -> DataFrame:
     """Sweep line: spans between times at which the number of open legs changes, with the numbers of legs in them."""
     keys = list(keys)
-    of = lambda s: F.when(F.col("side") == s, 1).otherwise(0)
     closed = positions.filter(F.col("close_us").isNotNull() & (F.col("close_us") > F.col("open_us")))
-    ups = closed.select(*keys, F.col("open_us").alias("us"), of("buy").alias("d_buy"), of("sell").alias("d_sell"))
-    downs = closed.select(*keys, F.col("close_us").alias("us"), (-of("buy")).alias("d_buy"), (-of("sell")).alias("d_sell"))
-    changes = ups.unionByName(downs).groupBy(*keys, "us").agg(F.sum("d_buy").alias("d_buy"), F.sum("d_sell").alias("d_sell"))
-    t = running_sums(changes, keys, "us", [], {"buys": "d_buy", "sells": "d_sell"}, bucket)
-    t = with_previous(t.withColumn("minus_us", -F.col("us")), keys, "minus_us", [], {"end_us": "us"}, bucket)
+    ends = F.array(F.struct(F.col("open_us").alias("us"), F.lit(1).alias("d")), F.struct(F.col("close_us").alias("us"), F.lit(-1).alias("d")))
+    changes = closed.select(*keys, "side", F.inline(ends)).groupBy(*keys, "us").agg(*[F.sum(F.when(F.col("side") == s, F.col("d")).otherwise(0)).alias(f"d_{s}") for s in ("buy", "sell")])
+    w, upto = book_order(keys, "us")
+    t = changes.withColumns({"buys": F.sum("d_buy").over(upto), "sells": F.sum("d_sell").over(upto), "end_us": F.lead("us").over(w)})
     return t.filter(F.col("end_us").isNotNull()).select(*keys, F.col("us").alias("start_us"), "end_us", "buys", "sells", (F.col("buys") + F.col("sells")).alias("legs"))
 
 
 def episodes(spans: DataFrame, where: Column, keys: Sequence[str] = ("acct",)) -> DataFrame:
     """Maximal runs of adjoining spans for which the condition holds (gaps and islands)."""
     keys = list(keys)
-    own = spans.filter(where)
-    own = with_previous(own, keys, "start_us", [], {"last_end": "end_us"}, 30 * DAY)
-    own = own.withColumn("new", F.when(F.col("last_end").eqNullSafe(F.col("start_us")), 0).otherwise(1))
-    own = running_sums(own, keys, "start_us", [], {"episode": "new"})
+    w, upto = book_order(keys, "start_us")
+    own = spans.filter(where).withColumn("new", F.when(F.lag("end_us").over(w).eqNullSafe(F.col("start_us")), 0).otherwise(1))
+    own = own.withColumn("episode", F.sum("new").over(upto))
     return own.groupBy(*keys, "episode").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("legs").alias("most"))
 
 
@@ -214,14 +209,3 @@ def transitions(events: DataFrame, states: Sequence[str]) -> DataFrame:
     pairs = one.select(F.col("s").alias("before")).crossJoin(one.select(F.col("s").alias("after")))
     n = events.groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
     return F.broadcast(pairs).join(n, ["before", "after"], "left").select("before", "after", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def first_of(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The first row per key in a total order, as a minimum of structs, so that rows combine before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    ranked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"))
-    return ranked.select(*keys, "row.*")
-
-
-def window_order(keys: Sequence[str], *order: str):
-    return W.partitionBy(*keys).orderBy(*order)

@@ -156,13 +156,13 @@ def hour_clip(spark, d):
 FROM intervals i LEFT JOIN gaps g ON g.gap_start < i.end_us AND g.gap_end > i.start_us GROUP BY i.acct, i.interval_id, i.start_us, i.end_us""",
 )
 def tradeable_age(spark, d):
-    i = L.intervals(L.lifecycle(positions(spark, d))).withColumn("point_id", F.struct("acct", "interval_id"))
+    i = L.intervals(L.lifecycle(positions(spark, d))).select("acct", "interval_id", "start_us", "end_us")
     return I.paused_age(i, gaps_of(spark, d), "start_us", "end_us").select("acct", "interval_id", "tradeable_us")
 
 
 @query("crosses_gap", f"WITH {INTERVALS_SQL}, {GAPS_SQL} SELECT acct, interval_id, EXISTS (SELECT 1 FROM gaps WHERE gap_start < end_us AND gap_end > start_us AND start_us < end_us) AS crosses_gap FROM intervals")
 def crosses_gap(spark, d):
-    i = L.intervals(L.lifecycle(positions(spark, d))).withColumn("point_id", F.struct("acct", "interval_id"))
+    i = L.intervals(L.lifecycle(positions(spark, d))).select("acct", "interval_id", "start_us", "end_us")
     return I.crosses_gap(i, gaps_of(spark, d), "start_us", "end_us").select("acct", "interval_id", "crosses_gap")
 
 

@@ -233,39 +233,32 @@ def orphan_closes(spark, d):
     return L.orphan_closes(t.filter("type = 'CLOSE'"), t.filter("type = 'OPEN' AND position_id % 11 <> 0"), ["acct"]).select("acct", "position_id", "us")
 
 
-@query(
-    "merged_positions",
-    """WITH c AS (SELECT l_orderkey AS position_id, l_suppkey % 3 AS report_id, l_returnflag AS symbol, 'buy' AS side, l_quantity AS volume, epoch_us(l_shipdate) AS open_us, l_tax AS open_price FROM lineitem WHERE l_linenumber = 1)
-SELECT position_id, array_to_string(list_sort(list_distinct(list(CAST(report_id AS VARCHAR)))), '|') AS sources, count(DISTINCT report_id) > 1 AS is_carry_over FROM c
-GROUP BY position_id HAVING count(DISTINCT (symbol, side, volume, open_us, open_price)) = 1""",
-)
-def merged_positions(spark, d):
-    c = table(spark, d, "lineitem").filter("l_linenumber = 1").select(
-        F.col("l_orderkey").alias("position_id"), (F.col("l_suppkey") % 3).cast("string").alias("report_id"), F.col("l_returnflag").alias("symbol"), F.lit("buy").alias("side"),
-        F.col("l_quantity").alias("volume"), to_us("l_shipdate").alias("open_us"), F.col("l_tax").alias("open_price"), to_us("l_shipdate").alias("close_us"), F.col("l_tax").alias("close_price"),
-    )
-    good, _ = L.merge_positions(c, c.limit(0))
-    return good.select("position_id", "sources", "is_carry_over")
+# Lines of orders as reports: by line status closed positions or open snapshots; the snapshots of three orders in four agree.
+REPORTS_SQL = """lines AS (SELECT l_orderkey AS position_id, CAST(l_suppkey % 3 AS VARCHAR) AS report_id, CASE WHEN l_orderkey % 4 = 0 THEN l_returnflag ELSE 'N' END AS symbol, l_orderkey % 100 AS open_price,
+  l_linestatus = 'F' AS closed, CASE WHEN l_linestatus = 'F' THEN epoch_us(l_shipdate) END AS close_us FROM lineitem),
+snapshots AS (SELECT position_id, count(DISTINCT (symbol, open_price)) AS versions, array_to_string(list_sort(list_distinct(list(report_id))), ',') AS sources, count(DISTINCT report_id) > 1 AS is_carry_over FROM lines WHERE NOT closed GROUP BY position_id),
+good AS (SELECT position_id, report_id AS sources, true AS is_closed, false AS is_carry_over, close_us FROM lines WHERE closed
+  UNION ALL SELECT position_id, sources, false, is_carry_over, NULL FROM snapshots s WHERE versions = 1 AND NOT EXISTS (SELECT 1 FROM lines c WHERE c.closed AND c.position_id = s.position_id))"""
 
 
-@query(
-    "merged_reports",
-    """WITH lines AS (SELECT l_orderkey AS position_id, l_suppkey % 3 AS report_id, CASE WHEN l_orderkey % 4 = 0 THEN l_returnflag ELSE 'N' END AS symbol, l_orderkey % 100 AS open_price, l_linestatus = 'F' AS closed,
-  CASE WHEN l_linestatus = 'F' THEN epoch_us(l_shipdate) END AS close_us FROM lineitem),
-every AS (SELECT * FROM lines l WHERE closed OR NOT EXISTS (SELECT 1 FROM lines c WHERE c.closed AND c.position_id = l.position_id)),
-ids AS (SELECT position_id, count(DISTINCT (symbol, open_price)) AS versions, max(close_us) AS close_us, array_to_string(list_sort(list_distinct(list(CAST(report_id AS VARCHAR)))), '|') AS sources, count(DISTINCT report_id) > 1 AS is_carry_over FROM every GROUP BY position_id)
-SELECT position_id, versions, CASE WHEN versions = 1 THEN sources END AS sources, CASE WHEN versions = 1 THEN is_carry_over END AS is_carry_over, CASE WHEN versions = 1 THEN close_us IS NOT NULL END AS is_closed, CASE WHEN versions = 1 THEN close_us END AS close_us FROM ids""",
-)
-def merged_reports(spark, d):
-    """All rows of lineitem, by line status closed positions or open snapshots; the lines of three orders in four agree. Conflicts have their number of versions."""
+def merged(spark, d):
     key = F.col("l_orderkey")
     lines = table(spark, d, "lineitem").select(
         key.alias("position_id"), (F.col("l_suppkey") % 3).cast("string").alias("report_id"), F.when(key % 4 == 0, F.col("l_returnflag")).otherwise("N").alias("symbol"), F.lit("buy").alias("side"),
         F.lit(1).alias("volume"), key.alias("open_us"), (key % 100).alias("open_price"), to_us("l_shipdate").alias("close_us"), (key % 100).alias("close_price"), F.col("l_linestatus").alias("status"),
     )
-    good, conflicts = L.merge_positions(lines.filter("status = 'F'").drop("status"), lines.filter("status = 'O'").drop("status", "close_us", "close_price"))
-    good = good.select("position_id", F.lit(1).cast("bigint").alias("versions"), "sources", "is_carry_over", "is_closed", "close_us")
-    return good.unionByName(conflicts, allowMissingColumns=True)
+    return L.merge_positions(lines.filter("status = 'F'").drop("status"), lines.filter("status = 'O'").drop("status", "close_us", "close_price"))
+
+
+@query("merged_positions", f"WITH {REPORTS_SQL} SELECT * FROM good")
+def merged_positions(spark, d):
+    return merged(spark, d)[0].select("position_id", "sources", "is_closed", "is_carry_over", "close_us")
+
+
+@query("merged_reports", f"WITH {REPORTS_SQL} SELECT position_id, versions FROM snapshots WHERE versions > 1")
+def merged_reports(spark, d):
+    """The ids whose open snapshots disagree, and how many versions they have."""
+    return merged(spark, d)[1]
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..operators import align as A
@@ -27,20 +25,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# Anchors: every third quote's time, moved by 37 seconds.
-ANCHORS_SQL = f"{QUOTES_SQL}, anchors AS (SELECT symbol, seq AS anchor_id, us + 37000000 AS us FROM quotes WHERE seq % 3 = 0)"
+# Anchors: every quote's time, moved by 37 seconds.
+ANCHORS_SQL = f"{QUOTES_SQL}, anchors AS (SELECT symbol, seq AS anchor_id, us + 37000000 AS us FROM quotes)"
 
 
 def anchors(spark, d):
-    return quotes(spark, d).filter("seq % 3 = 0").select("symbol", F.col("seq").alias("anchor_id"), (F.col("us") + 37 * SECOND).alias("us"))
-
-
-def every_anchor(spark, d):
     return quotes(spark, d).select("symbol", F.col("seq").alias("anchor_id"), (F.col("us") + 37 * SECOND).alias("us"))
 
 
 @query("asof_backward", f"WITH {ANCHORS_SQL} SELECT a.anchor_id, q.us AS tick_us, q.seq AS tick_seq, q.mid FROM anchors a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.us >= q.us")
-def backward(spark, d, anchors=anchors):
+def backward(spark, d):
     return asof_backward(anchors(spark, d), quotes(spark, d), ["symbol"], "us", "us", ["seq"], {"tick_us": "us", "tick_seq": "seq", "mid": "mid"}).select("anchor_id", "tick_us", "tick_seq", "mid")
 
 
@@ -56,7 +50,7 @@ def backward_strict(spark, d):
     f"""WITH {ANCHORS_SQL} SELECT a.anchor_id, min(q.us) AS tick_us, arg_min(q.mid, (q.us, q.seq)) AS mid, count(q.us) AS n
 FROM anchors a LEFT JOIN quotes q ON a.symbol = q.symbol AND q.us >= a.us AND q.us < a.us + {30 * MINUTE} GROUP BY a.anchor_id""",
 )
-def forward_window(spark, d, anchors=anchors):
+def forward_window(spark, d):
     """The first tick in a half-open window, and how many there are."""
     a = anchors(spark, d)
     pairs = range_join(a, quotes(spark, d), ["symbol"], F.col("us"), F.col("us") + 30 * MINUTE, "us", 30 * MINUTE)
@@ -65,7 +59,7 @@ def forward_window(spark, d, anchors=anchors):
 
 
 @query("asof_forward", f"WITH {ANCHORS_SQL} SELECT a.anchor_id, q.us AS tick_us, q.mid FROM anchors a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.us <= q.us")
-def forward(spark, d, anchors=anchors):
+def forward(spark, d):
     return asof_forward(anchors(spark, d), quotes(spark, d), ["symbol"], "us", "us", ["seq"], {"tick_us": "us", "mid": "mid"}).select("anchor_id", "tick_us", "mid")
 
 
@@ -76,7 +70,7 @@ f AS (SELECT a.anchor_id, q.us AS fwd FROM anchors a ASOF LEFT JOIN quotes q ON
 SELECT anchor_id, CASE WHEN d <= {10 * MINUTE} THEN t END AS tick_us FROM (SELECT anchor_id, us, CASE WHEN back IS NULL OR fwd - us < us - back THEN fwd ELSE back END AS t,
  abs(us - CASE WHEN back IS NULL OR fwd - us < us - back THEN fwd ELSE back END) AS d FROM b JOIN f USING (anchor_id))""",
 )
-def nearest(spark, d, anchors=anchors):
+def nearest(spark, d):
     """The nearest tick within a tolerance; of two as near the earlier one."""
     a, q = anchors(spark, d), quotes(spark, d)
     a = asof_backward(a, q, ["symbol"], "us", "us", ["seq"], {"back": "us"})
@@ -85,45 +79,38 @@ def nearest(spark, d, anchors=anchors):
     return a.withColumn("t", t).select("anchor_id", F.when(F.abs(F.col("us") - F.col("t")) <= 10 * MINUTE, F.col("t")).alias("tick_us"))
 
 
-MARKED_SQL = f"{ANCHORS_SQL}, m AS (SELECT *, seq % 7 <> 0 AS ok FROM quotes)"
+# Quotes at whole ten minutes, so that some share a time; some aren't valid, some are marked as duplicates.
+MARKED_SQL = f"{ANCHORS_SQL}, m AS (SELECT symbol, seq, us // {10 * MINUTE} * {10 * MINUTE} AS us, bid, ask, seq % 7 <> 0 AS valid, seq % 23 = 0 AS duplicate FROM quotes)"
 
 
 def marked(spark, d):
-    return quotes(spark, d).withColumn("ok", F.col("seq") % 7 != 0)
+    return quotes(spark, d).select(
+        "symbol", "seq", (F.floor(F.col("us") / (10 * MINUTE)) * 10 * MINUTE).alias("us"), "bid", "ask", (F.col("seq") % 7 != 0).alias("valid"), (F.col("seq") % 23 == 0).alias("duplicate")
+    )
 
 
 @query(
     "execution_quote",
-    f"""WITH {MARKED_SQL}, c AS (SELECT a.anchor_id, a.us, min(m.us) FILTER (ok) AS first_ok, min(m.us) FILTER (NOT ok) AS first_bad FROM anchors a LEFT JOIN m ON m.symbol = a.symbol AND m.us >= a.us AND m.us < a.us + {30 * MINUTE} GROUP BY ALL)
-SELECT anchor_id, CASE WHEN first_ok IS NULL THEN 'no_quote' WHEN first_bad <= first_ok THEN 'invalid_before' WHEN first_ok - us > {20 * MINUTE} THEN 'beyond_horizon' ELSE 'ok' END AS status,
-  CASE WHEN first_ok IS NOT NULL AND coalesce(first_bad > first_ok, true) AND first_ok - us <= {20 * MINUTE} THEN first_ok END AS quote_us FROM c""",
+    f"""WITH {MARKED_SQL}, p AS (SELECT a.anchor_id, m.* FROM anchors a JOIN m ON m.symbol = a.symbol AND m.us >= a.us AND m.us <= a.us + {40 * MINUTE}),
+f AS (SELECT anchor_id, min(us) FILTER (valid) AS t, min(us) FILTER (NOT valid) AS bad FROM p GROUP BY 1),
+c AS (SELECT f.*, count(p.seq) FILTER (p.valid) AS n, bool_or(p.valid AND p.duplicate) AS dup, min(p.seq) FILTER (p.valid) AS seq FROM f LEFT JOIN p ON p.anchor_id = f.anchor_id AND p.us = f.t GROUP BY ALL),
+r AS (SELECT a.anchor_id, t, seq, CASE WHEN t IS NULL THEN 'no_quote' WHEN bad <= t THEN 'invalid_quote' WHEN n > 1 THEN 'same_time' WHEN dup THEN 'duplicate' ELSE 'selected' END AS status FROM anchors a LEFT JOIN c USING (anchor_id))
+SELECT anchor_id, status, CASE WHEN status = 'selected' THEN t END AS quote_us, CASE WHEN status = 'selected' THEN seq END AS quote_seq FROM r""",
 )
-def execution_quote(spark, d, anchors=anchors):
-    """The first valid quote from the target on; refused beyond the horizon or if an invalid one comes at or before it."""
-    a = anchors(spark, d)
-    pairs = range_join(a, marked(spark, d), ["symbol"], F.col("us"), F.col("us") + 30 * MINUTE, "us", 30 * MINUTE)
-    c = pairs.groupBy("l.anchor_id").agg(F.min(F.when(F.col("r.ok"), F.col("r.us"))).alias("first_ok"), F.min(F.when(~F.col("r.ok"), F.col("r.us"))).alias("first_bad"))
-    c = a.join(c, "anchor_id", "left")
-    status = (
-        F.when(F.col("first_ok").isNull(), "no_quote").when(F.col("first_bad") <= F.col("first_ok"), "invalid_before").when(F.col("first_ok") - F.col("us") > 20 * MINUTE, "beyond_horizon").otherwise("ok")
-    )
-    return c.select("anchor_id", status.alias("status"), F.when(status == "ok", F.col("first_ok")).alias("quote_us"))
+def execution_quote(spark, d):
+    return X.execution_quotes(anchors(spark, d), marked(spark, d), ["symbol"], 40 * MINUTE)
 
 
 @query(
     "mark_quote",
-    f"""WITH {MARKED_SQL}, c AS (SELECT a.anchor_id, a.us, max(m.us) FILTER (ok) AS last_ok, max(m.us) FILTER (NOT ok) AS last_bad FROM anchors a LEFT JOIN m ON m.symbol = a.symbol AND m.us >= a.us - {HOUR} AND m.us < a.us + 1 GROUP BY ALL)
-SELECT anchor_id, CASE WHEN last_ok IS NULL THEN 'no_quote' WHEN last_bad >= last_ok THEN 'invalid_after' WHEN us - last_ok > {20 * MINUTE} THEN 'stale' ELSE 'ok' END AS status,
-  CASE WHEN last_ok IS NOT NULL AND coalesce(last_bad < last_ok, true) AND us - last_ok <= {20 * MINUTE} THEN last_ok END AS quote_us FROM c""",
+    f"""WITH {MARKED_SQL}, p AS (SELECT a.anchor_id, m.us, count(*) FILTER (valid) AS n, bool_or(valid AND duplicate) AS dup, bool_or(NOT valid) AS bad, min(m.seq) FILTER (valid) AS seq
+  FROM anchors a JOIN m ON m.symbol = a.symbol AND m.us >= a.us - {40 * MINUTE} AND m.us <= a.us GROUP BY ALL),
+c AS (SELECT anchor_id, max((us, seq)) FILTER (n > 0) AS q, max(n) AS n, bool_or(dup) AS dup, max(us) FILTER (bad) AS bad_us FROM p GROUP BY 1),
+r AS (SELECT a.anchor_id, q[1] AS t, q[2] AS seq, CASE WHEN q IS NULL THEN 'no_quote' WHEN n > 1 THEN 'same_time' WHEN dup THEN 'duplicate' WHEN bad_us >= q[1] THEN 'invalid_quote' ELSE 'selected' END AS status FROM anchors a LEFT JOIN c USING (anchor_id))
+SELECT anchor_id, status, CASE WHEN status = 'selected' THEN t END AS quote_us, CASE WHEN status = 'selected' THEN seq END AS quote_seq FROM r""",
 )
-def mark_quote(spark, d, anchors=anchors):
-    """The last valid quote up to the mark; refused if stale or if an invalid one comes at or after it."""
-    a = anchors(spark, d)
-    pairs = range_join(a, marked(spark, d), ["symbol"], F.col("us") - HOUR, F.col("us") + 1, "us", HOUR)
-    c = pairs.groupBy("l.anchor_id").agg(F.max(F.when(F.col("r.ok"), F.col("r.us"))).alias("last_ok"), F.max(F.when(~F.col("r.ok"), F.col("r.us"))).alias("last_bad"))
-    c = a.join(c, "anchor_id", "left")
-    status = F.when(F.col("last_ok").isNull(), "no_quote").when(F.col("last_bad") >= F.col("last_ok"), "invalid_after").when(F.col("us") - F.col("last_ok") > 20 * MINUTE, "stale").otherwise("ok")
-    return c.select("anchor_id", status.alias("status"), F.when(status == "ok", F.col("last_ok")).alias("quote_us"))
+def mark_quote(spark, d):
+    return X.mark_quotes(anchors(spark, d), marked(spark, d), ["symbol"], 40 * MINUTE)
 
 
 # Events to align: the lifecycle's, reported in whole minutes, priced a little off.
@@ -144,8 +131,8 @@ matched AS (SELECT e.event_id, e.acct, e.us, e.volume, e.category, e.before, e.a
   FROM ev e LEFT JOIN best b USING (event_id) LEFT JOIN ties t USING (event_id))"""
 
 
-def align_events(spark, d):
-    e = L.lifecycle(positions(spark, d))
+def align_events(spark, d, apart=SECOND):
+    e = L.lifecycle(positions(spark, d, apart=apart))
     off = F.when(F.col("position_id") % 4 == 0, 0.04).when(F.col("position_id") % 4 == 1, 0.3).otherwise(0.0)
     return e.select(
         (F.col("acct") * 1_000_000 + F.col("seq")).alias("event_id"), "acct", (F.floor(F.col("us") / UNIT) * UNIT).alias("us"), "type", "side", (F.col("price") + off).alias("price"), "volume", "category", "before", "after"
@@ -157,12 +144,12 @@ def ranked(spark, d):
 
 
 def matched(spark, d):
-    return A.best_matches(align_events(spark, d), ranked(spark, d), 0.01, 0.05, 0.5)
+    return A.best_matches(ranked(spark, d), 0.01, 0.05, 0.5)
 
 
 @query("align_candidates", f"WITH {ALIGN_SQL} SELECT event_id, tick_seq, delta, error, tier, rank FROM ranked")
 def align_candidates(spark, d):
-    return ranked(spark, d).select("event_id", "tick_seq", "delta", "error", "tier", "rank")
+    return ranked(spark, d).filter("tick_us IS NOT NULL").select("event_id", "tick_seq", "delta", "error", "tier", "rank")
 
 
 @query("align_best", f"WITH {ALIGN_SQL} SELECT event_id, tick_us, tick_seq, error, tier, ties, quality, unmatched_reason FROM matched")
@@ -177,12 +164,15 @@ def align_quality_counts(spark, d):
 
 @query(
     "same_second_resolution",
-    f"""WITH {ALIGN_SQL}, g AS (SELECT acct, us, count(*) AS size, bool_and(quality IN ('HIGH', 'MEDIUM')) AS good, count(DISTINCT CASE WHEN tick_us IS NOT NULL THEN (tick_us, tick_seq) END) AS ticks FROM matched GROUP BY ALL)
-SELECT event_id, size, size > 1 AND good AND ticks = size AS resolvable, CASE WHEN size > 1 AND good AND ticks = size THEN row_number() OVER (PARTITION BY acct, us ORDER BY tick_us NULLS FIRST, tick_seq NULLS FIRST, event_id) END AS place
-FROM matched JOIN g USING (acct, us)""",
+    f"""WITH {ALIGN_SQL.replace(positions_sql(), positions_sql(2, 0))}, g AS (SELECT acct, us, category, count(*) AS size, bool_and(quality IN ('HIGH', 'MEDIUM')) AS good, count(DISTINCT tick_us) AS times FROM matched GROUP BY ALL),
+r AS (SELECT m.*, g.size, m.category = 'ambiguous_ordering' AND size > 1 AND good AND times = size AS resolvable FROM matched m JOIN g USING (acct, us, category))
+SELECT event_id, size, resolvable, CASE WHEN category <> 'ambiguous_ordering' THEN 'not_applicable' WHEN resolvable THEN 'resolved' ELSE 'still_ambiguous' END AS resolution,
+  CASE WHEN resolvable THEN row_number() OVER (PARTITION BY acct, us, category ORDER BY tick_us NULLS LAST, tick_seq, event_id) END AS place FROM r""",
 )
 def same_second_resolution(spark, d):
-    return A.same_time_order(matched(spark, d), ["acct"]).select("event_id", "size", "resolvable", "place")
+    """Positions that close when another opens, so that their events are ambiguous."""
+    m = A.best_matches(A.candidates(align_events(spark, d, apart=0), quotes(spark, d), [], UNIT), 0.01, 0.05, 0.5)
+    return A.same_time_order(m, ["acct"]).select("event_id", "size", "resolvable", "resolution", "place")
 
 
 @query("primary_samples", f"WITH {ALIGN_SQL} SELECT quality, count(*) AS n FROM matched WHERE volume = 0.3 AND category = 'classified_standard' AND (before IN ('HEDGED_1X1', 'ONE_BUY', 'ONE_SELL') OR after IN ('HEDGED_1X1', 'ONE_BUY', 'ONE_SELL')) AND quality IN ('HIGH', 'MEDIUM') GROUP BY quality")
@@ -236,21 +226,26 @@ def boundary_retracement(spark, d):
     return X.retracement(quotes(spark, d), ["symbol"], WINDOW)
 
 
-SNAP_SQL = f"""{ANCHORS_SQL}, pv AS (SELECT *, lag(us) OVER (PARTITION BY symbol ORDER BY us, seq) AS us_before FROM quotes),
-an AS (SELECT a.anchor_id, a.symbol, a.us, q.us AS anchor_us, q.mid AS anchor_mid FROM (SELECT *, us - {WINDOW} AS w FROM anchors) a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.w >= q.us),
-ins AS (SELECT an.anchor_id, count(*) AS n, max(mid) AS high, min(mid) AS low, arg_max(mid, (p.us, p.seq)) AS last, max(p.us) AS last_us, max(p.us - greatest(us_before, anchor_us)) AS longest
-  FROM an JOIN pv p ON p.symbol = an.symbol AND p.us >= an.us - {WINDOW} AND p.us <= an.us GROUP BY 1),
-sn AS (SELECT an.*, coalesce(n, 0) AS n, greatest(high, anchor_mid) AS high, least(low, anchor_mid) AS low, coalesce(last, anchor_mid) AS last, greatest(coalesce(longest, 0), an.us - coalesce(last_us, anchor_us)) AS longest FROM an LEFT JOIN ins USING (anchor_id))"""
+SNAP_SQL = f"""{MARKED_SQL}, t AS (SELECT symbol, seq, us, lag(us) OVER w AS us_before, coalesce(duplicate OR us = lag(us) OVER w, duplicate) AS repeats, seq % 97 <> 0 AS valid,
+    CAST((CAST(bid AS DECIMAL(16,8)) + CAST(ask AS DECIMAL(16,8))) / 2 AS DECIMAL(18,9)) AS mid, CAST(ask AS DECIMAL(16,8)) - CAST(bid AS DECIMAL(16,8)) AS spread
+  FROM (SELECT symbol, seq, us, bid, ask, seq % 23 = 0 AS duplicate FROM quotes) WINDOW w AS (PARTITION BY symbol ORDER BY us, seq)),
+p AS (SELECT a.anchor_id, a.us AS decided, t.*, max(CASE WHEN t.us <= a.us - {WINDOW} THEN (t.us, t.seq) END) OVER (PARTITION BY a.anchor_id) AS anchor FROM anchors a JOIN t ON t.symbol = a.symbol AND t.us >= a.us - {3 * WINDOW} AND t.us <= a.us),
+g AS (SELECT anchor_id, count(*) FILTER (us >= decided - {WINDOW}) AS n, bool_or(NOT valid) AS invalid, max(anchor) AS anchor, bool_or(repeats) AS repeats, bool_or((us, seq) >= anchor AND repeats) AS window_repeats,
+  max(us - us_before) FILTER ((us, seq) > anchor) AS longest, max(us) AS last_us, max(mid) FILTER ((us, seq) >= anchor) AS high, min(mid) FILTER ((us, seq) >= anchor) AS low, arg_min(mid, (us, seq)) FILTER ((us, seq) >= anchor) AS first,
+  arg_max(mid, (us, seq)) AS last, arg_max(spread, (us, seq)) AS spread FROM p GROUP BY 1),
+sn AS (SELECT a.anchor_id AS decision_id, a.us, g.*, greatest(coalesce(longest, 0), a.us - last_us) AS gap, CASE WHEN invalid THEN 'invalid_row' WHEN last_us IS NULL THEN 'empty_prefix' WHEN anchor IS NULL THEN CASE WHEN repeats THEN 'duplicate_timestamp' ELSE 'no_anchor' END
+    WHEN window_repeats THEN 'duplicate_timestamp' WHEN greatest(coalesce(longest, 0), a.us - last_us) > {HOUR} THEN 'quote_gap' ELSE 'supported' END AS support FROM anchors a LEFT JOIN g USING (anchor_id))"""
 
 
 @query(
     "snapshot_60",
-    f"""WITH {SNAP_SQL} SELECT anchor_id AS decision_id, us, anchor_us, n, CASE WHEN anchor_us IS NOT NULL THEN round((last - anchor_mid) * 100, 6) END AS increment, CASE WHEN anchor_us IS NOT NULL THEN round((anchor_mid - low) * 100, 6) END AS buy_adverse,
-  CASE WHEN anchor_us IS NOT NULL THEN round((high - anchor_mid) * 100, 6) END AS sell_adverse, CASE WHEN anchor_us IS NOT NULL THEN longest END AS longest_gap,
-  CASE WHEN anchor_us IS NULL THEN 'no_anchor' WHEN longest > {HOUR} THEN 'quote_gap' ELSE 'supported' END AS support FROM sn""",
+    f"""WITH {SNAP_SQL} SELECT decision_id, us, support, coalesce(n, 0) AS n, CASE WHEN support = 'supported' THEN CAST((last - first) * 100 AS DOUBLE) END AS increment, CASE WHEN support = 'supported' THEN CAST((first - low) * 100 AS DOUBLE) END AS buy_adverse,
+  CASE WHEN support = 'supported' THEN CAST((high - first) * 100 AS DOUBLE) END AS sell_adverse, CASE WHEN support = 'supported' THEN CAST(spread * 100 AS DOUBLE) END AS spread, CASE WHEN support IN ('supported', 'quote_gap') THEN gap END AS longest_gap FROM sn""",
 )
-def snapshot_60(spark, d, anchors=anchors):
-    return X.snapshot(anchors(spark, d).withColumnRenamed("anchor_id", "decision_id"), quotes(spark, d), ["symbol"], WINDOW, HOUR)
+def snapshot_60(spark, d):
+    ticks = quotes(spark, d).withColumns({"valid": F.col("seq") % 97 != 0, "duplicate": F.col("seq") % 23 == 0})
+    found = X.snapshot(anchors(spark, d).withColumnRenamed("anchor_id", "decision_id"), ticks, ["symbol"], WINDOW, HOUR, 3 * WINDOW)
+    return found.withColumns({c: F.col(c).cast("double") for c in ("increment", "buy_adverse", "sell_adverse", "spread")})
 
 
 @query(
@@ -279,11 +274,3 @@ def winsor_caps(spark, d):
 def json_props(spark, d):
     e = table(spark, d, "events").withColumn("p", F.from_json("props", "k bigint"))
     return e.groupBy("event_type", (F.col("p.k") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-
-
-# The queries on anchors over every quote's time. The SQL above is fixed, so these stand beside them.
-EVERY_ANCHOR_SQL = f"{QUOTES_SQL}, anchors AS (SELECT symbol, seq AS anchor_id, us + 37000000 AS us FROM quotes)"
-ON_ANCHORS = ("asof_backward", "asof_forward", "asof_forward_window", "asof_nearest", "execution_quote", "mark_quote", "snapshot_60")
-
-for _name in ON_ANCHORS:
-    query(f"{_name}_every", SQL[_name].replace(ANCHORS_SQL, EVERY_ANCHOR_SQL))(partial(Q[_name], anchors=every_anchor))

@@ -14,14 +14,6 @@ from ledgerloom.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-#: The registered queries whose plans are small; the others take minutes together and are held against their SQL outside the tests.
-LIGHT = [
-    "tick_quotes", "tick_validity_counts", "tick_dup_order_counters", "minute_bars", "position_dedupe", "position_conflicts", "order_collisions", "concurrency_segments", "orphan_closes",
-    "merged_positions", "coverage_gaps", "gap_recurrence", "gap_contiguity", "overlap_rejects", "asof_backward", "asof_backward_strict", "asof_forward", "asof_nearest", "execution_quote",
-    "boundary_sequence", "snapshot_60", "exclusion_waterfall", "winsor_caps", "json_props",
-]
-
-
 def plain(value):
     return round(float(value), 6) if isinstance(value, (float, Decimal)) else value
 
@@ -34,7 +26,7 @@ def con():
     return out
 
 
-@pytest.mark.parametrize("name", LIGHT)
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_as_sql(spark, con, name):
     expected = con.execute(registry.ORACLE_SQL[name])
     columns = [c[0] for c in expected.description]
