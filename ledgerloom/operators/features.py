@@ -106,8 +106,8 @@ def snapshot(decisions: DataFrame, ticks: DataFrame, keys: Sequence[str], width:
     pairs = range_join(decisions.select(*keys, "decision_id", "us"), t, keys, F.col("us") - lookback, F.col("us") + 1, "us", lookback)
     before = F.col("r.us") <= F.col("l.us") - width
     order = F.struct("r.us", "r.seq")
-    anchors = pairs.groupBy("l.decision_id").agg(F.max(F.when(before, order)).alias("anchor"))
-    pairs = pairs.select("l.decision_id", F.col("l.us").alias("decided"), "r.*").join(anchors, "decision_id")
+    anchor = F.max(F.when(before, order)).over(W.partitionBy("l.decision_id")).alias("anchor")
+    pairs = pairs.select("l.decision_id", F.col("l.us").alias("decided"), "r.*", anchor)
     counted = F.struct("us", "seq") >= F.col("anchor")
     later = F.struct("us", "seq") > F.col("anchor")
     got = pairs.groupBy("decision_id").agg(

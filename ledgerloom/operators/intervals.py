@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import ENDPOINTS
@@ -39,14 +40,13 @@ def recurring(gaps: DataFrame, keys: Sequence[str], tolerance: int, least: int)
     return n.withColumn("class", F.when(F.col("n") >= least, "scheduled_market_closed").otherwise("unknown_coverage_gap"))
 
 
-def with_tail(intervals: DataFrame, events: DataFrame, keys: Sequence[str], coverage_end: int) -> DataFrame:
-    """intervals and, per key, the right-censored one from the last event up to the coverage's end, if that is later."""
-    last = events.filter(F.col("us") <= coverage_end).groupBy(*keys).agg(F.max_by(F.struct("us", "after", "seq", "behavior"), F.struct("us", "seq")).alias("e"))
-    tail = last.filter(F.col("e.us") < coverage_end).select(
-        *keys, F.col("e.seq").alias("interval_id"), F.col("e.us").alias("start_us"), F.lit(coverage_end).cast("bigint").alias("end_us"), F.col("e.after").alias("state"), F.col("e.behavior").alias("behavior"),
-        F.lit(None).cast("string").alias("following"), F.lit(True).alias("is_tail"),
-    )
-    return intervals.filter(F.col("end_us") <= coverage_end).withColumn("is_tail", F.lit(False)).unionByName(tail, allowMissingColumns=True)
+def intervals_to(events: DataFrame, keys: Sequence[str], coverage_end: int) -> DataFrame:
+    """Spans between consecutive events up to the coverage's end, the last one of each key right-censored there (is_tail) if it has a length."""
+    w = W.partitionBy(*keys).orderBy("seq")
+    own = events.filter(F.col("us") <= coverage_end).withColumns({"next_us": F.lead("us").over(w), "following": F.lead("behavior").over(w)})
+    own = own.withColumn("is_tail", F.col("next_us").isNull()).filter(~F.col("is_tail") | (F.col("us") < coverage_end))
+    end = F.coalesce("next_us", F.lit(coverage_end).cast("bigint")).alias("end_us")
+    return own.select(*keys, F.col("seq").alias("interval_id"), F.col("us").alias("start_us"), end, F.col("after").alias("state"), "behavior", "following", "is_tail")
 
 
 def cut_at(df: DataFrame, start: str, end: str, width: int) -> DataFrame:

@@ -75,9 +75,7 @@ TAIL_SQL = f"""{INTERVALS_SQL}, tailed AS (SELECT acct, interval_id, start_us, e
 def tailed(spark, d):
     p = positions(spark, d)
     lo, hi = bounds_of(p)
-    e = L.lifecycle(p)
-    i = L.intervals(e).select("acct", "interval_id", "start_us", "end_us", "state", "behavior", "following")
-    return I.with_tail(i, e, ["acct"], hi), lo, hi
+    return I.intervals_to(L.lifecycle(p), ["acct"], hi), lo, hi
 
 
 @query("risk_tail", f"WITH {TAIL_SQL} SELECT acct, interval_id, start_us, end_us, state, behavior, following, is_tail FROM tailed")

@@ -26,18 +26,12 @@ QUOTES_SQL = "quotes AS (SELECT event_type AS symbol, event_id AS seq, epoch_us(
 
 def positions(spark: SparkSession, sf_dir: str, legs: int = 2, apart: int = SECOND) -> DataFrame:
     """One book per user: each event opens a position that the event ``legs`` later closes, ``apart`` before it."""
-    e = table(spark, sf_dir, "events")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(
-        F.col("user_id").alias("acct"),
-        F.col("event_id").alias("position_id"),
-        F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"),
-        F.when(F.col("event_id") % 5 == 0, F.lit("0.2")).otherwise(F.lit("0.3")).cast("decimal(12,8)").alias("volume"),
-        to_us("ts").alias("open_us"),
-        F.col("value").alias("open_price"),
-        (to_us(F.lead("ts", legs).over(w)) - apart).alias("close_us"),
-        F.lead("value", legs).over(w).alias("close_price"),
-    )
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("acct"), F.col("event_id").alias("position_id"), to_us("ts").alias("open_us"), F.col("value").alias("open_price"))
+    w = W.partitionBy("acct").orderBy("open_us", "position_id")
+    e = e.withColumns({"close_us": F.lead("open_us", legs).over(w) - apart, "close_price": F.lead("open_price", legs).over(w)})
+    side = F.when(F.col("position_id") % 2 == 0, "buy").otherwise("sell").alias("side")
+    volume = F.when(F.col("position_id") % 5 == 0, F.lit("0.2")).otherwise(F.lit("0.3")).cast("decimal(12,8)").alias("volume")
+    return e.select("acct", "position_id", side, volume, "open_us", "open_price", "close_us", "close_price")
 
 
 def positions_sql(legs: int = 2, apart: int = SECOND) -> str:
