@@ -72,8 +72,8 @@ TAIL_SQL = f"""{INTERVALS_SQL}, tailed AS (SELECT acct, interval_id, start_us, e
   UNION ALL SELECT acct, seq, us, hi, after, behavior, NULL, true FROM (SELECT e.*, hi, row_number() OVER (PARTITION BY acct ORDER BY us DESC, seq DESC) AS rn FROM events_m2 e, bounds WHERE us <= hi) WHERE rn = 1 AND us < hi)"""
 
 
-def tailed(spark, d):
-    p = positions(spark, d)
+def tailed(spark, d, unit=1):
+    p = positions(spark, d, unit=unit)
     lo, hi = bounds_of(p)
     return I.intervals_to(L.lifecycle(p), ["acct"], hi), lo, hi
 
@@ -100,8 +100,8 @@ fragments AS (
 )"""
 
 
-def fragments_of(spark, d):
-    i, lo, hi = tailed(spark, d)
+def fragments_of(spark, d, unit=1):
+    i, lo, hi = tailed(spark, d, unit)
     return I.partition_risk(i, gaps_of(spark, d), ["acct"], lo, hi)
 
 
@@ -170,8 +170,8 @@ BINS_SQL = f"""{FRAGMENTS_SQL}, bins AS (SELECT acct, interval_id, state, follow
   FROM (SELECT *, unnest(range((start_us + {WIDTH} - 1) // {WIDTH}, end_us // {WIDTH})) AS k FROM fragments WHERE NOT is_gap AND NOT is_zero AND state IN ('HEDGED_1X1', 'ONE_BUY', 'ONE_SELL')))"""
 
 
-def bins_of(spark, d):
-    return I.risk_bins(fragments_of(spark, d), ["acct"], WIDTH)
+def bins_of(spark, d, unit=1):
+    return I.risk_bins(fragments_of(spark, d, unit), ["acct"], WIDTH)
 
 
 @query("risk_bins", f"WITH {BINS_SQL} SELECT acct, interval_id, endpoint, bin_start, bin_end, target, competing, is_left_truncated FROM bins")
@@ -179,9 +179,13 @@ def risk_bins(spark, d):
     return bins_of(spark, d).select("acct", "interval_id", "endpoint", "bin_start", "bin_end", "target", "competing", "is_left_truncated")
 
 
-@query("bin_labels", f"WITH {BINS_SQL} SELECT endpoint, target, competing, count(*) AS n FROM bins GROUP BY ALL")
+#: Bins of events at whole bins, so that some end in one.
+WHOLE_BINS_SQL = BINS_SQL.replace(positions_sql(), positions_sql(unit=WIDTH))
+
+
+@query("bin_labels", f"WITH {WHOLE_BINS_SQL} SELECT endpoint, target, competing, count(*) AS n FROM bins GROUP BY ALL")
 def bin_labels(spark, d):
-    return bins_of(spark, d).groupBy("endpoint", "target", "competing").agg(F.count(F.lit(1)).alias("n"))
+    return bins_of(spark, d, WIDTH).groupBy("endpoint", "target", "competing").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -198,14 +202,14 @@ def bin_accounting(spark, d):
 
 @query(
     "interval_audit",
-    f"""WITH {BINS_SQL}, n AS (SELECT acct, interval_id, count(*) AS bins, max(target) AS target, max(competing) AS competing FROM bins GROUP BY ALL)
+    f"""WITH {WHOLE_BINS_SQL}, n AS (SELECT acct, interval_id, count(*) AS bins, max(target) AS target, max(competing) AS competing FROM bins GROUP BY ALL)
 SELECT t.acct, t.interval_id, t.state, coalesce(n.bins, 0) AS bins, coalesce(n.target, 0) AS target, coalesce(n.competing, 0) AS competing,
   CASE WHEN n.target = 1 THEN 'target_event' WHEN n.competing = 1 THEN 'competing_endpoint' WHEN t.following IS NULL THEN 'synthetic_right_censor' END AS censor_reason,
   CASE WHEN t.start_us < lo THEN 'left_truncated' WHEN n.bins IS NULL AND t.state NOT IN ('HEDGED_1X1', 'ONE_BUY', 'ONE_SELL') THEN 'ineligible_state' WHEN n.bins IS NULL THEN 'no_complete_bin' END AS exclusion_reason
 FROM bounds, tailed t LEFT JOIN n ON n.acct = t.acct AND n.interval_id = t.interval_id""",
 )
 def interval_audit(spark, d):
-    i, lo, hi = tailed(spark, d)
+    i, lo, hi = tailed(spark, d, WIDTH)
     bins = I.risk_bins(I.partition_risk(i, gaps_of(spark, d), ["acct"], lo, hi), ["acct"], WIDTH)
     return I.interval_audit(i, bins, ["acct"], lo)
 
