@@ -209,3 +209,16 @@ def transitions(events: DataFrame, states: Sequence[str]) -> DataFrame:
     pairs = one.select(F.col("s").alias("before")).crossJoin(one.select(F.col("s").alias("after")))
     n = events.groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
     return F.broadcast(pairs).join(n, ["before", "after"], "left").select("before", "after", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def conservation(positions: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
+    """Of closed positions per key: open at ``low``, opened and closed in (low, high], open at ``high``, and whether that adds up."""
+    opened, closed = F.col("open_us"), F.col("close_us")
+    out = positions.groupBy(*keys).agg(
+        F.count_if((opened <= low) & (closed > low)).alias("at_start"),
+        F.count_if((opened > low) & (opened <= high) & closed.isNotNull()).alias("opens"),
+        F.count_if((closed > low) & (closed <= high)).alias("closes"),
+        F.count_if((opened <= high) & (closed > high)).alias("at_end"),
+    )
+    result = F.col("at_start") + F.col("opens") - F.col("closes")
+    return out.withColumns({"result": result, "status": F.when(result == F.col("at_end"), "PASS").otherwise("FAIL")})
