@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 from .order import DAY, range_join, with_halo, with_previous
 
 
-def rolling(ticks: DataFrame, keys: Sequence[str], width: int, bucket: int = DAY) -> DataFrame:
-    """For each tick what [us - width, us] holds: range, position in it (one half if flat), times since the last extremes, return, moves.
+def rolling(ticks: DataFrame, keys: Sequence[str], width: int, gap: int | None = None, bucket: int = DAY) -> DataFrame:
+    """For each tick what [us - width, us] holds: range, position in it (one half if flat), distances and times from the last extremes, return, moves, their imbalance and volatility, spread.
 
-    Moves are counted within the window only, so the step into its first tick is none of them. Valid
-    with two ticks at least and a window that doesn't begin before the key's first tick.
+    The return is the last price over the first, less one; moves are counted within the window only, so
+    the step into its first tick is none of them; volatility is the root of their squares' sum. Valid
+    with two ticks at least, a window that doesn't begin before the key's first tick and, where ``gap``
+    is given, no gap between ticks longer than that from before the window's end to after its start.
     """
     keys = list(keys)
     first = ticks.groupBy(*keys).agg(F.min("us").alias("first_us"))
-    t = with_previous(ticks, keys, "us", ["seq"], {"mid_before": "mid"}, bucket)
+    t = with_previous(ticks, keys, "us", ["seq"], {"mid_before": "mid", "us_before": "us"}, bucket)
     t = t.withColumn("step", F.col("mid") - F.col("mid_before"))
     t = with_halo(t, "us", width, bucket)
     w = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween(-width, 0)
+    inside = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween(-width + 1, 0)
     order = F.struct("us", "seq")
     # Of ticks of one time at the window's edge all are in it; the first by sequence has the step that isn't.
     t = t.withColumns(
@@ -32,39 +35,55 @@ def rolling(ticks: DataFrame, keys: Sequence[str], width: int, bucket: int = DAY
             "low": F.min("mid").over(w),
             "high_us": F.max(F.struct("mid", "us")).over(w)["us"],
             "low_us": F.max(F.struct((-F.col("mid")).alias("m"), F.col("us"))).over(w)["us"],
-            "first_mid": F.min_by("mid", order).over(w),
-            "last_mid": F.max_by("mid", order).over(w),
-            "first_step": F.min_by("step", order).over(w),
+            "first": F.min_by(F.struct("mid", "step"), order).over(w),
+            "last": F.max_by(F.struct("mid", (F.col("ask") - F.col("bid")).alias("spread")), order).over(w),
             "ups": F.count(F.when(F.col("step") > 0, 1)).over(w),
             "downs": F.count(F.when(F.col("step") < 0, 1)).over(w),
+            "squares": F.sum(F.col("step") * F.col("step")).over(w),
+            "longest": F.max(F.col("us") - F.col("us_before")).over(inside),
         }
     ).filter("NOT _halo")
-    t = t.withColumns({"ups": F.col("ups") - F.coalesce((F.col("first_step") > 0).cast("bigint"), F.lit(0)), "downs": F.col("downs") - F.coalesce((F.col("first_step") < 0).cast("bigint"), F.lit(0))})
-    span = F.col("high") - F.col("low")
+    own = F.col("first.step")
+    less = lambda c, what: F.col(c) - F.coalesce(what, F.lit(0))
+    t = t.withColumns({"ups": less("ups", (own > 0).cast("bigint")), "downs": less("downs", (own < 0).cast("bigint")), "squares": F.coalesce("squares", F.lit(0.0)) - F.coalesce(own * own, F.lit(0.0))})
+    span, mid = F.col("high") - F.col("low"), F.col("last.mid")
     t = t.join(first, keys)
+    unbroken = F.lit(True) if gap is None else F.coalesce(F.col("longest") <= gap, F.lit(True))
     return t.select(
-        *keys, "seq", "us", "n", "high", "low", F.round(F.when(span > 0, (F.col("last_mid") - F.col("low")) / span).otherwise(0.5), 9).alias("position"),
-        (F.col("us") - F.col("high_us")).alias("since_high"), (F.col("us") - F.col("low_us")).alias("since_low"), F.round(F.col("last_mid") - F.col("first_mid"), 9).alias("move"), "ups", "downs",
-        ((F.col("n") >= 2) & (F.col("us") - width >= F.col("first_us"))).alias("valid"),
+        *keys, "seq", "us", "n", "high", "low", F.round(F.when(span > 0, (mid - F.col("low")) / span).otherwise(0.5), 9).alias("position"), F.round(F.col("high") - mid, 9).alias("from_high"), F.round(mid - F.col("low"), 9).alias("from_low"),
+        (F.col("us") - F.col("high_us")).alias("since_high"), (F.col("us") - F.col("low_us")).alias("since_low"), F.round(F.try_divide(mid, F.col("first.mid")) - 1, 9).alias("return"), F.round(mid - F.col("first.mid"), 9).alias("change"), "ups", "downs",
+        F.round((F.col("ups") - F.col("downs")) / F.greatest(F.col("n") - 1, F.lit(1)), 9).alias("imbalance"), F.round(F.sqrt(F.greatest("squares", F.lit(0.0))), 6).alias("volatility"), F.round("last.spread", 9).alias("spread"),
+        ((F.col("n") >= 2) & (F.col("us") - width >= F.col("first_us")) & unbroken).alias("valid"),
     )
 
 
+def of_symbols(df: DataFrame, column: str, symbols: Sequence[str]) -> DataFrame:
+    """Rows of the symbols, case and white space around them not minded."""
+    return df.filter(F.upper(F.trim(column)).isin(*[s.strip().upper() for s in symbols]))
+
+
 def boundary_touch(ticks: DataFrame, keys: Sequence[str], width: int, bucket: int = DAY) -> DataFrame:
-    """Two stages: the range of [us - 2w, us - w), and whether [us - w, us] reaches beyond either end of it.
+    """Two stages: the range of [us - 2w, us - w), and whether [us - w, us] reaches beyond either end of it, or [us - w, us) already does.
 
     Complete needs ticks in the earlier part and a range above zero.
     """
     keys = list(keys)
     t = with_halo(ticks, "us", 2 * width, bucket)
-    earlier = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween(-2 * width, -width - 1)
-    later = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween(-width, 0)
+    frame = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween
+    earlier, later, before = frame(-2 * width, -width - 1), frame(-width, 0), frame(-width, -1)
     t = t.withColumns(
-        {"prior_high": F.max("mid").over(earlier), "prior_low": F.min("mid").over(earlier), "prior_n": F.count("mid").over(earlier), "high": F.max("mid").over(later), "low": F.min("mid").over(later)}
-    ).filter("NOT _halo")
+        {
+            "prior_high": F.max("mid").over(earlier), "prior_low": F.min("mid").over(earlier), "prior_n": F.count("mid").over(earlier), "high": F.max("mid").over(later), "low": F.min("mid").over(later),
+            "high_before": F.max("mid").over(before), "low_before": F.min("mid").over(before),
+        }
+    ).filter("NOT _halo")
     complete = (F.col("prior_n") > 0) & (F.col("prior_high") > F.col("prior_low"))
+    when = lambda c: F.when(complete, c)
+    above = lambda x: F.round(F.greatest(x, F.lit(0.0)), 9)
     return t.select(
-        *keys, "seq", "us", "prior_n", "prior_high", "prior_low", complete.alias("complete"), F.when(complete, F.col("high") >= F.col("prior_high")).alias("touches_high"),
-        F.when(complete, F.col("low") <= F.col("prior_low")).alias("touches_low"), F.when(complete, F.round(F.greatest(F.col("high") - F.col("prior_high"), F.lit(0.0)), 9)).alias("breach_high"),
+        *keys, "seq", "us", "prior_n", "prior_high", "prior_low", complete.alias("complete"), when(F.col("high") >= F.col("prior_high")).alias("touches_high"), when(F.col("low") <= F.col("prior_low")).alias("touches_low"),
+        when(F.coalesce(F.col("high_before") >= F.col("prior_high"), F.lit(False))).alias("touched_high"), when(F.coalesce(F.col("low_before") <= F.col("prior_low"), F.lit(False))).alias("touched_low"),
+        when(above(F.col("high") - F.col("prior_high"))).alias("breach_high"), when(above(F.col("prior_low") - F.col("low"))).alias("breach_low"),
     )
 
 

@@ -187,30 +187,35 @@ def effective_times(spark, d):
     return matched(spark, d).select("event_id", F.coalesce(good, F.col("us")).alias("effective_us"))
 
 
-ROLL_SQL = f"""{QUOTES_SQL}, st AS (SELECT *, mid - lag(mid) OVER (PARTITION BY symbol ORDER BY us, seq) AS step, min(us) OVER (PARTITION BY symbol) AS first_us FROM quotes),
-roll AS (SELECT symbol, seq, us, first_us, count(*) OVER w AS n, max(mid) OVER w AS high, min(mid) OVER w AS low, max((mid, us)) OVER w AS h, max((-mid, us)) OVER w AS l,
-  arg_min(mid, (us, seq)) OVER w AS first_mid, mid AS last_mid, arg_min(coalesce(step, 0), (us, seq)) OVER w AS first_step, count(*) FILTER (step > 0) OVER w AS ups, count(*) FILTER (step < 0) OVER w AS downs
-  FROM st WINDOW w AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW))"""
+ROLL_SQL = f"""{QUOTES_SQL}, st AS (SELECT *, ask - bid AS spread, mid - lag(mid) OVER (PARTITION BY symbol ORDER BY us, seq) AS step, us - lag(us) OVER (PARTITION BY symbol ORDER BY us, seq) AS wait, min(us) OVER (PARTITION BY symbol) AS first_us FROM quotes),
+roll AS (SELECT symbol, seq, us, first_us, count(*) OVER w AS n, max(mid) OVER w AS high, min(mid) OVER w AS low, max((mid, us)) OVER w AS h, max((-mid, us)) OVER w AS l, spread,
+  arg_min(mid, (us, seq)) OVER w AS first_mid, mid AS last_mid, arg_min(coalesce(step, 0), (us, seq)) OVER w AS first_step, count(*) FILTER (step > 0) OVER w AS ups, count(*) FILTER (step < 0) OVER w AS downs, sum(step * step) OVER w AS squares,
+  max(wait) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS longest
+  FROM st WINDOW w AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW)),
+rolled AS (SELECT *, ups - CAST(first_step > 0 AS BIGINT) AS up, downs - CAST(first_step < 0 AS BIGINT) AS down FROM roll)"""
+BROKEN = 40 * MINUTE
 
 
 @query(
     "window_features",
-    f"""WITH {ROLL_SQL} SELECT symbol, seq, us, n, high, low, round(CASE WHEN high > low THEN (last_mid - low) / (high - low) ELSE 0.5 END, 9) AS position, us - h[2] AS since_high, us - l[2] AS since_low,
-  round(last_mid - first_mid, 9) AS move, ups - CAST(first_step > 0 AS BIGINT) AS ups, downs - CAST(first_step < 0 AS BIGINT) AS downs, n >= 2 AND us - {WINDOW} >= first_us AS valid FROM roll""",
+    f"""WITH {ROLL_SQL} SELECT symbol, seq, us, n, high, low, round(CASE WHEN high > low THEN (last_mid - low) / (high - low) ELSE 0.5 END, 9) AS position, round(high - last_mid, 9) AS from_high, round(last_mid - low, 9) AS from_low, us - h[2] AS since_high, us - l[2] AS since_low,
+  round(CASE WHEN first_mid <> 0 THEN last_mid / first_mid END - 1, 9) AS "return", round(last_mid - first_mid, 9) AS change, up AS ups, down AS downs, round((up - down) / greatest(n - 1, 1), 9) AS imbalance,
+  round(sqrt(greatest(coalesce(squares, 0) - first_step * first_step, 0)), 6) AS volatility, round(spread, 9) AS spread, n >= 2 AND us - {WINDOW} >= first_us AND coalesce(longest <= {BROKEN}, true) AS valid FROM rolled""",
 )
 def window_features(spark, d):
-    return X.rolling(quotes(spark, d), ["symbol"], WINDOW)
+    return X.rolling(quotes(spark, d), ["symbol"], WINDOW, BROKEN)
 
 
-TOUCH_SQL = f"""{QUOTES_SQL}, tw AS (SELECT symbol, seq, us, count(mid) OVER p AS prior_n, max(mid) OVER p AS prior_high, min(mid) OVER p AS prior_low, max(mid) OVER n AS high, min(mid) OVER n AS low FROM quotes
-  WINDOW p AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {2 * WINDOW} PRECEDING AND {WINDOW + 1} PRECEDING), n AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW)),
+TOUCH_SQL = f"""{QUOTES_SQL}, tw AS (SELECT symbol, seq, us, count(mid) OVER p AS prior_n, max(mid) OVER p AS prior_high, min(mid) OVER p AS prior_low, max(mid) OVER n AS high, min(mid) OVER n AS low, max(mid) OVER b AS high_before, min(mid) OVER b AS low_before FROM quotes
+  WINDOW p AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {2 * WINDOW} PRECEDING AND {WINDOW + 1} PRECEDING), n AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING)),
 touch AS (SELECT *, prior_n > 0 AND coalesce(prior_high > prior_low, false) AS complete FROM tw)"""
 
 
 @query(
     "boundary_sequence",
     f"""WITH {TOUCH_SQL} SELECT symbol, seq, us, prior_n, prior_high, prior_low, complete, CASE WHEN complete THEN high >= prior_high END AS touches_high, CASE WHEN complete THEN low <= prior_low END AS touches_low,
-  CASE WHEN complete THEN round(greatest(high - prior_high, 0.0), 9) END AS breach_high FROM touch""",
+  CASE WHEN complete THEN coalesce(high_before >= prior_high, false) END AS touched_high, CASE WHEN complete THEN coalesce(low_before <= prior_low, false) END AS touched_low,
+  CASE WHEN complete THEN round(greatest(high - prior_high, 0.0), 9) END AS breach_high, CASE WHEN complete THEN round(greatest(prior_low - low, 0.0), 9) END AS breach_low FROM touch""",
 )
 def boundary_sequence(spark, d):
     t = X.boundary_touch(quotes(spark, d), ["symbol"], WINDOW)
