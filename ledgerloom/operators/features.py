@@ -192,12 +192,6 @@ def first_reason(reasons: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(c, F.lit(name)) for name, c in reasons.items()])
 
 
-def expected_score(behavior: Column, h1: Column, h3: Column) -> dict[str, Column]:
-    """Hypotheses' scores in the direction that each behaviour should have."""
-    sells = behavior.isin("REHEDGE_SELL", "UNLOCK_TO_SELL")
-    return {"h1": F.when(sells, h1).otherwise(1 - h1), "h3": F.when(behavior == "UNLOCK_TO_BUY", h3).otherwise(-h3)}
-
-
 def cap_at(value: Column, cap: Column) -> Column:
     """Clip from above; null stays null."""
     return F.when(value.isNotNull(), F.least(value, cap))

@@ -71,7 +71,6 @@ def asof_backward(
 
     Of right rows of the same time the last one by right_ties counts. Left rows without one get nulls.
     """
-    width = len(keys)
     hit = F.struct(*[F.col(c).alias(n) for n, c in values.items()], F.lit(True).alias("_hit"))
     r = right.select(*keys, F.col(right_time).alias("_t"), F.struct(*right_ties).alias("_tie"), hit.alias("_r"))
     rows = left.withColumn("_left", F.struct(*left.columns)).select(*keys, F.col(left_time).alias("_t"), "_left")
@@ -86,7 +85,6 @@ def asof_backward(
     own = both.withColumn("_own", F.last("_r", ignorenulls=True).over(within)).filter(F.col("_left").isNotNull())
     joined = own.alias("l").join(carry.alias("c"), _matching([*keys, "_bucket"], "l", "c"))
     found = F.coalesce(F.col("l._own"), F.col("c._carry"))
-    assert width >= 0
     return joined.select("l._left.*", *[found[n].alias(n) for n in values])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import age_stratum, logit, smoothed_rate
 from ..operators import hazard as H
 from ..operators.order import DAY, HOUR
+from ..schema import allow_only
 from ..sources.shared import written
 from .interval_queries import WHOLE_BINS_SQL, WIDTH, bins_of
 
@@ -179,7 +180,7 @@ def session_baseline(spark, d):
     """Three block effects over the age table's log odds, by Newton steps over all bins of the common hours, a little regularized as a block may have no event; no SQL, tests compare with numpy."""
     p = predicted(spark, d).filter("split = 'development'").withColumn("hour", F.floor(F.pmod("bin_start", F.lit(DAY)) / HOUR)).filter("hour >= 12")
     blocks = [name for name, _, _ in H.SESSION_BLOCKS]
-    p = p.withColumns({**H.session_blocks(F.col("hour")), "offset": logit(F.col("p_age"))})
+    p = allow_only(p.withColumns({**H.session_blocks(F.col("hour")), "offset": logit(F.col("p_age"))}), [*blocks, "offset", "target"], forbidden=["interval_end", "following"])
     p = written(p.groupBy(*blocks, "offset", "target").agg(F.count(F.lit(1)).alias("n")), "session-cells")
     _, effects = H.fit_logistic(p, blocks, "target", offset="offset", intercept=False, weight="n", regularization=1e-3)
     return spark.createDataFrame(list(zip(blocks, effects)), "block string, effect double")

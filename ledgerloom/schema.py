@@ -1,51 +1,19 @@
-"""Closed value universes, table schemas and column checks."""
+"""Closed value universes and column checks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 # The closed universes that results are counted over.
 STATES = ("FLAT", "ONE_BUY", "ONE_SELL", "HEDGED_1X1", "UNBALANCED_HEDGE", "MULTI_POSITION")
 OBSERVED_STATES = (*STATES, "CENSORED")
-POLICY_STATES = ("HEDGED", "ONE_BUY", "ONE_SELL", "TERMINAL", "CENSORED")
-CATEGORIES = ("ambiguous_ordering", "boundary", "multi_position", "unbalanced_hedge", "classified_standard", "unsupported")
-QUALITIES = ("HIGH", "MEDIUM", "LOW", "AMBIGUOUS", "UNMATCHED")
-CLOCKS = ("utc_plus_2", "utc_plus_3", "eu_dst_2025_2026")
-DELAYS = (0, 300, 900, 3600)
 ENDPOINTS = {
     "HEDGED_1X1": ("unlock_occurrence", ("UNLOCK_TO_BUY", "UNLOCK_TO_SELL")),
     "ONE_BUY": ("rehedge_sell_occurrence", ("REHEDGE_SELL",)),
     "ONE_SELL": ("rehedge_buy_occurrence", ("REHEDGE_BUY",)),
 }
-CANDIDATES = (
-    "hold_only",
-    "close_buy_increment_ge_0",
-    "close_sell_increment_le_0",
-    "close_buy_adverse_ge_10",
-    "close_sell_adverse_ge_10",
-    "rehedge_mirror_active_leg",
-)
-COST_SCENARIOS = ("zero_cost", "fixed_fee", "per_lot_fee", "spread_slippage", "latency_slippage")
-
-QUANTITY = T.DecimalType(12, 8)
-PRICE = T.DecimalType(16, 8)
-
-TICKS = T.StructType(
-    [
-        T.StructField("timestamp", T.TimestampNTZType()),
-        T.StructField("time_msc", T.LongType()),
-        T.StructField("bid", T.DoubleType()),
-        T.StructField("ask", T.DoubleType()),
-        T.StructField("mid", T.DoubleType()),
-        T.StructField("spread", T.DoubleType()),
-        T.StructField("last", T.DoubleType()),
-        T.StructField("volume", T.DoubleType()),
-        T.StructField("flags", T.LongType()),
-    ]
-)
 
 
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "table") -> DataFrame:
