@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bucket_label, clipped, expit, log_likelihood, logit, smoothed_rate
+from ..sources.shared import written
 
 # The buckets of a state's age in seconds, and the coarser ones of causes.
 AGE_BOUNDS = (0, 1, 2, 3, 5, 6, 8, 10, 20, 30, 60)
@@ -43,9 +44,10 @@ def session_blocks(hour: Column) -> dict[str, Column]:
 def hazard_table(bins: DataFrame, alpha: float = 0.5) -> DataFrame:
     """For each endpoint and age bucket (all buckets, seen or not) exposure, events and smoothed rate, and the endpoint's own.
 
-    bins: endpoint, target, age; one row a bin. One grouped sum; the rest is a table of cells.
+    bins: endpoint, target, age; one row a bin. One grouped sum, written; the rest is a table of cells.
     """
     cells = bins.groupBy("endpoint", age_bucket(F.col("age")).alias("bucket")).agg(F.count(F.lit(1)).alias("exposure"), F.sum("target").alias("events"))
+    cells = written(cells, "hazard-cells")
     universe = cells.select("endpoint").distinct().withColumn("bucket", F.explode(F.array(*[F.lit(x) for x in AGE_LABELS])))
     full = universe.join(cells, ["endpoint", "bucket"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("exposure", "events")})
     own = W.partitionBy("endpoint")

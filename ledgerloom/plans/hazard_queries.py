@@ -73,7 +73,7 @@ predicted AS (SELECT a.*, p_age, p_const, fallback FROM ages a JOIN clip c ON c.
 
 
 def predicted(spark, d):
-    a = ages(spark, d)
+    a = written(ages(spark, d), "ages")
     return H.predict_hazard(a, H.hazard_table(a.filter("split = 'development'")))
 
 
