@@ -139,18 +139,13 @@ def links(batches: Iterator[pa.RecordBatch], radius: int, size: int = 256) -> It
         yield done(*(np.concatenate(x) for x in zip(*held)))
 
 
-def units(nodes: DataFrame, radius: int, tile: int, n: int) -> DataFrame:
-    """(unit, ones, print, node): what is compared with what.
+def tiled(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """The rows of (group, ones, node, ...) with the unit, in which what must be compared meets, in place of the group.
 
-    Fingerprints with the same bits under a mask meet; in such a group they are ordered by bit count
-    and, within one, by a hash, and each ``tile`` of them are a tile. A group of one tile is a unit.
-    A larger one has a unit for each pair of its tiles whose bit counts differ by the radius at most.
+    A group is ordered by ``ones`` and, within one, by a hash of the node; each ``tile`` rows are a
+    tile. A group of one tile is a unit. A larger one has a unit for each pair of its tiles whose
+    ``ones`` differ by the radius at most.
     """
-    masks = key_masks(radius, n)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select("print", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.lit(m).cast("bigint").alias("bits")) for k, m in enumerate(signed)])).alias("m")).select(
-        F.xxhash64("m.mask", F.col("print").bitwiseAND(F.col("m.bits"))).alias("group"), F.bit_count("print").cast("int").alias("ones"), "print", "node"
-    )
     counts = keyed.groupBy("group", "ones").agg(F.count(F.lit(1)).alias("n"))
     groups = counts.groupBy("group").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int")))).alias("tiles"))
     groups = written(groups.filter(F.col("n") > tile), "simhash-groups")
@@ -164,11 +159,21 @@ def units(nodes: DataFrame, radius: int, tile: int, n: int) -> DataFrame:
         )
     )
     joined = join_skewed(keyed, groups, "group", "n")
-    own = F.struct(F.col("ones").alias("ones"), F.pmod(F.xxhash64("print"), F.coalesce(F.try_element_at("tiles", F.col("ones")), F.lit(1))).cast("int").alias("tile"))
+    own = F.struct(F.col("ones").alias("ones"), F.pmod(F.xxhash64("node"), F.coalesce(F.try_element_at("tiles", F.col("ones")), F.lit(1))).cast("int").alias("tile"))
     joined = joined.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("tiles").isNull(), F.array("own")).otherwise(others)))
     alone = F.struct(F.lit(-1).alias("ones"), F.lit(0).alias("tile"))
     pair = [F.when(F.col("tiles").isNull(), alone).otherwise(f("own", "other")) for f in (F.least, F.greatest)]
-    return joined.select(F.xxhash64("group", *pair).alias("unit"), "ones", "print", "node")
+    return joined.select(F.xxhash64("group", *pair).alias("unit"), *[c for c in keyed.columns if c != "group"])
+
+
+def units(nodes: DataFrame, radius: int, tile: int, n: int) -> DataFrame:
+    """(unit, ones, print, node): what is compared with what. Fingerprints with the same bits under a mask are a group, ordered by bit count."""
+    masks = key_masks(radius, n)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = nodes.select("print", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.lit(m).cast("bigint").alias("bits")) for k, m in enumerate(signed)])).alias("m")).select(
+        F.xxhash64("m.mask", F.col("print").bitwiseAND(F.col("m.bits"))).alias("group"), F.bit_count("print").cast("int").alias("ones"), "print", "node"
+    )
+    return tiled(keyed, radius, tile)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -112,3 +113,63 @@ def main_texts(pages: list[tuple[str, str]]) -> list[str]:
         kept = [t for (t, path, _, _), m in zip(page, own) if m and not any(many(host, tree, tree in holds) for tree in path)]
         out.append("\n\n".join(kept))
     return out
+
+
+def near_labels(texts: list[str | None]) -> list[int]:
+    """For each text the first one of its component at Jaccard >= 0.8 of five-word shingles."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def words_of(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def pipeline(docs: list[tuple[int, str | None, str | None]], items: list[str | None]) -> dict[int, int]:
+    """What the corpus pipeline leaves of (id, text, source) where nothing is labelled: words taken by id."""
+    groups = defaultdict(list)
+    for d in docs:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", d[1] or "")].append(d)
+    docs = sorted(min(g, key=lambda d: (-len(d[1] or ""), d[0])) for g in groups.values())
+    docs = [d for k, (d, label) in enumerate(zip(docs, near_labels([d[1] for d in docs]))) if k == label]
+    windows = set()
+    for own in map(words_of, items):
+        windows |= {tuple(own[k : k + 10]) for k in range(max(1, len(own) - 9))} if own else set()
+
+    def hit(text):
+        own = words_of(text)
+        return any(tuple(own[k : k + n]) in windows for n in {len(w) for w in windows} for k in range(len(own) - n + 1))
+
+    docs = [d for d in docs if not hit(d[1])]
+    size = {d[0]: len(re.findall(r"[^\x20\x09-\x0D]+", d[1] or "")) for d in docs}
+    sources = sorted({d[2] for d in docs}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(size[d[0]] for d in docs if d[2] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    capped, total = set(), sum(own.values())
+    while True:
+        free = [s for s in sources if s not in capped]
+        left = total - sum(3 * own[s] for s in capped)
+        share = {s: weight[s] * left / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * own[s]}
+        if not over:
+            break
+        capped |= over
+    taken = {}
+    for s in sources:
+        budget = int(share[s]) if s not in capped else 3 * own[s]
+        mine = sorted((d for d in docs if d[2] == s), key=lambda d: hashlib.md5(f"{d[0]}:mix-1".encode()).hexdigest()[:16])
+        epochs, rest = divmod(budget, own[s]) if own[s] else (0, 0)
+        for d in mine:
+            cut = min(size[d[0]], rest)
+            rest -= cut
+            taken[d[0]] = size[d[0]] * epochs + cut
+    return {k: n for k, n in taken.items() if n}

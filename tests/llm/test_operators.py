@@ -20,7 +20,7 @@ import __spark_entry__ as entry_module
 import corpus_pipeline
 from ledgerloom.llm import decontaminate, exact_dedup, html_text, language, lm_scores, mixing, pii, quality, queries, simhash, token_counts
 
-from .spec import linked_components, main_texts, simhash as spec_simhash, site_pages
+from .spec import linked_components, main_texts, pipeline as expected_pipeline, simhash as spec_simhash, site_pages
 
 SCHEMAS = {
     "documents": pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())] + [(c, pa.string()) for c in ("pii", "size", "row", "keep_id", "rejected", "score", "items", "N_Words")]),
@@ -389,13 +389,23 @@ def test_pipeline_stages(spark, odd):
     assert "pipeline" in entry_module.queries()
 
 
-def test_pipeline_by_brute_force(spark):
-    """Without labels nothing is rejected, so all later stages can be told from the texts alone."""
-    texts = ["alpha beta gamma delta", "alpha  beta gamma delta", "one two three four five six seven eight nine ten", "uno dos tres", None, "", "cero uno"]
-    schema = T.StructType().add("doc_id", "long").add("text", "string").add("lang", "string").add("source", "string").add("n_chars", "long")
-    docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], schema)
-    docs = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_copies(spark, docs, ""), "")
-    assert {r.doc_id for r in docs.collect()} == {1, 2, 3, 4, 6}
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Without labels nothing is rejected, so all that the pipeline leaves can be told from the texts alone."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(300)]
+    item = " ".join(f"item{k}" for k in range(14))
+    docs = [(0, None), (1, ""), (2, "a b"), (3, "a  b"), (4, f"before {item} after"), (5, item.upper()), (6, "short question"), (7, "a short question here")]
+    while len(docs) < 110:
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(3, 150))]
+        for _ in range(rng.choice((1, 1, 1, 2, 4))):
+            docs.append((len(docs), " ".join(words) + " " * rng.randrange(2)))
+            words = list(words)
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+    docs = [(k, t, rng.choice(["a", "a", "a", "b", "c", "d", None])) for k, t in docs]
+    pad = [None] * (len(SCHEMAS["documents"]) - 5)
+    items = [item, "short question", None]
+    folder = write(tmp_path, {"documents": [(k, t, "en", s, len(t or ""), *pad) for k, t, s in docs], "benchmark": list(enumerate(items))})
+    assert {r.doc_id: r.taken for r in corpus_pipeline.run(spark, folder).collect()} == expected_pipeline(docs, items)
 
 
 def test_several_blocks_of_windows_find_the_same(spark, odd):
