@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, shared_dir, written
+
+__all__ = ["HOT", "SPACE", "WORD", "fresh", "join_skewed", "new_path", "shared_dir", "table", "text_of", "without", "written"]
+
 #: ASCII white space as the contracts spell it, for Java regular expressions.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -17,32 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the session names none, a local session gets a temporary folder; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a read of the files, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     """For each name a column name that df doesn't have (in any case), so that helper columns can't clash."""
     taken = {c.lower() for c in df.columns}
