@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import case_queries, control_queries, hazard_queries, interval_queries, lifecycle_queries, source_queries, tick_queries
+from . import account_queries, case_queries, control_queries, hazard_queries, interval_queries, lifecycle_queries, source_queries, tick_queries
 
-_MODULES = (lifecycle_queries, interval_queries, tick_queries, hazard_queries, control_queries, source_queries, case_queries)
+_MODULES = (lifecycle_queries, interval_queries, tick_queries, hazard_queries, control_queries, source_queries, case_queries, account_queries)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.Q.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
