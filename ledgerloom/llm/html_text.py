@@ -96,7 +96,10 @@ Piece = tuple[str, Node | None, bool]
 
 
 class Page:
-    """A page's blocks in order, which of them its markup leaves in the main text, and the hash of each element with its blocks."""
+    """A page's blocks in order, which of them its markup leaves in the main text, and the hash of each element with its blocks.
+
+    Of elements around the same blocks the innermost one's hash stands for all.
+    """
 
     def __init__(self, source: str):
         self.blocks: list[str] = []
@@ -146,7 +149,9 @@ class Page:
         elif len(self._parts) > node.block:
             digest = node.digest.digest()
             self._block_node().digest.update(b"\x02" + digest)
-            self.subtrees.append((int.from_bytes(digest, "big", signed=True), node.block, len(self._parts)))
+            span = (node.block, len(self._parts))
+            if not self.subtrees or self.subtrees[-1][1:] != span:  # else one inside it has the same blocks, and recurs wherever it does
+                self.subtrees.append((int.from_bytes(digest, "big", signed=True), *span))
             if node.verdict:
                 self._dropped.append((node.verdict, node.block, len(self._parts) if ended or node.limit is None else node.limit))
 
@@ -269,31 +274,45 @@ def signed64(data: bytes) -> int:
     return int.from_bytes(xxhash.xxh64_digest(data), "big", signed=True)
 
 
-def parsed(batches: Iterator[pa.RecordBatch], html_col: str, keep: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Each page once: its blocks (empty where the markup rules them out), its content's hash and its subtrees."""
+def packed(lines: list[str]) -> bytes:
+    """Blocks, which hold no line feed, one a line, compressed: they are written and shuffled once."""
+    data = "\n".join(lines).encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "big") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> list[str]:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "big"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n")
+
+
+def parsed(batches: Iterator[pa.RecordBatch], html_col: str, keep: list[str], names: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Each page once: its blocks (empty where the markup rules them out), its content's hash and its subtrees.
+
+    The last bit of a subtree's hash says whether it holds main text of an article.
+    """
+    tree = pa.list_(pa.struct([("hash", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
     for batch in batches:
-        blocks, main, content, subtrees = [], [], [], []
+        blocks, content, subtrees = [], [], []
         for source in batch.column(html_col).to_pylist():
             page = Page(source or "")
-            blocks.append([t if m else "" for t, m in zip(page.blocks, page.main)])
-            main.append(page.main)
+            blocks.append(packed([t if m else "" for t, m in zip(page.blocks, page.main)]))
             own = [t for t, m in zip(page.blocks, page.main) if m] or page.blocks
             content.append(signed64("\n\n".join(own).encode("utf-8", "surrogatepass")))
             inside = [0]
             for m in page.main:
                 inside.append(inside[-1] + m)
-            subtrees.append([{"hash": h, "a": a, "b": b, "own": page.has_article and inside[b] > inside[a]} for h, a, b in page.subtrees])
-        columns = [*(batch.column(c) for c in keep), pa.array(blocks), pa.array(main), pa.array(content), pa.array(subtrees)]
-        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            subtrees.append([{"hash": h & ~1 | (page.has_article and inside[b] > inside[a]), "a": a, "b": b} for h, a, b in page.subtrees])
+        columns = [*(batch.column(c) for c in keep), pa.array(blocks, pa.binary()), pa.array(content, pa.int64()), pa.array(subtrees, tree)]
+        yield pa.RecordBatch.from_arrays(columns, [*keep, names["blocks"], names["content"], names["subtrees"]])
 
 
 def joined_blocks(batches: Iterator[pa.RecordBatch], names: dict[str, str], keep: list[str]) -> Iterator[pa.RecordBatch]:
     """The text of the blocks that are left, and how many the site's template took."""
     for batch in batches:
         texts, taken = [], []
-        for blocks, main, gone in zip(*(batch.column(names[c]).to_pylist() for c in ("blocks", "main", "gone"))):
+        for data, gone in zip(*(batch.column(names[c]).to_pylist() for c in ("blocks", "gone"))):
+            blocks = unpacked(data)
             left = outside([(x["a"], x["b"]) for x in gone or ()], len(blocks))
-            texts.append("\n\n".join(t for t, m, x in zip(blocks, main, left) if m and x))
+            texts.append("\n\n".join(t for t, x in zip(blocks, left) if t and x))
             taken.append(left.count(False))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(taken, pa.int64())], [*keep, names["text"], names["n"]])
 
@@ -305,19 +324,19 @@ def least_pages(pages: Column, own: Column) -> Column:
 
 
 def template_subtrees(pages: DataFrame) -> DataFrame:
-    """(host, subtree, own) of the subtrees that recur across a host's pages, from (host, content, subtrees).
+    """(host, hash) of the subtrees that recur across a host's pages, from (host, content, subtrees).
 
     Pages of one content count once, so copies of one article don't make its paragraphs a template.
     Pages and their subtrees are summed by host and subtree, combined before the shuffle; a host's
     number of pages meets its subtrees in SALTS parts.
     """
-    seen = pages.select("host", "content", F.explode(F.array_distinct(F.transform("subtrees", lambda s: F.struct(s["hash"].alias("subtree"), s["own"].alias("own"))))).alias("s"))
-    counts = seen.select("host", "content", "s.subtree", "s.own").distinct().groupBy("host", "subtree", "own").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.filter(F.col("n") >= LEAST).withColumn("salt", F.pmod("subtree", F.lit(SALTS)))
+    seen = pages.select("host", "content", F.explode(F.array_distinct(F.transform("subtrees", lambda s: s["hash"]))).alias("hash"))
+    counts = seen.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.filter(F.col("n") >= LEAST).withColumn("salt", F.pmod("hash", F.lit(SALTS)))
     hosts = pages.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    many = counts.join(hosts, ["host", "salt"]).filter(F.col("n") >= least_pages(F.col("pages"), F.col("own")))
-    return many.select("host", "subtree", "own")
+    own = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    return counts.join(hosts, ["host", "salt"]).filter(F.col("n") >= least_pages(F.col("pages"), own)).select("host", "hash")
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -348,28 +367,21 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """
     keep = list(pages.columns) if keep is None else keep
     keep = [c for c in keep if c in without(pages, *ADDED).columns]
-    n = fresh(pages, "html", "host", "row", "blocks", "main", "content", "subtrees", "gone", "text", "n")
+    n = fresh(pages, "html", "host", "row", "blocks", "content", "subtrees", "gone", "text", "n")
     host = F.xxhash64(F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST")), F.lit(""))), r"^www\.", ""))
     df = pages.select(*keep, F.col(html_col).cast("string").alias(n["html"]), host.alias(n["host"]), F.monotonically_increasing_id().alias(n["row"]))
     passed = [*keep, n["host"], n["row"]]
     kinds = {f.name: f for f in df.schema.fields}
-    tree = T.StructType.fromDDL("hash long, a int, b int, own boolean")
-    schema = T.StructType([kinds[c] for c in passed]).add(n["blocks"], T.ArrayType(T.StringType())).add(n["main"], T.ArrayType(T.BooleanType())).add(n["content"], "long").add(n["subtrees"], T.ArrayType(tree))
-    own = pa.struct([("hash", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("own", pa.bool_())])
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = [batch.schema.field(c) for c in passed]
-            kinds += [pa.field(n["blocks"], pa.list_(pa.string())), pa.field(n["main"], pa.list_(pa.bool_())), pa.field(n["content"], pa.int64()), pa.field(n["subtrees"], pa.list_(own))]
-            yield from parsed(iter([batch]), n["html"], passed, pa.schema(kinds))
-
-    df = written(df.mapInArrow(parse, schema), "html-parsed")
+    tree = T.StructType.fromDDL("hash long, a int, b int")
+    schema = T.StructType([kinds[c] for c in passed]).add(n["blocks"], T.BinaryType()).add(n["content"], T.LongType()).add(n["subtrees"], T.ArrayType(tree))
+    df = written(df.mapInArrow(lambda batches: parsed(batches, n["html"], passed, n), schema), "html-parsed")
     seen = df.select(F.col(n["host"]).alias("host"), F.col(n["content"]).alias("content"), F.col(n["subtrees"]).alias("subtrees"))
     template = written(template_subtrees(seen), "html-template")
-    spots = df.select(F.col(n["row"]).alias("row"), F.col(n["host"]).alias("host"), F.explode(n["subtrees"]).alias("s"))
-    spots = spots.select("row", "host", "s.hash", "s.own", "s.a", "s.b", F.pmod("row", F.lit(SALTS)).alias("salt"))
-    template = template.select("host", F.col("subtree").alias("hash"), "own", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
-    gone = spots.join(template, ["host", "hash", "own", "salt"]).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias(n["gone"]))
+    part = lambda salt: F.xxhash64("host", "hash", salt).alias("key")
+    spots = df.select(F.col(n["row"]).alias("row"), F.col(n["host"]).alias("host"), F.explode(n["subtrees"]).alias("s")).select("row", "host", "s.*")
+    spots = spots.select(part(F.pmod("row", F.lit(SALTS))), "row", "a", "b")
+    template = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).select(part(F.col("salt")))
+    gone = spots.join(template, "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias(n["gone"]))
     df = df.drop(n["subtrees"], n["content"], n["host"]).join(gone.withColumnRenamed("row", n["row"]), n["row"], "left")
     schema = T.StructType([kinds[c] for c in keep]).add(n["text"], T.StringType()).add(n["n"], T.LongType())
     df = df.mapInArrow(lambda batches: joined_blocks(batches, n, keep), schema)
