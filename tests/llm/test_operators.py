@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
-from ledgerloom.llm import decontaminate, exact_dedup, html_text, language, lm_scores, mixing, pii, quality, queries, simhash, token_counts
+from ledgerloom.llm import bloom_search, decontaminate, divergence, exact_dedup, html_text, language, lm_scores, mixing, pii, quality, queries, simhash, token_counts, vector_search
 
 from .spec import linked_components, main_texts, pipeline as expected_pipeline, simhash as spec_simhash, site_pages
 
@@ -26,6 +26,7 @@ SCHEMAS = {
     "documents": pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())] + [(c, pa.string()) for c in ("pii", "size", "row", "keep_id", "rejected", "score", "items", "N_Words")]),
     "benchmark": pa.schema([("item_id", pa.int64()), ("text", pa.string())]),
     "labels": pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())]),
+    "embeddings": pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("score", pa.string()), ("q", pa.string()), ("ID", pa.int64())]),
     "pages": pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("text", pa.string())]),
 }
 
@@ -46,7 +47,12 @@ def rows() -> dict[str, list[tuple]]:
     page = "<html><head><title>t</title></head><body><div class='box'><p>Same on all pages</p></div><article><h1>Head {k}</h1><p>A &amp; B {k}<br>more</p></article></body></html>"
     pages = [(k, f"http://www.host.example/p{k}", page.replace("{k}", str(k)), "clash") for k in range(30)]
     pages += [(90, None, None, None), (91, "::bad::[", "", "x"), (None, "", "plain <b>bold</b> text", None), pages[0], pages[0], (92, "http://x", "<p>one<p>two<script>var a = '<p>no';</script><div class='sidebar'>no</div>", None)]
-    return {"documents": docs, "benchmark": [(1, item), (2, "Short item"), (3, None), (4, ""), (None, "short ITEM"), (1, item), (22, f"{item} thirteen")], "labels": labels, "pages": pages}
+    vectors = [(k, [rng.choice([-0.5, 0.25, 0.1, 1.5]) for _ in range(4)], 0) for k in range(120)]
+    vectors += [(k, [0.25, 0.1, -0.5, 1.5], 1) for k in range(120, 420)]  # most score alike
+    vectors += [vectors[0], vectors[0], vectors[50], (50, [0.1, 0.1, 0.1, 0.1], 2), (50, [0.1001, 0.1, 0.1, 0.1], 2), (None, [9.0, 9.0, 9.0, 9.0], 3), (None, None, 3), (100, None, 3), (150, [], 3), (600, [1.0, None], 3), (650, [float("nan")], 3)]
+    vectors += [(700, [float("inf"), 1.0], 3), (750, [2.0], 3), (751, [1.0] * 9, 3), (800, [-1.0] * 9, 3)]
+    vectors = [(*v, "clash", None, 1) for v in vectors]
+    return {"embeddings": vectors, "documents": docs, "benchmark": [(1, item), (2, "Short item"), (3, None), (4, ""), (None, "short ITEM"), (1, item), (22, f"{item} thirteen")], "labels": labels, "pages": pages}
 
 
 def write(folder, tables: dict[str, list[tuple]]) -> str:
