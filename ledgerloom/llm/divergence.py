@@ -1,7 +1,7 @@
 """How the words of sources differ within a language: counts of terms by source, and divergences between them.
 
 Texts are split, encoded and counted by Arrow's own kernels in each task; what tasks have counted is
-summed by term, and shards of whole terms are turned into divergences with numpy.
+merged in shards of whole terms, and the shards' kept terms are turned into divergences with numpy.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import written
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text that are split at once, counts that a task holds, cells (terms times sources) that are compared at once.
 PIECE, HELD, CELLS = 4 << 20, 1 << 20, 1 << 21
+#: Counted terms that are merged in one task.
+SHARD = 1 << 21
 #: Probabilities are whole billionths.
 UNIT = 1_000_000_000
 
@@ -31,7 +33,7 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ends, a = np.cumsum(size), 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, side="right")))
-        yield batch.slice(a, b - a)
+        yield batch.take(pa.array(np.arange(a, b)))  # a copy: ascii_lower misreads slices
         a = b
 
 
@@ -78,35 +80,27 @@ def differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def of_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.StructArray, np.ndarray, pa.ChunkedArray | pa.Array]]:
-    """From rows (lang, term, source, n) ordered by the first two: (lang, terms, number of the term for each row, the rows), some whole terms at a time."""
-    rest: pa.Table | None = None
+def merge_shard(least: int) -> Callable:
+    """All counts of some terms, merged: a row for each kept term with its sources and counts; a row without a term says how many terms of a language there are."""
 
-    def cut(table: pa.Table) -> Iterator[tuple]:
-        lang, term = (table[c].combine_chunks().dictionary_encode() for c in ("lang", "term"))
-        code = lang.indices.to_numpy().astype(np.int64) << 32 | term.indices.to_numpy()
-        new = np.flatnonzero(np.diff(code, prepend=-1))
-        langs = lang.indices.to_numpy()[new]
-        for a in np.flatnonzero(np.diff(langs, prepend=-1)):
-            b = int(np.searchsorted(langs[a:] != langs[a], True)) + a
-            first, last = new[a], new[b] if b < len(new) else len(code)
-            yield lang.dictionary[int(langs[a])].as_py(), table["term"].take(pa.array(new[a:b])), np.searchsorted(new[a:b], np.arange(first, last), side="right") - 1, table.slice(first, last - first)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.concat_tables(parts).group_by(["lang", "term", "source"]).aggregate([("n", "sum"), ("docs", "sum")])
+        terms = rows.group_by(["lang", "term"]).aggregate([("docs_sum", "sum"), ("source", "list"), ("n_sum", "list")])
+        terms = terms.filter(pc.greater_equal(terms["docs_sum_sum"], least)).select(["lang", "term", "source_list", "n_sum_list"]).rename_columns(["lang", "term", "sources", "counts"])
+        found = terms.append_column("terms", pa.nulls(terms.num_rows, pa.int64()))
+        size = terms.group_by("lang").aggregate([("term", "count")])
+        none = [pa.nulls(size.num_rows, terms.schema.field(c).type) for c in ("term", "sources", "counts")]
+        yield from found.to_batches()
+        yield from pa.table([size["lang"], *none, size["term_count"]], names=found.column_names).to_batches()
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        if not table.num_rows:
-            continue
-        same = pc.and_(pc.equal(table["lang"], table["lang"][-1]), pc.equal(table["term"], table["term"][-1]))
-        whole = int(np.argmax(same.to_numpy()))  # the last term may go on in the next batch
-        rest = table.slice(whole)
-        if whole:
-            yield from cut(table.slice(0, whole))
-    if rest is not None and rest.num_rows:
-        yield from cut(rest)
+    return run
 
 
 def compare(groups: dict[str, list[tuple[str, int]]], terms: dict[str, tuple[int, int]], top: int) -> Callable:
-    """Over shards of whole terms: parts of the sums between sources, and each source's terms that may be among its top.
+    """Over rows of kept terms: parts of the sums between sources, and each source's terms that may be among its top.
 
     groups: a language's sources with their counts over kept terms; terms: how many terms it keeps and their count.
     """
@@ -114,34 +108,33 @@ def compare(groups: dict[str, list[tuple[str, int]]], terms: dict[str, tuple[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {lang: np.zeros((len(own), len(own)), np.int64) for lang, own in groups.items()}
         best: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        number = {lang: {s: k for k, (s, _) in enumerate(own)} for lang, own in groups.items()}
-        for lang, words, place, rows in of_languages(batches):
-            own, (kept, total) = groups[lang], terms[lang]
-            column = np.fromiter((number[lang][s] for s in rows["source"].to_pylist()), np.int64, rows.num_rows)
-            bases = np.array([n for _, n in own], np.int64) + kept
-            step = max(1, CELLS // len(own))
-            for a in range(0, len(words), step):
-                m = min(step, len(words) - a)
-                inside = (place >= a) & (place < a + m)
-                counts = np.zeros((m, len(own)), np.int64)
-                counts[place[inside] - a, column[inside]] = rows["n"].to_numpy()[inside]
-                p = per_unit(counts, bases[None, :])
-                for k in range(len(own)):
-                    sums[lang][k] += differences(p[:, k : k + 1], p).sum(0)
-                q = per_unit(counts.sum(1), np.int64(total + kept))
-                for k in range(len(own)):
-                    at = np.flatnonzero((counts[:, k] > 0) & (p[:, k] > q))
-                    value = differences(p[at, k], q[at])
-                    if len(value) > top:
-                        large = value >= np.partition(value, len(value) - top)[len(value) - top]
-                        at, value = at[large], value[large]
-                    names = np.array([w.encode() for w in words.take(pa.array(at + a)).to_pylist()], dtype=object)
-                    if (lang, k) in best:
-                        value, names = np.concatenate([value, best[lang, k][0]]), np.concatenate([names, best[lang, k][1]])
-                    order = sorted(range(len(value)), key=lambda i: (-value[i], names[i]))[:top]
-                    best[lang, k] = value[order], names[order]
+        for batch in batches:
+            for lang in pc.unique(batch["lang"]).to_pylist():
+                rows = pa.Table.from_batches([batch.filter(pc.equal(batch["lang"], lang))]).combine_chunks()
+                own, (kept, total) = groups[lang], terms[lang]
+                bases = np.array([n for _, n in own], np.int64) + kept
+                names = pa.array([s for s, _ in own], pa.string())
+                step = max(1, CELLS // len(own))
+                for a in range(0, rows.num_rows, step):
+                    part = rows.slice(a, step)
+                    lists = part["sources"].combine_chunks()
+                    counts = np.zeros((part.num_rows, len(own)), np.int64)
+                    counts[pc.list_parent_indices(lists).to_numpy(), pc.index_in(pc.list_flatten(lists), names).to_numpy()] = pc.list_flatten(part["counts"].combine_chunks()).to_numpy()
+                    p, q = per_unit(counts, bases[None, :]), per_unit(counts.sum(1), np.int64(total + kept))
+                    for k in range(len(own)):
+                        sums[lang][k] += differences(p[:, k : k + 1], p).sum(0)
+                        at = np.flatnonzero((counts[:, k] > 0) & (p[:, k] > q))
+                        value = differences(p[at, k], q[at])
+                        if len(value) > top:
+                            large = value >= np.partition(value, len(value) - top)[len(value) - top]
+                            at, value = at[large], value[large]
+                        words = np.array([w.encode() for w in part["term"].take(pa.array(at)).to_pylist()], dtype=object)
+                        if (lang, k) in best:
+                            value, words = np.concatenate([value, best[lang, k][0]]), np.concatenate([words, best[lang, k][1]])
+                        order = sorted(range(len(value)), key=lambda i: (-value[i], words[i]))[:top]
+                        best[lang, k] = value[order], words[order]
         out = [(lang, own[k][0], "pair", own[o][0], int(sums[lang][k, o])) for lang, own in groups.items() for k in range(len(own)) for o in range(len(own)) if k != o and sums[lang][k, o]]
-        out += [(lang, groups[lang][k][0], "term", w.decode(), int(v)) for (lang, k), (value, names) in best.items() for v, w in zip(value, names)]
+        out += [(lang, groups[lang][k][0], "term", w.decode(), int(v)) for (lang, k), (value, words) in best.items() for v, w in zip(value, words)]
         columns = list(zip(*out)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string()] * 4 + [pa.int64()])], ["lang", "source", "part", "item", "value"])
 
@@ -163,20 +156,21 @@ def source_divergences(docs: DataFrame, least: int = 3, top: int = 200) -> DataF
     spark = docs.sparkSession
     d = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
     groups = written(d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")), "groups")
-    counts = d.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
-    counts = written(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-    of_term = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", "term")
-    kept = written(counts.join(of_term, ["lang", "term"]).select("lang", "term", "source", "n"), "kept-terms")
-    totals = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
-    size = {r.lang: r.terms for r in kept.groupBy("lang").agg(F.count_distinct("term").alias("terms")).collect()}
+    counts = written(d.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long"), "term-counts")
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // SHARD)
+    kept = counts.repartition(shards, "lang", "term").mapInArrow(merge_shard(least), "lang string, term string, sources array<string>, counts array<bigint>, terms long")
+    kept = written(kept, "kept-terms")
+    size = {r.lang: r.n for r in kept.filter("term IS NULL").groupBy("lang").agg(F.sum("terms").alias("n")).collect()}
+    kept = kept.filter("term IS NOT NULL").drop("terms")
+    of_source = kept.select("lang", F.explode(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n"))).alias("c")).groupBy("lang", "c.source").agg(F.sum("c.n").alias("n"))
+    totals = groups.join(of_source, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
     own: dict[str, list[tuple[str, int]]] = {}
     for r in totals.orderBy("lang", "source").collect():
         own.setdefault(r.lang, []).append((r.source, r.n))
     if not own:
         return spark.createDataFrame([], "lang string, source string, part string, item string, value long, rank int")
     terms = {lang: (size.get(lang, 0), sum(n for _, n in sources)) for lang, sources in own.items()}
-    shards = kept.repartition("lang", "term").sortWithinPartitions("lang", "term")
-    found = shards.mapInArrow(compare(own, terms, top), "lang string, source string, part string, item string, value long")
+    found = kept.mapInArrow(compare(own, terms, top), "lang string, source string, part string, item string, value long")
     # Each pair stands once with nothing, so that languages without kept terms and equal sources have theirs.
     sources = groups.select("lang", "source")
     empty = sources.join(sources.select("lang", F.col("source").alias("item")), "lang").filter("source <> item").select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value"))

@@ -106,24 +106,11 @@ def test_billionths_are_exact_for_counts_beyond_billions():
     assert found.tolist() == [1 + 10**9 * (c + 1) // t for c, t in pairs]
 
 
-def test_terms_that_cross_batches_stay_whole():
-    rows = [(lang, f"t{t}", s, t) for lang in ("a", "b") for t in range(20) for s in ("x", "y", "z")]
-    rows.sort()
-    batch = pa.RecordBatch.from_pylist([dict(zip(("lang", "term", "source", "n"), r)) for r in rows])
-    for step in (1, 2, 7, 1000):
-        seen = defaultdict(int)
-        for lang, terms, place, part in divergence.of_languages(iter([batch.slice(a, step) for a in range(0, len(rows), step)])):
-            assert len(set(terms.to_pylist())) == len(terms)
-            for t, r in zip(place, part.to_pylist()):
-                assert (terms[int(t)].as_py(), lang) == (r["term"], r["lang"])
-                seen[lang] += r["n"]
-        assert seen == {"a": 570, "b": 570}
-
-
 def test_divergences_of_parts_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(divergence, "CELLS", 7)
     monkeypatch.setattr(divergence, "PIECE", 50)
     monkeypatch.setattr(divergence, "HELD", 20)
+    monkeypatch.setattr(divergence, "SHARD", 9)
     rng = random.Random(15)
     docs = [(" ".join(rng.choice(["Äpfel", "b", "C", "d", "日本", f"r{k}"]) for _ in range(rng.randrange(9))), rng.choice("xy"), rng.choice("stu")) for k in range(80)] + [(None, "only", None), ("a a", None, "s"), ("a", None, "t"), ("a", "", "t")]
     found = divergence.source_divergences(spark.createDataFrame(docs, "text string, lang string, source string"), top=2).collect()
