@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import ENDPOINTS
-from .order import DAY, HOUR, bucket_of, overlap_join, with_previous
+from .order import DAY, HOUR, asof_backward, bucket_of, overlap_join, running_sums, with_previous
 
 
 def coverage_gaps(ticks: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], threshold: int, bucket: int = DAY) -> DataFrame:
@@ -102,23 +102,40 @@ def clip_to_hours(fragments: DataFrame, first_hour: int, last_hour: int) -> Data
     return out.filter("start_us < end_us")
 
 
+def gap_clock(gaps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """gaps, disjoint within keys, with closed_us: the length of all gaps up to this one's end."""
+    length = gaps.withColumn("_length", F.col("gap_end") - F.col("gap_start"))
+    return running_sums(length, keys, "gap_start", [], {"closed_us": "_length"}).drop("_length")
+
+
+def with_closed(df: DataFrame, clock: DataFrame, keys: Sequence[str], times: dict[str, str], bucket: int = DAY) -> DataFrame:
+    """df with, {new column: time}, how much time gaps have taken before it.
+
+    Each distinct time of df meets the last gap that begins at or before it, once for all its rows.
+    """
+    keys = list(keys)
+    points = df.select(*keys, F.explode(F.array(*[F.col(c) for c in set(times.values())])).alias("_at")).distinct()
+    points = asof_backward(points, clock, keys, "_at", "gap_start", [], {"_closed": "closed_us", "_gap_end": "gap_end"}, bucket=bucket)
+    closed = F.coalesce(F.col("_closed") - F.greatest(F.col("_gap_end") - F.col("_at"), F.lit(0)), F.lit(0))
+    points = points.select(*keys, "_at", closed.alias("_closed"))
+    for new, time in times.items():
+        df = df.join(points.select(*keys, F.col("_at").alias(time), F.col("_closed").alias(new)), [*keys, time])
+    return df
+
+
 def lost_to_gaps(points: DataFrame, gaps: DataFrame, start: str, end: str) -> DataFrame:
-    """points, distinct rows, with lost_us: how much of [start, end) gaps cover. They meet day by day; points are read once."""
-    day = lambda us: F.floor(us / DAY).cast("bigint")
-    rows = points.select(F.struct(*points.columns).alias("point"), F.col(start).alias("_start"), F.col(end).alias("_end"))
-    rows = rows.withColumn("day", F.explode(F.sequence(day(F.col("_start")), day(F.greatest(F.col("_end") - 1, F.col("_start"))))))
-    rows = rows.join(by_day(gaps), "day", "left")
-    own = F.aggregate(crossed("gaps", "_start", "_end"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["b"] - x["a"])
-    return rows.groupBy("point").agg(F.sum(own).alias("lost_us")).select("point.*", "lost_us")
+    """points with lost_us: how much of [start, end) gaps cover, from the gap clock at both ends."""
+    both = with_closed(points, gap_clock(gaps), [], {"_closed_start": start, "_closed_end": end})
+    return both.select(*points.columns, (F.col("_closed_end") - F.col("_closed_start")).alias("lost_us"))
 
 
 def paused_age(points: DataFrame, gaps: DataFrame, start: str, at: str) -> DataFrame:
-    """points, distinct rows, with tradeable_us: the time from start to at without what gaps cover of it."""
+    """points with tradeable_us: the time from start to at without what gaps cover of it."""
     return lost_to_gaps(points, gaps, start, at).withColumn("tradeable_us", F.col(at) - F.col(start) - F.col("lost_us")).drop("lost_us")
 
 
 def crosses_gap(points: DataFrame, gaps: DataFrame, window_start: str, window_end: str) -> DataFrame:
-    """points, distinct rows, with crosses_gap: whether a gap starts before the window's end and ends after its start."""
+    """points with crosses_gap: whether a gap starts before the window's end and ends after its start."""
     return lost_to_gaps(points, gaps, window_start, window_end).withColumn("crosses_gap", F.col("lost_us") > 0).drop("lost_us")
 
 
@@ -171,6 +188,62 @@ def interval_audit(intervals: DataFrame, bins: DataFrame, keys: Sequence[str], l
     return out.select(*keys, "interval_id", "state", F.col("bins").cast("bigint"), "target", "competing", censor.alias("censor_reason"), reason.alias("exclusion_reason"))
 
 
+def intervals_over(events: DataFrame, keys: Sequence[str], coverage_end: int) -> DataFrame:
+    """Spans between consecutive events that begin by the coverage's end, whenever they end; after a key's last event one to the coverage's end (is_tail), if it has a length."""
+    w = W.partitionBy(*keys).orderBy("seq")
+    own = events.withColumns({"next_us": F.lead("us").over(w), "following": F.lead("behavior").over(w)}).filter(F.col("us") <= coverage_end)
+    own = own.withColumn("is_tail", F.col("next_us").isNull()).filter(~F.col("is_tail") | (F.col("us") < coverage_end))
+    end = F.coalesce("next_us", F.lit(coverage_end).cast("bigint")).alias("end_us")
+    return own.select(*keys, F.col("seq").alias("interval_id"), F.col("us").alias("start_us"), end, F.col("after").alias("state"), "behavior", "following", "is_tail")
+
+
+def supported_bins(fragments: DataFrame, gaps: DataFrame, keys: Sequence[str], width: int, coverage_end: int, split: Callable[[Column], Column], hours: tuple[int, int]) -> DataFrame:
+    """Whole grid cells of tradeable fragments of untruncated intervals in a state with an endpoint, with all that decides which of them a model may use.
+
+    age_us: the time since the interval's start without gaps, at the cell's start. is_common: within the
+    hours of the day. split(bin_start) names a cell's part of the data, the same all day; an interval with
+    cells in both development and holdout is in neither (is_cross_split). is_eligible: common, in one of
+    the two, and not of such an interval. is_last: the interval's last cell, which has the censor_reason.
+    fragments: of intervals_over, from partition_risk; what an interval's cells share is found over its
+    fragments, before they become cells.
+    """
+    keys = list(keys)
+    own = fragments.filter(~F.col("is_gap") & ~F.col("is_zero") & ~F.col("is_left_truncated")).withColumn("endpoint", endpoint_of(F.col("state"))).filter(F.col("endpoint").isNotNull())
+    first, last = -F.floor(-F.col("start_us") / width).cast("bigint"), F.floor(F.col("end_us") / width).cast("bigint") - 1
+    own = own.withColumns({"_first": first * width, "_last": last * width}).filter("_first <= _last")
+    own = with_closed(own, gap_clock(gaps), [], {"_closed_start": "interval_start", "_closed_here": "start_us"})
+    own = own.withColumns({"_age": F.col("start_us") - F.col("interval_start") - F.col("_closed_here") + F.col("_closed_start"), "split": split(F.col("_first"))})
+    of_interval = W.partitionBy(*keys, "interval_id")
+    named = F.when(F.col("split").isin("development", "holdout"), F.col("split"))
+    own = own.withColumns({"_end": F.max("_last").over(of_interval), "is_cross_split": F.coalesce(F.min(named).over(of_interval) != F.max(named).over(of_interval), F.lit(False))})
+    bins = own.withColumn("bin_start", F.explode(F.sequence("_first", "_last", F.lit(width)))).withColumn("bin_end", F.col("bin_start") + width)
+    at_end = (F.col("bin_end") == F.col("interval_end")) & ~F.col("is_tail")
+    hit = is_target(F.col("state"), F.col("following"))
+    hour = F.pmod("bin_start", F.lit(DAY))
+    common = (hour >= hours[0] * HOUR) & (hour + width <= hours[1] * HOUR)
+    target, competing = at_end & hit, at_end & ~hit
+    is_last = F.col("bin_start") == F.col("_end")
+    reason = F.when(target, "target_event").when(competing, "competing_endpoint").when(F.col("is_tail"), "synthetic_right_censor").when(F.col("interval_end") > coverage_end, "coverage_right_censor")
+    return bins.select(
+        *keys, "interval_id", "state", "endpoint", "interval_start", "interval_end", F.when(at_end, F.col("following")).alias("following"), "bin_start", "bin_end", (F.col("_age") + F.col("bin_start") - F.col("start_us")).alias("age_us"),
+        target.cast("int").alias("target"), competing.cast("int").alias("competing"), "split", common.alias("is_common"), "is_cross_split",
+        (common & ~F.col("is_cross_split") & F.col("split").isin("development", "holdout")).alias("is_eligible"), is_last.alias("is_last"), F.when(is_last, reason).alias("censor_reason"),
+    )
+
+
+def support_audit(intervals: DataFrame, bins: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
+    """Each interval that meets [low, high] with its cells of supported_bins, outcomes, its last cell's censor reason and why no model uses it.
+
+    Of several reasons the last that applies counts: ineligible_state, no_complete_bin, left_truncated, cross_development_holdout.
+    """
+    n = bins.groupBy(*keys, "interval_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("target").alias("targets"), F.sum("competing").alias("competing"), F.bool_or("is_cross_split").alias("is_cross_split"), F.max("censor_reason").alias("censor_reason"))
+    out = intervals.filter((F.col("end_us") >= low) & (F.col("start_us") <= high)).join(n, [*keys, "interval_id"], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("bins", "targets", "competing")} | {"is_cross_split": F.coalesce("is_cross_split", F.lit(False))})
+    ineligible = endpoint_of(F.col("state")).isNull()
+    reason = F.when(F.col("is_cross_split"), "cross_development_holdout").when(F.col("start_us") < low, "left_truncated").when(ineligible, "ineligible_state").when(F.col("bins") == 0, "no_complete_bin")
+    return out.select(*keys, "interval_id", "state", "bins", "targets", "competing", "is_cross_split", "censor_reason", reason.alias("exclusion_reason"))
+
+
 def day_state_summary(fragments: DataFrame) -> DataFrame:
     """Per day and state: fragments, intervals without length, raw, gap and tradeable time, and fragments that end in a target."""
     length = F.col("end_us") - F.col("start_us")

@@ -9,8 +9,8 @@ from ..operators import cases as C
 from ..operators import features as X
 from ..operators import lifecycle as L
 from ..operators.order import DAY, HOUR, MINUTE
-from .interval_queries import GAPS_SQL, INTERVALS_SQL, bounds_of, gaps_of
-from .views import QUOTES_SQL, positions, quotes, table
+from .interval_queries import BOUNDS_SQL, GAPS_SQL, bounds_of, gaps_of
+from .views import QUOTES_SQL, positions, positions_sql, quotes, table, timeline_sql
 
 Q, SQL = {}, {}
 
@@ -29,15 +29,17 @@ def query(name: str, sql: str | None = None):
 BEFORE = {"ONE_BUY": "UNLOCK_TO_BUY", "ONE_SELL": "UNLOCK_TO_SELL"}
 AFTER = {"ONE_BUY": "REHEDGE_SELL", "ONE_SELL": "REHEDGE_BUY"}
 
+# Positions that close half-way to the event that would close them, so that one leg stays alone for hours.
+APART_SQL = f"{positions_sql(share=2)}, {timeline_sql()}, {BOUNDS_SQL}"
 # Every 40th event of a book is taken for an exception.
-ELIGIBLE_SQL = f"""{INTERVALS_SQL}, one_event AS (SELECT acct, us, max(behavior) AS only_one FROM events_m2 GROUP BY ALL HAVING count(*) = 1 AND NOT bool_or(category = 'ambiguous_ordering')),
+ELIGIBLE_SQL = f"""{APART_SQL}, one_event AS (SELECT acct, us, max(behavior) AS only_one FROM events_m2 GROUP BY ALL HAVING count(*) = 1 AND NOT bool_or(category = 'ambiguous_ordering')),
 eligible AS (SELECT i.acct, i.interval_id, i.state, i.start_us, i.end_us FROM bounds, intervals i JOIN one_event a ON a.acct = i.acct AND a.us = i.start_us JOIN one_event b ON b.acct = i.acct AND b.us = i.end_us
   WHERE i.start_us >= lo AND i.start_us < i.end_us AND i.end_us <= hi AND i.end_us - i.start_us >= {MINUTE} AND ((state = 'ONE_BUY' AND behavior = 'UNLOCK_TO_BUY' AND following = 'REHEDGE_SELL') OR (state = 'ONE_SELL' AND behavior = 'UNLOCK_TO_SELL' AND following = 'REHEDGE_BUY'))
     AND a.only_one = i.behavior AND b.only_one = i.following AND NOT EXISTS (SELECT 1 FROM events_m2 e WHERE e.acct = i.acct AND e.seq % 40 = 0 AND e.us >= i.start_us AND e.us <= i.end_us))"""
 
 
 def eligible_of(spark, d):
-    p = positions(spark, d)
+    p = positions(spark, d, share=2)
     low, high = bounds_of(p)
     e = L.lifecycle(p)
     return C.eligible(L.intervals(e), e, e.filter("seq % 40 = 0"), ["acct"], BEFORE, AFTER, low, high, MINUTE).select("acct", "interval_id", "state", "start_us", "end_us")
@@ -82,11 +84,11 @@ def interval_order_faults(spark, d):
 
 @query(
     "window_censoring",
-    f"""WITH {INTERVALS_SQL} SELECT CASE WHEN interval_id % 13 = 0 THEN 'clock_unresolved' WHEN end_us <= start_us OR state NOT IN ('ONE_BUY', 'ONE_SELL') THEN 'invalid_transition' WHEN start_us < lo OR end_us > hi THEN 'cross_fold_continuation'
+    f"""WITH {APART_SQL} SELECT CASE WHEN interval_id % 13 = 0 THEN 'clock_unresolved' WHEN end_us <= start_us OR state NOT IN ('ONE_BUY', 'ONE_SELL') THEN 'invalid_transition' WHEN start_us < lo OR end_us > hi THEN 'cross_fold_continuation'
   WHEN interval_id = 1 THEN 'left_censored_unknown_bootstrap' WHEN end_us - start_us < {HOUR} THEN 'coverage_censored_no_valid_tick' WHEN following NOT LIKE 'REHEDGE%' THEN 'right_censored_no_terminal' ELSE 'valid' END AS status, count(*) AS n FROM intervals, bounds GROUP BY ALL""",
 )
 def window_censoring(spark, d):
-    p = positions(spark, d)
+    p = positions(spark, d, share=2)
     low, high = bounds_of(p)
     status = C.window_status(
         {
@@ -152,8 +154,9 @@ def kept_first(spark, d):
     return C.keep_first(li, ["l_orderkey"], *[F.col(c) for c in ("l_shipdate", "l_linenumber", "l_partkey", "l_quantity")]).drop("l_shipdate")
 
 
-# A clock two hours ahead of UTC, three from the second to the fourth month on.
-CLOCK = [(0, 1706745600000000, 2 * HOUR), (1706745600000000, 1711929600000000, 3 * HOUR), (1711929600000000, 4102444800000000, 2 * HOUR)]
+# A clock two hours ahead of UTC, three from the 11th to the 21st of January 2024.
+FORWARD, BACK = 1704931200000000, 1705795200000000
+CLOCK = [(0, FORWARD, 2 * HOUR), (FORWARD, BACK, 3 * HOUR), (BACK, 4102444800000000, 2 * HOUR)]
 
 
 @query(

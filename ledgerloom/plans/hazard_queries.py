@@ -1,4 +1,4 @@
-"""Hazards by age over risk bins; ages are counted in bins, and every third book is held out."""
+"""Hazards by tradeable age over eligible bins; ages are counted in bins."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from ..operators import hazard as H
 from ..operators.order import DAY, HOUR
 from ..schema import allow_only
 from ..sources.shared import written
-from .interval_queries import WHOLE_BINS_SQL, WIDTH, bins_of
+from .interval_queries import SUPPORT_SQL, WIDTH, support_of
 
 Q, SQL = {}, {}
 
@@ -30,12 +30,12 @@ def bucket_sql(bounds, labels, age="age") -> str:
     return "CASE " + " ".join(f"WHEN {age} >= {b} THEN '{x}'" for b, x in reversed(list(zip(bounds, labels)))) + " END"
 
 
-AGES_SQL = f"{WHOLE_BINS_SQL}, ages AS (SELECT acct, interval_id, endpoint, bin_start, target, (bin_start - interval_start) / {float(WIDTH)} AS age, CASE WHEN acct % 3 = 0 THEN 'holdout' ELSE 'development' END AS split FROM bins)"
+AGES_SQL = f"{SUPPORT_SQL}, ages AS (SELECT acct, interval_id, endpoint, bin_start, target, age_us / {float(WIDTH)} AS age, split FROM support WHERE is_eligible)"
 
 
 def ages(spark, d):
-    b = bins_of(spark, d, WIDTH)
-    return b.select("acct", "interval_id", "endpoint", "bin_start", "target", ((F.col("bin_start") - F.col("interval_start")) / float(WIDTH)).alias("age"), F.when(F.col("acct") % 3 == 0, "holdout").otherwise("development").alias("split"))
+    b = support_of(spark, d).filter("is_eligible")
+    return b.select("acct", "interval_id", "endpoint", "bin_start", "target", (F.col("age_us") / float(WIDTH)).alias("age"), "split")
 
 
 @query(
@@ -63,7 +63,7 @@ rates AS (SELECT e.endpoint, l.bucket, coalesce(exposure, 0) AS exposure, CAST(c
 
 @query("age_hazard_table", f"WITH {TABLE_SQL} SELECT endpoint, bucket, exposure, events, round(p, 12) AS p, no_events, no_exposure, round(p_const, 12) AS p_const FROM rates")
 def age_hazard_table(spark, d):
-    """Fitted on the development books."""
+    """Fitted on the development days."""
     t = H.hazard_table(ages(spark, d).filter("split = 'development'"))
     return t.withColumns({c: F.round(c, 12) for c in ("p", "p_const")})
 

@@ -83,7 +83,7 @@ def risk_tail(spark, d):
     return tailed(spark, d)[0]
 
 
-FRAGMENTS_SQL = f"""{TAIL_SQL}, {GAPS_SQL}, cutd AS (
+CUT_SQL = f"""{GAPS_SQL}, cutd AS (
   SELECT acct, interval_id, state, behavior, following, is_tail, start_us AS interval_start, end_us AS interval_end, start_us < lo AS is_left_truncated,
     greatest(start_us, lo, k * 86400000000) AS a, least(end_us, hi, (k + 1) * 86400000000) AS b
   FROM (SELECT *, unnest(range(greatest(start_us, lo) // 86400000000, (least(end_us, hi) - 1) // 86400000000 + 1)) AS k FROM tailed, bounds WHERE start_us < end_us AND greatest(start_us, lo) < least(end_us, hi))
@@ -98,6 +98,7 @@ fragments AS (
   FROM pieces p JOIN cutd c ON c.acct = p.acct AND c.interval_id = p.interval_id AND c.a = p.a WHERE p1 IS NOT NULL
   UNION ALL SELECT acct, interval_id, state, behavior, following, is_tail, start_us, end_us, start_us < lo, start_us, end_us, false, true FROM tailed, bounds WHERE start_us = end_us
 )"""
+FRAGMENTS_SQL = f"{TAIL_SQL}, {CUT_SQL}"
 
 
 def fragments_of(spark, d, unit=1):
@@ -214,6 +215,61 @@ def interval_audit(spark, d):
     return I.interval_audit(i, bins, ["acct"], lo)
 
 
+# Intervals that the coverage's end may cut; the first two thirds of its days are for development, the rest is held out.
+OVER_SQL = f"""{positions_sql(unit=WIDTH)}, {timeline_sql()}, {BOUNDS_SQL}, parts AS (SELECT lo + (hi - lo) // {DAY} * 2 // 3 * {DAY} AS part FROM bounds),
+tailed AS (SELECT acct, seq AS interval_id, us AS start_us, coalesce(next_us, hi) AS end_us, after AS state, behavior, following, next_us IS NULL AS is_tail FROM (
+  SELECT *, lead(behavior) OVER (PARTITION BY acct ORDER BY seq) AS following FROM events_m2), bounds WHERE us <= hi AND (next_us IS NOT NULL OR us < hi)), {CUT_SQL}"""
+SUPPORT_SQL = f"""{OVER_SQL}, risk_cells AS (
+  SELECT f.*, k * {WIDTH} AS bin_start, (k + 1) * {WIDTH} AS bin_end FROM (
+    SELECT *, unnest(range((start_us + {WIDTH} - 1) // {WIDTH}, end_us // {WIDTH})) AS k FROM fragments WHERE NOT is_gap AND NOT is_zero AND NOT is_left_truncated AND state IN ('HEDGED_1X1', 'ONE_BUY', 'ONE_SELL')) f
+), lost AS (
+  SELECT c.acct, c.interval_id, c.bin_start, CAST(sum(least(c.bin_start, g.gap_end) - greatest(c.interval_start, g.gap_start)) AS BIGINT) AS us FROM risk_cells c JOIN gaps g ON g.gap_start < c.bin_start AND g.gap_end > c.interval_start GROUP BY ALL
+), flagged AS (
+  SELECT c.*, CASE c.state WHEN 'HEDGED_1X1' THEN 'unlock_occurrence' WHEN 'ONE_BUY' THEN 'rehedge_sell_occurrence' ELSE 'rehedge_buy_occurrence' END AS endpoint, c.bin_start - c.interval_start - coalesce(l.us, 0) AS age_us,
+    c.bin_end = c.interval_end AND NOT c.is_tail AS at_end, CASE WHEN c.bin_start < part THEN 'development' ELSE 'holdout' END AS split, c.bin_start % {DAY} >= {12 * HOUR} AS is_common
+  FROM parts, risk_cells c LEFT JOIN lost l ON l.acct = c.acct AND l.interval_id = c.interval_id AND l.bin_start = c.bin_start
+), labelled AS (
+  SELECT *, CAST(at_end AND coalesce({TARGET_SQL}, false) AS INT) AS target, CAST(at_end AND NOT coalesce({TARGET_SQL}, false) AS INT) AS competing,
+    min(split) OVER (PARTITION BY acct, interval_id) <> max(split) OVER (PARTITION BY acct, interval_id) AS is_cross_split, bin_start = max(bin_start) OVER (PARTITION BY acct, interval_id) AS is_last FROM flagged
+), support AS (
+  SELECT acct, interval_id, state, endpoint, interval_start, interval_end, CASE WHEN at_end THEN following END AS following, bin_start, bin_end, age_us, target, competing, split, is_common, is_cross_split, is_common AND NOT is_cross_split AS is_eligible, is_last,
+    CASE WHEN is_last THEN CASE WHEN target = 1 THEN 'target_event' WHEN competing = 1 THEN 'competing_endpoint' WHEN is_tail THEN 'synthetic_right_censor' WHEN interval_end > hi THEN 'coverage_right_censor' END END AS censor_reason FROM labelled, bounds
+)"""
+
+
+def over(spark, d):
+    """Intervals, the coverage, and the function of the parts."""
+    p = positions(spark, d, unit=WIDTH)
+    lo, hi = bounds_of(p)
+    part = lo + (hi - lo) // DAY * 2 // 3 * DAY
+    return I.intervals_over(L.lifecycle(p), ["acct"], hi), lo, hi, lambda us: F.when(us < part, "development").otherwise("holdout")
+
+
+def support_of(spark, d):
+    i, lo, hi, split = over(spark, d)
+    gaps = gaps_of(spark, d)
+    return I.supported_bins(I.partition_risk(i, gaps, ["acct"], lo, hi), gaps, ["acct"], WIDTH, hi, split, (12, 24))
+
+
+@query("supported_bins", f"WITH {SUPPORT_SQL} SELECT acct, interval_id, endpoint, following, bin_start, age_us, target, competing, split, is_common, is_cross_split, is_eligible, is_last, censor_reason FROM support")
+def supported_bins(spark, d):
+    return support_of(spark, d).select("acct", "interval_id", "endpoint", "following", "bin_start", "age_us", "target", "competing", "split", "is_common", "is_cross_split", "is_eligible", "is_last", "censor_reason")
+
+
+@query(
+    "support_audit",
+    f"""WITH {SUPPORT_SQL}, n AS (SELECT acct, interval_id, count(*) AS bins, CAST(sum(target) AS BIGINT) AS targets, CAST(sum(competing) AS BIGINT) AS competing, bool_or(is_cross_split) AS is_cross_split, max(censor_reason) AS censor_reason FROM support GROUP BY ALL)
+SELECT t.acct, t.interval_id, t.state, coalesce(n.bins, 0) AS bins, coalesce(n.targets, 0) AS targets, coalesce(n.competing, 0) AS competing, coalesce(n.is_cross_split, false) AS is_cross_split, n.censor_reason,
+  CASE WHEN n.is_cross_split THEN 'cross_development_holdout' WHEN t.start_us < lo THEN 'left_truncated' WHEN t.state NOT IN ('HEDGED_1X1', 'ONE_BUY', 'ONE_SELL') THEN 'ineligible_state' WHEN n.bins IS NULL THEN 'no_complete_bin' END AS exclusion_reason
+FROM bounds, tailed t LEFT JOIN n ON n.acct = t.acct AND n.interval_id = t.interval_id WHERE t.end_us >= lo AND t.start_us <= hi""",
+)
+def support_audit(spark, d):
+    i, lo, hi, split = over(spark, d)
+    gaps = gaps_of(spark, d)
+    bins = I.supported_bins(I.partition_risk(i, gaps, ["acct"], lo, hi), gaps, ["acct"], WIDTH, hi, split, (12, 24))
+    return I.support_audit(i, bins, ["acct"], lo, hi)
+
+
 @query(
     "overlap_rejects",
     f"WITH {positions_sql()}, {timeline_sql()} SELECT DISTINCT p.acct, p.position_id FROM positions p JOIN positions q ON q.acct = p.acct AND q.position_id < p.position_id AND q.open_us < p.close_us AND p.open_us < q.close_us",

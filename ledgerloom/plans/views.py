@@ -24,22 +24,24 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUOTES_SQL = "quotes AS (SELECT event_type AS symbol, event_id AS seq, epoch_us(ts) AS us, value AS bid, value + 0.2 AS ask, value + 0.1 AS mid FROM events)"
 
 
-def positions(spark: SparkSession, sf_dir: str, legs: int = 2, apart: int = SECOND, unit: int = 1) -> DataFrame:
-    """One book per user: each event opens a position that the event ``legs`` later closes, ``apart`` before it; times in whole units."""
+def positions(spark: SparkSession, sf_dir: str, legs: int = 2, apart: int = SECOND, unit: int = 1, share: int | None = None) -> DataFrame:
+    """One book per user: each event opens a position that the event ``legs`` later closes, ``apart`` before it (or a ``share``-th of the time since the event before that one); times in whole units."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("acct"), F.col("event_id").alias("position_id"), to_us("ts").alias("open_us"), F.col("value").alias("open_price"))
     w = W.partitionBy("acct").orderBy("open_us", "position_id")
-    e = e.withColumns({"close_us": F.lead("open_us", legs).over(w) - apart, "close_price": F.lead("open_price", legs).over(w)})
+    before = F.lit(apart) if share is None else F.floor((F.lead("open_us", legs).over(w) - F.lead("open_us", legs - 1).over(w)) / share)
+    e = e.withColumns({"close_us": F.lead("open_us", legs).over(w) - before, "close_price": F.lead("open_price", legs).over(w)})
     side = F.when(F.col("position_id") % 2 == 0, "buy").otherwise("sell").alias("side")
     volume = F.when(F.col("position_id") % 5 == 0, F.lit("0.2")).otherwise(F.lit("0.3")).cast("decimal(12,8)").alias("volume")
     whole = lambda c: (F.floor(F.col(c) / unit) * unit).alias(c) if unit > 1 else F.col(c)
     return e.select("acct", "position_id", side, volume, whole("open_us"), "open_price", whole("close_us"), "close_price")
 
 
-def positions_sql(legs: int = 2, apart: int = SECOND, unit: int = 1) -> str:
+def positions_sql(legs: int = 2, apart: int = SECOND, unit: int = 1, share: int | None = None) -> str:
+    before = f"{apart}" if share is None else f"(epoch_us(lead(ts, {legs}) OVER w) - epoch_us(lead(ts, {legs - 1}) OVER w)) // {share}"
     whole = f" // {unit} * {unit}" if unit > 1 else ""
     return f"""positions AS (SELECT user_id AS acct, event_id AS position_id, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
   CAST(CASE WHEN event_id % 5 = 0 THEN 0.2 ELSE 0.3 END AS DECIMAL(12,8)) AS volume, epoch_us(ts){whole} AS open_us, value AS open_price,
-  (epoch_us(lead(ts, {legs}) OVER w) - {apart}){whole} AS close_us, lead(value, {legs}) OVER w AS close_price
+  (epoch_us(lead(ts, {legs}) OVER w) - {before}){whole} AS close_us, lead(value, {legs}) OVER w AS close_price
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
 
