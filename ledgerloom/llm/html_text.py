@@ -37,6 +37,11 @@ NAMES = frozenset(
     "footer login-form masthead menu modal nav navbar navigation newsletter pagination popup promo related-posts respond search-form share sharing sidebar "
     "site-footer site-header skip-link social sponsored subscribe toolbar topbar widget".split()
 )
+#: Words of compound class and id names, as in cookie-bar or reader_comments, and beginnings of such words.
+NAME_WORDS = frozenset("ad ads banner comment comments consent cookie footer menu nav navbar newsletter notice promo sidebar social sponsored".split())
+NAME_STEMS = ("adsby", "advert", "breadcrumb", "cookie", "navigation")
+#: Words before such a word that say an element has one beside it, or none.
+NOT_ITSELF = frozenset("no has with without".split())
 #: What an element's start tag ends, if it is open.
 ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"),
@@ -46,6 +51,10 @@ ENDS = {
 SCOPES = frozenset("table td th article main section ul ol dl select".split())
 #: An element that class, id or form tag marks is around the main text, not beside it, from this share of the page's text on.
 AROUND = 0.9
+#: Text outside articles stays if it is as long as this share of theirs; shorter, it is what stands around them.
+BESIDE = 1 / 3
+#: So many blocks in a row outside articles, each with this share of its letters in links, are a menu, unless they are most of the page.
+LINKS, LINKED = 3, 0.8
 #: A subtree recurs on at least so many of a host's pages, from SHARE of them or ROOT times their square root on; within articles from OWN_LEAST and OWN_SHARE.
 LEAST, SHARE, ROOT = 3, 0.6, 2.0
 OWN_LEAST, OWN_SHARE = 10, 0.6
@@ -57,21 +66,31 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none")
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CLEAR, MAYBE, CERTAIN = 0, 1, 2
 
 
+def is_marked(name: str, in_article: bool) -> bool:
+    """Whether one of the words of a class or id is that of an advert, a notice, a menu or comments; a header's only outside articles."""
+    words = [w.lower() for w in NAME_PARTS.findall(name)]
+    if words == ["header"] or words[-1:] == ["header"] and "site" in words or words[-1:] == ["header"] and "page" in words:
+        return not in_article
+    return any((w in NAME_WORDS or w.startswith(NAME_STEMS)) and not (k and words[k - 1] in NOT_ITSELF) for k, w in enumerate(words))
+
+
 def verdict(tag: str, rest: str, in_article: bool) -> int:
     """What an element's name and attributes say: CERTAIN that it isn't main text, MAYBE, or nothing (CLEAR)."""
     if tag in DROPPED or tag == "header" and not in_article:
         return CERTAIN
     found = MAYBE if tag == "form" else CLEAR
     for name, *values in ATTRIBUTE.findall(rest):
-        name, value = name.lower(), "".join(values).lower()
+        name, spelled = name.lower(), "".join(values)
+        value = spelled.lower()
         if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and HIDDEN.search(value):
             return CERTAIN
         if name == "role" and ROLES.intersection(value.split()):
             return CERTAIN
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and NAMES.intersection(value.split()):
+        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and (NAMES.intersection(value.split()) or any(is_marked(x, in_article) for x in spelled.split())):
             found = MAYBE
     return found
 
@@ -96,15 +115,19 @@ Piece = tuple[str, Node | None, bool]
 
 
 class Page:
-    """A page's blocks in order, which of them its markup leaves in the main text, and the hash of each element with its blocks.
+    """A page's blocks in order, which of them its markup leaves, which of those are in articles, and the hash of each element with its blocks.
 
-    Of elements around the same blocks the innermost one's hash stands for all.
+    left: not ruled out; main: of a page with text in articles those in articles, else all that are left. Of elements around the same blocks the innermost one's hash stands for all.
     """
 
     def __init__(self, source: str):
         self.blocks: list[str] = []
         self.main: list[bool] = []
+        self.left: list[bool] = []
         self.has_article = False
+        self._link = False
+        self._linked: list[tuple[int, int]] = []  # letters of each block, and of those the ones in links
+        self._letters = [0, 0]
         self.subtrees: list[tuple[int, int, int]] = []
         self._parts: list[list[Piece]] = []
         self._in_article: list[bool] = []
@@ -129,7 +152,8 @@ class Page:
             node.digest.update(b"\x01" + whole.encode("utf-8", "surrogatepass"))
             self._parts.append(self._pieces)
             self._in_article.append(node.article)
-        self._pieces = []
+            self._linked.append((self._letters[0], self._letters[1]))
+        self._pieces, self._letters = [], [0, 0]
 
     def _push(self, tag: str, found: int, article: bool, inline: bool) -> None:
         self._stack.append(Node(tag, len(self._parts), found, article, inline, self._stack[-1]))
@@ -206,9 +230,13 @@ class Page:
 
     def _text(self, text: str) -> None:
         top = self._stack[-1]
+        self._letters[0] += len(text)
+        self._letters[1] += len(text) if self._link else 0
         self._pieces.append((text, top, top.limit is not None) if top.inline else (text, None, False))
 
     def _end(self, tag: str) -> None:
+        if tag == "a":
+            self._link = False
         if tag in BLOCKS:
             if self._open[tag]:
                 self._pop_to(tag)
@@ -222,6 +250,8 @@ class Page:
                 self._pop(True)
 
     def _inline(self, tag: str, rest: str) -> None:
+        if tag == "a":
+            self._link = True
         top = self._stack[-1]
         if top.inline:
             top.depth += top.tag == tag
@@ -248,17 +278,34 @@ class Page:
             self._marked.append(self._stack[-1])
 
     def _decide(self) -> None:
-        """The blocks' texts, and which of them are main text."""
+        """The blocks' texts, and which of them are left."""
         sizes = [0]
         for parts in self._parts:
             kept = (p for p, node, late in parts if node is None or late and not node.ended)
             self.blocks.append(" ".join("".join(kept).split()))
-            sizes.append(sizes[-1] + len(self.blocks[-1]))
+        certain = outside([(a, b) for found, a, b in self._dropped if found == CERTAIN], len(self.blocks))
+        for text, x in zip(self.blocks, certain):
+            sizes.append(sizes[-1] + len(text) * x)
         out = outside([(a, b) for found, a, b in self._dropped if found == CERTAIN or sizes[b] - sizes[a] < AROUND * sizes[-1]], len(self.blocks))
         left = [x and bool(t) for x, t in zip(out, self.blocks)]
-        of_article = [x and y for x, y in zip(left, self._in_article)]
+        menus = outside(self._menus(left), len(self.blocks))
+        self.left = [x and y for x, y in zip(left, menus)]
+        of_article = [x and y for x, y in zip(self.left, self._in_article)]
         self.has_article = any(of_article)
-        self.main = of_article if self.has_article else left
+        self.main = of_article if self.has_article else self.left
+
+    def _menus(self, left: list[bool]) -> list[tuple[int, int]]:
+        """Runs of blocks outside articles that are links for the most part, and not most of what is left."""
+        total, runs, begin, size = sum(len(t) for t, x in zip(self.blocks, left) if x), [], None, 0
+        for k in range(len(left) + 1):
+            link = k < len(left) and left[k] and not self._in_article[k] and self._linked[k][1] >= LINKED * self._linked[k][0] > 0
+            if link:
+                begin, size = (k, len(self.blocks[k])) if begin is None else (begin, size + len(self.blocks[k]))
+            elif begin is not None and (k == len(left) or left[k]):
+                if k - begin >= LINKS and 2 * size < total:
+                    runs.append((begin, k))
+                begin = None
+        return runs
 
 
 def outside(spans: list[tuple[int, int]], n: int) -> list[bool]:
@@ -294,7 +341,8 @@ def parsed(batches: Iterator[pa.RecordBatch], html_col: str, keep: list[str], na
         blocks, content, subtrees = [], [], []
         for source in batch.column(html_col).to_pylist():
             page = Page(source or "")
-            blocks.append(packed([t if m else "" for t, m in zip(page.blocks, page.main)]))
+            # The first letter of a block that is left says whether it is in an article.
+            blocks.append(packed(["" if not x else ("a" if page.has_article and m else "b") + t for t, x, m in zip(page.blocks, page.left, page.main)]))
             own = [t for t, m in zip(page.blocks, page.main) if m] or page.blocks
             content.append(signed64("\n\n".join(own).encode("utf-8", "surrogatepass")))
             inside = [0]
@@ -312,8 +360,10 @@ def joined_blocks(batches: Iterator[pa.RecordBatch], names: dict[str, str], keep
         for data, gone in zip(*(batch.column(names[c]).to_pylist() for c in ("blocks", "gone"))):
             blocks = unpacked(data)
             left = outside([(x["a"], x["b"]) for x in gone or ()], len(blocks))
-            texts.append("\n\n".join(t for t, x in zip(blocks, left) if t and x))
-            taken.append(left.count(False))
+            own = [t for t, x in zip(blocks, left) if t and x]
+            of_article, beside = (sum(len(t) - 1 for t in own if t[0] == kind) for kind in "ab")
+            texts.append("\n\n".join(t[1:] for t in own if t[0] == "a" or beside >= BESIDE * of_article))
+            taken.append(sum(1 for t, x in zip(blocks, left) if t and not x))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(taken, pa.int64())], [*keep, names["text"], names["n"]])
 
 
@@ -349,15 +399,17 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     articles (or main elements) only what stands on ten pages and 0.6 of all is, as a passage that
     several articles share is theirs.
 
-    What a page says of itself does the rest, so that single pages have a text too: of an article with
-    text only that is taken; hidden elements, menus, asides, footers and headers outside articles go,
-    as do elements whose role, or one of whose whole class or id names, marks an advert, a notice, a
-    form or comments, unless nine tenths of the page's text are in them. A marked inline element goes
-    to its end tag, or if it has none up to the next block. Character references are decoded, white
+    What a page says of itself does the rest, so that single pages have a text too. Hidden elements,
+    menus, asides, footers and headers outside articles go, as do elements whose role, or a word of
+    whose class or id, marks an advert, a notice, a form or comments, unless nine tenths of the text
+    are in them, and runs of links outside articles that aren't most of the page. Articles are taken,
+    and the text beside them if, after all that, it is a third as long as theirs or more: then an
+    article is a teaser or a part of the text; else what stands beside it is its page's. A marked
+    inline element goes to its end tag, or if it has none up to the next block. Character references are decoded, white
     space within a block becomes one space, and blocks are joined by two line feeds in their order.
 
     Returns pages (columns ``keep``, all by default) with text, n_chars (code points) and n_template
-    (blocks that were deleted as the site's); input columns of these names give way, unless they are
+    (blocks that were deleted as the site's and by nothing else); input columns of these names give way, unless they are
     the html. Null, empty or broken html and one without text give an empty text. Pages without a url
     or with a broken one share a host. A page of any length or depth is read whole, in time in
     proportion to it. Repeated rows are answered alike; an empty table gives no rows.

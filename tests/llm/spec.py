@@ -82,7 +82,7 @@ def site_pages(rng: random.Random) -> list[tuple[int, str, str]]:
 
 
 def main_texts(pages: list[tuple[str, str]]) -> list[str]:
-    """Each page's text: of the article, else of all but footers, without subtrees on many pages of different content of the host."""
+    """Each page's text without footers and subtrees on many pages of different content of the host: of the article, and what is beside it if that is a third as long."""
     trees = [Tree(source).root for _, source in pages]
 
     def leaves(node, inside=False, out=False):
@@ -110,8 +110,9 @@ def main_texts(pages: list[tuple[str, str]]) -> list[str]:
     out = []
     for host, page, own in zip(hosts, read, main):
         holds = {tree for (_, path, i, _), m in zip(page, own) if m and i for tree in path}
-        kept = [t for (t, path, _, _), m in zip(page, own) if m and not any(many(host, tree, tree in holds) for tree in path)]
-        out.append("\n\n".join(kept))
+        kept = [(t, i) for t, path, i, o in page if not o and not any(many(host, tree, tree in holds) for tree in path)]
+        inside, beside = (sum(len(t) for t, i in kept if i == x) for x in (True, False))
+        out.append("\n\n".join(t for t, i in kept if i or 3 * beside >= inside))
     return out
 
 

@@ -326,6 +326,31 @@ def test_blocks_of_single_pages(source, blocks):
     assert [t for t, m in zip(page.blocks, page.main) if m] == blocks
 
 
+LONG = "the main text of this page goes on for a while " * 8
+LONG = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<p>intro</p><article><p>short</p></article><p>long main text</p>", "intro\n\nshort\n\nlong main text"),
+        (f"<article><p>teaser card</p></article><div>{LONG}</div>", f"teaser card\n\n{LONG}"),
+        (f"<p>We sell tea.</p><article><p>{LONG}</p></article><p>One line of the site</p>", LONG),
+        (f"<body class='has-sidebar with-comments'><div class='page no-ads'><p>{LONG}</p></div></body>", LONG),
+        (f"<div><a href=x>one</a></div><div><a href=y>two</a></div><div><a href=z>three</a></div><p>{LONG} <a href=q>link</a></p>", f"{LONG} link"),
+        ("<p><a href=x>one</a></p><p><a href=y>two</a></p><p><a href=z>three</a></p>", "one\n\ntwo\n\nthree"),
+        (f"<article><header class='entry-header'><h1>Head</h1></header><p>{LONG}</p></article>", f"Head\n\n{LONG}"),
+        *[(f"<p>{LONG}</p><div {mark}>no</div>", LONG) for mark in ("class=comment", "class='reader-comments'", "class=notice", "class='x cookie-bar'", "class='sidebar-left'", "class=ad-banner", "class=adsbygoogle", "class=header", "class='footer-links'", "id='nav-menu'", "class=siteHeader", "class=CookieNotice")],
+    ],
+)
+def test_main_text_of_single_pages(spark, source, text):
+    page = html_text.Page(source)
+    packed = html_text.packed(["" if not x else ("a" if page.has_article and m else "b") + t for t, x, m in zip(page.blocks, page.left, page.main)])
+    batch = pa.RecordBatch.from_arrays([pa.array([packed]), pa.array([None], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["blocks", "gone"])
+    found = next(html_text.joined_blocks(iter([batch]), {"blocks": "blocks", "gone": "gone", "text": "text", "n": "n"}, []))
+    assert found["text"][0].as_py() == text
+
+
 def test_context_words_decide(spark):
     number, secret = "1234567890", "a1b2c3d4e5f6a7b8c9d0e1f2"
     texts = [f"account {number}", f"order {number}", f"token = {secret}", f"commit {secret}", f"example token {secret}", "ssn 123-45-6789", "part 123-45-6789", "GB82 WEST 1234 5698 7654 32", "sample GB82 WEST 1234 5698 7654 32", "example me@x.example"]
