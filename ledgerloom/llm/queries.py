@@ -198,21 +198,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the counts of nine tenths of them; what the others alone have backs off."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_scores.score_documents(docs, keep=["doc_id"])
+    counted = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint") % 10 != 0
+    return lm_scores.score_documents(docs, keep=["doc_id"], counted=counted)
 
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 10 <> 0 AS counted
   FROM documents
 ), t AS (
-  SELECT row, CASE WHEN k > 1 THEN w[k - 1] ELSE '' END AS before, w[k] AS word FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS k FROM d)
-), c1 AS (SELECT word, count(*) AS n FROM t GROUP BY word UNION ALL SELECT '', count(*) FROM d WHERE len(w) > 0),
-c2 AS (SELECT before, word, count(*) AS n FROM t GROUP BY ALL),
+  SELECT row, counted, CASE WHEN k > 1 THEN w[k - 1] ELSE '' END AS before, w[k] AS word FROM (SELECT row, counted, w, unnest(range(1, len(w) + 1)) AS k FROM d)
+), c1 AS (SELECT word, count(*) AS n FROM t WHERE counted GROUP BY word UNION ALL SELECT '', count(*) FROM d WHERE len(w) > 0 AND counted),
+c2 AS (SELECT before, word, count(*) AS n FROM t WHERE counted GROUP BY ALL),
 s AS (
-  SELECT row, sum(CASE WHEN c2.n IS NOT NULL THEN ln(c2.n) - ln(b.n) ELSE ln(0.4) + ln(o.n) - ln((SELECT count(*) FROM t)) END) AS score
-  FROM t JOIN c1 o ON t.word = o.word JOIN c1 b ON t.before = b.word LEFT JOIN c2 ON t.before = c2.before AND t.word = c2.word GROUP BY row
+  SELECT row, sum(CASE WHEN c2.n IS NOT NULL THEN ln(c2.n) - ln(b.n) ELSE ln(0.4) + ln(coalesce(o.n, 1)) - ln(greatest((SELECT count(*) FROM t WHERE counted), 1)) END) AS score
+  FROM t LEFT JOIN c1 o ON t.word = o.word LEFT JOIN c1 b ON t.before = b.word LEFT JOIN c2 ON t.before = c2.before AND t.word = c2.word GROUP BY row
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0), 6) AS log_score, CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS mean_score
 FROM d LEFT JOIN s USING (row)
