@@ -265,6 +265,56 @@ def test_weights_of_priors_are_the_brute_force_result(spark):
     assert found[2] == pytest.approx(min(max(noise / signal, 1), 1e6) if signal > 0 else 1e6)
 
 
+def test_posteriors_and_rejections_are_the_brute_force_result(spark):
+    """The trained classifiers' evidence, and all sums over sites, in plain numpy over every document but the judged one."""
+    rng = random.Random(21)
+    good, bad, foul = "clear fine helpful sound".split(), "spam click cheap deal".split(), "vile nasty".split()
+    docs, labels = [], []
+    for k in range(240):
+        host, path = rng.choice(["a", "a", "a", "b", "c", None]), rng.choice(["x", "y", None])
+        poor, toxic = rng.random() < (0.7 if host == "b" else 0.25), rng.random() < (0.4 if path == "y" else 0.1)
+        words = [rng.choice((bad if poor else good) + ["the", "of", f"n{k}"]) for _ in range(rng.randrange(4, 30))] + [rng.choice(foul)] * toxic
+        docs.append((k, " ".join(words) if k % 40 else None, host, path))
+        if k % 2:
+            labels.append((k, int(not poor), int(toxic)))
+    docs += [docs[5], docs[5]]
+    found = quality.classify(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    of = {k: (q, t) for k, q, t in labels}
+    own = sorted({d for d in docs if d[0] in of})
+    batch = pa.RecordBatch.from_arrays([pa.array([float(of[d[0]][0]) for d in own]), pa.array([float(of[d[0]][1]) for d in own]), pa.array([d[1] for d in own])], ["quality", "toxic", "text"])
+    models = next(quality.train(quality.example_rows(iter([batch])), 800, 1e-6)).to_pylist()
+    assert {m["target"] for m in models} == {"quality", "toxic"}
+    expected = {}
+    for m in models:
+        model = quality.Classifier(m["words"], m["weights"], m["intercept"], m["rate"])
+        _, data, offsets = next(quality.chunks(pa.array([d[1] for d in docs])))
+        z = model.evidence(*quality.features(data, offsets))
+        base = math.log(m["rate"] / (1 - m["rate"]))
+        p = 1 / (1 + np.exp(-(z + base)))
+        hosts, sites = [d[2] for d in docs], [(d[2], d[3]) for d in docs]
+        mean_of = lambda group: {g: p[[x == g for x in group]].mean() for g in set(group)}  # noqa: E731, B023
+        n, of_host, of_site, sizes, site_sizes = len(p), mean_of(hosts), mean_of(sites), Counter(hosts), Counter(sites)
+        within = [sum((x - mean[g]) ** 2 for x, g in zip(p, group)) for mean, group in ((of_host, hosts), (of_site, sites))]
+        between = [sum((of_host[h] - p.mean()) ** 2 for h in hosts), sum((of_site[s] - of_host[s[0]]) ** 2 for s in sites)]
+        counts = [(n - sum(c * c for c in sizes.values()) / n) / (len(sizes) - 1), (n - sum(c * c / sizes[g[0]] for g, c in site_sizes.items())) / (len(site_sizes) - len(sizes))]
+        degrees = [(n - len(sizes), len(sizes) - 1), (n - len(site_sizes), len(site_sizes) - len(sizes))]
+        weights = []
+        for w, b, c, (dw, db) in zip(within, between, counts, degrees):
+            noise, signal = w / dw, (b / db - w / dw) / c
+            weights.append(min(max(noise / signal, 1.0), 1e6) if signal > 0 else 1e6)
+        for k, d in enumerate(docs):
+            other_host = sum(x for j, x in enumerate(p) if hosts[j] == hosts[k] and j != k)
+            other_site = sum(x for j, x in enumerate(p) if sites[j] == sites[k] and j != k)
+            host = (other_host + weights[0] * p.mean()) / (sizes[hosts[k]] - 1 + weights[0])
+            site = (other_site + weights[1] * host) / (site_sizes[sites[k]] - 1 + weights[1])
+            expected[d[0], m["target"]] = 1 / (1 + math.exp(-(z[k] + math.log(site / (1 - site)))))
+    assert len(found) == len(docs)
+    for r in found:
+        assert (r.p_quality, r.p_toxic) == (pytest.approx(expected[r.doc_id, "quality"], abs=1e-5), pytest.approx(expected[r.doc_id, "toxic"], abs=1e-5))
+        assert r.rejected == (r.p_quality < 0.5 or r.p_toxic > 0.3)
+    assert {r.rejected for r in found} == {True, False}
+
+
 def test_site_posterior_shrinks_small_sites(spark):
     docs = spark.createDataFrame([(k, "same words here", "big", "p") for k in range(50)] + [(99, "same words here", "small", "p")], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
