@@ -221,3 +221,49 @@ def cause_features(events: DataFrame, windows: dict[int, str], reference: str, u
 
 CAUSE_FEATURES = (*(f"position_{k}" for k in (2, 5, 10)), *(f"{x}_{k}" for x in ("change", "imbalance", "upper_touch", "lower_touch") for k in (2, 5)), "displacement")
 
+
+def _span_extremes(rows: pa.Table) -> pa.Table:
+    """For one bucket: the extremes of the ticks in each span (kind ANCHOR, from us to ``to``, ends included)."""
+    kind, us = rows["kind"].to_numpy(), rows["us"].to_numpy()
+    ticks, spans = np.flatnonzero(kind == TICK), np.flatnonzero(kind == ANCHOR)
+    ticks = ticks[np.argsort(us[ticks], kind="stable")]
+    t, values = us[ticks], rows["mid"].to_numpy()[ticks]
+    start, end = np.searchsorted(t, us[spans], "left"), np.searchsorted(t, rows["to"].to_numpy()[spans], "right")
+    high, low = extremes(values, start, np.maximum(start, end))
+    there = high >= 0
+    pick = lambda at: pa.array(values[np.where(there, at, 0)] if len(values) else np.zeros(len(at)), mask=~there)
+    return pa.table({"span": rows["span"].take(pa.array(spans)), "high": pick(high), "low": pick(low)})
+
+
+def extremes_between(spans: DataFrame, ticks: DataFrame, value: str, bucket: int, group: int) -> DataFrame:
+    """spans (a column ``span`` that names them, start, end) with the highest and lowest value of the ticks in [start, end], null without a tick.
+
+    A span's first and last bucket are looked into; the whole buckets between are met by their extremes,
+    and where whole groups of ``group`` buckets lie between, by those of the groups. So a span costs two
+    looks, two groups' buckets at most, and its length in groups.
+    """
+    wide = bucket * group
+    by = lambda df, width: df.groupBy(bucket_of("us", width).alias("cell")).agg(F.max("_v").alias("high"), F.min("_v").alias("low"))
+    t = ticks.select("us", F.col(value).cast("double").alias("_v"))
+    small = by(t, bucket).withColumn("width", F.lit(bucket))
+    large = small.groupBy(F.floor(F.col("cell") / group).cast("bigint").alias("cell")).agg(F.max("high").alias("high"), F.min("low").alias("low")).withColumn("width", F.lit(wide).cast("bigint"))
+    own = spans.select("span", F.col("start").cast("bigint").alias("a"), F.col("end").cast("bigint").alias("b")).filter("a <= b")
+    first, last = bucket_of("a", bucket), bucket_of("b", bucket)
+    end_of_first = F.least(F.col("b"), (first + 1) * bucket - 1)
+    looks = F.array(F.struct(F.col("a").alias("us"), end_of_first.alias("to")), F.when(first < last, F.struct((last * bucket).alias("us"), F.col("b").alias("to"))))
+    ends = own.select("span", F.explode(looks).alias("x")).filter("x IS NOT NULL").select("span", F.col("x.us").alias("us"), F.col("x.to").alias("to"), F.lit(ANCHOR).alias("kind"), F.lit(None).cast("double").alias("mid"))
+    both = ends.unionByName(t.select(F.lit(None).cast(spans.schema["span"].dataType).alias("span"), "us", F.lit(None).cast("bigint").alias("to"), F.lit(TICK).alias("kind"), F.col("_v").alias("mid")))
+    shape = f"span {spans.schema['span'].dataType.simpleString()}, high double, low double"
+    found = both.withColumn("_bucket", bucket_of("us", bucket)).groupBy("_bucket").applyInArrow(_span_extremes, shape)
+    # Cells between the ends: small ones up to the first whole group, groups, small ones after the last.
+    lo, hi = first + 1, last - 1
+    g0, g1 = F.ceil(lo / group).cast("bigint"), F.floor((hi + 1) / group).cast("bigint") - 1
+    none = F.array().cast("array<bigint>")
+    run = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(none)
+    cells = lambda ids, width: F.transform(ids, lambda c: F.struct(c.alias("cell"), F.lit(width).cast("bigint").alias("width")))
+    wholes = F.when(g0 <= g1, F.concat(cells(run(lo, g0 * group - 1), bucket), cells(run(g0, g1), wide), cells(run((g1 + 1) * group, hi), bucket))).otherwise(cells(run(lo, hi), bucket))
+    between = own.select("span", F.explode(wholes).alias("c")).select("span", "c.cell", "c.width")
+    table = small.withColumn("width", F.col("width").cast("bigint")).unionByName(large)
+    found = found.unionByName(between.join(table, ["cell", "width"]).select("span", "high", "low"))
+    best = found.groupBy("span").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    return spans.join(best, "span", "left")

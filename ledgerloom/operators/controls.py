@@ -71,10 +71,13 @@ def control_pool(intervals: DataFrame, ticks: DataFrame, keys: Sequence[str], un
     own = intervals.filter(F.col("state").isin("ONE_BUY", "ONE_SELL", "HEDGED_1X1") & volume)
     first, last = F.ceil(F.col("start_us") / unit).cast("bigint"), F.floor(F.col("end_us") / unit).cast("bigint")
     units = F.when(last - first > 1, F.transform(F.sequence(first + 1, last - 1), lambda k: k * unit)).otherwise(F.array().cast("array<bigint>"))
+    low, high = own.agg(F.min("start_us"), F.max("end_us")).first()
+    # The last tick is found once for each unit of the time that intervals cover, whatever their number.
+    grid = own.sparkSession.range((low or 0) // unit, (high or 0) // unit + 1).select((F.col("id") * unit).alias("at_us"))
+    grid = asof_backward(grid, ticks.select("us", "seq"), [], "at_us", "us", ["seq"], {"sample_us": "us"}).filter("sample_us IS NOT NULL")
     own = own.select(*keys, "interval_id", "state", "start_us", "end_us", F.explode(units).alias("at_us"))
     far = lambda us: (us - F.col("start_us") > exclusion) & (F.col("end_us") - us > exclusion)
-    own = asof_backward(own.filter(far(F.col("at_us"))), ticks, [], "at_us", "us", ["seq"], {"sample_us": "us"})
-    own = own.filter(far(F.col("sample_us")))
+    own = own.filter(far(F.col("at_us"))).join(grid, "at_us").filter(far(F.col("sample_us")))
     age = (F.col("sample_us") - F.col("start_us")) / unit
     return own.select(*keys, "interval_id", "state", "sample_us", age.alias("age"), age_stratum(age).alias("stratum")).distinct()
 
@@ -120,6 +123,3 @@ def paired(positive: DataFrame, controls: DataFrame, value: str) -> DataFrame:
     c = controls.groupBy("event_id").agg(F.avg(value).alias("of_controls"))
     p = positive.select("event_id", F.col(value).alias("own")).join(c, "event_id").filter("own IS NOT NULL AND of_controls IS NOT NULL")
     return p.withColumn("difference", F.col("own") - F.col("of_controls"))
-
-
-

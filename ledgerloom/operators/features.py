@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .order import DAY, range_join, with_halo, with_previous
+from .anchors import look_back
+from .intervals import coverage_gaps
+from .order import DAY, range_join, with_previous
 
 
 def rolling(ticks: DataFrame, keys: Sequence[str], width: int, gap: int | None = None, bucket: int = DAY) -> DataFrame:
@@ -20,40 +22,14 @@ def rolling(ticks: DataFrame, keys: Sequence[str], width: int, gap: int | None =
     is given, no gap between ticks longer than that from before the window's end to after its start.
     """
     keys = list(keys)
-    first = ticks.groupBy(*keys).agg(F.min("us").alias("first_us"))
-    t = with_previous(ticks, keys, "us", ["seq"], {"mid_before": "mid", "us_before": "us"}, bucket)
-    t = t.withColumn("step", F.col("mid") - F.col("mid_before"))
-    t = with_halo(t, "us", width, bucket)
-    w = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween(-width, 0)
-    inside = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween(-width + 1, 0)
-    order = F.struct("us", "seq")
-    # Of ticks of one time at the window's edge all are in it; the first by sequence has the step that isn't.
-    t = t.withColumns(
-        {
-            "n": F.count(F.lit(1)).over(w),
-            "high": F.max("mid").over(w),
-            "low": F.min("mid").over(w),
-            "high_us": F.max(F.struct("mid", "us")).over(w)["us"],
-            "low_us": F.max(F.struct((-F.col("mid")).alias("m"), F.col("us"))).over(w)["us"],
-            "first": F.min_by(F.struct("mid", "step"), order).over(w),
-            "last": F.max_by(F.struct("mid", (F.col("ask") - F.col("bid")).alias("spread")), order).over(w),
-            "ups": F.count(F.when(F.col("step") > 0, 1)).over(w),
-            "downs": F.count(F.when(F.col("step") < 0, 1)).over(w),
-            "squares": F.sum(F.col("step") * F.col("step")).over(w),
-            "longest": F.max(F.col("us") - F.col("us_before")).over(inside),
-        }
-    ).filter("NOT _halo")
-    own = F.col("first.step")
-    less = lambda c, what: F.col(c) - F.coalesce(what, F.lit(0))
-    t = t.withColumns({"ups": less("ups", (own > 0).cast("bigint")), "downs": less("downs", (own < 0).cast("bigint")), "squares": F.coalesce("squares", F.lit(0.0)) - F.coalesce(own * own, F.lit(0.0))})
-    span, mid = F.col("high") - F.col("low"), F.col("last.mid")
-    t = t.join(first, keys)
-    unbroken = F.lit(True) if gap is None else F.coalesce(F.col("longest") <= gap, F.lit(True))
-    return t.select(
+    rows = ticks.withColumn("spread", F.col("ask") - F.col("bid"))
+    gaps = None if gap is None else coverage_gaps(ticks, keys, "us", ["seq"], gap, bucket)
+    at = look_back(ticks.select(*keys, "us", "seq"), rows, keys, [width], gaps, touches=False, bucket=bucket).select(*keys, "us", "seq", f"w{width}.*")
+    span, mid = F.col("high") - F.col("low"), F.col("last")
+    return at.select(
         *keys, "seq", "us", "n", "high", "low", F.round(F.when(span > 0, (mid - F.col("low")) / span).otherwise(0.5), 9).alias("position"), F.round(F.col("high") - mid, 9).alias("from_high"), F.round(mid - F.col("low"), 9).alias("from_low"),
-        (F.col("us") - F.col("high_us")).alias("since_high"), (F.col("us") - F.col("low_us")).alias("since_low"), F.round(F.try_divide(mid, F.col("first.mid")) - 1, 9).alias("return"), F.round(mid - F.col("first.mid"), 9).alias("change"), "ups", "downs",
-        F.round((F.col("ups") - F.col("downs")) / F.greatest(F.col("n") - 1, F.lit(1)), 9).alias("imbalance"), F.round(F.sqrt(F.greatest("squares", F.lit(0.0))), 6).alias("volatility"), F.round("last.spread", 9).alias("spread"),
-        ((F.col("n") >= 2) & (F.col("us") - width >= F.col("first_us")) & unbroken).alias("valid"),
+        (F.col("us") - F.col("high_us")).alias("since_high"), (F.col("us") - F.col("low_us")).alias("since_low"), F.round(F.try_divide(mid, F.col("first")) - 1, 9).alias("return"), F.round(mid - F.col("first"), 9).alias("change"), "ups", "downs",
+        F.round((F.col("ups") - F.col("downs")) / F.greatest(F.col("n") - 1, F.lit(1)), 9).alias("imbalance"), F.round(F.sqrt(F.greatest("squares", F.lit(0.0))), 6).alias("volatility"), F.round("spread", 9).alias("spread"), "valid",
     )
 
 
@@ -62,41 +38,41 @@ def of_symbols(df: DataFrame, column: str, symbols: Sequence[str]) -> DataFrame:
     return df.filter(F.upper(F.trim(column)).isin(*[s.strip().upper() for s in symbols]))
 
 
-def boundary_touch(ticks: DataFrame, keys: Sequence[str], width: int, bucket: int = DAY) -> DataFrame:
-    """Two stages: the range of [us - 2w, us - w), and whether [us - w, us] reaches beyond either end of it, or [us - w, us) already does.
+def boundary_touch(ticks: DataFrame, keys: Sequence[str], width: int, gap: int | None = None, bucket: int = DAY) -> DataFrame:
+    """Two stages: the range of [us - 2w, us - w), and whether [us - w, us] reaches beyond either end of it, or [us - w, us) already did.
 
-    Complete needs ticks in the earlier part and a range above zero.
+    touches_* and breach_* are null unless complete: ticks in the earlier part and a range above zero.
+    touched_*, what may be known before the tick, need touch_valid: two ticks in each part, none of it
+    before the key's first tick, and no gap longer than ``gap``.
     """
     keys = list(keys)
-    t = with_halo(ticks, "us", 2 * width, bucket)
-    frame = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween
-    earlier, later, before = frame(-2 * width, -width - 1), frame(-width, 0), frame(-width, -1)
-    t = t.withColumns(
-        {
-            "prior_high": F.max("mid").over(earlier), "prior_low": F.min("mid").over(earlier), "prior_n": F.count("mid").over(earlier), "high": F.max("mid").over(later), "low": F.min("mid").over(later),
-            "high_before": F.max("mid").over(before), "low_before": F.min("mid").over(before),
-        }
-    ).filter("NOT _halo")
-    complete = (F.col("prior_n") > 0) & (F.col("prior_high") > F.col("prior_low"))
+    gaps = None if gap is None else coverage_gaps(ticks, keys, "us", ["seq"], gap, bucket)
+    t = look_back(ticks.select(*keys, "us", "seq"), ticks.withColumn("spread", F.lit(0.0)), keys, [width], gaps, bucket=bucket).select(*keys, "us", "seq", f"w{width}.*")
+    complete = F.coalesce((F.col("prior_n") > 0) & (F.col("prior_high") > F.col("prior_low")), F.lit(False))
     when = lambda c: F.when(complete, c)
     above = lambda x: F.round(F.greatest(x, F.lit(0.0)), 9)
+    known = lambda c: F.when(F.col("touch_valid"), F.coalesce(c, F.lit(False)))
     return t.select(
-        *keys, "seq", "us", "prior_n", "prior_high", "prior_low", complete.alias("complete"), when(F.col("high") >= F.col("prior_high")).alias("touches_high"), when(F.col("low") <= F.col("prior_low")).alias("touches_low"),
-        when(F.coalesce(F.col("high_before") >= F.col("prior_high"), F.lit(False))).alias("touched_high"), when(F.coalesce(F.col("low_before") <= F.col("prior_low"), F.lit(False))).alias("touched_low"),
+        *keys, "seq", "us", "prior_n", "prior_high", "prior_low", complete.alias("complete"), "touch_valid", when(F.col("high") >= F.col("prior_high")).alias("touches_high"), when(F.col("low") <= F.col("prior_low")).alias("touches_low"),
+        known(F.col("before_high") >= F.col("prior_high")).alias("touched_high"), known(F.col("before_low") <= F.col("prior_low")).alias("touched_low"),
         when(above(F.col("high") - F.col("prior_high"))).alias("breach_high"), when(above(F.col("prior_low") - F.col("low"))).alias("breach_low"),
     )
 
 
 def retracement(ticks: DataFrame, keys: Sequence[str], width: int, bucket: int = DAY) -> DataFrame:
-    """Of ticks whose later part reaches the earlier high: when it first did, and how far the price has come back from its highest since."""
+    """Of ticks whose later part reaches an end of the earlier range: which side, when it first did, and how far the price has come back from its farthest since."""
     keys = list(keys)
-    base = boundary_touch(ticks, keys, width, bucket).filter("touches_high").select(*keys, "seq", "us", "prior_high")
-    pairs = range_join(base, ticks, keys, F.col("us") - width, F.col("us") + 1, "us", width)
-    pairs = pairs.select(*[F.col(f"l.{c}").alias(c) for c in base.columns], F.col("r.us").alias("t"), F.col("r.seq").alias("s"), F.col("r.mid").alias("mid"))
-    touch = pairs.filter(F.col("mid") >= F.col("prior_high")).groupBy(*keys, "seq").agg(F.min("t").alias("touch_us"))
-    since = pairs.join(touch, [*keys, "seq"]).filter(F.col("t") >= F.col("touch_us"))
-    out = since.groupBy(*keys, "seq", "us", "touch_us").agg(F.max("mid").alias("top"), F.max_by("mid", F.struct("t", "s")).alias("last"))
-    return out.select(*keys, "seq", "us", "touch_us", (F.col("us") - F.col("touch_us")).alias("lead"), F.round(F.col("top") - F.col("last"), 9).alias("retracement"))
+
+    def side(name: str, own: DataFrame) -> DataFrame:
+        base = boundary_touch(own, keys, width, bucket=bucket).filter("touches_high").select(*keys, "seq", "us", "prior_high")
+        pairs = range_join(base, own, keys, F.col("us") - width, F.col("us") + 1, "us", width)
+        pairs = pairs.select(*[F.col(f"l.{c}").alias(c) for c in base.columns], F.col("r.us").alias("t"), F.col("r.seq").alias("s"), F.col("r.mid").alias("mid"))
+        touch = F.min(F.when(F.col("mid") >= F.col("prior_high"), F.col("t"))).over(W.partitionBy(*keys, "seq"))
+        since = pairs.withColumn("touch_us", touch).filter(F.col("t") >= F.col("touch_us"))
+        out = since.groupBy(*keys, "seq", "us", "touch_us").agg(F.max("mid").alias("top"), F.max_by("mid", F.struct("t", "s")).alias("last"))
+        return out.select(*keys, F.lit(name).alias("side"), "seq", "us", "touch_us", (F.col("us") - F.col("touch_us")).alias("lead"), F.round(F.col("top") - F.col("last"), 9).alias("retracement"))
+
+    return side("high", ticks).unionByName(side("low", ticks.withColumn("mid", -F.col("mid"))))  # a low is a high of what is turned round
 
 
 def with_repeats(ticks: DataFrame, keys: Sequence[str], bucket: int = DAY) -> DataFrame:

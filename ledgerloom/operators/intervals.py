@@ -259,10 +259,10 @@ def day_state_summary(fragments: DataFrame) -> DataFrame:
 
 
 def day_summary(by_state: DataFrame) -> DataFrame:
-    """Eligible states of day_state_summary rolled up to days, with targets per 1000 tradeable seconds."""
+    """Eligible states of day_state_summary rolled up to days, with targets per 1000 tradeable seconds, halves to even."""
     own = by_state.filter(F.col("state").isin(*ENDPOINTS))
     out = own.groupBy("day").agg(*[F.sum(c).alias(c) for c in ("fragments", "raw_us", "gap_us", "tradeable_us", "targets")])
-    return out.withColumn("density", F.round(F.try_divide(F.col("targets") * 1e9, F.col("tradeable_us")), 9))
+    return out.withColumn("density", F.bround(F.try_divide(F.col("targets") * 1e9, F.col("tradeable_us")), 9))
 
 
 def overlapping(df: DataFrame, keys: Sequence[str], start: str, end: str, order: str) -> DataFrame:

@@ -121,12 +121,3 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_sp
     joined = joined.filter((F.col("_l0") < F.col("_r1")) & (F.col("_r0") < F.col("_l1")))
     return joined.filter(F.col("_bucket") == bucket_of(F.greatest("_l0", "_r0"), width)).select("l", "r")
 
-
-def with_halo(df: DataFrame, time: str, lookback: int, bucket: int) -> DataFrame:
-    """Each row in its bucket (halo false) and in the later ones whose rows may look back to it (halo true).
-
-    Range frames of up to ``lookback`` are then whole within (keys, bucket).
-    """
-    own = bucket_of(time, bucket)
-    df = df.withColumn("_bucket", F.explode(F.sequence(own, bucket_of(F.col(time) + lookback, bucket))))
-    return df.withColumn("_halo", F.col("_bucket") != own)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import anchors as X
 from ..operators import causes as U
-from ..operators.order import DAY, MINUTE
+from ..operators.order import DAY, HOUR, MINUTE
 from ..sources.shared import written
 from .interval_queries import SUPPORT_SQL, WIDTH, gaps_of, support_of
-from .views import quotes
+from .views import QUOTES_SQL, positions, positions_sql, quotes
 
 Q, SQL = {}, {}
 #: What the reference's seconds are here.
@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 def ticks_of(spark, d):
     """All quotes as the one stream that all books trade on."""
-    return quotes(spark, d).select("us", "seq", "mid", (F.col("ask") - F.col("bid")).alias("spread"))
+    return quotes(spark, d).select("us", "seq", "mid", F.round(F.col("ask") - F.col("bid"), 9).alias("spread"))
 
 
 # Every seventh day has no role.
@@ -65,7 +65,7 @@ def _window_sql(k: int) -> str:
 
 
 WINDOWS_SQL = f"""{CANDIDATES_SQL}, points AS (SELECT DISTINCT bin_start AS us FROM candidates), f AS (SELECT min(us) AS first_us FROM quotes),
-stepped AS (SELECT us, seq, mid, ask - bid AS spread, mid - lag(mid) OVER (ORDER BY us, seq) AS step, lag(us) OVER (ORDER BY us, seq) AS us_before FROM quotes),
+stepped AS (SELECT us, seq, mid, round(ask - bid, 9) AS spread, mid - lag(mid) OVER (ORDER BY us, seq) AS step, lag(us) OVER (ORDER BY us, seq) AS us_before FROM quotes),
 {", ".join(_window_sql(k) for k in WIDTHS)},
 refs AS (SELECT s.us, max((q.us, q.seq, q.mid)) AS r FROM (SELECT DISTINCT interval_start AS us FROM candidates) s JOIN quotes q ON q.us <= s.us GROUP BY s.us),
 ref AS (SELECT us, CASE WHEN NOT EXISTS (SELECT 1 FROM gaps g WHERE g.gap_start < refs.us AND g.gap_end > r[1]) THEN r[3] END AS reference FROM refs)"""
@@ -181,3 +181,32 @@ def cause_targets(spark, d):
 def cause_design(spark, d):
     design = U.cause_tables(causes_of(spark, d), X.CAUSE_FEATURES, FLAGS)["design"]
     return design.withColumns({c: F.round(c, 6) for c in X.CAUSE_FEATURES})
+
+
+@query(
+    "position_excursions",
+    f"""WITH {positions_sql()}, {QUOTES_SQL}, x AS (SELECT p.acct, p.position_id, p.side, p.open_price, max(q.mid) AS high, min(q.mid) AS low FROM positions p LEFT JOIN quotes q ON q.us >= p.open_us AND q.us <= p.close_us WHERE p.close_us IS NOT NULL GROUP BY ALL)
+SELECT acct, position_id, round(CASE WHEN side = 'buy' THEN open_price - low ELSE high - open_price END, 9) AS adverse, round(CASE WHEN side = 'buy' THEN high - open_price ELSE open_price - low END, 9) AS favourable FROM x""",
+)
+def position_excursions(spark, d):
+    """How far the price went against and for every closed position between its opening and its close."""
+    p = positions(spark, d).filter("close_us IS NOT NULL").select("acct", "position_id", "side", "open_price", F.col("open_us").alias("start"), F.col("close_us").alias("end"), F.struct("acct", "position_id").alias("span"))
+    p = X.extremes_between(p, quotes(spark, d), "mid", HOUR, 24)
+    down, up, buy = F.col("open_price") - F.col("low"), F.col("high") - F.col("open_price"), F.col("side") == "buy"
+    return p.select("acct", "position_id", F.round(F.when(buy, down).otherwise(up), 9).alias("adverse"), F.round(F.when(buy, up).otherwise(down), 9).alias("favourable"))
+
+
+# Windows of the day, any of which may hold a bin, and the rows of an account: by window and endpoint with reason, without, and by window alone.
+HOURS = (("all_common", 12, 24), ("afternoon", 12, 18), ("evening", 18, 24))
+INSIDE_SQL = " UNION ALL ".join(f"SELECT '{name}' AS hours, * FROM signed WHERE bin_start % {DAY} >= {a * HOUR} AND bin_start % {DAY} < {b * HOUR}" for name, a, b in HOURS)
+
+
+@query(
+    "exclusion_accounts",
+    f"""WITH {SIGNED_SQL}, ex AS (SELECT *, {REASON_SQL} AS reason FROM ({INSIDE_SQL})) SELECT hours, endpoint, CASE WHEN grouping(reason) = 1 THEN 'total' ELSE coalesce(reason, 'joint_valid') END AS reason, count(*) AS bins, CAST(sum(target) AS BIGINT) AS targets,
+  CAST(count(*) * {WIDTH} AS BIGINT) AS us FROM ex GROUP BY GROUPING SETS ((hours, endpoint, reason), (hours, endpoint), (hours))""",
+)
+def exclusion_accounts(spark, d):
+    """Bins, events and time by window of the day, endpoint and reason, with totals over reasons and endpoints, from one pass; parts that don't add up are an error."""
+    audit = U.audited(signed_of(spark, d), {"below_floor": F.col("below_floor")}, FLAGS)
+    return U.accounts(audit, F.pmod("bin_start", F.lit(DAY)), {name: (a * HOUR, b * HOUR) for name, a, b in HOURS}, WIDTH)

@@ -125,7 +125,7 @@ def risk_by_day_state(spark, d):
 @query(
     "risk_by_day",
     f"""WITH {SUMMARY_SQL} SELECT day, CAST(sum(fragments) AS BIGINT) AS fragments, CAST(sum(raw_us) AS BIGINT) AS raw_us, CAST(sum(gap_us) AS BIGINT) AS gap_us, CAST(sum(tradeable_us) AS BIGINT) AS tradeable_us,
-  CAST(sum(targets) AS BIGINT) AS targets, round(sum(targets) * 1e9 / nullif(sum(tradeable_us), 0), 9) AS density FROM summary WHERE state IN ('HEDGED_1X1', 'ONE_BUY', 'ONE_SELL') GROUP BY day""",
+  CAST(sum(targets) AS BIGINT) AS targets, round_even(sum(targets) * 1e9 / nullif(sum(tradeable_us), 0), 9) AS density FROM summary WHERE state IN ('HEDGED_1X1', 'ONE_BUY', 'ONE_SELL') GROUP BY day""",
 )
 def risk_by_day(spark, d):
     return I.day_summary(I.day_state_summary(fragments_of(spark, d)))

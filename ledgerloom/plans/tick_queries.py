@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import align as A
 from ..operators import features as X
 from ..operators import lifecycle as L
-from ..operators.order import HOUR, MINUTE, SECOND, asof_backward, asof_forward, range_join
+from ..operators.order import DAY, HOUR, MINUTE, SECOND, asof_backward, asof_forward, range_join
+from ..sources.shared import written
 from .views import QUOTES_SQL, positions, positions_sql, quotes, table, timeline_sql
 
 Q, SQL = {}, {}
 UNIT = MINUTE
 WINDOW = HOUR
+BROKEN = 40 * MINUTE
 
 
 def query(name: str, sql: str | None = None):
@@ -193,7 +195,6 @@ roll AS (SELECT symbol, seq, us, first_us, count(*) OVER w AS n, max(mid) OVER w
   max(wait) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS longest
   FROM st WINDOW w AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW)),
 rolled AS (SELECT *, ups - CAST(first_step > 0 AS BIGINT) AS up, downs - CAST(first_step < 0 AS BIGINT) AS down FROM roll)"""
-BROKEN = 40 * MINUTE
 
 
 @query(
@@ -206,27 +207,30 @@ def window_features(spark, d):
     return X.rolling(quotes(spark, d), ["symbol"], WINDOW, BROKEN)
 
 
-TOUCH_SQL = f"""{QUOTES_SQL}, tw AS (SELECT symbol, seq, us, count(mid) OVER p AS prior_n, max(mid) OVER p AS prior_high, min(mid) OVER p AS prior_low, max(mid) OVER n AS high, min(mid) OVER n AS low, max(mid) OVER b AS high_before, min(mid) OVER b AS low_before FROM quotes
-  WINDOW p AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {2 * WINDOW} PRECEDING AND {WINDOW + 1} PRECEDING), n AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING)),
+TOUCH_SQL = f"""{QUOTES_SQL}, tg AS (SELECT *, us - lag(us) OVER (PARTITION BY symbol ORDER BY us, seq) AS wait, min(us) OVER (PARTITION BY symbol) AS first_us FROM quotes),
+tw AS (SELECT symbol, seq, us, count(mid) OVER p AS prior_n, max(mid) OVER p AS prior_high, min(mid) OVER p AS prior_low, max(mid) OVER n AS high, min(mid) OVER n AS low, max(mid) OVER b AS high_before, min(mid) OVER b AS low_before,
+  count(mid) OVER p >= 2 AND count(mid) OVER n >= 2 AND us - {2 * WINDOW} >= first_us AND coalesce(max(wait) OVER g <= {BROKEN}, true) AS touch_valid FROM tg
+  WINDOW p AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {2 * WINDOW} PRECEDING AND {WINDOW + 1} PRECEDING), n AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW),
+    b AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING), g AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {2 * WINDOW - 1} PRECEDING AND CURRENT ROW)),
 touch AS (SELECT *, prior_n > 0 AND coalesce(prior_high > prior_low, false) AS complete FROM tw)"""
 
 
 @query(
     "boundary_sequence",
-    f"""WITH {TOUCH_SQL} SELECT symbol, seq, us, prior_n, prior_high, prior_low, complete, CASE WHEN complete THEN high >= prior_high END AS touches_high, CASE WHEN complete THEN low <= prior_low END AS touches_low,
-  CASE WHEN complete THEN coalesce(high_before >= prior_high, false) END AS touched_high, CASE WHEN complete THEN coalesce(low_before <= prior_low, false) END AS touched_low,
+    f"""WITH {TOUCH_SQL} SELECT symbol, seq, us, prior_n, prior_high, prior_low, complete, touch_valid, CASE WHEN complete THEN high >= prior_high END AS touches_high, CASE WHEN complete THEN low <= prior_low END AS touches_low,
+  CASE WHEN touch_valid THEN coalesce(high_before >= prior_high, false) END AS touched_high, CASE WHEN touch_valid THEN coalesce(low_before <= prior_low, false) END AS touched_low,
   CASE WHEN complete THEN round(greatest(high - prior_high, 0.0), 9) END AS breach_high, CASE WHEN complete THEN round(greatest(prior_low - low, 0.0), 9) END AS breach_low FROM touch""",
 )
 def boundary_sequence(spark, d):
-    t = X.boundary_touch(quotes(spark, d), ["symbol"], WINDOW)
-    return t.withColumn("complete", F.coalesce("complete", F.lit(False)))
+    return X.boundary_touch(quotes(spark, d), ["symbol"], WINDOW, BROKEN)
 
 
-@query(
-    "boundary_retracement",
-    f"""WITH {TOUCH_SQL}, b AS (SELECT * FROM touch WHERE complete AND high >= prior_high), f AS (SELECT b.symbol, b.seq, b.us, min(q.us) AS touch_us FROM b JOIN quotes q ON q.symbol = b.symbol AND q.us >= b.us - {WINDOW} AND q.us <= b.us AND q.mid >= b.prior_high GROUP BY ALL)
-SELECT f.symbol, f.seq, f.us, f.touch_us, f.us - f.touch_us AS lead, round(max(q.mid) - arg_max(q.mid, (q.us, q.seq)), 9) AS retracement FROM f JOIN quotes q ON q.symbol = f.symbol AND q.us >= f.touch_us AND q.us <= f.us GROUP BY ALL""",
-)
+def _back_sql(side: str, sign: str, end: str, reach: str, best: str) -> str:
+    return f"""SELECT f.symbol, '{side}' AS side, f.seq, f.us, f.touch_us, f.us - f.touch_us AS lead, round({sign} * ({best}(q.mid) - arg_max(q.mid, (q.us, q.seq))), 9) AS retracement
+FROM (SELECT b.symbol, b.seq, b.us, min(q.us) AS touch_us FROM touch b JOIN quotes q ON q.symbol = b.symbol AND q.us >= b.us - {WINDOW} AND q.us <= b.us AND q.mid {reach} b.{end} WHERE b.complete GROUP BY ALL) f JOIN quotes q ON q.symbol = f.symbol AND q.us >= f.touch_us AND q.us <= f.us GROUP BY ALL"""
+
+
+@query("boundary_retracement", f"WITH {TOUCH_SQL} {_back_sql('high', '1', 'prior_high', '>=', 'max')} UNION ALL {_back_sql('low', '-1', 'prior_low', '<=', 'min')}")
 def boundary_retracement(spark, d):
     return X.retracement(quotes(spark, d), ["symbol"], WINDOW)
 
@@ -269,10 +273,17 @@ def exclusion_waterfall(spark, d):
     return r.groupBy("symbol", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("winsor_caps", f"WITH {ROLL_SQL} SELECT symbol, round(quantile_cont(high - low, 0.99), 6) AS cap, round(avg(least(high - low, 400.0)), 6) AS clipped FROM roll GROUP BY symbol")
+@query(
+    "winsor_caps",
+    f"""WITH {ROLL_SQL}, caps AS (SELECT symbol, quantile_cont(high - low, 0.99) FILTER (us % {2 * DAY} < {DAY}) AS cap FROM roll GROUP BY symbol)
+SELECT symbol, round(cap, 6) AS cap, round(avg(least(high - low, cap)), 6) AS clipped, count(*) FILTER (high - low > cap) AS above FROM roll JOIN caps USING (symbol) GROUP BY symbol, cap""",
+)
 def winsor_caps(spark, d):
-    r = X.rolling(quotes(spark, d), ["symbol"], WINDOW).withColumn("span", F.col("high") - F.col("low"))
-    return r.groupBy("symbol").agg(F.round(F.percentile("span", 0.99), 6).alias("cap"), F.round(F.avg(X.cap_at(F.col("span"), F.lit(400.0))), 6).alias("clipped"))
+    """Caps are fitted on every second day, and clip all."""
+    r = written(X.rolling(quotes(spark, d), ["symbol"], WINDOW).select("symbol", "us", (F.col("high") - F.col("low")).alias("span")), "spans")
+    caps = r.filter(F.col("us") % (2 * DAY) < DAY).groupBy("symbol").agg(F.percentile("span", 0.99).alias("cap"))
+    r = r.join(caps, "symbol")
+    return r.groupBy("symbol", "cap").agg(F.round(F.avg(X.cap_at(F.col("span"), F.col("cap"))), 6).alias("clipped"), F.count_if(F.col("span") > F.col("cap")).alias("above")).withColumn("cap", F.round("cap", 6))
 
 
 @query("json_props", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import number, report_time, requested_and_filled
+from ..functions import fixed8, number, report_time, requested_and_filled
 
 # The sections of a report; the first three must be there.
 SECTIONS = ("positions", "orders", "deals", "open positions")
@@ -95,13 +95,13 @@ def _text(k: int) -> Column:
 
 
 def positions(rows: DataFrame) -> DataFrame:
-    """Closed positions; volume_text keeps the volume as it is written. A fifth empty cell of fourteen is a spacer."""
+    """Closed positions; volume_text keeps the volume as it is written, volume_exact is its decimal, null for other spellings. A fifth empty cell of fourteen is a spacer."""
     own = _dated(rows, "positions", 13)
     spacer = (F.size("cells") == 14) & (_text(4) == "")
     own = own.withColumn("cells", F.when(spacer, F.concat(F.slice("cells", 1, 4), F.slice("cells", 6, 9))).otherwise(F.col("cells")))
     numbers = {"open_price": 5, "stop_loss": 6, "take_profit": 7, "close_price": 9, "commission": 10, "swap": 11, "profit": 12}
     return own.select(
-        "report_id", "row", _text(1).alias("position_id"), _text(2).alias("symbol"), F.lower(_text(3)).alias("side"), number(_text(4)).alias("volume"), _text(4).alias("volume_text"),
+        "report_id", "row", _text(1).alias("position_id"), _text(2).alias("symbol"), F.lower(_text(3)).alias("side"), number(_text(4)).alias("volume"), _text(4).alias("volume_text"), fixed8(_text(4)).cast("decimal(12,8)").alias("volume_exact"),
         report_time(_text(0)).alias("open_time"), report_time(_text(8)).alias("close_time"), *[number(_text(k)).alias(c) for c, k in numbers.items()],
     )
 

@@ -26,13 +26,26 @@ def con():
     return out
 
 
+#: Queries whose rules the smallest tables don't meet.
+LARGER = {"cause_audit", "cause_design", "cause_predictors", "cause_targets", "feature_design", "hypothesis_effects", "hypothesis_stability", "hypothesis_verdicts"}
+
+
+@pytest.fixture(scope="module")
+def con_larger():
+    out = duckdb.connect()
+    for table in TABLES:
+        out.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
+    return out
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
-def test_same_as_sql(spark, con, name):
-    expected = con.execute(registry.ORACLE_SQL[name])
+def test_same_as_sql(spark, con, con_larger, name):
+    expected = (con_larger if name in LARGER else con).execute(registry.ORACLE_SQL[name])
     columns = [c[0] for c in expected.description]
-    found = registry.QUERIES[name](spark, SF)
+    found = registry.QUERIES[name](spark, "/root/testdata/sf0.01" if name in LARGER else SF)
     assert sorted(found.columns) == sorted(columns)
     expected = Counter(tuple(map(plain, r)) for r in expected.fetchall())
+    assert expected, "a query without rows shows nothing"
     assert Counter(tuple(map(plain, r)) for r in found.select(*columns).collect()) == expected
 
 

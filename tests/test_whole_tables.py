@@ -32,3 +32,19 @@ def test_every_quote_is_an_anchor(spark, con, name):  # noqa: F811
 def test_all_reasons_occur(spark, name, column, values):
     found = {r[0] for r in registry.QUERIES[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()}
     assert found <= values and len(found) >= len(values) - 1
+
+
+@pytest.mark.parametrize(("name", "column", "values"), [
+    ("clock_mapping", "status", {"unique", "nonexistent", "ambiguous"}),
+    ("window_censoring", "status", {"clock_unresolved", "invalid_transition", "cross_fold_continuation", "left_censored_unknown_bootstrap", "coverage_censored_no_valid_tick", "right_censored_no_terminal", "valid"}),
+    ("selected_cases", "selection", {"earliest_eligible_date", "chronological_fallback"}),
+    ("supported_bins", "censor_reason", {None, "target_event", "competing_endpoint", "synthetic_right_censor", "coverage_right_censor"}),
+    ("support_audit", "exclusion_reason", {None, "ineligible_state", "no_complete_bin", "left_truncated", "cross_development_holdout"}),
+    ("feature_audit", "reason", {None, "below_floor", "window_10", "window_5", "touch_5", "reference"}),
+    ("gap_evidence", "class", {"unknown_coverage_gap", "scheduled_market_closed", "replicated_coverage_gap"}),
+    ("intake_sessions", "status", {"PASS", "FAIL", "INCOMPLETE"}),
+    ("streamed_groups", "kind", {"group", "late", "invalid_time", "poisoned"}),
+])
+def test_every_branch_is_met(spark, name, column, values):
+    found = {r[0] for r in registry.QUERIES[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()}
+    assert found >= values
