@@ -15,6 +15,8 @@ from .order import asof_backward, overlap_join
 REQUIRED_STATE = {"REHEDGE_SELL": "ONE_BUY", "REHEDGE_BUY": "ONE_SELL", "UNLOCK_TO_BUY": "HEDGED_1X1", "UNLOCK_TO_SELL": "HEDGED_1X1"}
 #: The youngest age in units at which controls are asked for.
 LEAST_AGE = 7
+#: Units, 16 bytes each, up to which their ticks are broadcast.
+BROADCAST_UNITS = 500_000
 
 
 def required_state(behavior: Column) -> Column:
@@ -69,17 +71,23 @@ def control_pool(intervals: DataFrame, ticks: DataFrame, keys: Sequence[str], un
     """
     keys = list(keys)
     own = intervals.filter(F.col("state").isin("ONE_BUY", "ONE_SELL", "HEDGED_1X1") & volume)
-    first, last = F.ceil(F.col("start_us") / unit).cast("bigint"), F.floor(F.col("end_us") / unit).cast("bigint")
-    units = F.when(last - first > 1, F.transform(F.sequence(first + 1, last - 1), lambda k: k * unit)).otherwise(F.array().cast("array<bigint>"))
     low, high = own.agg(F.min("start_us"), F.max("end_us")).first()
     # The last tick is found once for each unit of the time that intervals cover, whatever their number.
-    grid = own.sparkSession.range((low or 0) // unit, (high or 0) // unit + 1).select((F.col("id") * unit).alias("at_us"))
+    first, last = (low or 0) // unit, (high or 0) // unit
+    grid = own.sparkSession.range(first, last + 1).select((F.col("id") * unit).alias("at_us"))
     grid = asof_backward(grid, ticks.select("us", "seq"), [], "at_us", "us", ["seq"], {"sample_us": "us"}).filter("sample_us IS NOT NULL")
-    own = own.select(*keys, "interval_id", "state", "start_us", "end_us", F.explode(units).alias("at_us"))
-    far = lambda us: (us - F.col("start_us") > exclusion) & (F.col("end_us") - us > exclusion)
-    own = own.filter(far(F.col("at_us"))).join(grid, "at_us").filter(far(F.col("sample_us")))
+    if last - first <= BROADCAST_UNITS:
+        grid = F.broadcast(grid)
+    # Units strictly inside the interval and farther than the exclusion from both its ends.
+    begin = F.greatest(F.ceil(F.col("start_us") / unit).cast("bigint") + 1, F.floor((F.col("start_us") + exclusion) / unit).cast("bigint") + 1)
+    end = F.least(F.floor(F.col("end_us") / unit).cast("bigint") - 1, F.ceil((F.col("end_us") - exclusion) / unit).cast("bigint") - 1)
+    units = F.when(begin <= end, F.transform(F.sequence(begin, end), lambda k: k * unit)).otherwise(F.array().cast("array<bigint>"))
+    own = own.withColumn("begin_us", begin * unit).select(*keys, "interval_id", "state", "start_us", "end_us", "begin_us", F.explode(units).alias("at_us"))
+    own = own.join(grid, "at_us").filter((F.col("sample_us") - F.col("start_us") > exclusion) & (F.col("end_us") - F.col("sample_us") > exclusion))
+    # A tick that is the last one at several units counts at the first of them in the interval.
+    own = own.filter(F.col("at_us") == F.greatest(F.ceil(F.col("sample_us") / unit).cast("bigint") * unit, F.col("begin_us")))
     age = (F.col("sample_us") - F.col("start_us")) / unit
-    return own.select(*keys, "interval_id", "state", "sample_us", age.alias("age"), age_stratum(age).alias("stratum")).distinct()
+    return own.select(*keys, "interval_id", "state", "sample_us", age.alias("age"), age_stratum(age).alias("stratum"))
 
 
 def with_support(samples: DataFrame, pool: DataFrame, keys: Sequence[str], hour: int) -> DataFrame:
@@ -102,7 +110,8 @@ def sample_controls(samples: DataFrame, pool: DataFrame, keys: Sequence[str], ho
     keys = list(keys)
     group = [*keys, "state", "hour"]
     order = F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("interval_id").cast("string"), F.col("sample_us").cast("string"), F.lit(seed)), 256)
-    c = pool.withColumn("hour", F.floor(F.col("sample_us") / hour)).withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(order, "interval_id", "sample_us")) - 1)
+    asked = samples.filter("support = 'supported'").select(*group).distinct()
+    c = pool.withColumn("hour", F.floor(F.col("sample_us") / hour)).join(asked, group, "left_semi").withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(order, "interval_id", "sample_us")) - 1)
     s = samples.filter("support = 'supported'").withColumns(
         {"turn": F.row_number().over(W.partitionBy(*group).orderBy("sample_us", "event_id")) - 1, "turns": F.count(F.lit(1)).over(W.partitionBy(*group))}
     )

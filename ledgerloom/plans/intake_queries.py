@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 # The primary run's files have five days and the first six hours of the next; one hour every second day is closed, and two hours on one day.
 # r1 exports the same again but begins late every fifth day; r2 has other prices in every third quote; r0 is r1 without its first half of each day.
-RUNS_SQL = f"""base AS (SELECT event_id AS seq, epoch_us(ts) AS us, CAST(abs(value) AS DECIMAL(16,8)) AS bid, CAST(abs(value) + 0.2 AS DECIMAL(16,8)) AS ask, epoch_us(ts) // {DAY} AS day, epoch_us(ts) % {DAY} // {HOUR} AS hour FROM events),
+RUNS_SQL = f"""base AS (SELECT event_id AS seq, epoch_us(ts) AS us, CAST(abs(value) + 1.0 AS DECIMAL(16,8)) AS bid, CAST(abs(value) + 1.2 AS DECIMAL(16,8)) AS ask, epoch_us(ts) // {DAY} AS day, epoch_us(ts) % {DAY} // {HOUR} AS hour FROM events),
 opened AS (SELECT * FROM base WHERE NOT (day % 2 = 0 AND hour = 5) AND NOT (day % 30 = 17 AND hour IN (13, 14))),
 runs AS (SELECT 'p' AS run, 'p-' || (day // 5 - k) AS file, seq, us, bid, ask, day FROM opened, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR (day % 5 = 0 AND hour < 6)
   UNION ALL SELECT 'r1', 'r1-' || day // 10, seq, us, bid, ask, day FROM opened WHERE NOT (day % 5 = 2 AND hour < 9)
@@ -40,7 +40,7 @@ runs AS (SELECT 'p' AS run, 'p-' || (day // 5 - k) AS file, seq, us, bid, ask, d
 def runs_of(spark, d):
     """The files of all runs, written to the shared folder and read back by the archive's reader."""
     day, hour = F.floor(F.col("us") / DAY), F.floor(F.pmod("us", F.lit(DAY)) / HOUR)
-    q = quotes(spark, d).select("seq", "us", F.abs("bid").cast("decimal(16,8)").alias("bid"), (F.abs("bid") + 0.2).cast("decimal(16,8)").alias("ask"), day.alias("day"), hour.alias("hour"))
+    q = quotes(spark, d).select("seq", "us", (F.abs("bid") + 1.0).cast("decimal(16,8)").alias("bid"), (F.abs("bid") + 1.2).cast("decimal(16,8)").alias("ask"), day.alias("day"), hour.alias("hour"))
     q = q.filter(~((F.col("day") % 2 == 0) & (F.col("hour") == 5)) & ~((F.col("day") % 30 == 17) & F.col("hour").isin(13, 14)))
     file = lambda name, part: F.concat(F.lit(f"{name}-"), part.cast("string")).alias("file")
     ten = F.floor(F.col("day") / 10)
