@@ -40,7 +40,7 @@ def test_all_reasons_occur(spark, name, column, values):
     ("selected_cases", "selection", {"earliest_eligible_date", "chronological_fallback"}),
     ("supported_bins", "censor_reason", {None, "target_event", "competing_endpoint", "synthetic_right_censor", "coverage_right_censor"}),
     ("support_audit", "exclusion_reason", {None, "ineligible_state", "no_complete_bin", "left_truncated", "cross_development_holdout"}),
-    ("feature_audit", "reason", {None, "below_floor", "window_10", "window_5", "touch_5", "reference"}),
+    ("feature_audit", "reason", {None, "below_floor", "window_10", "window_2"}),
     ("gap_evidence", "class", {"unknown_coverage_gap", "scheduled_market_closed", "replicated_coverage_gap"}),
     ("intake_sessions", "status", {"PASS", "FAIL", "INCOMPLETE"}),
     ("streamed_groups", "kind", {"group", "late", "invalid_time", "poisoned"}),
