@@ -21,7 +21,8 @@ TICK, ANCHOR, GAP_START, GAP_END = range(4)
 
 #: Fields of a window [us - w, us] and of the two parts [us - 2w, us - w) and [us - w, us).
 WINDOW = ("valid boolean", "n long", "first double", "last double", "last_us long", "spread double", "high double", "low double", "high_us long", "low_us long", "ups long", "downs long", "squares double")
-TOUCH = ("touch_valid boolean", "prior_n long", "prior_high double", "prior_low double", "before_high double", "before_low double")
+#: Of the two parts also when [us - w, us] first reaches an end of the earlier one, and how far the price has come back since from its farthest.
+TOUCH = ("touch_valid boolean", "prior_n long", "prior_high double", "prior_low double", "before_high double", "before_low double", "high_touch_us long", "high_back double", "low_touch_us long", "low_back double")
 
 
 def extremes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +45,32 @@ def extremes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return out[0], out[1]
 
 
+def first_reaching(values: np.ndarray, start: np.ndarray, end: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Place of the first value of each [start, end) that is at least its bound; -1 without one.
+
+    Level k holds the largest of every aligned run of 2^k values. A place goes up while the run that
+    begins at it doesn't reach the bound, then down to the value that does.
+    """
+    levels = [np.append(values, -np.inf)]  # never empty
+    while len(levels[-1]) > 1:
+        runs = levels[-1] if len(levels[-1]) % 2 == 0 else np.append(levels[-1], -np.inf)
+        levels.append(np.maximum(runs[::2], runs[1::2]))
+    place, at, climbing = np.array(start), np.zeros(len(start), int), (start < end) & ~np.isnan(bound)
+    found = np.zeros(len(start), bool)
+    for k, best in enumerate(levels):
+        inside = climbing & (place < len(best))
+        odd = inside & ((place % 2 == 1) | (k == len(levels) - 1))
+        hit = odd & (best[np.where(odd, place, 0)] >= bound)
+        found, at, climbing = found | hit, np.where(hit, k, at), inside & ~hit
+        place = np.where(climbing, (place + odd) // 2, place)
+    for k in range(len(levels) - 1, 0, -1):
+        down = found & (at == k)
+        left = np.where(down, place * 2, 0)
+        place = np.where(down, left + (levels[k - 1][left] < bound), place)
+        at = np.where(down, k - 1, at)
+    return np.where(found & (place < end), place, -1)
+
+
 def _windows(widths: Sequence[int], fields: Sequence[str]) -> Callable:
     """For one bucket: a row for each anchor with the fields of each width."""
 
@@ -88,17 +115,25 @@ def _windows(widths: Sequence[int], fields: Sequence[str]) -> Callable:
                 "low_us": pick(t, low, some),
             }
             value |= {name: pa.array(np.where(some, s[np.maximum(upto - 1, 0)] - s[np.minimum(begin, len(s) - 1)], 0)) for name, s in sums.items()}
-            earlier, before = np.searchsorted(t, at - 2 * w, "left"), np.searchsorted(t, at, "left")
-            high, low = extremes(mid, earlier, begin)
-            own_high, own_low = extremes(mid, begin, before)
-            value |= {
-                "touch_valid": pa.array((begin - earlier >= 2) & (n >= 2) & (at - 2 * w >= first) & ~crossed(at - 2 * w)),
-                "prior_n": pa.array(begin - earlier),
-                "prior_high": pick(mid, high, begin > earlier),
-                "prior_low": pick(mid, low, begin > earlier),
-                "before_high": pick(mid, own_high, before > begin),
-                "before_low": pick(mid, own_low, before > begin),
-            }
+            if "prior_n" in fields:
+                earlier, before = np.searchsorted(t, at - 2 * w, "left"), np.searchsorted(t, at, "left")
+                high, low = extremes(mid, earlier, begin)
+                own_high, own_low = extremes(mid, begin, before)
+                value |= {
+                    "touch_valid": pa.array((begin - earlier >= 2) & (n >= 2) & (at - 2 * w >= first) & ~crossed(at - 2 * w)),
+                    "prior_n": pa.array(begin - earlier),
+                    "prior_high": pick(mid, high, begin > earlier),
+                    "prior_low": pick(mid, low, begin > earlier),
+                    "before_high": pick(mid, own_high, before > begin),
+                    "before_low": pick(mid, own_low, before > begin),
+                }
+                for side, end_of, turned in (("high", high, mid), ("low", low, -mid)):
+                    bound = np.where(begin > earlier, turned[end_of] if len(turned) else 0.0, np.nan)
+                    touch = first_reaching(turned, begin, upto, bound)
+                    reached = touch >= 0
+                    farthest = extremes(turned, np.where(reached, touch, 0), np.where(reached, upto, 0))[0]
+                    value[f"{side}_touch_us"] = pick(t, touch, reached)
+                    value[f"{side}_back"] = pa.array(turned[farthest] - turned[np.maximum(upto - 1, 0)] if len(turned) else np.zeros(len(at)), mask=~reached)
             out[f"w{w}"] = pa.StructArray.from_arrays([value[f] for f in fields], names=list(fields))
         keep = rows.select([c for c in rows.column_names if c not in ("kind", "mid", "spread", "first_us", "_bucket")]).take(pa.array(anchors))
         return pa.table({**{c: keep[c] for c in keep.column_names}, **out})
@@ -113,7 +148,8 @@ def look_back(anchors: DataFrame, ticks: DataFrame, keys: Sequence[str], widths:
     ticks or more, doesn't begin before the key's first tick and meets no gap that begins before its end
     and ends after its start. Moves are those between ticks in the window; the struct also has, if
     ``touches``, the extremes of [us - 2w, us - w) and of [us - w, us), and whether both have what they
-    need (two ticks in the one, two up to the anchor in the other, no gap, not before the first tick).
+    need (two ticks in the one, two up to the anchor in the other, no gap, not before the first tick); and
+    of each end of the earlier part the first tick up to the anchor that reaches it and the way back since.
     Ticks: keys, us, seq, mid, spread, none of them null. gaps: keys, gap_start, gap_end; disjoint.
     ``bucket`` is so long that a task holds the ticks of one bucket and of the longest look-back before it.
     """

@@ -62,17 +62,10 @@ def boundary_touch(ticks: DataFrame, keys: Sequence[str], width: int, gap: int |
 def retracement(ticks: DataFrame, keys: Sequence[str], width: int, bucket: int = DAY) -> DataFrame:
     """Of ticks whose later part reaches an end of the earlier range: which side, when it first did, and how far the price has come back from its farthest since."""
     keys = list(keys)
-
-    def side(name: str, own: DataFrame) -> DataFrame:
-        base = boundary_touch(own, keys, width, bucket=bucket).filter("touches_high").select(*keys, "seq", "us", "prior_high")
-        pairs = range_join(base, own, keys, F.col("us") - width, F.col("us") + 1, "us", width)
-        pairs = pairs.select(*[F.col(f"l.{c}").alias(c) for c in base.columns], F.col("r.us").alias("t"), F.col("r.seq").alias("s"), F.col("r.mid").alias("mid"))
-        touch = F.min(F.when(F.col("mid") >= F.col("prior_high"), F.col("t"))).over(W.partitionBy(*keys, "seq"))
-        since = pairs.withColumn("touch_us", touch).filter(F.col("t") >= F.col("touch_us"))
-        out = since.groupBy(*keys, "seq", "us", "touch_us").agg(F.max("mid").alias("top"), F.max_by("mid", F.struct("t", "s")).alias("last"))
-        return out.select(*keys, F.lit(name).alias("side"), "seq", "us", "touch_us", (F.col("us") - F.col("touch_us")).alias("lead"), F.round(F.col("top") - F.col("last"), 9).alias("retracement"))
-
-    return side("high", ticks).unionByName(side("low", ticks.withColumn("mid", -F.col("mid"))))  # a low is a high of what is turned round
+    t = look_back(ticks.select(*keys, "us", "seq"), ticks.withColumn("spread", F.lit(0.0)), keys, [width], bucket=bucket).select(*keys, "us", "seq", f"w{width}.*")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_touch_us").alias("touch_us"), F.col(f"{s}_back").alias("back")) for s in ("high", "low")])
+    own = t.filter((F.col("prior_n") > 0) & (F.col("prior_high") > F.col("prior_low"))).select(*keys, "seq", "us", F.inline(sides)).filter("touch_us IS NOT NULL")
+    return own.select(*keys, "side", "seq", "us", "touch_us", (F.col("us") - F.col("touch_us")).alias("lead"), F.round("back", 9).alias("retracement"))
 
 
 def with_repeats(ticks: DataFrame, keys: Sequence[str], bucket: int = DAY) -> DataFrame:

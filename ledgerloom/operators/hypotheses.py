@@ -7,41 +7,60 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .anchors import look_back, share_of_range
 
-HYPOTHESES = ("h1", "h2_touch", "h3")
-
-
-def expected(behavior: Column, w: Column) -> dict[str, Column]:
+def expected(behavior: Column, us: Column, w: Column) -> dict[str, Column]:
     """Scores that are large where a hypothesis holds, null where its window isn't valid or it says nothing of the behaviour.
 
-    h1: the price stands near the end of its range that a re-hedge sells or buys at. h2_touch: it has
-    touched the earlier range's end on that side. h3: it has moved the way that an unlock leaves open.
+    h1: the price stands near the end of its range that a re-hedge sells or buys at. The second has two
+    stages, and needs an earlier range above zero: before the event the price has touched that range's
+    end on the side that is traded (h2_touch), has come back from its farthest since, as a share of the
+    earlier range (h2_retracement_raw), or both (h2). h3: it has moved the way that an unlock leaves open.
     """
     sell, rehedge, to_buy = behavior == "REHEDGE_SELL", behavior.startswith("REHEDGE"), behavior == "UNLOCK_TO_BUY"
     place = share_of_range(w["last"], w)
-    touch = F.coalesce(F.when(sell, w["before_high"] >= w["prior_high"]).otherwise(w["before_low"] <= w["prior_low"]), F.lit(False)).cast("double")
+    of_side = lambda f: F.when(sell, w[f"high_{f}"]).otherwise(w[f"low_{f}"])
+    touched = F.coalesce(of_side("touch_us") < us, F.lit(False))
+    back = F.when(touched, F.greatest(of_side("back"), F.lit(0.0))).otherwise(0.0)
+    two_stages = rehedge & w["touch_valid"] & (w["prior_high"] > w["prior_low"])
     change = F.try_divide(w["last"], w["first"]) - 1
     return {
         "h1": F.when(w["valid"] & rehedge, F.when(sell, place).otherwise(1 - place)),
-        "h2_touch": F.when(w["touch_valid"] & rehedge, touch),
+        "h2_touch": F.when(two_stages, touched.cast("double")),
+        "h2_retracement_raw": F.when(two_stages, back / (w["prior_high"] - w["prior_low"])),
+        "h2": F.when(two_stages, (touched & (back > 0)).cast("double")),
         "h3": F.when(w["valid"] & ~rehedge, F.when(to_buy, change).otherwise(-change)),
     }
 
 
-def paired_scores(positives: DataFrame, controls: DataFrame, ticks: DataFrame, widths: Sequence[int], shifts: Sequence[int], bucket: int) -> DataFrame:
+def with_capped(scores: DataFrame, raw: str, capped: str, fitted: Column, quantile: float) -> DataFrame:
+    """scores (hypothesis, window, score) and once more those of ``raw``, as ``capped``, clipped from above.
+
+    A window's cap is the quantile of its scores where ``fitted``; without any of them nothing is clipped.
+    The table of caps has a row a window.
+    """
+    own = scores.filter(F.col("hypothesis") == raw)
+    caps = own.filter(fitted).groupBy("window").agg(F.percentile("score", quantile).alias("_cap"))
+    clipped = own.join(caps, "window", "left").withColumns({"hypothesis": F.lit(capped), "score": F.least("score", "_cap")})
+    return scores.unionByName(clipped.select(*scores.columns))
+
+
+def paired_scores(positives: DataFrame, controls: DataFrame, ticks: DataFrame, widths: Sequence[int], shifts: Sequence[int], bucket: int, quantile: float = 0.99) -> DataFrame:
     """(event_id, hypothesis, window, shift, own, of_controls, difference) where both an event and a control of it have a score.
 
-    positives: event_id, behavior, sample_us; controls: event_id, sample_us. Events are looked at
+    positives: event_id, behavior, split, sample_us; controls: event_id, sample_us. Events are looked at
     ``shift`` away from their time, controls at theirs; all moments are looked up at once, each
-    distinct one a single time.
+    distinct one a single time. h2_retracement is the raw one clipped at its quantile among the events
+    of the split "development" at their own times.
     """
-    own = positives.select("event_id", "behavior", F.explode(F.array(*[F.lit(s).cast("bigint") for s in shifts])).alias("shift"), "sample_us").withColumn("us", F.col("sample_us") + F.col("shift")).drop("sample_us")
-    others = controls.join(positives.select("event_id", "behavior"), "event_id").select("event_id", "behavior", F.lit(None).cast("bigint").alias("shift"), F.col("sample_us").alias("us"))
+    own = positives.select("event_id", "behavior", "split", F.explode(F.array(*[F.lit(s).cast("bigint") for s in shifts])).alias("shift"), "sample_us").withColumn("us", F.col("sample_us") + F.col("shift")).drop("sample_us")
+    others = controls.join(positives.select("event_id", "behavior", "split"), "event_id").select("event_id", "behavior", "split", F.lit(None).cast("bigint").alias("shift"), F.col("sample_us").alias("us"))
     rows = own.unionByName(others)
     at = look_back(rows.select("us").distinct().withColumn("seq", F.lit(0).cast("bigint")), ticks, [], widths, bucket=bucket).drop("seq")
-    parts = [F.struct(F.lit(h).alias("hypothesis"), F.lit(w).cast("bigint").alias("window"), score.alias("score")) for w in widths for h, score in expected(F.col("behavior"), F.col(f"w{w}")).items()]
-    scores = rows.join(at, "us").select("event_id", "shift", F.inline(F.array(*parts))).filter("score IS NOT NULL")
+    parts = [F.struct(F.lit(h).alias("hypothesis"), F.lit(w).cast("bigint").alias("window"), score.alias("score")) for w in widths for h, score in expected(F.col("behavior"), F.col("us"), F.col(f"w{w}")).items()]
+    scores = written(rows.join(at, "us").select("event_id", "split", "shift", F.inline(F.array(*parts))).filter("score IS NOT NULL"), "hypothesis-scores")
+    scores = with_capped(scores, "h2_retracement_raw", "h2_retracement", (F.col("shift") == 0) & (F.col("split") == "development"), quantile).drop("split")
     mean = scores.filter("shift IS NULL").groupBy("event_id", "hypothesis", "window").agg(F.avg("score").alias("of_controls"))
     pairs = scores.filter("shift IS NOT NULL").withColumnRenamed("score", "own").join(mean, ["event_id", "hypothesis", "window"])
     return pairs.withColumn("difference", F.col("own") - F.col("of_controls"))

@@ -37,14 +37,26 @@ def _look_sql(w: int) -> str:
   FROM moments a CROSS JOIN first_tick f LEFT JOIN quotes q ON q.us >= a.us - {2 * w} AND q.us <= a.us GROUP BY a.us, f.first_us"""
 
 
+def _way_sql(side: str, reach: str, best: str) -> str:
+    """When a window first reaches an end of the earlier part, and its farthest price since."""
+    touch = f"SELECT l.us, l.win, min(q.us) AS {side}_touch_us FROM looks l JOIN quotes q ON q.us >= l.us - l.win AND q.us <= l.us AND q.mid {reach} l.prior_{side} GROUP BY l.us, l.win"
+    return f"{side}_touch AS ({touch}), {side}_way AS (SELECT t.us, t.win, t.{side}_touch_us, {best}(q.mid) AS {side}_farthest FROM {side}_touch t JOIN quotes q ON q.us >= t.{side}_touch_us AND q.us <= t.us GROUP BY ALL)"
+
+
 TIMES = " + ".join(f"CAST(x >= {b} AS INT)" for b in BOUNDS)
 EFFECTS_SQL = f"""{CONTROLS_SQL}, events_of AS (SELECT event_id, behavior, sample_us FROM support WHERE support = 'supported'),
 rows_of AS (SELECT event_id, behavior, shift, sample_us + shift AS us FROM events_of, (SELECT unnest({list(SHIFTS)}) AS shift) UNION ALL SELECT c.event_id, e.behavior, NULL, c.sample_us FROM controls c JOIN events_of e USING (event_id)),
 moments AS (SELECT DISTINCT us FROM rows_of), first_tick AS (SELECT min(us) AS first_us FROM quotes), looks AS ({" UNION ALL ".join(_look_sql(w) for w in WIDTHS)}),
-placed AS (SELECT r.event_id, r.behavior, r.shift, l.*, CASE WHEN high > low THEN (last - low) / (high - low) ELSE 0.5 END AS place, CASE WHEN first <> 0 THEN last / first END - 1 AS change FROM rows_of r JOIN looks l ON l.us = r.us),
-scored AS (SELECT event_id, shift, 'h1' AS hypothesis, win, CASE WHEN behavior = 'REHEDGE_SELL' THEN place ELSE 1 - place END AS score FROM placed WHERE valid AND behavior LIKE 'REHEDGE%'
-  UNION ALL SELECT event_id, shift, 'h2_touch', win, CAST(coalesce(CASE WHEN behavior = 'REHEDGE_SELL' THEN before_high >= prior_high ELSE before_low <= prior_low END, false) AS DOUBLE) FROM placed WHERE touch_valid AND behavior LIKE 'REHEDGE%'
+{_way_sql('high', '>=', 'max')}, {_way_sql('low', '<=', 'min')},
+placed AS (SELECT r.event_id, r.behavior, r.shift, l.*, touch_valid AND coalesce(prior_high > prior_low, false) AS two, prior_high - prior_low AS prior_range, coalesce(CASE WHEN behavior = 'REHEDGE_SELL' THEN high_touch_us ELSE low_touch_us END < l.us, false) AS touched,
+  greatest(CASE WHEN behavior = 'REHEDGE_SELL' THEN high_farthest - last ELSE last - low_farthest END, 0) AS way, CASE WHEN high > low THEN (last - low) / (high - low) ELSE 0.5 END AS place, CASE WHEN first <> 0 THEN last / first END - 1 AS change FROM rows_of r JOIN looks l ON l.us = r.us LEFT JOIN high_way h ON h.us = l.us AND h.win = l.win LEFT JOIN low_way o ON o.us = l.us AND o.win = l.win),
+unclipped AS (SELECT event_id, shift, 'h1' AS hypothesis, win, CASE WHEN behavior = 'REHEDGE_SELL' THEN place ELSE 1 - place END AS score FROM placed WHERE valid AND behavior LIKE 'REHEDGE%'
+  UNION ALL SELECT event_id, shift, 'h2_touch', win, CAST(touched AS DOUBLE) FROM placed WHERE two AND behavior LIKE 'REHEDGE%'
+  UNION ALL SELECT event_id, shift, 'h2_retracement_raw', win, CASE WHEN touched THEN way ELSE 0 END / prior_range FROM placed WHERE two AND behavior LIKE 'REHEDGE%'
+  UNION ALL SELECT event_id, shift, 'h2', win, CAST(touched AND way > 0 AS DOUBLE) FROM placed WHERE two AND behavior LIKE 'REHEDGE%'
   UNION ALL SELECT event_id, shift, 'h3', win, CASE WHEN behavior = 'UNLOCK_TO_BUY' THEN change ELSE -change END FROM placed WHERE valid AND behavior NOT LIKE 'REHEDGE%'),
+caps AS (SELECT win, quantile_cont(score, 0.99) AS cap FROM unclipped u JOIN events_of e ON e.event_id = u.event_id WHERE hypothesis = 'h2_retracement_raw' AND shift = 0 AND e.sample_us // {DAY} % 3 <> 0 GROUP BY win),
+scored AS (SELECT * FROM unclipped UNION ALL SELECT event_id, shift, 'h2_retracement', u.win, least(score, coalesce(cap, score)) FROM unclipped u LEFT JOIN caps c ON c.win = u.win WHERE hypothesis = 'h2_retracement_raw'),
 means_of AS (SELECT event_id, hypothesis, win, avg(score) AS of_controls FROM scored WHERE shift IS NULL AND score IS NOT NULL GROUP BY ALL),
 pairs AS (SELECT s.event_id, s.hypothesis, s.win, s.shift, score - of_controls AS difference, CASE WHEN e.sample_us // {DAY} % 3 = 0 THEN 'holdout' ELSE 'development' END AS split
   FROM scored s JOIN means_of m ON m.event_id = s.event_id AND m.hypothesis = s.hypothesis AND m.win = s.win JOIN events_of e ON e.event_id = s.event_id WHERE s.shift IS NOT NULL AND s.score IS NOT NULL),
@@ -58,10 +70,10 @@ effects AS (SELECT p.hypothesis, p.split, p.shift, p.win, count(*) AS units, avg
 def effects_of(spark, d):
     samples, pool = all_of(spark, d)
     controls = C.sample_controls(samples, pool, ["acct"], SPAN, 5, "controls-1")
-    own = samples.filter("support = 'supported'").select("event_id", "behavior", "sample_us")
-    pairs = Y.paired_scores(own, controls.select("event_id", "sample_us"), ticks_of(spark, d), WIDTHS, SHIFTS, DAY)
     split = F.when(F.floor(F.col("sample_us") / DAY) % 3 == 0, "holdout").otherwise("development").alias("split")
-    pairs = written(pairs.join(own.select("event_id", split), "event_id"), "hypothesis-pairs")
+    own = samples.filter("support = 'supported'").select("event_id", "behavior", "sample_us", split)
+    pairs = Y.paired_scores(own, controls.select("event_id", "sample_us"), ticks_of(spark, d), WIDTHS, SHIFTS, DAY)
+    pairs = written(pairs.join(own.select("event_id", "split"), "event_id"), "hypothesis-pairs")
     keys = ["hypothesis", "split", "shift", "window"]
     separated = pairs.groupBy(*keys).agg(F.avg((F.col("difference") > 0).cast("int")).alias("separated"))
     return M.resampled(pairs, keys, "difference", ["event_id"], DRAWS, SEED, 0.05).join(separated, keys)

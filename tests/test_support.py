@@ -78,6 +78,18 @@ def test_extremes_are_the_last_of_ranges():
         assert (h, l) == expected
 
 
+def test_the_first_value_that_reaches_a_bound():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 64, 197):
+        values = rng.random(n)
+        start = rng.integers(0, n + 1, 400)
+        end = np.minimum(n, start + rng.integers(0, n + 1, 400))
+        bound = np.where(rng.random(400) < 0.1, np.nan, rng.random(400) * 1.1)
+        found = anchors.first_reaching(values, start, end, bound)
+        assert found.tolist() == [next((k for k in range(a, b) if values[k] >= x), -1) for a, b, x in zip(start, end, bound)]
+    assert anchors.first_reaching(np.array([]), np.array([0]), np.array([0]), np.array([0.5])).tolist() == [-1]
+
+
 MIDS = [100.0, 100.1, 100.2, 100.4, 100.3, 100.2, 100.5, 100.7, 100.6, 100.4, 100.3, 100.2, 100.4, 100.8, 101.0, 100.9, 100.7, 100.6, 100.5, 100.4, 100.6, 100.8, 101.1, 101.3, 101.2, 101.0, 100.9, 100.8, 100.7, 100.6, 100.5]
 
 
@@ -131,6 +143,11 @@ def test_look_back_is_the_plain_version_at_any_bucket(spark):
                 assert (got.ups, got.downs) == (sum(m > 0 for m in moves), sum(m < 0 for m in moves)) and got.squares == pytest.approx(sum(m * m for m in moves))
                 pick = lambda rows, f: f(x[2] for x in rows) if rows else None
                 assert (got.high, got.low, got.prior_high, got.prior_low, got.before_high, got.before_low) == (pick(inside, max), pick(inside, min), pick(prior, max), pick(prior, min), pick(before, max), pick(before, min))
+                for side, sign in (("high", 1), ("low", -1)):
+                    end = max((sign * x[2] for x in prior), default=None)
+                    since = next((inside[k:] for k, x in enumerate(inside) if end is not None and sign * x[2] >= end), None)
+                    assert got[f"{side}_touch_us"] == (since[0][0] if since else None)
+                    assert got[f"{side}_back"] == (pytest.approx(max(sign * x[2] for x in since) - sign * since[-1][2]) if since else None)
                 if inside:
                     assert (got.first, got.last, got.last_us) == (inside[0][2], inside[-1][2], inside[-1][0])
                     assert got.high_us == max(x[0] for x in inside if x[2] == got.high)
