@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import server_to_utc
 from .order import DAY, from_us, overlap_join
 
 
@@ -68,6 +69,44 @@ def window_status(conditions: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(conditions[name], F.lit(name)) for name in CENSORS if name in conditions], F.lit("valid"))
 
 
+def population_support(windows: DataFrame, bootstraps: dict[str, bool], clocks: dict[str, Sequence[tuple[int, int, int]]], fold: str, least_units: int, least_side: int) -> DataFrame:
+    """Per fold, way to begin and clock: windows by status, what the valid ones are of, and whether they suffice.
+
+    windows: fold, report_start, report_end (of the report that tells of the window), start_us, end_us (of
+    a server's clock), side, unit, is_rejected, has_tick, has_terminal. bootstraps: by name whether what
+    came before the fold is unknown, so that no window counts. clocks: by name the segments of
+    server_to_utc. A window that only ends after its report goes on into another one; one that begins
+    outside isn't of it. Sufficient: ``least_units`` different units and ``least_side`` windows a side
+    among the valid ones. A window is looked at once for each scenario, and they are counted before the shuffle.
+    """
+    start, end = F.col("start_us"), F.col("end_us")
+    scenario = lambda b, c: F.struct(F.lit(b).alias("bootstrap"), F.lit(c).alias("clock"), F.lit(bootstraps[b]).alias("unknown"), (server_to_utc(start, clocks[c])[0] == "unique").alias("resolved"))
+    rows = windows.withColumn("s", F.explode(F.array(*[scenario(b, c) for b in bootstraps for c in clocks]))).select(*[c for c in windows.columns], "s.*")
+    begins = (start >= F.col("report_start")) & (start < F.col("report_end"))
+    goes_on = end > F.col("report_end")
+    status = (
+        F.when(end <= start, "invalid_transition")
+        .when(begins & goes_on, "cross_fold_continuation")
+        .when((start < F.col("report_start")) | goes_on, "invalid_transition")
+        .when(~F.col("resolved"), "clock_unresolved")
+        .when(F.col("is_rejected") | ~F.col("side").isin("ONE_BUY", "ONE_SELL"), "invalid_transition")
+        .when(F.col("unknown"), "left_censored_unknown_bootstrap")
+        .when(~F.col("has_tick"), "coverage_censored_no_valid_tick")
+        .when(~F.col("has_terminal"), "right_censored_no_terminal")
+        .otherwise("valid")
+    )
+    keys = [fold, "bootstrap", "clock"]
+    valid = F.col("status") == "valid"
+    # By unit first: a unit's windows are combined in each task, so what is shuffled doesn't grow with them.
+    of_unit = rows.withColumn("status", status).groupBy(*keys, "unit").agg(
+        *[F.count_if(F.col("status") == c).alias(c) for c in CENSORS], F.count(F.lit(1)).alias("windows"), *[F.count_if(valid & (F.col("side") == x)).alias(x) for x in ("ONE_BUY", "ONE_SELL")]
+    )
+    some = (F.col("ONE_BUY") + F.col("ONE_SELL")) > 0
+    out = of_unit.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("windows", *CENSORS, "ONE_BUY", "ONE_SELL")], F.count_if(some & F.col("unit").isNotNull()).alias("units"))
+    enough = (F.col("units") >= least_units) & (F.col("ONE_BUY") >= least_side) & (F.col("ONE_SELL") >= least_side)
+    return out.withColumn("support", F.when(enough, "sufficient").otherwise("insufficient_population"))
+
+
 def gap_class(start: Column, end: Column, offset: int) -> Column:
     """weekend_opening_gap: from a Friday to a Saturday or Sunday that is already Monday on the server, whose clock is ``offset`` ahead; else temporal_coverage_gap."""
     day = lambda us: F.weekday(from_us(us))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..schema import ENDPOINTS
+from .anchors import extremes
 from .order import DAY, HOUR, asof_backward, bucket_of, overlap_join, running_sums, with_previous
 
 
@@ -265,10 +269,49 @@ def day_summary(by_state: DataFrame) -> DataFrame:
     return out.withColumn("density", F.bround(F.try_divide(F.col("targets") * 1e9, F.col("tradeable_us")), 9))
 
 
+def _covered_before(keys: Sequence[str]) -> Callable:
+    """For one bucket of spans: whether some instant of a span is in one that comes before it in the order."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        start, end = rows["_start"].to_numpy(), rows["_end"].to_numpy()
+        rank = np.unique(rows["_order"].to_numpy(), return_inverse=True)[1]
+        cells = np.unique(np.concatenate([start, end]))
+        i, j = np.searchsorted(cells, start), np.searchsorted(cells, end)
+        # The first span over each cell: a span is two runs of 2^k cells, and a run hands what it has down to its halves.
+        level, first = np.frexp((j - i).astype(float))[1] - 1, np.full(len(cells), len(rows))
+        for k in range(int(level.max()), -1, -1):
+            own = level == k
+            np.minimum.at(first, i[own], rank[own])
+            np.minimum.at(first, j[own] - 2**k, rank[own])
+            if k:
+                half = first.copy()
+                half[2 ** (k - 1) :] = np.minimum(first[2 ** (k - 1) :], first[: -(2 ** (k - 1))])
+                first = half
+        covered = first[extremes(first.astype(float), i, j)[1]] < rank
+        return pa.table({**{c: rows[c] for c in keys}, "_order": rows["_order"], "is_overlap": pa.array(covered)})
+
+    return run
+
+
+def overlap_flags(df: DataFrame, keys: Sequence[str], start: str, end: str, order: str, bucket: int = 30 * DAY) -> DataFrame:
+    """(keys, order, is_overlap): whether a row's span [start, end) overlaps one that comes before it in the order, which names a key's rows.
+
+    No pairs are listed: within a bucket of time each piece gets the first span over it, and a span is
+    compared with the first over any of its pieces. A span without length overlaps nothing.
+    """
+    keys = list(keys)
+    own = df.select(*keys, F.col(order).alias("_order"), F.col(start).cast("bigint").alias("_a"), F.col(end).cast("bigint").alias("_b"))
+    cut = own.filter("_a < _b").withColumn("_bucket", F.explode(F.sequence(bucket_of("_a", bucket), bucket_of(F.col("_b") - 1, bucket))))
+    cut = cut.withColumns({"_start": F.greatest("_a", F.col("_bucket") * bucket), "_end": F.least("_b", (F.col("_bucket") + 1) * bucket)}).drop("_a", "_b")
+    shape = StructType([*[own.schema[c] for c in (*keys, "_order")], StructField("is_overlap", BooleanType())])
+    found = cut.groupBy(*keys, "_bucket").applyInArrow(_covered_before(keys), shape)
+    return found.groupBy(*keys, F.col("_order").alias(order)).agg(F.bool_or("is_overlap").alias("is_overlap"))
+
+
 def overlapping(df: DataFrame, keys: Sequence[str], start: str, end: str, order: str) -> DataFrame:
     """Rows whose span overlaps one that comes before them in the order (the later one of a pair is rejected)."""
-    pairs = overlap_join(df, df, keys, (start, end), (start, end))
-    return pairs.filter(F.col(f"r.{order}") < F.col(f"l.{order}")).select("l.*").distinct()
+    flags = overlap_flags(df, keys, start, end, order).filter("is_overlap")
+    return df.join(flags, [*keys, order], "left_semi")
 
 
 def contiguous(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:

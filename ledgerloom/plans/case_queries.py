@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import cases as C
 from ..operators import features as X
+from ..operators import intervals as I
 from ..operators import lifecycle as L
-from ..operators.order import DAY, HOUR, MINUTE
+from ..operators.order import DAY, HOUR, MINUTE, asof_backward
 from .interval_queries import BOUNDS_SQL, GAPS_SQL, bounds_of, gaps_of
 from .views import QUOTES_SQL, positions, positions_sql, quotes, table, timeline_sql
 
@@ -202,3 +203,42 @@ def report_numbers(spark, d):
 @query("symbol_filter", "SELECT p_brand, count(*) AS n FROM part WHERE upper(trim(p_brand)) IN ('BRAND#11', 'BRAND#12', 'BRAND#23') GROUP BY p_brand")
 def symbol_filter(spark, d):
     return X.of_symbols(table(spark, d, "part"), "p_brand", ["brand#11", "Brand#12", "BRAND#23"]).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Reports of five days, folds of three of them; every 50th interval is in the next report's list. Ticks that count are each 40th.
+REPORT, FOLD = 5 * DAY, 3
+CLOCKS = {"utc_plus_2": [(0, 4102444800000000, 2 * HOUR)], "utc_plus_3": [(0, 4102444800000000, 3 * HOUR)], "changing": CLOCK}
+BOOTSTRAPS = {"left_censored": True, "assumed_hedged": False}
+LEAST_UNITS, LEAST_SIDE = 300, 150
+
+
+def _resolved(segments) -> str:
+    return " + ".join(f"CAST(start_us - {o} >= {a} AND start_us - {o} < {b} AS INT)" for a, b, o in segments) + " = 1"
+
+
+@query(
+    "population_support",
+    f"""WITH {APART_SQL}, {QUOTES_SQL}, w AS (SELECT acct, interval_id, state AS side, start_us, end_us, start_us // {REPORT} + CAST(interval_id % 50 = 0 AS INT) AS report, acct || '|' || start_us // {DAY} AS unit, coalesce(following LIKE 'REHEDGE%', false) AS has_terminal FROM intervals WHERE state IN ('ONE_BUY', 'ONE_SELL', 'MULTI_POSITION')),
+r AS (SELECT *, report // {FOLD} AS fold FROM w), longer AS (SELECT * REPLACE (end_us + CASE WHEN interval_id % 30 = 1 THEN {2 * DAY} ELSE 0 END AS end_us) FROM r),
+rejected AS (SELECT DISTINCT x.acct, x.fold, x.interval_id FROM longer x JOIN longer y ON y.acct = x.acct AND y.fold = x.fold AND y.interval_id < x.interval_id AND y.start_us < x.end_us AND x.start_us < y.end_us AND x.start_us < x.end_us AND y.start_us < y.end_us),
+ticked AS (SELECT l.*, coalesce(q.us >= l.start_us, false) AS has_tick FROM longer l ASOF LEFT JOIN (SELECT us FROM quotes WHERE seq % 40 = 0) q ON l.end_us >= q.us),
+sc AS (SELECT t.*, j.interval_id IS NOT NULL AS is_rejected, c.clock, c.resolved, b.bootstrap, b.bootstrap = 'left_censored' AS unknown, t.report * {REPORT} AS rs, (t.report + 1) * {REPORT} AS re FROM ticked t LEFT JOIN rejected j ON j.acct = t.acct AND j.fold = t.fold AND j.interval_id = t.interval_id,
+  (SELECT unnest(['left_censored', 'assumed_hedged']) AS bootstrap) b, LATERAL (SELECT unnest({list(CLOCKS)}) AS clock, unnest([{', '.join(_resolved(x) for x in CLOCKS.values())}]) AS resolved) c),
+st AS (SELECT *, CASE WHEN end_us <= start_us THEN 'invalid_transition' WHEN start_us >= rs AND start_us < re AND end_us > re THEN 'cross_fold_continuation' WHEN start_us < rs OR end_us > re THEN 'invalid_transition' WHEN NOT resolved THEN 'clock_unresolved'
+  WHEN is_rejected OR side = 'MULTI_POSITION' THEN 'invalid_transition' WHEN unknown THEN 'left_censored_unknown_bootstrap' WHEN NOT has_tick THEN 'coverage_censored_no_valid_tick' WHEN NOT has_terminal THEN 'right_censored_no_terminal' ELSE 'valid' END AS status FROM sc),
+g AS (SELECT fold, bootstrap, clock, count(*) AS windows, {', '.join(f"count(*) FILTER (status = '{x}') AS {x}" for x in C.CENSORS)}, count(*) FILTER (status = 'valid' AND side = 'ONE_BUY') AS "ONE_BUY", count(*) FILTER (status = 'valid' AND side = 'ONE_SELL') AS "ONE_SELL", count(DISTINCT CASE WHEN status = 'valid' THEN unit END) AS units FROM st GROUP BY ALL)
+SELECT *, CASE WHEN units >= {LEAST_UNITS} AND "ONE_BUY" >= {LEAST_SIDE} AND "ONE_SELL" >= {LEAST_SIDE} THEN 'sufficient' ELSE 'insufficient_population' END AS support FROM g""",
+)
+def population_support(spark, d):
+    """Windows of one leg, some of them longer than the book says, by fold, way to begin and clock."""
+    i = L.intervals(L.lifecycle(positions(spark, d, share=2))).filter(F.col("state").isin("ONE_BUY", "ONE_SELL", "MULTI_POSITION"))
+    report = F.floor(F.col("start_us") / REPORT) + (F.col("interval_id") % 50 == 0).cast("int")
+    w = i.select(
+        "acct", "interval_id", F.col("state").alias("side"), "start_us", (F.col("end_us") + F.when(F.col("interval_id") % 30 == 1, 2 * DAY).otherwise(0)).alias("end_us"), (report * REPORT).alias("report_start"), ((report + 1) * REPORT).alias("report_end"),
+        F.floor(report / FOLD).alias("fold"), F.concat_ws("|", "acct", F.floor(F.col("start_us") / DAY)).alias("unit"), F.coalesce(F.col("following").startswith("REHEDGE"), F.lit(False)).alias("has_terminal"),
+    )
+    w = asof_backward(w, quotes(spark, d).filter("seq % 40 = 0"), [], "end_us", "us", ["seq"], {"tick_us": "us"})
+    w = w.withColumn("has_tick", F.coalesce(F.col("tick_us") >= F.col("start_us"), F.lit(False))).drop("tick_us")
+    flags = I.overlap_flags(w, ["acct", "fold"], "start_us", "end_us", "interval_id")
+    w = w.join(flags, ["acct", "fold", "interval_id"], "left").withColumn("is_rejected", F.coalesce("is_overlap", F.lit(False)))
+    return C.population_support(w, BOOTSTRAPS, CLOCKS, "fold", LEAST_UNITS, LEAST_SIDE)

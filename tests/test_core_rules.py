@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,35 @@ def test_order_faults_and_validated_joins(spark):
             cases.validated_join(l, r, ["id"], unique).collect()
     with pytest.raises(ValueError, match="target"):
         allow_only(right.withColumn("target", F.lit(1)), ["v", "target"], forbidden=["target"])
+
+
+def test_overlaps_with_earlier_rows_in_any_order_and_bucket(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(2), k, a, a + rng.choice([0, 0, 3, 20, 150])) for k, a in enumerate(rng.sample(range(4000), 160))]
+    frame = spark.createDataFrame(rows, "fold int, id long, a long, b long")
+    expected = {(f, k) for f, k, a, b in rows for g, j, c, d in rows if f == g and j < k and a < b and c < d and c < b and a < d}
+    for bucket in (37, 1000, 100_000):
+        found = intervals.overlap_flags(frame, ["fold"], "a", "b", "id", bucket)
+        assert {(r.fold, r.id) for r in found.collect() if r.is_overlap} == expected
+    assert {(r.fold, r.id) for r in intervals.overlapping(frame, ["fold"], "a", "b", "id").collect()} == expected
+    assert not intervals.overlap_flags(frame.limit(0), ["fold"], "a", "b", "id").collect()
+
+
+def test_a_population_suffices_by_units_and_sides(spark):
+    def support(rows, **least):
+        schema = "fold int, unit string, side string, start_us long, end_us long, report_start long, report_end long, is_rejected boolean, has_tick boolean, has_terminal boolean"
+        frame = spark.createDataFrame([(1, *r) for r in rows], schema)
+        found = cases.population_support(frame, {"unknown": True, "known": False}, {"utc": [(0, 10**6, 0)], "late": [(0, 40, 0), (50, 10**6, 10)]}, "fold", least.get("units", 2), least.get("sides", 1))
+        return {(r.bootstrap, r.clock): r for r in found.collect()}
+
+    ok = (0, 100, False, True, True)
+    rows = [("a", "ONE_BUY", 5, 9, *ok), ("a", "ONE_BUY", 20, 30, *ok), ("b", "ONE_SELL", 45, 60, *ok), ("c", "ONE_BUY", 30, 120, *ok), ("c", "ONE_BUY", 130, 140, *ok), ("d", "ONE_SELL", 9, 9, *ok)]
+    rows += [("e", "ONE_BUY", 1, 2, 0, 100, True, True, True), ("f", "ONE_BUY", 1, 2, 0, 100, False, False, False), ("g", "ONE_SELL", 1, 2, 0, 100, False, True, False), ("h", "MULTI_POSITION", 1, 2, *ok)]
+    found = support(rows)
+    known = found["known", "utc"]
+    assert (known.windows, known.ONE_BUY, known.ONE_SELL, known.units, known.support) == (10, 2, 1, 2, "sufficient")
+    assert (known.invalid_transition, known.cross_fold_continuation, known.coverage_censored_no_valid_tick, known.right_censored_no_terminal) == (4, 1, 1, 1)
+    late = found["known", "late"]  # 45 was never shown by this clock
+    assert (late.clock_unresolved, late.units, late.support) == (1, 1, "insufficient_population")
+    assert found["unknown", "utc"].left_censored_unknown_bootstrap == 5 and found["unknown", "utc"].units == 0
+    assert support(rows, sides=2)["known", "utc"].support == "insufficient_population"
