@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .anchors import look_back
 from .intervals import coverage_gaps
-from .order import DAY, range_join, with_previous
+from .order import DAY, HOUR, SECOND, asof_backward, range_join, with_previous
 
 
 def rolling(ticks: DataFrame, keys: Sequence[str], width: int, gap: int | None = None, bucket: int = DAY) -> DataFrame:
@@ -130,6 +130,33 @@ def snapshot(decisions: DataFrame, ticks: DataFrame, keys: Sequence[str], width:
     )
 
 
+def rule_snapshot(decisions: DataFrame, ticks: DataFrame, keys: Sequence[str], width: int, bucket: int = DAY) -> DataFrame:
+    """What a rule may look at when it decides: decisions (keys, decision_id, us, state) with features of the ticks up to then.
+
+    spread (points of 0.01) and quote_gap (since the tick before it, 0 without one) are those of the last
+    tick, rate is ticks a second in [us - width, us], session the part of the UTC day (asia to 8, europe
+    to 16, us). The anchor is the last tick at or before us - width: increment is the way from it to the
+    last tick; adverse, for a state with one leg, the farthest that the price went against that leg from the
+    anchor on. Without an anchor both are null, without any tick all are. Ticks (us, seq, bid, ask, mid)
+    have different times within a key. As-of joins and windows in buckets: no decision meets the ticks of its past.
+    """
+    keys = list(keys)
+    t = with_previous(ticks, keys, "us", ["seq"], {"us_before": "us"}, bucket)
+    out = asof_backward(decisions.withColumn("_early", F.col("us") - width), t, keys, "us", "us", ["seq"], {"_us": "us", "_before": "us_before", "_bid": "bid", "_ask": "ask", "_last": "mid"}, bucket=bucket)
+    out = asof_backward(out, t, keys, "_early", "us", ["seq"], {"_first": "mid"}, bucket=bucket)
+    moments = decisions.select(*keys, "us").distinct().withColumn("seq", F.lit(0).cast("bigint"))
+    seen = look_back(moments, ticks.withColumn("spread", F.lit(0.0)), keys, [width], touches=False, bucket=bucket).select(*keys, "us", f"w{width}.n", f"w{width}.high", f"w{width}.low")
+    out = out.join(seen, [*keys, "us"], "left")
+    there, anchored = F.col("_us").isNotNull(), F.col("_first").isNotNull()
+    hour = F.floor(F.pmod("us", F.lit(DAY)) / HOUR)
+    # The anchor is the last tick too where the window is empty: least and greatest pass over nulls.
+    against = F.when(F.col("state") == "ONE_BUY", F.col("_first") - F.least("_first", "low")).when(F.col("state") == "ONE_SELL", F.greatest("_first", "high") - F.col("_first"))
+    return out.select(
+        *decisions.columns, ((F.col("_ask") - F.col("_bid")) / 0.01).alias("spread"), F.when(there, F.coalesce(F.col("_us") - F.col("_before"), F.lit(0))).alias("quote_gap"), F.when(there, F.coalesce("n", F.lit(0)) / (width / SECOND)).alias("rate"),
+        F.when(there, F.when(hour < 8, "asia").when(hour < 16, "europe").otherwise("us")).alias("session"), (F.col("_last") - F.col("_first")).alias("increment"), F.when(anchored, against).alias("adverse"),
+    )
+
+
 def quote_times(quotes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A row for each time of quotes: valid ones at it, whether one of them is a duplicate, whether one isn't valid, the first's sequence."""
     return quotes.groupBy(*keys, "us").agg(

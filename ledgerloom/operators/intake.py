@@ -83,3 +83,26 @@ def with_evidence(gaps: DataFrame, replicas: DataFrame, sessions: DataFrame, lon
     out = out.withColumn("class", kind)
     used = F.when(F.col("class") == "replicated_coverage_gap", F.col("evidence"))
     return out.withColumns({"evidence": used, "accepted": F.col("class").isin("scheduled_market_closed", "replicated_coverage_gap")})
+
+
+def amended(sessions: DataFrame, gaps: DataFrame, registered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """sessions (keys, day, status) with the verdict on their key's registered gap, and the status that follows.
+
+    registered: a row a key with gap_start and gap_end, within one day. It is accepted if all other
+    sessions pass and the gap's own session has no gap within the day but this very one; that session
+    then is PASS_WITH_REGISTERED_GAP. Else the verdict is the first of session_missing,
+    unexpected_failure, gap_count and gap_changed, and nothing changes. Keys without a registered gap
+    have none. gaps: of signed_gaps with the keys.
+    """
+    keys, day = list(keys), lambda c: F.floor(F.col(c) / DAY)
+    one = registered.select(*keys, F.col("gap_start").alias("_from"), F.col("gap_end").alias("_to"), day("gap_start").alias("_day"))
+    inside = gaps.filter(day("gap_start") == day("gap_end")).join(one, keys).filter(day("gap_start") == F.col("_day"))
+    same = (F.col("gap_start") == F.col("_from")) & (F.col("gap_end") == F.col("_to"))
+    found = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(same).alias("_same"))
+    own = F.col("day") == F.col("_day")
+    of_key = sessions.join(one, keys).groupBy(*keys).agg(F.bool_or(own).alias("_has"), F.bool_or(~own & (F.col("status") != "PASS")).alias("_failed"))
+    verdict = F.when(~F.col("_has"), "session_missing").when(F.col("_failed"), "unexpected_failure").when(F.coalesce("_n", F.lit(0)) != 1, "gap_count").when(~F.col("_same"), "gap_changed").otherwise("accepted")
+    verdicts = one.join(of_key, keys).join(found, keys, "left").select(*keys, "_day", verdict.alias("verdict"))
+    out = sessions.join(verdicts, keys, "left")
+    status = F.when(own & (F.col("verdict") == "accepted"), "PASS_WITH_REGISTERED_GAP").otherwise(F.col("status"))
+    return out.withColumn("status", status).drop("_day")

@@ -13,7 +13,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..schema import ENDPOINTS
 from .anchors import extremes
-from .order import DAY, HOUR, asof_backward, bucket_of, overlap_join, running_sums, with_previous
+from .order import DAY, HOUR, asof_backward, bucket_of, running_sums, with_previous
 
 
 def coverage_gaps(ticks: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], threshold: int, bucket: int = DAY) -> DataFrame:
@@ -22,6 +22,14 @@ def coverage_gaps(ticks: DataFrame, keys: Sequence[str], time: str, ties: Sequen
     return t.filter(F.col(time) - F.col("gap_start") > threshold).select(*keys, "gap_start", F.col(time).alias("gap_end"))
 
 
+def checked_breaks(breaks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Breaks (keys, gap_start, gap_end, reason), each once, a missing reason as unknown_coverage_gap. One that doesn't end after its start is an error."""
+    reason = F.coalesce("reason", F.lit("unknown_coverage_gap")) if "reason" in breaks.columns else F.lit("unknown_coverage_gap")
+    bad = ~F.coalesce(F.col("gap_end") > F.col("gap_start"), F.lit(False))
+    sound = F.when(bad, F.raise_error(F.lit("a break must end after its start")).isNull()).otherwise(True)
+    return breaks.filter(sound).select(*keys, "gap_start", "gap_end", reason.alias("reason")).distinct()
+
+
 def recurring(gaps: DataFrame, keys: Sequence[str], tolerance: int, least: int) -> DataFrame:
     """Gaps with how many (itself included) begin and end at about the same time of day, and their class.
 

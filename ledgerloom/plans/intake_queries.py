@@ -134,6 +134,49 @@ def gap_evidence(spark, d):
     return found.select("gap_start", "gap_end", "class", "evidence", "accepted")
 
 
+# Blocks of two days; the gap that the primary run first has within a day of the block is the registered one, moved by a microsecond in every third block.
+@query(
+    "registered_gap",
+    f"""WITH {RUNS_SQL}, {SIGNED_SQL}, s AS (SELECT run, day // 2 AS block, day, CASE WHEN rows = 0 THEN 'INCOMPLETE' WHEN starts_on_time AND ends_on_time AND gaps = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM sess),
+g AS (SELECT run, gap_start // {2 * DAY} AS block, gap_start // {DAY} AS day, gap_start, gap_end FROM gaps WHERE gap_start // {DAY} = gap_end // {DAY}), pins AS (SELECT block, min(gap_start) AS rs, arg_min(gap_end, gap_start) + CAST(block % 3 = 0 AS INT) AS re FROM g WHERE run = 'p' GROUP BY block),
+v AS (SELECT s.run, s.block, rs // {DAY} AS rd, bool_or(s.day <> rs // {DAY} AND status <> 'PASS') AS failed, bool_or(s.day = rs // {DAY}) AS has FROM s JOIN pins ON pins.block = s.block GROUP BY ALL),
+n AS (SELECT g.run, g.block, count(*) AS n, bool_or(gap_start = rs AND gap_end = re) AS same FROM g JOIN pins ON pins.block = g.block AND g.day = rs // {DAY} GROUP BY ALL),
+x AS (SELECT v.run, v.block, rd, CASE WHEN NOT has THEN 'session_missing' WHEN failed THEN 'unexpected_failure' WHEN coalesce(n, 0) <> 1 THEN 'gap_count' WHEN NOT same THEN 'gap_changed' ELSE 'accepted' END AS verdict FROM v LEFT JOIN n ON n.run = v.run AND n.block = v.block)
+SELECT s.run, s.block, s.day, CASE WHEN verdict = 'accepted' AND rd = s.day THEN 'PASS_WITH_REGISTERED_GAP' ELSE status END AS status, verdict FROM s LEFT JOIN x ON x.run = s.run AND x.block = s.block""",
+)
+def registered_gap(spark, d):
+    """All runs' sessions, with the gap that the primary run registered for each block of two days."""
+    once = once_of(spark, d)
+    low, high = once.agg(F.min(F.floor(F.col("us") / DAY)), F.max(F.floor(F.col("us") / DAY))).first()
+    days = once.select("run").distinct().withColumn("day", F.explode(F.sequence(F.lit(low), F.lit(high + 1))))
+    gaps = written(N.signed_gaps(once, ["run"], GAP), "signed-gaps").withColumn("block", F.floor(F.col("gap_start") / (2 * DAY)))
+    sessions = N.session_coverage(once, gaps, ["run"], FIRST_BY, LAST_FROM, days).withColumn("block", F.floor(F.col("day") / 2))
+    own = gaps.filter((F.col("run") == "p") & (F.floor(F.col("gap_start") / DAY) == F.floor(F.col("gap_end") / DAY))).groupBy("block").agg(F.min(F.struct("gap_start", "gap_end")).alias("g"))
+    registered = own.select("block", "g.gap_start", (F.col("g.gap_end") + (F.col("block") % 3 == 0).cast("int")).alias("gap_end"))
+    # A gap registered by one run is asked of each run that has sessions in its block.
+    registered = sessions.select("run", "block").distinct().join(registered, "block")
+    return N.amended(sessions, gaps, registered, ["run", "block"]).select("run", "block", "day", "status", "verdict")
+
+
+@query(
+    "manifest_objects",
+    f"""WITH {RUNS_SQL}, f AS (SELECT DISTINCT file AS alias, CAST(split_part(file, '-', 2) AS BIGINT) % 7 AS k FROM runs)
+SELECT alias, CASE WHEN k = 1 THEN 'repeated_alias' WHEN k = 2 THEN 'not_registered' WHEN k = 3 THEN 'not_listed' WHEN k = 4 THEN 'wrong_path' WHEN k = 5 THEN 'changed' ELSE 'verified' END AS status FROM f
+UNION ALL SELECT 'lost-' || alias, 'missing_file' FROM f WHERE k = 6""",
+)
+def manifest_objects(spark, d):
+    """The files of all runs against a manifest that is right for some of them only."""
+    _, path = runs_of(spark, d)
+    files = written(G.file_digests(spark, path).withColumn("alias", F.regexp_extract("path", "/export=([^/]+)/", 1)).filter("path LIKE '%.csv'"), "run-files")
+    k = F.split("alias", "-")[1].cast("bigint") % 7
+    lines = files.filter(k != 3).withColumn("n", F.explode(F.sequence(F.lit(1), F.when(k == 1, 2).otherwise(1))))
+    place = F.concat(F.when(k == 4, "elsewhere/").otherwise("incoming/"), "alias").alias("relative_path")
+    manifest = lines.select("alias", place, F.when(k == 5, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    lost = files.filter(k == 6).withColumn("alias", F.concat(F.lit("lost-"), "alias"))
+    manifest = manifest.unionByName(lost.select("alias", F.concat(F.lit("incoming/"), "alias").alias("relative_path"), "sha256"))
+    return G.manifest_status(manifest, files, files.filter(k != 2).select("alias").unionByName(lost.select("alias")))
+
+
 LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"]
 
 

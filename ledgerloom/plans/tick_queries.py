@@ -257,6 +257,26 @@ def snapshot_60(spark, d):
     return found.withColumns({c: F.col(c).cast("double") for c in ("increment", "buy_adverse", "sell_adverse", "spread")})
 
 
+STATE_SQL = "CASE anchor_id % 3 WHEN 0 THEN 'ONE_BUY' WHEN 1 THEN 'ONE_SELL' ELSE 'HEDGED' END"
+
+
+@query(
+    "rule_features",
+    f"""WITH {ANCHORS_SQL}, q AS (SELECT *, lag(us) OVER (PARTITION BY symbol ORDER BY us) AS us_before FROM (SELECT symbol, us, max(seq) AS seq, arg_max(bid, seq) AS bid, arg_max(ask, seq) AS ask, arg_max(mid, seq) AS mid FROM quotes GROUP BY ALL)),
+d AS (SELECT symbol, anchor_id, us, us - {WINDOW} AS early, {STATE_SQL} AS state FROM anchors), l AS (SELECT d.*, q.us AS last_us, us_before, bid, ask, mid AS last FROM d ASOF LEFT JOIN q ON d.symbol = q.symbol AND d.us >= q.us),
+f AS (SELECT l.*, q.mid AS first FROM l ASOF LEFT JOIN q ON l.symbol = q.symbol AND l.early >= q.us), w AS (SELECT anchor_id, count(*) AS n, max(q.mid) AS high, min(q.mid) AS low FROM d JOIN q ON q.symbol = d.symbol AND q.us >= d.early AND q.us <= d.us GROUP BY anchor_id)
+SELECT f.anchor_id AS decision_id, state, round((ask - bid) / 0.01, 6) AS spread, coalesce(last_us - us_before, 0) AS quote_gap, round(coalesce(n, 0) / {WINDOW / SECOND}, 9) AS rate, CASE WHEN us % {DAY} < {8 * HOUR} THEN 'asia' WHEN us % {DAY} < {16 * HOUR} THEN 'europe' ELSE 'us' END AS session,
+  round(last - first, 9) AS increment, round(CASE WHEN first IS NULL THEN NULL WHEN state = 'ONE_BUY' THEN first - least(first, low) WHEN state = 'ONE_SELL' THEN greatest(first, high) - first END, 9) AS adverse FROM f LEFT JOIN w ON w.anchor_id = f.anchor_id""",
+)
+def rule_features(spark, d):
+    """What a rule may look at soon after each quote; of quotes of one time the last."""
+    last = F.max(F.struct("seq", "bid", "ask", "mid")).alias("q")
+    ticks = quotes(spark, d).groupBy("symbol", "us").agg(last).select("symbol", "us", "q.*")
+    state = F.when(F.col("anchor_id") % 3 == 0, "ONE_BUY").when(F.col("anchor_id") % 3 == 1, "ONE_SELL").otherwise("HEDGED")
+    found = X.rule_snapshot(anchors(spark, d).select("symbol", F.col("anchor_id").alias("decision_id"), "us", state.alias("state")), ticks, ["symbol"], WINDOW)
+    return found.select("decision_id", "state", F.round("spread", 6).alias("spread"), "quote_gap", F.round("rate", 9).alias("rate"), "session", F.round("increment", 9).alias("increment"), F.round("adverse", 9).alias("adverse"))
+
+
 @query(
     "exclusion_waterfall",
     f"""WITH {ROLL_SQL}, r AS (SELECT symbol, CASE WHEN NOT (us - {WINDOW} >= first_us) THEN 'window_before_first_tick' WHEN n < 2 THEN 'too_few_ticks' WHEN high = low THEN 'flat_window' WHEN last_mid < 20 THEN 'current_snapshot' END AS reason FROM roll)

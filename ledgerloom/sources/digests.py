@@ -54,6 +54,29 @@ def table_digest(df: DataFrame, order: Sequence[str], columns: Sequence[str] | N
     return df.sparkSession.range(1).select(F.sha2(F.lit(schema + ";" + (top.digest if top else "")), 256)).first()[0]
 
 
+def manifest_status(manifest: DataFrame, files: DataFrame, registered: DataFrame, folder: str = "incoming") -> DataFrame:
+    """(alias, status) of everything that a manifest, the files or the registered aliases name.
+
+    manifest: alias, relative_path, sha256; files: alias, sha256; registered: alias. The first that holds:
+    repeated_alias, not_registered, not_listed (registered, but not in the manifest), wrong_path (not
+    ``folder``/alias), missing_file, changed, else verified. A manifest may be used if all are verified.
+    """
+    listed = manifest.groupBy("alias").agg(F.count(F.lit(1)).alias("n"), F.min("relative_path").alias("relative_path"), F.min("sha256").alias("expected"))
+    there = files.groupBy("alias").agg(F.min("sha256").alias("low"), F.max("sha256").alias("high"))
+    known = registered.select("alias").distinct().withColumn("known", F.lit(True))
+    all_of = listed.join(there, "alias", "full").join(known, "alias", "full")
+    status = (
+        F.when(F.col("n") > 1, "repeated_alias")
+        .when(F.col("known").isNull(), "not_registered")
+        .when(F.col("n").isNull(), "not_listed")
+        .when(~F.coalesce(F.col("relative_path") == F.concat(F.lit(folder + "/"), "alias"), F.lit(False)), "wrong_path")
+        .when(F.col("low").isNull(), "missing_file")
+        .when(~F.coalesce((F.col("low") == F.col("expected")) & (F.col("high") == F.col("expected")), F.lit(False)), "changed")
+        .otherwise("verified")
+    )
+    return all_of.select("alias", status.alias("status"))
+
+
 def pinned(spark: SparkSession, path: str, expected: Sequence[str]) -> list[str]:
     """The files under a path that have the expected digests, in that order. A digest that is named twice, that no file has, or that several have, is an error."""
     if len(set(expected)) != len(expected):

@@ -27,7 +27,7 @@ def con():
 
 
 #: Queries whose rules the smallest tables don't meet.
-LARGER = {"cause_audit", "cause_design", "cause_predictors", "cause_targets", "feature_design", "hypothesis_effects", "hypothesis_stability", "hypothesis_verdicts"}
+LARGER = {"cause_audit", "cause_design", "cause_predictors", "cause_targets", "feature_design", "hypothesis_effects", "hypothesis_stability", "hypothesis_verdicts", "population_support", "registered_gap"}
 
 
 @pytest.fixture(scope="module")

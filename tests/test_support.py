@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import anchors, causes, intake, models
+from ledgerloom.operators import features as X
 from ledgerloom.operators import intervals as I
 from ledgerloom.operators.order import DAY, HOUR, SECOND
 from ledgerloom.sources import digests
@@ -332,3 +333,64 @@ def test_session_effects_are_numpy_over_the_same_bins(spark):
     p = p[hour >= 12]
     theta = newton(x, p.target.to_numpy(float), (np.log(p.p_age) - np.log1p(-p.p_age)).to_numpy(), 1e-3, False)
     assert np.allclose([effects[b] for b in ("block_12_16", "block_16_20", "block_20_24")], theta, atol=1e-6)
+
+
+def test_one_registered_gap_is_accepted_and_no_other(spark):
+    def verdict(gaps, others="PASS", registered=(10, 20), days=(0, 1)):
+        sessions = spark.createDataFrame([("x", d, "FAIL" if d == 0 else others) for d in days], "key string, day long, status string")
+        frame = lambda rows: spark.createDataFrame([("x", *g) for g in rows], "key string, gap_start long, gap_end long")
+        found = intake.amended(sessions, frame(gaps), frame([registered]), ["key"]).collect()
+        return found[0].verdict, sorted(r.status for r in found)
+
+    accepted = ["PASS", "PASS_WITH_REGISTERED_GAP"]
+    assert verdict([(10, 20)]) == ("accepted", accepted)
+    assert verdict([(10, 20), (DAY + 1, DAY + 9), (DAY - 5, DAY + 5)]) == ("accepted", accepted)  # only gaps within the gap's own day are counted
+    assert verdict([(10, 20), (30, 40)]) == ("gap_count", ["FAIL", "PASS"])
+    assert verdict([]) == ("gap_count", ["FAIL", "PASS"])
+    assert verdict([(10, 21)]) == ("gap_changed", ["FAIL", "PASS"])
+    assert verdict([(10, 20)], others="INCOMPLETE")[0] == "unexpected_failure"
+    assert verdict([(10, 20)], days=(1, 2))[0] == "session_missing"
+
+
+def test_a_manifest_names_each_registered_file_once_as_it_is(spark):
+    lines = [("a", "incoming/a", "1"), ("b", "incoming/b", "1"), ("b", "incoming/b", "1"), ("c", "incoming/../c", "1"), ("d", "incoming/d", "2"), ("e", "incoming/e", "1"), ("f", "incoming/f", "1"), ("h", None, "1")]
+    manifest = spark.createDataFrame(lines, "alias string, relative_path string, sha256 string")
+    files = spark.createDataFrame([(x, "1") for x in "abcdfghi"], "alias string, sha256 string")
+    found = digests.manifest_status(manifest, files, spark.createDataFrame([(x,) for x in "abcdegh"], "alias string"))
+    assert {r.alias: r.status for r in found.collect()} == {
+        "a": "verified", "b": "repeated_alias", "c": "wrong_path", "d": "changed", "e": "missing_file", "f": "not_registered", "g": "not_listed", "h": "wrong_path", "i": "not_registered",
+    }
+
+
+def test_breaks_end_after_their_start(spark):
+    rows = spark.createDataFrame([(5, 9, None), (5, 9, "unknown_coverage_gap"), (1, 2, "x")], "gap_start long, gap_end long, reason string")
+    assert sorted(tuple(r) for r in I.checked_breaks(rows, []).collect()) == [(1, 2, "x"), (5, 9, "unknown_coverage_gap")]
+    assert sorted(tuple(r) for r in I.checked_breaks(rows.drop("reason"), []).collect()) == [(1, 2, "unknown_coverage_gap"), (5, 9, "unknown_coverage_gap")]
+    with pytest.raises(Exception, match="a break must end after its start"):
+        I.checked_breaks(spark.createDataFrame([(5, 5)], "gap_start long, gap_end long"), []).collect()
+
+
+def test_a_rule_sees_the_prefix_of_its_ticks(spark):
+    rng = random.Random(11)
+    minute = 60 * SECOND
+    times = sorted(rng.sample(range(0, 20 * minute, SECOND // 2), 60))
+    ticks = [(1, t, k, 100 + round(rng.random(), 2)) for k, t in enumerate(times)]
+    frame = spark.createDataFrame([(*t, t[3] - 0.1, t[3] + 0.1) for t in ticks], "k int, us long, seq long, mid double, bid double, ask double")
+    decisions = [(1, n, rng.randrange(0, 22 * minute), s) for n, s in enumerate(["ONE_BUY", "ONE_SELL", "HEDGED"] * 20)] + [(1, 60, times[0], "ONE_BUY"), (1, 61, times[0] - 1, "ONE_BUY"), (2, 62, times[9], "ONE_BUY")]
+    found = {r.decision_id: r for r in X.rule_snapshot(spark.createDataFrame(decisions, "k int, decision_id int, us long, state string"), frame, ["k"], minute, bucket=3 * minute).collect()}
+    assert len(found) == len(decisions)
+    for k, n, us, state in decisions:
+        r, past = found[n], [t for t in ticks if t[0] == k and t[1] <= us]
+        if not past:
+            assert (r.spread, r.quote_gap, r.rate, r.session, r.increment, r.adverse) == (None,) * 6
+            continue
+        assert r.spread == pytest.approx(20) and r.quote_gap == (past[-1][1] - past[-2][1] if len(past) > 1 else 0) and r.session == "asia"
+        assert r.rate == pytest.approx(sum(t[1] >= us - minute for t in past) / 60)
+        anchor = max((i for i, t in enumerate(past) if t[1] <= us - minute), default=None)
+        if anchor is None:
+            assert r.increment is None and r.adverse is None
+            continue
+        window = [t[3] for t in past[anchor:]]
+        assert r.increment == pytest.approx(window[-1] - window[0])
+        adverse = {"ONE_BUY": window[0] - min(window), "ONE_SELL": max(window) - window[0]}.get(state)
+        assert r.adverse == (None if adverse is None else pytest.approx(adverse))
