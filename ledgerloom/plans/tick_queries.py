@@ -271,7 +271,7 @@ SELECT f.anchor_id AS decision_id, state, round((ask - bid) / 0.01, 6) AS spread
 def rule_features(spark, d):
     """What a rule may look at soon after each quote; of quotes of one time the last."""
     last = F.max(F.struct("seq", "bid", "ask", "mid")).alias("q")
-    ticks = quotes(spark, d).groupBy("symbol", "us").agg(last).select("symbol", "us", "q.*")
+    ticks = written(quotes(spark, d).groupBy("symbol", "us").agg(last).select("symbol", "us", "q.*"), "single-ticks")
     state = F.when(F.col("anchor_id") % 3 == 0, "ONE_BUY").when(F.col("anchor_id") % 3 == 1, "ONE_SELL").otherwise("HEDGED")
     found = X.rule_snapshot(anchors(spark, d).select("symbol", F.col("anchor_id").alias("decision_id"), "us", state.alias("state")), ticks, ["symbol"], WINDOW)
     return found.select("decision_id", "state", F.round("spread", 6).alias("spread"), "quote_gap", F.round("rate", 9).alias("rate"), "session", F.round("increment", 9).alias("increment"), F.round("adverse", 9).alias("adverse"))
