@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles: prefix filter, verification by the texts, components."""
+"""Near copies by SimHash fingerprints and a prefix filter on rare shingles, checked by the exact Jaccard similarity; components."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, text_of, written
-from .simhash import SEED, components, forest, tiled
+from .simhash import SEED, components, fingerprint, forest, links as print_links, tiled, units
 
 #: Counts of shingles by this many buckets of hashes order the shingles, rare ones first.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: Bits in which fingerprints that are compared may differ, and rows of a tile of them.
+RADIUS, PRINT_TILE = 3, 4096
 #: Rows of a shingle up to which its pairs are listed; rows of more are compared in tiles of so many, by so many shingles at once.
 LISTED, TILE, WIDE = 32, 512, 2048
 
@@ -40,11 +42,66 @@ def sizes_allow(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> np.ndar
     return np.minimum(a, b) * least[1] >= least[0] * np.maximum(a, b)
 
 
+def signature(h: np.ndarray) -> bytes:
+    """Bits that tell for each class of hashes whether the set has an odd number of them; at least twice as many as the set has hashes."""
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    parity = np.bincount((h >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Signatures:
+    """Signatures of several lengths by their place. Longer ones are folded to the length of those that they meet."""
+
+    def __init__(self, data: list[bytes]):
+        self.length = np.array([len(x) for x in data], np.int64)
+        self.place = np.zeros(len(data), np.int64)
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == n)
+            self.place[at] = np.arange(len(at))
+            self.folded[n, n] = np.frombuffer(b"".join(data[k] for k in at), np.uint64).reshape(len(at), -1)
+
+    def of(self, rows: np.ndarray, n: int) -> np.ndarray:
+        out = np.empty((len(rows), n // 8), np.uint64)
+        length = self.length[rows]
+        for own in np.unique(length).tolist():
+            if (own, n) not in self.folded:
+                self.folded[own, n] = np.bitwise_xor.reduce(self.folded[own, own].reshape(-1, own // n, n // 8), axis=1)
+            out[length == own] = self.folded[own, n][self.place[rows[length == own]]]
+        return out
+
+    def allow(self, size: np.ndarray, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+        """Which pairs may reach the least similarity: sets differ in at least as many hashes as their signatures in bits."""
+        out = np.zeros(len(i), bool)
+        shorter = np.minimum(self.length[i], self.length[j])
+        for n in np.unique(shorter).tolist():
+            own = np.flatnonzero(shorter == n)
+            step = max(1, (1 << 22) // n)
+            for k in range(0, len(own), step):
+                at = own[k : k + step]
+                differ = np.bitwise_count(self.of(i[at], n) ^ self.of(j[at], n)).sum(axis=1, dtype=np.int64)
+                out[at] = differ * (least[0] + least[1]) <= (size[i[at]] + size[j[at]]) * (least[1] - least[0])
+        return out
+
+
+def sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(row, size, print, signature): a text's number of distinct shingles, its SimHash fingerprint and its signature."""
+    for batch in batches:
+        sizes, prints, signatures = [], [], []
+        for text in batch.column("text"):
+            h = hashes(text.as_py(), shingle)
+            sizes.append(len(h))
+            signatures.append(signature(h))
+            prints.append(fingerprint(text.as_py().encode("utf-8", "surrogatepass"), shingle))
+        columns = [batch.column("row"), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(signatures, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "size", "print", "signature"])
+
+
 def bucket_counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for text in batch.column("text"):
-            counts += np.bincount((hashes(text.as_py(), shingle) % BUCKETS).astype(np.int64), minlength=BUCKETS)
+            np.add.at(counts, (hashes(text.as_py(), shingle) % BUCKETS).astype(np.int64), 1)
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_pydict({"bucket": seen, "n": counts[seen]})
 
@@ -76,7 +133,7 @@ def by_key(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(c).to_numpy() for c in names])
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
         if held[-1][0][0] == held[-1][0][-1] == held[0][0][0]:
             continue  # still within one key
         columns = [np.concatenate(c) for c in zip(*held)]
@@ -108,8 +165,8 @@ def first_pairs(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> It
 
 
 def other_pairs(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a key's rows that aren't in one component yet."""
-    for key, row, size, label in by_key(batches, ("key", "row", "size", "label")):
+    """All pairs of a key's rows that aren't in one component yet and that their signatures allow."""
+    for key, row, size, label, data in by_key(batches, ("key", "row", "size", "label", "signature")):
         if not len(key):
             continue
         group = np.r_[0, np.cumsum(key[1:] != key[:-1])]
@@ -117,7 +174,7 @@ def other_pairs(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> It
         np.minimum.at(low, group, label)
         np.maximum.at(high, group, label)
         open_ = (low != high)[group]
-        key, row, size, label = key[open_], row[open_], size[open_], label[open_]
+        key, row, size, label, known = key[open_], row[open_], size[open_], label[open_], Signatures(data[open_].tolist())
         at, d = np.arange(len(key)), 0
         while True:
             d += 1
@@ -126,10 +183,51 @@ def other_pairs(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> It
             if not len(at):
                 break
             apart = at[label[at] != label[at + d]]
+            apart = apart[known.allow(size, apart, apart + d, least)]
             if len(apart):
                 yield pair_batch(row[apart], row[apart + d])
 
 
+def allowed(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that sizes and signatures allow."""
+    for batch in batches:
+        n, known = batch.num_rows, Signatures(batch.column("signature_a").to_pylist() + batch.column("signature_b").to_pylist())
+        size = np.concatenate([batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()])
+        i = np.arange(n)
+        close = known.allow(size, i, i + n, least) & sizes_allow(size[:n], size[n:], least)
+        yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+
+def promising(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(unit, row, label) of the rows that their signatures allow to be linked to one of another component in the unit."""
+    names = ("unit", "row", "size", "label", "signature")
+
+    def done(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        unit, row, size, label, data = (np.concatenate(c) for c in zip(*held))
+        known, i = Signatures(data.tolist()), np.arange(len(row))
+        found = np.zeros(len(row), bool)
+        for k in range(len(row) - 1):
+            later = i[k + 1 :]
+            later = later[(label[later] != label[k]) & sizes_allow(size[later], size[k], least)]
+            later = later[known.allow(size, np.full(len(later), k), later, least)]
+            found[later] = True
+            found[k] |= len(later) > 0
+        return pa.RecordBatch.from_pydict({"unit": unit[found], "row": row[found], "label": label[found]})
+
+    unit, held = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        cuts = np.r_[0, np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1, batch.num_rows] if batch.num_rows else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and columns[0][a] != unit:
+                yield done(held)
+                held = []
+            unit = columns[0][a]
+            held.append([c[a:b] for c in columns])
+    if held:
+        yield done(held)
+
+
 def verified(batches: Iterator[pa.RecordBatch], shingle: int, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = zip(batch.column("text_a"), batch.column("text_b"))
@@ -185,29 +283,49 @@ def unit_links(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Ite
         yield done(held)
 
 
+def print_pairs(known: DataFrame) -> DataFrame:
+    """(a, b): rows that SimHash links, of known (row, print, ...): those of one fingerprint, and the first ones of two within the radius."""
+    nodes = written(known.groupBy("print").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "near-prints")
+    compared = units(nodes.select("print", F.col("print").alias("node")), RADIUS, PRINT_TILE, nodes.count())
+    found = compared.repartition("unit").sortWithinPartitions("unit", "ones").select("unit", "print", "node").mapInArrow(lambda b: print_links(b, RADIUS), "a long, b long").filter("a <> b").distinct()
+    first = nodes.select("print", "first")
+    between = found.join(first.toDF("a", "row_a"), "a").join(first.toDF("b", "row_b"), "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+    copies = known.select("print", "row").join(nodes.filter("n > 1").select("print", "first"), "print").filter("row > first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    return between.unionByName(copies)
+
+
 def near_components(texts: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     """(node, component) of the rows of texts (row, text; text not null) that are linked to smaller ones."""
     spark = texts.sparkSession
+    sketch = written(texts.mapInArrow(lambda b: sketches(b, shingle), "row long, size long, print long, signature binary"), "near-sketches")
     counted = texts.mapInArrow(lambda b: bucket_counts(b, shingle), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS, np.int64)
     counts[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     known = spark.sparkContext.broadcast(counts)
     keyed = texts.mapInArrow(lambda b: prefixes(b, shingle, least, known.value), "key long, row long, size long")
     shared = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(shared_keys, keyed.schema), "near-keys")
-    candidates = written(texts.join(shared.select("row").distinct(), "row", "left_semi"), "near-texts")
-
-    def links(keys: DataFrame, pairs_of: Callable[[Iterator[pa.RecordBatch], tuple[int, int]], Iterator[pa.RecordBatch]]) -> DataFrame:
-        pairs = keys.repartition("key").sortWithinPartitions("key", "size", "row").mapInArrow(lambda b: pairs_of(b, least), "a long, b long").distinct()
-        both = pairs.join(candidates.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-        both = both.join(candidates.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return written(both.mapInArrow(lambda b: verified(b, shingle, least), "a long, b long"), "near-links")
 
-    first = components(links(shared, first_pairs))
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose texts are similar. Only texts of pairs that may be are fetched."""
+        both = written(pairs, "near-pairs")
+        own = written(texts.join(both.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi"), "near-texts")
+        both = both.join(own.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: verified(b, shingle, least), "a long, b long"), "near-links")
+
+    def by_keys(keys: DataFrame, pairs_of: Callable[[Iterator[pa.RecordBatch], tuple[int, int]], Iterator[pa.RecordBatch]]) -> DataFrame:
+        return keys.repartition("key").sortWithinPartitions("key", "size", "row").mapInArrow(lambda b: pairs_of(b, least), "a long, b long").distinct()
+
+    # What SimHash links, and each row with two others of its shingles.
+    pairs = print_pairs(sketch).unionByName(by_keys(shared, first_pairs)).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(sketch.select(F.col("row").alias(c), F.col("size").alias(f"size_{c}"), F.col("signature").alias(f"signature_{c}")), c)
+    first = components(checked(pairs.mapInArrow(lambda b: allowed(b, least), "a long, b long")))
     labelled = shared.join(first.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "size", F.coalesce("component", "row").alias("label"))
     labelled = written(labelled, "near-labelled")
     keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     keys = written(keys.select("key", (F.col("n") > LISTED).alias("many")), "near-open")
-    few = links(labelled.join(keys.filter("NOT many"), "key", "left_semi"), other_pairs)
+    signatures = sketch.select("row", "signature")
+    few = checked(by_keys(labelled.join(keys.filter("NOT many"), "key", "left_semi").join(signatures, "row"), other_pairs))
 
     # Rows that meet under shingles of many rows are a group, compared in tiles of texts of about one size.
     large = labelled.join(keys.filter("many"), "key", "left_semi")
@@ -215,9 +333,11 @@ def near_components(texts: DataFrame, shingle: int, least: tuple[int, int]) -> D
     of_node = components(large.select("a", "b"))
     rows = large.groupBy("a").agg(*[F.first(c).alias(c) for c in ("row", "label", "size")]).join(of_node.withColumnRenamed("node", "a"), "a", "left")
     step = math.log(least[1] / least[0]) + 1e-9  # texts that can be linked are of the same class of sizes or of the next one
-    rows = rows.select(F.coalesce("component", "a").alias("group"), F.floor(F.ln("size") / step).cast("int").alias("ones"), F.col("row").alias("node"), "label")
-    compared = tiled(written(rows, "near-groups"), 1, TILE).select("unit", F.col("node").alias("row"), "label").join(candidates, "row")
-    sets = compared.mapInArrow(lambda b: shingle_rows(b, shingle), "unit long, row long, label long, shingles binary")
+    rows = rows.select(F.coalesce("component", "a").alias("group"), F.floor(F.ln("size") / step).cast("int").alias("ones"), F.col("row").alias("node"), "label", "size")
+    compared = tiled(written(rows, "near-groups"), 1, TILE).select("unit", F.col("node").alias("row"), "label", "size").join(signatures, "row")
+    shape = "unit long, row long, label long"
+    compared = written(compared.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda b: promising(b, least), shape), "near-promising")
+    sets = compared.join(texts, "row").mapInArrow(lambda b: shingle_rows(b, shingle), "unit long, row long, label long, shingles binary")
     many = sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda b: unit_links(b, least), "a long, b long")
     more = written(few.unionByName(many), "near-links")
     if more.isEmpty():
@@ -233,13 +353,16 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4,
     by a number, so null and repeated ids are rows like any other. Null texts are empty texts, and
     texts without words are copies of each other. An empty table gives no rows.
 
-    All such pairs are found: shingles have one order for all texts (rare ones first, by counts of
+    First SimHash links texts, by fingerprints of the same shingles that differ in up to RADIUS bits
+    (those of simhash, in tiles), and an exact check of the words follows. A text that misses the radius
+    may still be similar, so all other pairs are found too: shingles have one order for all texts (rare ones first, by counts of
     hash buckets), and two texts of the least similarity share one of their first shingles. What
     shares one is compared: at first each row with two others of its shingle, by the words themselves,
     then what isn't in one component yet. Of shingles of few rows those pairs are listed; rows that meet
     under shingles of many are a group, which is compared in tiles by numpy, exactly by the hashes of
-    all shingles, and gives no more links than rows. So the lists grow with the input and not with the
-    square of a group.
+    all shingles, and gives no more links than rows. Before texts or sets of hashes are fetched, parity signatures
+    of 2 to 4 bits a shingle drop most pairs that can't be similar, and none that can: so what is listed grows with
+    the input and not with the square of a group.
     """
     n = fresh(docs, "row", "id")
     identity = F.col(id_col).cast("bigint")

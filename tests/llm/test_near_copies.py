@@ -74,3 +74,28 @@ def test_common_shingles():
     sets = [{rng.randrange(3000) for _ in range(rng.randrange(900))} for _ in range(40)]
     found = near_copies.common_shingles([np.array(sorted(s), np.uint64) for s in sets])
     assert all(found[i, j] == len(sets[i] & sets[j] - {x for x in sets[i] if sum(x in s for s in sets) < 2}) for i in range(40) for j in range(40))
+
+
+def test_signatures_allow_all_similar_pairs_and_few_others():
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets = [draw(int(n)) for n in rng.integers(1, 700, 60)]
+    sets += [np.r_[s[: max(1, len(s) * 9 // 10)], draw(len(s) // 10)] for s in sets]  # similar in 0.8 or more
+    sets = [np.unique(s) for s in sets]
+    known, size = near_copies.Signatures([near_copies.signature(s) for s in sets]), np.array([len(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    similar = np.array([near_copies.similar(set(sets[a].tolist()), set(sets[b].tolist()), (4, 5)) for a, b in zip(i, j)])
+    allowed = known.allow(size, i, j, (4, 5)) & near_copies.sizes_allow(size[i], size[j], (4, 5))
+    assert similar.sum() > 30 and allowed[similar].all() and allowed.sum() < 2 * similar.sum()
+
+
+def test_rows_of_a_shingle_that_cannot_be_similar_are_not_listed():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.r_[np.uint64(7), rng.integers(0, 1 << 63, 100, dtype=np.uint64)]) for _ in range(30)]
+    batch = near_copies.pa.RecordBatch.from_pydict({"key": [7] * 30, "row": list(range(30)), "size": [len(s) for s in sets], "label": list(range(30)), "signature": [near_copies.signature(s) for s in sets]})
+    assert sum(b.num_rows for b in near_copies.other_pairs(iter([batch]), (4, 5))) == 0
+
+
+def test_fingerprints_within_the_radius_are_pairs(spark):
+    known = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 255), (5, 1 << 40)], "row long, print long")
+    assert {(r.a, r.b) for r in near_copies.print_pairs(known).collect()} == {(1, 2), (1, 3), (1, 5)}
