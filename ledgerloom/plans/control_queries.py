@@ -59,7 +59,7 @@ def positives_of(spark, d, events):
     e = events.select(
         (F.col("acct") * 1_000_000 + F.col("seq")).alias("event_id"), "acct", (F.floor(F.col("us") / UNIT) * UNIT).alias("us"), "type", "side", (F.col("price") + off).alias("price"), "behavior", F.col("us").alias("exact_us")
     )
-    m = A.best_matches(A.candidates(e, quotes(spark, d), [], UNIT), 0.01, 0.05, 0.5)
+    m = A.best_matches(A.best_candidates(e, quotes(spark, d), [], UNIT), 0.01, 0.05, 0.5)
     return C.positives(m.withColumn("us", F.col("exact_us")), F.col("quality") != "UNMATCHED")
 
 
