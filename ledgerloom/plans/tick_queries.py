@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import align as A
 from ..operators import features as X
 from ..operators import lifecycle as L
-from ..operators.order import DAY, HOUR, MINUTE, SECOND, asof_backward, asof_forward, range_join
+from ..operators.order import DAY, HOUR, MINUTE, SECOND, asof_backward, asof_forward, running_sums
 from ..sources.shared import written
 from .views import QUOTES_SQL, positions, positions_sql, quotes, table, timeline_sql
 
@@ -53,11 +53,15 @@ def backward_strict(spark, d):
 FROM anchors a LEFT JOIN quotes q ON a.symbol = q.symbol AND q.us >= a.us AND q.us < a.us + {30 * MINUTE} GROUP BY a.anchor_id""",
 )
 def forward_window(spark, d):
-    """The first tick in a half-open window, and how many there are."""
-    a = anchors(spark, d)
-    pairs = range_join(a, quotes(spark, d), ["symbol"], F.col("us"), F.col("us") + 30 * MINUTE, "us", 30 * MINUTE)
-    got = pairs.groupBy("l.anchor_id").agg(F.min("r.us").alias("tick_us"), F.min_by("r.mid", F.struct("r.us", "r.seq")).alias("mid"), F.count(F.lit(1)).alias("n"))
-    return a.select("anchor_id").join(got, "anchor_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """The first tick in a half-open window, and how many there are: by the ticks' running number, so no window is listed."""
+    q = quotes(spark, d).select("symbol", "us", "seq", "mid", F.lit(1).cast("bigint").alias("one"))
+    numbered = written(running_sums(q, ["symbol"], "us", ["seq"], {"number": "one"}, bucket=DAY).select("symbol", "us", "seq", "mid", "number"), "numbered-ticks")
+    a = anchors(spark, d).withColumn("end_us", F.col("us") + 30 * MINUTE)
+    a = asof_forward(a, numbered, ["symbol"], "us", "us", ["seq"], {"tick_us": "us", "mid": "mid"})
+    a = asof_backward(a, numbered, ["symbol"], "us", "us", ["seq"], {"before": "number"}, strict=True)
+    a = asof_backward(a, numbered, ["symbol"], "end_us", "us", ["seq"], {"upto": "number"}, strict=True)
+    inside = F.col("tick_us") < F.col("end_us")
+    return a.select("anchor_id", *[F.when(inside, F.col(c)).alias(c) for c in ("tick_us", "mid")], (F.coalesce("upto", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("n"))
 
 
 @query("asof_forward", f"WITH {ANCHORS_SQL} SELECT a.anchor_id, q.us AS tick_us, q.mid FROM anchors a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.us <= q.us")

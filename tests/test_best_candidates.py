@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from ledgerloom.operators import align
+from ledgerloom.plans import tick_queries
 
 TICKS = "us long, seq long, bid double, ask double"
 EVENTS = "event_id long, us long, type string, side string, price double"
@@ -42,3 +43,9 @@ def test_many_ticks_of_one_time_are_not_listed(spark, monkeypatch):
     monkeypatch.setattr(align, "_nearest", counted)
     rows = align.best_candidates(e, t, [], 10).collect()
     assert len(rows) == 300 and {r.as_good for r in rows} == {3000} and sizes.value == 300
+
+
+
+def test_forward_window_lists_no_windows(spark, con_path="/root/testdata/sf0.001"):
+    plan = tick_queries.Q["asof_forward_window"](spark, con_path)._jdf.queryExecution().toString()
+    assert "_from" not in plan and "_to" not in plan
