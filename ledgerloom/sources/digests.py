@@ -28,7 +28,14 @@ def row_digest(columns: Sequence[str]) -> Column:
 
 
 def table_digest(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, block: int = BLOCK) -> str:
-    """A digest of a table's columns, types and rows in a total order; the same however df is partitioned.
+    """A digest of a table's columns, types and rows in a total order; the same however df is partitioned: the last one of block_digests."""
+    schema, top = block_digests(df, order, columns, block)
+    top = top.first()
+    return df.sparkSession.range(1).select(F.sha2(F.lit(schema + ";" + (top.digest if top else "")), 256)).first()[0]
+
+
+def block_digests(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, block: int = BLOCK, levels: int | None = None) -> tuple[str, DataFrame]:
+    """The columns with their types, and (number, digest) of the last level or, if given, after so many levels.
 
     Rows are sorted by ranges and numbered over all of them; ``block`` digests in a row make one, level
     by level, until one is left. Equal rows at the same place in the order don't matter, so the order
@@ -45,13 +52,12 @@ def table_digest(df: DataFrame, order: Sequence[str], columns: Sequence[str] | N
     sizes = level.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a partition
     level = level.withColumn("part", part).join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select((F.col("before") + place).alias("number"), "digest")
-    n = level.count()
-    while n > 1:
+    n, done = level.count(), 0
+    while done < levels if levels is not None else n > 1:
         level = level.groupBy(F.floor(F.col("number") / block).alias("number")).agg(F.array_sort(F.collect_list(F.struct("number", "digest"))).alias("own"))
         level = written(level.select("number", F.sha2(F.array_join(F.transform("own", lambda x: x["digest"]), ""), 256).alias("digest")), "block-digests")
-        n = -(-n // block)
-    top = level.first()
-    return df.sparkSession.range(1).select(F.sha2(F.lit(schema + ";" + (top.digest if top else "")), 256)).first()[0]
+        n, done = -(-n // block), done + 1
+    return schema, level
 
 
 def manifest_status(manifest: DataFrame, files: DataFrame, registered: DataFrame, folder: str = "incoming") -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 from ledgerloom.operators import align
 from ledgerloom.plans import tick_queries
+from ledgerloom.sources import digests
 
 TICKS = "us long, seq long, bid double, ask double"
 EVENTS = "event_id long, us long, type string, side string, price double"
@@ -45,6 +46,14 @@ def test_many_ticks_of_one_time_are_not_listed(spark, monkeypatch):
     assert len(rows) == 300 and {r.as_good for r in rows} == {3000} and sizes.value == 300
 
 
+def test_digests_of_a_fixed_number_of_levels(spark):
+    """Twenty rows by blocks of two: two levels leave five digests, whatever their number would need; one row has two levels too."""
+    rows = spark.createDataFrame([(k, str(k)) for k in range(20)], "k long, v string")
+    count = lambda df: digests.block_digests(df, ["k"], block=2, levels=2)[1].count()
+    assert count(rows) == 5 and count(rows.filter("k = 0")) == 1
+    one = digests.block_digests(rows.filter("k = 0"), ["k"], block=2, levels=2)[1].first().digest
+    assert one != digests.block_digests(rows.filter("k = 0"), ["k"], block=2)[1].first().digest
+
 
 def test_forward_window_lists_no_windows(spark, con_path="/root/testdata/sf0.001"):
     plan = tick_queries.Q["asof_forward_window"](spark, con_path)._jdf.queryExecution().toString()
