@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .anchors import look_back
+from .anchors import extremes, look_back
 from .intervals import coverage_gaps
-from .order import DAY, HOUR, SECOND, asof_backward, range_join, with_previous
+from .order import DAY, HOUR, SECOND, asof_backward, bucket_of, range_join, with_previous
 
 
 def rolling(ticks: DataFrame, keys: Sequence[str], width: int, gap: int | None = None, bucket: int = DAY) -> DataFrame:
@@ -74,6 +75,48 @@ def with_repeats(ticks: DataFrame, keys: Sequence[str], bucket: int = DAY) -> Da
     return t.withColumn("repeats", F.col("duplicate") | F.coalesce(F.col("us") == F.col("us_before"), F.lit(False)))
 
 
+#: Stands for a price that isn't there, among prices as whole numbers.
+NONE = -(1 << 62)
+
+
+def _prefixes(width: int, lookback: int) -> Callable:
+    """For one bucket: what the ticks of each decision's prefix are, and those from its anchor on."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        is_tick, us, seq = rows["tick"].to_numpy(), rows["us"].to_numpy(), rows["seq"].to_numpy()
+        ticks, decisions = np.flatnonzero(is_tick), np.flatnonzero(~is_tick)
+        ticks = ticks[np.lexsort((seq[ticks], us[ticks]))]
+        t, at = us[ticks], us[decisions]
+        mid, spread = rows["mid"].to_numpy()[ticks], rows["spread"].to_numpy()[ticks]
+        # Ticks of one time are in the same buckets, so the one before a repeat is there too.
+        repeats = rows["duplicate"].to_numpy()[ticks] | np.r_[False, t[1:] == t[:-1]][: len(t)]
+        start, upto = np.searchsorted(t, at - lookback, "left"), np.searchsorted(t, at, "right")
+        anchor = np.searchsorted(t, at - width, "right") - 1
+        some, anchored = upto > start, anchor >= start
+        first = np.where(anchored, anchor, upto)
+
+        def any_of(flags: np.ndarray, begin: np.ndarray) -> pa.Array:
+            upto_each = np.r_[0, np.cumsum(flags)]
+            return pa.array(upto_each[upto] > upto_each[begin])
+
+        def pick(source: np.ndarray, place: np.ndarray, there: np.ndarray) -> pa.Array:
+            found = source[np.where(there, place, 0)] if len(source) else np.full(len(place), NONE)
+            return pa.array(found, mask=~there | (found == NONE))
+
+        waits = np.r_[0, np.diff(t)][: len(t)]
+        longest = extremes(waits, np.minimum(first + 1, upto), upto)[0]
+        high, low = extremes(mid, first, upto)[0], extremes(np.where(mid == NONE, -NONE, mid), first, upto)[1]
+        return pa.table(
+            {
+                "decision_id": rows["decision_id"].take(pa.array(decisions)), "us": pa.array(at), "n": pa.array(upto - np.maximum(np.searchsorted(t, at - width, "left"), start)), "invalid": any_of(rows["invalid"].to_numpy()[ticks], start),
+                "anchor_us": pick(t, anchor, anchored), "repeats": any_of(repeats, start), "window_repeats": any_of(repeats, first), "longest": pick(waits, longest, longest >= 0), "last_us": pick(t, upto - 1, some), "high": pick(mid, high, high >= 0),
+                "low": pick(mid, low, low >= 0), "first": pick(mid, anchor, anchored), "last": pick(mid, upto - 1, some), "spread": pick(spread, upto - 1, some),
+            }
+        )
+
+    return run
+
+
 def snapshot(decisions: DataFrame, ticks: DataFrame, keys: Sequence[str], width: int, gap: int, lookback: int, bucket: int = DAY) -> DataFrame:
     """What a policy may know at a decision, from the ticks of [us - lookback, us], its prefix.
 
@@ -84,35 +127,26 @@ def snapshot(decisions: DataFrame, ticks: DataFrame, keys: Sequence[str], width:
     repeats a time) or no_anchor, with one duplicate_timestamp (the anchor or a later one does),
     quote_gap (between ticks or up to the decision longer than ``gap``; longest_gap says how long). n:
     ticks of [us - width, us]. decisions needs keys, decision_id and us; ticks seq, us, bid, ask,
-    valid and duplicate.
+    valid and duplicate. Decisions and ticks meet once, in buckets of time with a halo of the look-back;
+    counts and extremes there are those of places in the ticks' order, so no decision lists its prefix.
     """
     keys = list(keys)
     exact = "decimal(16,8)"
+    whole = lambda x, scale: F.coalesce((x * 10**scale).cast("bigint"), F.lit(NONE))
+    flag = lambda x: F.coalesce(x, F.lit(False))
     t = ticks.withColumns({"bid": F.col("bid").cast(exact), "ask": F.col("ask").cast(exact)})
-    t = with_repeats(t, keys, bucket).withColumns({"mid": ((F.col("bid") + F.col("ask")) / 2).cast("decimal(18,9)"), "spread": F.col("ask") - F.col("bid")})
-    t = t.select(*keys, "seq", "us", "us_before", "repeats", "valid", "mid", "spread")
-    pairs = range_join(decisions.select(*keys, "decision_id", "us"), t, keys, F.col("us") - lookback, F.col("us") + 1, "us", lookback)
-    before = F.col("r.us") <= F.col("l.us") - width
-    order = F.struct("r.us", "r.seq")
-    anchor = F.max(F.when(before, order)).over(W.partitionBy("l.decision_id")).alias("anchor")
-    pairs = pairs.select("l.decision_id", F.col("l.us").alias("decided"), "r.*", anchor)
-    counted = F.struct("us", "seq") >= F.col("anchor")
-    later = F.struct("us", "seq") > F.col("anchor")
-    got = pairs.groupBy("decision_id").agg(
-        F.count_if(F.col("us") >= F.col("decided") - width).alias("n"),
-        F.bool_or(~F.col("valid")).alias("invalid"),
-        F.max("anchor.us").alias("anchor_us"),
-        F.bool_or("repeats").alias("repeats"),
-        F.bool_or(counted & F.col("repeats")).alias("window_repeats"),
-        F.max(F.when(later, F.col("us") - F.col("us_before"))).alias("longest"),
-        F.max("us").alias("last_us"),
-        F.max(F.when(counted, F.col("mid"))).alias("high"),
-        F.min(F.when(counted, F.col("mid"))).alias("low"),
-        F.min_by("mid", F.when(counted, F.struct("us", "seq"))).alias("first"),
-        F.max_by("mid", F.struct("us", "seq")).alias("last"),
-        F.max_by("spread", F.struct("us", "seq")).alias("spread"),
-    )
-    out = decisions.select("decision_id", "us").join(got, "decision_id", "left")
+    mid, spread = ((F.col("bid") + F.col("ask")) / 2).cast("decimal(18,9)"), F.col("ask") - F.col("bid")
+    none = F.lit(None).cast(decisions.schema["decision_id"].dataType).alias("decision_id")
+    t = t.select(*keys, F.lit(True).alias("tick"), F.col("us").cast("bigint").alias("us"), F.col("seq").cast("bigint").alias("seq"), none, whole(mid, 9).alias("mid"), whole(spread, 8).alias("spread"), flag(~F.col("valid")).alias("invalid"), flag(F.col("duplicate")).alias("duplicate"))
+    t = t.dropna(subset=[*keys, "us"]).withColumn("_bucket", F.explode(F.sequence(bucket_of("us", bucket), bucket_of(F.col("us") + lookback, bucket))))
+    at = decisions.select(*keys, F.lit(False).alias("tick"), F.coalesce(F.col("us").cast("bigint"), F.lit(NONE)).alias("us"), F.lit(0).cast("bigint").alias("seq"), "decision_id", *[F.lit(NONE).alias(c) for c in ("mid", "spread")], *[F.lit(False).alias(c) for c in ("invalid", "duplicate")])
+    both = t.unionByName(at.withColumn("_bucket", bucket_of("us", bucket)))
+    kinds = {c: "boolean" for c in ("invalid", "repeats", "window_repeats")}
+    names = ("us", "n", "invalid", "anchor_us", "repeats", "window_repeats", "longest", "last_us", "high", "low", "first", "last", "spread")
+    shape = f"decision_id {decisions.schema['decision_id'].dataType.simpleString()}, " + ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in names)
+    out = both.groupBy(*keys, "_bucket").applyInArrow(_prefixes(width, lookback), shape)
+    price = lambda c, scale, kind: (F.col(c).cast("decimal(19,0)") * F.lit(f"1e-{scale}").cast(f"decimal({scale},{scale})")).cast(kind)
+    out = out.withColumns({"us": F.when(F.col("us") > NONE, F.col("us")), **{c: price(c, 9, "decimal(18,9)") for c in ("high", "low", "first", "last")}, "spread": price("spread", 8, "decimal(17,8)")})
     longest = F.greatest(F.coalesce("longest", F.lit(0)), F.col("us") - F.col("last_us"))
     support = (
         F.when(F.col("invalid"), "invalid_row")
