@@ -51,7 +51,8 @@ controls AS (SELECT c.acct, t.event_id, 'c-' || t.event_id || '-' || (place // t
 
 
 def lifecycle(spark, d):
-    return written(L.lifecycle(positions(spark, d)), "controls-lifecycle")
+    used = ("acct", "seq", "position_id", "us", "type", "side", "price", "behavior", "after", "same")
+    return written(L.lifecycle(positions(spark, d)).select(*used), "controls-lifecycle")
 
 
 def positives_of(spark, d, events):
@@ -68,16 +69,20 @@ def lineage_of(spark, d, events, intervals):
     return C.with_lineage(positives_of(spark, d, events), intervals.filter("interval_id % 5 <> 0"), ["acct"], STEP)
 
 
-def pool_of(spark, d, intervals):
-    return C.control_pool(intervals, quotes(spark, d), ["acct"], STEP, EXCLUSION, F.lit(True))
+def times_of(spark, d, intervals):
+    return C.control_times(intervals, quotes(spark, d), ["acct"], STEP, EXCLUSION, F.lit(True), SPAN)
 
 
 def all_of(spark, d):
     events = lifecycle(spark, d)
     intervals = L.intervals(events)
-    pool = written(pool_of(spark, d, intervals), "controls-pool")
-    samples = written(C.with_support(lineage_of(spark, d, events, intervals), pool, ["acct"], SPAN), "controls-samples")
-    return samples, pool
+    times = times_of(spark, d, intervals)
+    samples = written(C.with_support(lineage_of(spark, d, events, intervals), times, ["acct"], SPAN), "controls-samples")
+    return samples, times
+
+
+def controls_of(samples, times):
+    return C.sample_controls(samples, times, ["acct"], STEP, 5, "controls-1")
 
 
 @query("positive_samples", f"WITH {POSITIVES_SQL} SELECT * FROM positives")
@@ -93,7 +98,7 @@ def sample_lineage(spark, d):
 
 @query("control_pool", f"WITH {SUPPORT_SQL} SELECT acct, interval_id, state, sample_us, round(age, 9) AS age, {STRATUM.format('age')} AS stratum FROM pool")
 def control_pool(spark, d):
-    return pool_of(spark, d, L.intervals(L.lifecycle(positions(spark, d)))).withColumn("age", F.round("age", 9))
+    return C.control_pool(times_of(spark, d, L.intervals(L.lifecycle(positions(spark, d)))), ["acct"], STEP).withColumn("age", F.round("age", 9))
 
 
 @query("control_support", f"WITH {SUPPORT_SQL} SELECT event_id, hour, eligible, support FROM support")
@@ -103,19 +108,19 @@ def control_support(spark, d):
 
 @query("matched_controls", f"WITH {CONTROLS_SQL} SELECT acct, event_id, sample_id, interval_id, state, sample_us, round(age, 9) AS age, {STRATUM.format('age')} AS stratum, distance FROM controls")
 def matched_controls(spark, d):
-    samples, pool = all_of(spark, d)
-    return C.sample_controls(samples, pool, ["acct"], SPAN, 5, "controls-1").withColumn("age", F.round("age", 9))
+    samples, times = all_of(spark, d)
+    return controls_of(samples, times).withColumn("age", F.round("age", 9))
 
 
 @query("control_counts", f"WITH {CONTROLS_SQL}, n AS (SELECT event_id, count(*) AS n FROM controls GROUP BY 1) SELECT support, coalesce(n, 0) AS controls, count(*) AS n FROM support LEFT JOIN n USING (event_id) GROUP BY ALL")
 def control_counts(spark, d):
-    samples, pool = all_of(spark, d)
-    counted = C.with_counts(samples, C.sample_controls(samples, pool, ["acct"], SPAN, 5, "controls-1"))
+    samples, times = all_of(spark, d)
+    counted = C.with_counts(samples, controls_of(samples, times))
     return counted.groupBy("support", "controls").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("paired_ages", f"WITH {CONTROLS_SQL} SELECT s.event_id, round(s.age, 6) AS own, round(avg(c.age), 6) AS of_controls, round(s.age - avg(c.age), 6) AS difference FROM support s JOIN controls c USING (event_id) WHERE s.age IS NOT NULL GROUP BY s.event_id, s.age")
 def paired_ages(spark, d):
-    samples, pool = all_of(spark, d)
-    p = C.paired(samples, C.sample_controls(samples, pool, ["acct"], SPAN, 5, "controls-1"), "age")
+    samples, times = all_of(spark, d)
+    p = C.paired(samples, controls_of(samples, times), "age")
     return p.select("event_id", *[F.round(c, 6).alias(c) for c in ("own", "of_controls", "difference")])

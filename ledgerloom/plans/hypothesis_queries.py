@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import controls as C
 from ..operators import hypotheses as Y
 from ..operators import models as M
 from ..operators.order import DAY, MINUTE
 from ..sources.shared import written
-from .control_queries import CONTROLS_SQL, SPAN, all_of
+from .control_queries import CONTROLS_SQL, all_of, controls_of
 from .feature_queries import ticks_of
 from .model_queries import BOUNDS
 
@@ -68,8 +67,8 @@ effects AS (SELECT p.hypothesis, p.split, p.shift, p.win, count(*) AS units, avg
 
 
 def effects_of(spark, d):
-    samples, pool = all_of(spark, d)
-    controls = C.sample_controls(samples, pool, ["acct"], SPAN, 5, "controls-1")
+    samples, times = all_of(spark, d)
+    controls = controls_of(samples, times)
     split = F.when(F.floor(F.col("sample_us") / DAY) % 3 == 0, "holdout").otherwise("development").alias("split")
     own = samples.filter("support = 'supported'").select("event_id", "behavior", "sample_us", split)
     pairs = Y.paired_scores(own, controls.select("event_id", "sample_us"), ticks_of(spark, d), WIDTHS, SHIFTS, DAY)

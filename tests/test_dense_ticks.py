@@ -7,6 +7,8 @@ from decimal import Decimal
 
 from ledgerloom.operators import align
 from ledgerloom.operators import features as X
+from ledgerloom.plans import control_queries
+from ledgerloom.sources.shared import written
 
 TICKS = "k string, seq long, us long, bid double, ask double, valid boolean, duplicate boolean"
 
@@ -69,3 +71,18 @@ def test_best_candidates_are_shuffled_once(spark):
     assert best.collect()[0].tick_seq == 1
     plan = best._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_controls_write_no_pool(spark, monkeypatch):
+    """What is written grows with events and samples, not with the candidates, a row for each unit of each interval."""
+    rows = {}
+
+    def counted(df, label):
+        out = written(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(control_queries, "written", counted)
+    small = "/root/testdata/sf0.001"
+    assert control_queries.matched_controls(spark, small).count() > 0
+    assert sum(rows.values()) < control_queries.control_pool(spark, small).count()
