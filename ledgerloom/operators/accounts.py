@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .intervals import lost_to_gaps
 
 # What a text that is published must not have.
@@ -30,12 +31,16 @@ def funnel(stages: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def bin_gates(bins: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
-    """One row: bins, and how many are in a gap, have a target before their interval's end or two outcomes, or are outside [low, high)."""
-    ids = [c for c in ("acct", "interval_id", "bin_start", "bin_end", "interval_end", "target", "competing") if c in bins.columns]
-    checked = lost_to_gaps(bins.select(*ids), gaps, "bin_start", "bin_end")
-    return checked.agg(
-        F.count(F.lit(1)).alias("bins"), F.count_if(F.col("lost_us") > 0).alias("in_gaps"), F.count_if((F.col("target") == 1) & (F.col("bin_end") != F.col("interval_end"))).alias("early_targets"),
-        F.count_if((F.col("target") == 1) & (F.col("competing") == 1)).alias("both"), F.count_if((F.col("bin_start") < low) | (F.col("bin_end") > high)).alias("outside"),
+    """One row: bins, and how many are in a gap, have a target before their interval's end or two outcomes, or are outside [low, high).
+
+    Bins are counted by their times first, so that gaps are met once by each time rather than by each
+    bin. The times are written, as they are read for both ends.
+    """
+    early, both = (F.col("target") == 1) & (F.col("bin_end") != F.col("interval_end")), (F.col("target") == 1) & (F.col("competing") == 1)
+    times = written(bins.groupBy("bin_start", "bin_end").agg(F.count(F.lit(1)).alias("bins"), F.count_if(early).alias("early_targets"), F.count_if(both).alias("both")), "bin-times")
+    total = lambda n, where=None: F.coalesce(F.sum(n if where is None else F.when(where, F.col(n))), F.lit(0))
+    return lost_to_gaps(times, gaps, "bin_start", "bin_end").agg(
+        total("bins").alias("bins"), total("bins", F.col("lost_us") > 0).alias("in_gaps"), total("early_targets").alias("early_targets"), total("both").alias("both"), total("bins", (F.col("bin_start") < low) | (F.col("bin_end") > high)).alias("outside")
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..schema import ENDPOINTS
+from ..sources.shared import written
 from .anchors import extremes
 from .order import DAY, HOUR, asof_backward, bucket_of, running_sums, with_previous
 
@@ -123,7 +124,8 @@ def gap_clock(gaps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def with_closed(df: DataFrame, clock: DataFrame, keys: Sequence[str], times: dict[str, str], bucket: int = DAY) -> DataFrame:
     """df with, {new column: time}, how much time gaps have taken before it.
 
-    Each distinct time of df meets the last gap that begins at or before it, once for all its rows.
+    Each distinct time of df meets the last gap that begins at or before it, once for all its rows. df is
+    never broadcast: Spark takes a compressed file's size for its rows', which are many times as large.
     """
     keys = list(keys)
     points = df.select(*keys, F.explode(F.array(*[F.col(c) for c in set(times.values())])).alias("_at")).distinct()
@@ -131,7 +133,7 @@ def with_closed(df: DataFrame, clock: DataFrame, keys: Sequence[str], times: dic
     closed = F.coalesce(F.col("_closed") - F.greatest(F.col("_gap_end") - F.col("_at"), F.lit(0)), F.lit(0))
     points = points.select(*keys, "_at", closed.alias("_closed"))
     for new, time in times.items():
-        df = df.join(points.select(*keys, F.col("_at").alias(time), F.col("_closed").alias(new)), [*keys, time])
+        df = df.join(points.select(*keys, F.col("_at").alias(time), F.col("_closed").alias(new)).hint("merge"), [*keys, time])
     return df
 
 
@@ -217,12 +219,12 @@ def supported_bins(fragments: DataFrame, gaps: DataFrame, keys: Sequence[str], w
     cells in both development and holdout is in neither (is_cross_split). is_eligible: common, in one of
     the two, and not of such an interval. is_last: the interval's last cell, which has the censor_reason.
     fragments: of intervals_over, from partition_risk; what an interval's cells share is found over its
-    fragments, before they become cells.
+    fragments, before they become cells. Fragments with cells are written: their times and they themselves are read.
     """
     keys = list(keys)
     own = fragments.filter(~F.col("is_gap") & ~F.col("is_zero") & ~F.col("is_left_truncated")).withColumn("endpoint", endpoint_of(F.col("state"))).filter(F.col("endpoint").isNotNull())
     first, last = -F.floor(-F.col("start_us") / width).cast("bigint"), F.floor(F.col("end_us") / width).cast("bigint") - 1
-    own = own.withColumns({"_first": first * width, "_last": last * width}).filter("_first <= _last")
+    own = written(own.withColumns({"_first": first * width, "_last": last * width}).filter("_first <= _last").drop("is_gap", "is_zero", "is_left_truncated"), "support-fragments")
     own = with_closed(own, gap_clock(gaps), [], {"_closed_start": "interval_start", "_closed_here": "start_us"})
     own = own.withColumns({"_age": F.col("start_us") - F.col("interval_start") - F.col("_closed_here") + F.col("_closed_start"), "split": split(F.col("_first"))})
     of_interval = W.partitionBy(*keys, "interval_id")

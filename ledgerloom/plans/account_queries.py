@@ -72,7 +72,8 @@ def event_funnel(spark, d):
 def bin_gates(spark, d):
     """What no bin may be: in a gap, a target before its interval's end, of two outcomes, outside the bounds."""
     low, high = bounds_of(positions(spark, d, unit=WIDTH))
-    return A.bin_gates(written(bins_of(spark, d, WIDTH), "gated-bins"), gaps_of(spark, d), low, high)
+    gaps = written(gaps_of(spark, d), "gaps")
+    return A.bin_gates(bins_of(spark, d, WIDTH, gaps), gaps, low, high)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals as I
 from ..operators import lifecycle as L
 from ..operators.order import DAY, HOUR, MINUTE, with_previous
+from ..sources.shared import written
 from .views import QUOTES_SQL, positions, positions_sql, quotes, timeline_sql
 
 Q, SQL = {}, {}
@@ -101,9 +102,9 @@ fragments AS (
 FRAGMENTS_SQL = f"{TAIL_SQL}, {CUT_SQL}"
 
 
-def fragments_of(spark, d, unit=1):
+def fragments_of(spark, d, unit=1, gaps=None):
     i, lo, hi = tailed(spark, d, unit)
-    return I.partition_risk(i, gaps_of(spark, d), ["acct"], lo, hi)
+    return I.partition_risk(i, gaps_of(spark, d) if gaps is None else gaps, ["acct"], lo, hi)
 
 
 @query("risk_fragments", f"WITH {FRAGMENTS_SQL} SELECT acct, interval_id, state, start_us, end_us, interval_start, interval_end, is_left_truncated, is_gap, is_zero FROM fragments")
@@ -171,8 +172,8 @@ BINS_SQL = f"""{FRAGMENTS_SQL}, bins AS (SELECT acct, interval_id, state, follow
   FROM (SELECT *, unnest(range((start_us + {WIDTH} - 1) // {WIDTH}, end_us // {WIDTH})) AS k FROM fragments WHERE NOT is_gap AND NOT is_zero AND state IN ('HEDGED_1X1', 'ONE_BUY', 'ONE_SELL')))"""
 
 
-def bins_of(spark, d, unit=1):
-    return I.risk_bins(fragments_of(spark, d, unit), ["acct"], WIDTH)
+def bins_of(spark, d, unit=1, gaps=None):
+    return I.risk_bins(fragments_of(spark, d, unit, gaps), ["acct"], WIDTH)
 
 
 @query("risk_bins", f"WITH {BINS_SQL} SELECT acct, interval_id, endpoint, bin_start, bin_end, target, competing, is_left_truncated FROM bins")
@@ -245,9 +246,9 @@ def over(spark, d):
     return I.intervals_over(L.lifecycle(p), ["acct"], hi), lo, hi, lambda us: F.when(us < part, "development").otherwise("holdout")
 
 
-def support_of(spark, d):
+def support_of(spark, d, gaps=None):
     i, lo, hi, split = over(spark, d)
-    gaps = gaps_of(spark, d)
+    gaps = written(gaps_of(spark, d), "gaps") if gaps is None else gaps
     return I.supported_bins(I.partition_risk(i, gaps, ["acct"], lo, hi), gaps, ["acct"], WIDTH, hi, split, (12, 24))
 
 
@@ -265,7 +266,7 @@ FROM bounds, tailed t LEFT JOIN n ON n.acct = t.acct AND n.interval_id = t.inter
 )
 def support_audit(spark, d):
     i, lo, hi, split = over(spark, d)
-    gaps = gaps_of(spark, d)
+    i, gaps = written(i, "intervals"), written(gaps_of(spark, d), "gaps")
     bins = I.supported_bins(I.partition_risk(i, gaps, ["acct"], lo, hi), gaps, ["acct"], WIDTH, hi, split, (12, 24))
     return I.support_audit(i, bins, ["acct"], lo, hi)
 
