@@ -41,10 +41,11 @@ CANDIDATES_SQL = f"""{SUPPORT_SQL}, candidates AS (
 )"""
 
 
-def candidates_of(spark, d):
+def candidates_of(spark, d, support=None):
+    """Candidates among the bins of support_of, or of a part of them that has all in common hours of one part of the data."""
     day = F.floor(F.col("bin_start") / DAY)
     role = F.when(day % 7 == 3, None).when(F.col("split") == "development", "development").otherwise("internal_reuse")
-    return U.candidate_bins(support_of(spark, d), role, FLOOR).withColumn("day", day)
+    return U.candidate_bins(support_of(spark, d) if support is None else support, role, FLOOR).withColumn("day", day)
 
 
 @query("candidate_bins", f"WITH {CANDIDATES_SQL} SELECT acct, interval_id, endpoint, role, day, bin_start, interval_start, age_us, target, below_floor FROM candidates")
@@ -98,20 +99,24 @@ FLAGS = [*X.CHECKS]
 
 
 def windows_of(spark, d, rows, gaps):
-    """rows (interval_start, bin_start) with the windows at bin_start and the reference at interval_start, each found once for each time."""
+    """rows (interval_start, bin_start) with the windows at bin_start and the reference at interval_start, each found once for each time.
+
+    rows is never broadcast, whatever the size of the file it is read from.
+    """
     ticks = ticks_of(spark, d)
     times = rows.select(F.col("bin_start").alias("us")).distinct().withColumn("seq", F.lit(0).cast("long"))
     at = X.look_back(times, ticks, [], list(WIDTHS.values()), gaps).drop("seq").withColumnRenamed("us", "bin_start")
     starts = X.state_reference(rows.select(F.col("interval_start").alias("us")).distinct(), ticks, [], gaps).withColumnRenamed("us", "interval_start")
-    return rows.join(at, "bin_start").join(starts, "interval_start", "left")
+    return rows.join(at.hint("merge"), "bin_start").join(starts.hint("merge"), "interval_start", "left")
 
 
 STRUCTS = {k: f"w{w}" for k, w in WIDTHS.items()}
 
 
-def signed_of(spark, d):
-    candidates = written(candidates_of(spark, d), "candidate-bins")
-    return X.signed_features(windows_of(spark, d, candidates, written(gaps_of(spark, d), "gaps")), STRUCTS, "reference").drop("reference")
+def signed_of(spark, d, candidates=None, gaps=None):
+    gaps = written(gaps_of(spark, d), "gaps") if gaps is None else gaps
+    candidates = written(candidates_of(spark, d, support_of(spark, d, gaps)), "candidate-bins") if candidates is None else candidates
+    return X.signed_features(windows_of(spark, d, candidates, gaps), STRUCTS, "reference").drop("reference")
 
 
 @query("anchor_features", f"WITH {SIGNED_SQL} SELECT acct, interval_id, endpoint, bin_start, {', '.join(f'round({c}, 6) AS {c}' for c in VALUES)}, {', '.join(FLAGS)} FROM signed")
@@ -151,8 +156,8 @@ cause_audit AS (SELECT *, CASE WHEN age_us < {FLOOR} THEN 'state_age' {" ".join(
 
 
 def causes_of(spark, d):
-    events = written(U.unlock_events(candidates_of(spark, d), ["acct"], WIDTH), "unlock-events")
     gaps = written(gaps_of(spark, d), "gaps")
+    events = written(U.unlock_events(candidates_of(spark, d, support_of(spark, d, gaps)), ["acct"], WIDTH), "unlock-events")
     rows = U.unbroken(windows_of(spark, d, events, gaps), gaps, "interval_start", "bin_start")
     rows = X.cause_features(rows, STRUCTS, "reference", F.col("unbroken"))
     return U.audited(rows, {"state_age": F.col("age_us") < FLOOR}, FLAGS, X.CAUSE_FEATURES)

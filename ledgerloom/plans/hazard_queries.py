@@ -33,8 +33,8 @@ def bucket_sql(bounds, labels, age="age") -> str:
 AGES_SQL = f"{SUPPORT_SQL}, ages AS (SELECT acct, interval_id, endpoint, bin_start, target, age_us / {float(WIDTH)} AS age, split FROM support WHERE is_eligible)"
 
 
-def ages(spark, d):
-    b = support_of(spark, d).filter("is_eligible")
+def ages(spark, d, support=None):
+    b = (support_of(spark, d) if support is None else support).filter("is_eligible")
     return b.select("acct", "interval_id", "endpoint", "bin_start", "target", (F.col("age_us") / float(WIDTH)).alias("age"), "split")
 
 

@@ -9,9 +9,9 @@ from ..operators import models as M
 from ..operators.order import DAY, HOUR
 from ..sources.shared import written
 from ..operators import causes as U
-from .feature_queries import FLAGS, signed_of
+from .feature_queries import FLAGS, candidates_of, signed_of
 from .hazard_queries import LL_SQL, ages, likelihoods
-from .interval_queries import WIDTH
+from .interval_queries import WIDTH, gaps_of, support_of
 
 Q, SQL = {}, {}
 ENDPOINTS = ("unlock_occurrence", "rehedge_sell_occurrence", "rehedge_buy_occurrence")
@@ -38,10 +38,12 @@ def query(name: str, sql: str | None = None):
 
 def design_of(spark, d):
     """Joint-valid bins with the rates of the age tables: of all eligible development bins (common), of the design's own (dev)."""
-    audit = U.audited(signed_of(spark, d), {"below_floor": F.col("below_floor")}, FLAGS).filter("is_joint_valid")
+    gaps = written(gaps_of(spark, d), "gaps")
+    support = written(support_of(spark, d, gaps).filter("is_common AND NOT is_cross_split"), "common-bins")
+    audit = U.audited(signed_of(spark, d, candidates_of(spark, d, support), gaps), {"below_floor": F.col("below_floor")}, FLAGS).filter("is_joint_valid")
     rows = audit.withColumn("age", F.col("age_us") / float(WIDTH)).select("acct", "interval_id", "endpoint", "role", "bin_start", "age", "target", *sorted({*REHEDGE, *UNLOCK}))
     rows = written(rows, "design")
-    common = H.hazard_table(ages(spark, d).filter("split = 'development'"))
+    common = H.hazard_table(ages(spark, d, support).filter("split = 'development'"))
     dev = H.hazard_table(rows.filter("role = 'development'"))
     for name, table in (("a_common", common), ("a_dev", dev)):
         rows = H.predict_hazard(rows, table).withColumnRenamed("p_age", f"p_{name}").drop("p_const", "fallback", "bucket")

@@ -6,8 +6,11 @@ import random
 
 from ledgerloom.operators import accounts as A
 from ledgerloom.operators import intervals as I
+from ledgerloom.plans import feature_queries
 from ledgerloom.sources.shared import written
 
+MINUTE = 60_000_000
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -38,3 +41,12 @@ def test_gates_are_those_of_each_bin(spark):
     )
     empty = A.bin_gates(frame.limit(0), spark.createDataFrame(gaps, "gap_start long, gap_end long"), 1000, 2200)
     assert tuple(empty.first()) == (0, 0, 0, 0, 0)
+
+
+def test_bins_that_meet_their_windows_are_not_broadcast(spark):
+    d = "/root/testdata/sf0.001"
+    rows = written(spark.createDataFrame([(1_704_103_200_000_000 + k * 10 * MINUTE, 1_704_099_600_000_000) for k in range(50)], "bin_start long, interval_start long"), "bins")
+    gaps = spark.createDataFrame([(1_704_100_000_000_000, 1_704_101_000_000_000)], "gap_start long, gap_end long")
+    found = feature_queries.windows_of(spark, d, rows, gaps)
+    assert "BuildLeft" not in plan(found)
+    assert found.count() == 50
