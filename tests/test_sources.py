@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
@@ -65,3 +66,16 @@ def test_incomplete_reports_are_refused(spark, tmp_path):
         reports.check_sections(rows)
     with pytest.raises(Exception, match="net profit is missing"):
         reports.totals(rows).collect()
+
+
+def test_plain_pages_are_split_as_the_parser_reads_them(monkeypatch):
+    rng = random.Random(11)
+    bits = ["<tr>", "</tr>", "<td>", "</td>", "<td></td>", "</td><td>", "<TR>", "<th colspan='14'>", "</th>", "<td title='<tr><td>'>", "<table>", "</table>", "a", " b\n c ", ">", "<", "&amp;", "<!-- <tr> -->", "<script>", "</script>", "<br/>", "<td", "'", '"']
+    whole = "<html><body><table><tr><th colspan='2'>Deals</th></tr>" + "<tr><td>1  2</td><td></td></tr>\n<tr><td>x > y</td></tr>" * 3 + "</table></body></html>"
+    pages = ["".join(rng.choices(bits[:13] if k % 2 else bits, k=rng.randrange(1, 25))) for k in range(6000)]
+    pages += [whole, whole + "<tr><td>1 < 2</td></tr>", whole.replace("<table>", "<table><td title='"), "", "<tr><td>a<tr><td>b", "<td>a</td><tr><td>b</td></tr>"]
+    for page in pages:
+        assert reports.table_rows(page) == reports.Rows(page).rows, page
+    read = []
+    monkeypatch.setattr(reports, "Rows", lambda part, own=reports.Rows: read.append(part) or own(part))
+    assert len(reports.table_rows(whole)) == 7 and not any("1  2" in part for part in read)
