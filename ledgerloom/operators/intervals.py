@@ -245,12 +245,21 @@ def supported_bins(fragments: DataFrame, gaps: DataFrame, keys: Sequence[str], w
     )
 
 
+#: Why an interval's last cell is censored, as supported_bins says it, in the order of the alphabet.
+CENSORS = ("competing_endpoint", "coverage_right_censor", "synthetic_right_censor", "target_event")
+
+
 def support_audit(intervals: DataFrame, bins: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
     """Each interval that meets [low, high] with its cells of supported_bins, outcomes, its last cell's censor reason and why no model uses it.
 
     Of several reasons the last that applies counts: ineligible_state, no_complete_bin, left_truncated, cross_development_holdout.
     """
-    n = bins.groupBy(*keys, "interval_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("target").alias("targets"), F.sum("competing").alias("competing"), F.bool_or("is_cross_split").alias("is_cross_split"), F.max("censor_reason").alias("censor_reason"))
+    # Reasons by number: the largest text of a group would take a sort of all cells, where numbers are summed up in place.
+    names = F.array(*[F.lit(c) for c in CENSORS])
+    unknown = F.raise_error(F.concat(F.lit("an unknown censor reason: "), "censor_reason")).cast("long")
+    number = F.when(F.col("censor_reason").isin(*CENSORS), F.array_position(names, F.col("censor_reason"))).when(F.col("censor_reason").isNotNull(), unknown)
+    n = bins.groupBy(*keys, "interval_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("target").alias("targets"), F.sum("competing").alias("competing"), F.bool_or("is_cross_split").alias("is_cross_split"), F.max(number).alias("_censor"))
+    n = n.withColumn("censor_reason", F.get(names, F.col("_censor").cast("int") - 1)).drop("_censor")
     out = intervals.filter((F.col("end_us") >= low) & (F.col("start_us") <= high)).join(n, [*keys, "interval_id"], "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("bins", "targets", "competing")} | {"is_cross_split": F.coalesce("is_cross_split", F.lit(False))})
     ineligible = endpoint_of(F.col("state")).isNull()

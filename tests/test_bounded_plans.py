@@ -50,3 +50,14 @@ def test_bins_that_meet_their_windows_are_not_broadcast(spark):
     found = feature_queries.windows_of(spark, d, rows, gaps)
     assert "BuildLeft" not in plan(found)
     assert found.count() == 50
+
+
+def test_cells_of_an_interval_are_counted_without_a_sort(spark):
+    cells = [("a", 1, 0, 0, False, None), ("a", 1, 1, 0, False, "target_event"), ("a", 2, 0, 1, True, "competing_endpoint"), ("b", 1, 0, 0, False, "coverage_right_censor"), ("b", 1, 0, 0, False, "synthetic_right_censor")]
+    bins = written(spark.createDataFrame(cells, "acct string, interval_id long, target int, competing int, is_cross_split boolean, censor_reason string"), "cells")
+    intervals = spark.createDataFrame([("a", 1, 10, 20, "ONE_BUY"), ("a", 2, 10, 20, "ONE_BUY"), ("b", 1, 10, 20, "FLAT"), ("b", 2, 10, 20, "ONE_BUY")], "acct string, interval_id long, start_us long, end_us long, state string")
+    found = I.support_audit(intervals, bins, ["acct"], 0, 100)
+    assert "SortAggregate" not in plan(found)
+    assert {(r.acct, r.interval_id): (r.bins, r.targets, r.competing, r.censor_reason, r.exclusion_reason) for r in found.collect()} == {
+        ("a", 1): (2, 1, 0, "target_event", None), ("a", 2): (1, 0, 1, "competing_endpoint", "cross_development_holdout"), ("b", 1): (2, 0, 0, "synthetic_right_censor", "ineligible_state"), ("b", 2): (0, 0, 0, None, "no_complete_bin"),
+    }
