@@ -71,16 +71,24 @@ def cause_tables(audit: DataFrame, features: Sequence[str], flags: Sequence[str]
     }
 
 
+def counted_bins(candidates: DataFrame) -> DataFrame:
+    """Candidates by all that their windows, their reference and the rules that exclude them depend on, with how many there are (bins) and their targets.
+
+    There are as many rows as pairs of times that occur, however many intervals share them.
+    """
+    return candidates.groupBy("bin_start", "interval_start", "endpoint", "below_floor").agg(F.count(F.lit(1)).alias("bins"), F.sum("target").alias("targets"))
+
+
 def accounts(audit: DataFrame, time: Column, windows: dict[str, tuple[int, int]], width: int) -> DataFrame:
     """By window (of a bin's time of day), endpoint and reason: bins, events and their time, with a total for each endpoint and for each window.
 
-    A row is dealt to the windows that hold it and summed once for all groupings; the null reason is a
-    group of its own, joint_valid, and not a total. Reasons that don't add up to their endpoint's total
-    are an error when read.
+    audit: of counted_bins. A row is dealt to the windows that hold it and summed once for all groupings;
+    the null reason is a group of its own, joint_valid, and not a total. Reasons that don't add up to
+    their endpoint's total are an error when read.
     """
     inside = F.array_compact(F.array(*[F.when((time >= a) & (time < b), F.lit(name)) for name, (a, b) in windows.items()]))
-    rows = audit.select(F.explode(inside).alias("hours"), "endpoint", F.coalesce("reason", F.lit("joint_valid")).alias("reason"), "target")
-    cells = rows.groupBy("hours", "endpoint", "reason").agg(F.count(F.lit(1)).alias("bins"), F.sum("target").alias("targets"))
+    rows = audit.select(F.explode(inside).alias("hours"), "endpoint", F.coalesce("reason", F.lit("joint_valid")).alias("reason"), "bins", "targets")
+    cells = rows.groupBy("hours", "endpoint", "reason").agg(F.sum("bins").alias("bins"), F.sum("targets").alias("targets"))
     sums = [F.sum("bins").alias("bins"), F.sum("targets").alias("targets")]
     sets = cells.groupingSets([[F.col("hours"), F.col("endpoint"), F.col("reason")], [F.col("hours"), F.col("endpoint")], [F.col("hours")]], "hours", "endpoint", "reason")
     out = sets.agg(F.grouping("reason").alias("_total"), *sums).withColumn("reason", F.when(F.col("_total") == 1, "total").otherwise(F.col("reason")))

@@ -212,6 +212,11 @@ INSIDE_SQL = " UNION ALL ".join(f"SELECT '{name}' AS hours, * FROM signed WHERE
   CAST(count(*) * {WIDTH} AS BIGINT) AS us FROM ex GROUP BY GROUPING SETS ((hours, endpoint, reason), (hours, endpoint), (hours))""",
 )
 def exclusion_accounts(spark, d):
-    """Bins, events and time by window of the day, endpoint and reason, with totals over reasons and endpoints, from one pass; parts that don't add up are an error."""
-    audit = U.audited(signed_of(spark, d), {"below_floor": F.col("below_floor")}, FLAGS)
+    """Bins, events and time by window of the day, endpoint and reason, with totals over reasons and endpoints, from one pass; parts that don't add up are an error.
+
+    Bins are counted by what decides their reason first, so that windows and references are met by those counts.
+    """
+    gaps = written(gaps_of(spark, d), "gaps")
+    bins = written(U.counted_bins(candidates_of(spark, d, support_of(spark, d, gaps))), "counted-bins")
+    audit = U.audited(signed_of(spark, d, bins, gaps), {"below_floor": F.col("below_floor")}, FLAGS)
     return U.accounts(audit, F.pmod("bin_start", F.lit(DAY)), {name: (a * HOUR, b * HOUR) for name, a, b in HOURS}, WIDTH)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import accounts as A
 from ledgerloom.operators import intervals as I
 from ledgerloom.plans import feature_queries
@@ -61,3 +63,18 @@ def test_cells_of_an_interval_are_counted_without_a_sort(spark):
     assert {(r.acct, r.interval_id): (r.bins, r.targets, r.competing, r.censor_reason, r.exclusion_reason) for r in found.collect()} == {
         ("a", 1): (2, 1, 0, "target_event", None), ("a", 2): (1, 0, 1, "competing_endpoint", "cross_development_holdout"), ("b", 1): (2, 0, 0, "synthetic_right_censor", "ineligible_state"), ("b", 2): (0, 0, 0, None, "no_complete_bin"),
     }
+
+
+def test_exclusions_meet_windows_by_counts_of_bins(spark, tmp_path, monkeypatch):
+    """Accounts repeated with the same times have as many rows that meet windows and references, and as many more bins."""
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows, bins, windows_of = [], [], feature_queries.windows_of
+    monkeypatch.setattr(feature_queries, "windows_of", lambda s, d, own, gaps: rows.append(own.count()) or windows_of(s, d, own, gaps))
+    for copies in (1, 3):
+        d = f"{tmp_path}/{copies}"
+        repeated = e.crossJoin(spark.range(copies).select((F.col("id") * 1_000_000).alias("_r")))
+        repeated.withColumns({"event_id": F.col("event_id") + F.col("_r"), "user_id": F.col("user_id") + F.col("_r")}).drop("_r").write.parquet(f"{d}/events.parquet")
+        found = feature_queries.exclusion_accounts(spark, d).filter("endpoint IS NULL").collect()
+        bins.append({r.hours: (r.bins, r.targets, r.us) for r in found})
+    assert rows[0] == rows[1] > 0
+    assert bins[1] == {hours: tuple(3 * x for x in own) for hours, own in bins[0].items()} and len(bins[0]) == 3
