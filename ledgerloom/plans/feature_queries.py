@@ -114,9 +114,13 @@ STRUCTS = {k: f"w{w}" for k, w in WIDTHS.items()}
 
 
 def signed_of(spark, d, candidates=None, gaps=None):
+    """Candidates with their features and flags, which are found once for each endpoint and pair of times rather than for each bin. candidates is read twice."""
     gaps = written(gaps_of(spark, d), "gaps") if gaps is None else gaps
     candidates = written(candidates_of(spark, d, support_of(spark, d, gaps)), "candidate-bins") if candidates is None else candidates
-    return X.signed_features(windows_of(spark, d, candidates, gaps), STRUCTS, "reference").drop("reference")
+    by = ["bin_start", "interval_start", "endpoint"]
+    times = written(candidates.select(*by).distinct(), "bin-times")
+    features = X.signed_features(windows_of(spark, d, times, gaps), STRUCTS, "reference").drop("reference")
+    return candidates.join(features.hint("merge"), by).select(*[candidates[c] for c in candidates.columns], *[features[c] for c in features.columns if c not in by])
 
 
 @query("anchor_features", f"WITH {SIGNED_SQL} SELECT acct, interval_id, endpoint, bin_start, {', '.join(f'round({c}, 6) AS {c}' for c in VALUES)}, {', '.join(FLAGS)} FROM signed")

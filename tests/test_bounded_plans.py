@@ -78,3 +78,16 @@ def test_exclusions_meet_windows_by_counts_of_bins(spark, tmp_path, monkeypatch)
         bins.append({r.hours: (r.bins, r.targets, r.us) for r in found})
     assert rows[0] == rows[1] > 0
     assert bins[1] == {hours: tuple(3 * x for x in own) for hours, own in bins[0].items()} and len(bins[0]) == 3
+
+
+def test_features_are_found_once_for_bins_of_the_same_times(spark, monkeypatch):
+    """Each candidate keeps its row and gets its endpoint's features, however many share its times."""
+    d, rows, windows_of = "/root/testdata/sf0.001", [], feature_queries.windows_of
+    monkeypatch.setattr(feature_queries, "windows_of", lambda s, d, own, gaps: rows.append(own.count()) or windows_of(s, d, own, gaps))
+    times = [(1_704_103_200_000_000 + k * 600 * MINUTE, 1_704_099_600_000_000, e) for k in range(6) for e in ("unlock_occurrence", "rehedge_buy_occurrence")]
+    candidates = written(spark.createDataFrame([(a, *t) for a in range(4) for t in times], "acct long, bin_start long, interval_start long, endpoint string"), "bins")
+    gaps = written(spark.createDataFrame([], "gap_start long, gap_end long"), "gaps")
+    found = feature_queries.signed_of(spark, d, candidates, gaps).toPandas()
+    assert rows == [len(times)]
+    assert sorted(zip(found.acct, found.bin_start, found.interval_start, found.endpoint)) == sorted((a, *t) for a in range(4) for t in times)
+    assert found.drop(columns="acct").drop_duplicates().shape[0] == len(times) and found.window_10_valid.any()
