@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -207,6 +208,54 @@ def resampled(units: DataFrame, keys: Sequence[str], value: str, unit: Sequence[
     return means.alias("m").join(found.alias("f"), matching).select("m.*", "f.low", "f.high", "f.one_sided_low", "f.draws")
 
 
+def _draw_sums(keys: Sequence[str], values: str, draws: int) -> Callable:
+    """For each key and place a task's units, sum and number above 0 (draw -1), and the units and sums of each draw."""
+    bounds = np.array(poisson_bounds())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            flat = batch.column(values).flatten()
+            if not len(flat):
+                continue
+            known = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            value = np.where(known, flat.to_numpy(zero_copy_only=False).reshape(known.shape), 0.0)
+            digests = b"".join(md5(f"{u}|{block}".encode(), usedforsecurity=False).digest() for u in batch.column("_unit").to_pylist() for block in range((draws - 1) // 4 + 1))
+            times = np.searchsorted(bounds, np.frombuffer(digests, ">u4").reshape(batch.num_rows, -1)[:, :draws].astype(np.int64), "right").astype(float)
+            weights = np.hstack([np.ones((batch.num_rows, 1)), times])
+            own = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * batch.num_rows
+            for key in set(own):
+                at = np.array([k == key for k in own])
+                n, s = known[at].T.astype(float) @ weights[at], value[at].T @ weights[at]
+                above = np.zeros_like(n)
+                above[:, 0] = (known[at] & ~(value[at] <= 0)).sum(axis=0)
+                totals[key] = totals.get(key, 0) + np.stack([n, s, above])
+        for key, (n, s, above) in totals.items():
+            place, draw = (x.ravel() for x in np.indices(n.shape))
+            fields = [pa.array([k] * len(place)) for k in key] + [pa.array(place.astype(np.int32)), pa.array(draw.astype(np.int32) - 1), pa.array(n.ravel().astype(np.int64)), pa.array(s.ravel()), pa.array(above.ravel().astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(fields, names=[*keys, "place", "draw", "n", "s", "above"])
+
+    return run
+
+
+def resampled_places(units: DataFrame, keys: Sequence[str], values: str, unit: Sequence[str], draws: int, seed: str) -> DataFrame:
+    """resampled() for units with many values each: an array, whose places are groups of their own; null where a unit isn't in one.
+
+    (keys, place, units, mean, separated, low, high); separated is the share of values above 0. keys are strings. All arrays have one
+    length. A unit's numbers in the draws are found once for all its places, and a task sums up its units' products with them.
+    """
+    own = units.select(*keys, values, F.concat_ws("|", F.lit(seed), *[F.col(u).cast("string") for u in unit]).alias("_unit"))
+    shape = "".join(f"`{k}` string, " for k in keys) + "place int, draw int, n bigint, s double, above bigint"
+    sums = own.mapInArrow(_draw_sums(keys, values, draws), shape).groupBy(*keys, "place", "draw").agg(*[F.sum(c).alias(c) for c in ("n", "s", "above")]).filter("n > 0")
+    drawn, all_ = F.col("draw") >= 0, lambda c: F.max(F.when(F.col("draw") < 0, c))
+    mean = F.col("s") / F.col("n")
+    out = sums.groupBy(*keys, "place").agg(
+        all_(F.col("n")).alias("units"), all_(mean).alias("mean"), all_(F.col("above") / F.col("n")).alias("separated"),
+        *[F.percentile(F.when(drawn, mean), q).alias(name) for name, q in (("low", 0.025), ("high", 0.975))], F.count_if(drawn).alias("_draws"),
+    )
+    return out.filter("_draws > 0").drop("_draws")
+
+
 def agreeing_runs(windows: DataFrame, keys: Sequence[str], order: str, least: int = 30) -> DataFrame:
     """For each key a verdict over neighbouring windows, from pairs, low and high of each.
 

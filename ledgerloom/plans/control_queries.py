@@ -66,7 +66,7 @@ def positives_of(spark, d, events):
 
 def lineage_of(spark, d, events, intervals):
     """Every fifth interval is missing from what the samples are joined to, so that some fall back or find none."""
-    return C.with_lineage(positives_of(spark, d, events), intervals.filter("interval_id % 5 <> 0"), ["acct"], STEP)
+    return C.with_lineage(written(positives_of(spark, d, events), "positives"), intervals.filter("interval_id % 5 <> 0"), ["acct"], STEP)
 
 
 def times_of(spark, d, intervals):

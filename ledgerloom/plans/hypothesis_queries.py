@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hypotheses as Y
 from ..operators import models as M
-from ..operators.order import DAY, MINUTE
+from ..operators.order import DAY, HOUR, MINUTE
 from ..sources.shared import written
 from .control_queries import CONTROLS_SQL, all_of, controls_of
 from .feature_queries import ticks_of
@@ -68,14 +68,13 @@ effects AS (SELECT p.hypothesis, p.split, p.shift, p.win, count(*) AS units, avg
 
 def effects_of(spark, d):
     samples, times = all_of(spark, d)
-    controls = controls_of(samples, times)
+    controls = written(controls_of(samples, times).select("event_id", "sample_us"), "hypothesis-controls")
     split = F.when(F.floor(F.col("sample_us") / DAY) % 3 == 0, "holdout").otherwise("development").alias("split")
     own = samples.filter("support = 'supported'").select("event_id", "behavior", "sample_us", split)
-    pairs = Y.paired_scores(own, controls.select("event_id", "sample_us"), ticks_of(spark, d), WIDTHS, SHIFTS, DAY)
-    pairs = written(pairs.join(own.select("event_id", "split"), "event_id"), "hypothesis-pairs")
-    keys = ["hypothesis", "split", "shift", "window"]
-    separated = pairs.groupBy(*keys).agg(F.avg((F.col("difference") > 0).cast("int")).alias("separated"))
-    return M.resampled(pairs, keys, "difference", ["event_id"], DRAWS, SEED, 0.05).join(separated, keys)
+    pairs = Y.paired_scores(own, controls, ticks_of(spark, d), WIDTHS, SHIFTS, 6 * HOUR)
+    found = M.resampled_places(pairs, ["split"], "differences", ["event_id"], DRAWS, SEED)
+    named = F.array(*[F.struct(F.lit(h).alias("hypothesis"), F.lit(s).cast("bigint").alias("shift"), F.lit(w).cast("bigint").alias("window")) for h, w, s in Y.places(WIDTHS, SHIFTS)])
+    return found.withColumn("_place", F.element_at(named, F.col("place") + 1)).select("split", "_place.*", "units", "mean", "separated", "low", "high")
 
 
 @query("hypothesis_effects", f"WITH {EFFECTS_SQL} SELECT hypothesis, split, shift, CAST(win AS BIGINT) AS \"window\", units, round(mean, 8) AS mean, round(separated, 8) AS separated, round(low, 8) AS low, round(high, 8) AS high FROM effects")
