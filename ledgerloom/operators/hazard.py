@@ -41,12 +41,13 @@ def session_blocks(hour: Column) -> dict[str, Column]:
     return {name: F.when(inside, ((hour >= a) & (hour < b)).cast("int")).otherwise(bad) for name, a, b in SESSION_BLOCKS}
 
 
-def hazard_table(bins: DataFrame, alpha: float = 0.5) -> DataFrame:
+def hazard_table(bins: DataFrame, alpha: float = 0.5, weight: str | None = None) -> DataFrame:
     """For each endpoint and age bucket (all buckets, seen or not) exposure, events and smoothed rate, and the endpoint's own.
 
-    bins: endpoint, target, age; one row a bin. One grouped sum, written; the rest is a table of cells.
+    bins: endpoint, target, age; one row a bin, or ``weight`` alike. One grouped sum, written; the rest is a table of cells.
     """
-    cells = bins.groupBy("endpoint", age_bucket(F.col("age")).alias("bucket")).agg(F.count(F.lit(1)).alias("exposure"), F.sum("target").alias("events"))
+    n = F.col(weight) if weight else F.lit(1).cast("bigint")
+    cells = bins.groupBy("endpoint", age_bucket(F.col("age")).alias("bucket")).agg(F.sum(n).alias("exposure"), F.sum(F.col("target") * n).alias("events"))
     cells = written(cells, "hazard-cells")
     universe = cells.select("endpoint").distinct().withColumn("bucket", F.explode(F.array(*[F.lit(x) for x in AGE_LABELS])))
     full = universe.join(cells, ["endpoint", "bucket"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("exposure", "events")})
@@ -95,13 +96,14 @@ def conditional_timing(predictions: DataFrame, keys: Sequence[str]) -> DataFrame
     return out.select(*keys, log_p.alias("log_p"), uniform.alias("uniform"), (log_p - uniform).alias("gain"), F.exp(log_p).alias("p"), (F.col("above") + 1).alias("rank"), "bins")
 
 
-def scores(predictions: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
+def scores(predictions: DataFrame, keys: Sequence[str], p: str, weight: str | None = None) -> DataFrame:
     """Events, AUC (ties at their average rank), Brier score, accuracy and confusion at one half.
 
     Rows are summed by probability first, so the ranks are over distinct probabilities, of which a
-    table of rates has as many as cells. The AUC is null where one class is missing.
+    table of rates has as many as cells. The AUC is null where one class is missing. ``weight``: how many rows a row stands for.
     """
-    cells = predictions.groupBy(*keys, F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("target").cast("bigint").alias("pos"))
+    n = F.col(weight) if weight else F.lit(1).cast("bigint")
+    cells = predictions.groupBy(*keys, F.col(p).alias("p")).agg(F.sum(n).alias("n"), F.sum(F.col("target") * n).cast("bigint").alias("pos"))
     below = W.partitionBy(*keys).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
     neg, yes = F.col("n") - F.col("pos"), F.col("p") >= 0.5

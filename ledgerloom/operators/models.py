@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import EPSILON, expit, log_likelihood, logit
+from ..sources.shared import written
 from .hazard import linear
 
 
@@ -62,7 +63,7 @@ class Fit:
 SUMS = "model int, part int, sums array<double>"
 
 
-def gram_sums(models: Sequence[Model], thetas: Sequence[np.ndarray], label: str) -> Callable:
+def gram_sums(models: Sequence[Model], thetas: Sequence[np.ndarray], label: str, weight: str | None = None) -> Callable:
     """For each model a task's rows, log likelihood, gradient and second derivatives at its theta, as one array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +78,15 @@ def gram_sums(models: Sequence[Model], thetas: Sequence[np.ndarray], label: str)
                 for k, c in enumerate(m.columns, int(m.intercept)):
                     x[:, k] = value[c][rows]
                 y, offset = value[label][rows], value[m.offset][rows] if m.offset else 0.0
+                n = value[weight][rows] if weight else np.ones(len(rows))
                 if not (np.isfinite(x).all() and np.isfinite(y).all() and np.isfinite(offset).all()):
                     raise ValueError(f"{m.name}: a value that isn't finite")
                 z = offset + x @ theta
                 p = np.clip(np.exp(-np.logaddexp(0, -z)), EPSILON, 1 - EPSILON)
-                total[0] += len(rows)
-                total[1] += (y * np.log(p) + (1 - y) * np.log1p(-p)).sum()
-                total[2 : 2 + m.size] += x.T @ (p - y)
-                total[2 + m.size :] += ((x * (p * (1 - p))[:, None]).T @ x).ravel()
+                total[0] += n.sum()
+                total[1] += (n * (y * np.log(p) + (1 - y) * np.log1p(-p))).sum()
+                total[2 : 2 + m.size] += x.T @ (n * (p - y))
+                total[2 + m.size :] += ((x * (n * p * (1 - p))[:, None]).T @ x).ravel()
         part = TaskContext.get().partitionId() % 16
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(np.full(len(models), part, np.int32)), pa.array([t.tolist() for t in totals], pa.list_(pa.float64()))], names=["model", "part", "sums"])
 
@@ -97,15 +99,15 @@ def add_up(rows: pa.Table) -> pa.Table:
     return pa.table({"model": rows["model"].slice(0, 1), "part": rows["part"].slice(0, 1), "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
 
-def fit_many(rows: DataFrame, models: Sequence[Model], label: str, rounds: int = 100, tolerance: float = 1e-9) -> dict[str, Fit]:
+def fit_many(rows: DataFrame, models: Sequence[Model], label: str, rounds: int = 100, tolerance: float = 1e-9, weight: str | None = None) -> dict[str, Fit]:
     """Penalized logistic regressions by damped Newton steps, one job a step for all of them.
 
     The objective is the mean of the negative log likelihood plus half the penalty; a step that doesn't
     lower it is halved, for that model alone. rows should be a written table: each step reads it. What
     reaches the driver is a model's second derivatives, the square of its columns. A model without rows,
-    a value that isn't finite, and a fit that doesn't converge are errors.
+    a value that isn't finite, and a fit that doesn't converge are errors. ``weight``: how many rows a row stands for.
     """
-    columns = sorted({c for m in models for c in (*m.columns, m.where, m.offset, label) if c})
+    columns = sorted({c for m in models for c in (*m.columns, m.where, m.offset, label, weight) if c})
     own = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
     state: dict[str, dict] = {m.name: {"theta": np.zeros(m.size), "step": np.zeros(m.size), "n": 0} for m in models}
     done: dict[str, Fit] = {}
@@ -114,7 +116,7 @@ def fit_many(rows: DataFrame, models: Sequence[Model], label: str, rounds: int =
         if not open_:
             return done
         trial = [state[m.name]["theta"] - state[m.name]["step"] for m in open_]
-        sums = own.mapInArrow(gram_sums(open_, trial, label), SUMS)
+        sums = own.mapInArrow(gram_sums(open_, trial, label, weight), SUMS)
         sums = sums.groupBy("model", "part").applyInArrow(add_up, SUMS).groupBy("model").applyInArrow(add_up, SUMS)
         gathered = sums.collect()
         if not gathered:
@@ -142,13 +144,22 @@ def fit_many(rows: DataFrame, models: Sequence[Model], label: str, rounds: int =
     raise ValueError("the fits don't converge")
 
 
-def scaled_by(rows: DataFrame, key: str, fitted: Column, columns: dict[str, Sequence[str]], suffix: str = "_z") -> DataFrame:
+def scaled_by(rows: DataFrame, key: str, fitted: Column, columns: dict[str, Sequence[str]], suffix: str = "_z", weight: str | None = None) -> DataFrame:
     """rows with each key's columns less their mean and over their population deviation (1 where it is 0) among the fitted rows, as new columns; null for other keys.
 
-    One grouped sum; a row a key comes to the driver.
+    One grouped sum, or two where ``weight`` says how many rows a row stands for; a row a key comes to the driver.
     """
     names = sorted({c for own in columns.values() for c in own})
-    stats = rows.filter(fitted).groupBy(key).agg(*[x for c in names for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).collect()
+    own, spread = rows.filter(fitted), {c: F.stddev_pop(c) for c in names}
+    mean = {c: F.avg(c) for c in names}
+    if weight:
+        share = lambda x: F.sum(F.col(weight) * x) / F.sum(F.when(x.isNotNull(), F.col(weight)))
+        mean = {c: share(F.col(c)) for c in names}
+        means = {r[key]: r for r in own.groupBy(key).agg(*[mean[c].alias(c) for c in names]).collect()}
+        middle = lambda c: F.coalesce(*[F.when(F.col(key) == k, F.lit(r[c])) for k, r in means.items()], F.lit(None).cast("double"))
+        # A constant's mean has rounding left, its deviation must not.
+        spread = {c: F.when(F.min(c) == F.max(c), 0.0).otherwise(F.sqrt(share((F.col(c) - middle(c)) * (F.col(c) - middle(c))))) for c in names}
+    stats = own.groupBy(key).agg(*[x for c in names for x in (mean[c].alias(f"m_{c}"), spread[c].alias(f"s_{c}"))]).collect()
     by = {r[key]: r for r in stats}
     out = {}
     for c in names:
@@ -160,10 +171,23 @@ def scaled_by(rows: DataFrame, key: str, fitted: Column, columns: dict[str, Sequ
     return rows.withColumns(out)
 
 
-def model_deltas(predictions: DataFrame, keys: Sequence[str], models: Sequence[str], deltas: Sequence[tuple[str, str]]) -> DataFrame:
-    """Log likelihoods of an interval's bins by each model (columns p_<model>), all over the same rows, and the differences of pairs of models."""
-    y = F.col("target")
-    out = predictions.groupBy(*keys).agg(*[F.sum(log_likelihood(y, F.col(f"p_{m}"))).alias(f"ll_{m}") for m in models], F.sum("target").alias("targets"), F.count(F.lit(1)).alias("bins"))
+def model_deltas(bins: DataFrame, predictions: DataFrame, keys: Sequence[str], cell: Sequence[str], models: Sequence[str], deltas: Sequence[tuple[str, str]]) -> DataFrame:
+    """Log likelihoods of an interval's bins by each model (columns p_<model>), all over the same rows, and the differences of pairs of models.
+
+    bins: keys and the columns of ``cell``, which name a row of predictions; bins without one, and intervals without
+    such a bin, don't count. Intervals of the same bins have the same sums, which are found once for each set of bins.
+    """
+    common, inner = [k for k in keys if k in cell], [c for c in cell if c not in keys]
+    names = [*[f"ll_{m}" for m in models], "targets", "bins"]
+    found = predictions.select(*cell, *[log_likelihood(F.col("target"), F.col(f"p_{m}")).alias(f"ll_{m}") for m in models])
+    own = bins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*inner))).alias("_bins"))
+    own = written(own.withColumn("_digest", F.xxhash64("_bins")), "interval-bins")
+    alike = ["_digest", *common, "_bins"]
+    sets = written(own.select(*alike).distinct().withColumn("_set", F.monotonically_increasing_id()), "bin-sets")
+    each = sets.select("_set", *common, F.inline("_bins")).join(found.hint("merge"), list(cell))
+    sums = each.groupBy("_set").agg(*[F.sum(f"ll_{m}").alias(f"ll_{m}") for m in models], F.sum("target").alias("targets"), F.count(F.lit(1)).alias("bins"))
+    sums = sets.join(sums.hint("merge"), "_set").select(*alike, *names)
+    out = own.join(sums.hint("merge"), alike).select(*keys, *names)
     return out.withColumns({f"{a}_minus_{b}": F.col(f"ll_{a}") - F.col(f"ll_{b}") for a, b in deltas})
 
 

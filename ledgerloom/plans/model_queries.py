@@ -10,7 +10,7 @@ from ..operators.order import DAY, HOUR
 from ..sources.shared import written
 from ..operators import causes as U
 from .feature_queries import FLAGS, candidates_of, signed_of
-from .hazard_queries import LL_SQL, ages, likelihoods
+from .hazard_queries import LL_SQL, likelihoods
 from .interval_queries import WIDTH, gaps_of, support_of
 
 Q, SQL = {}, {}
@@ -36,21 +36,37 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def design_of(spark, d):
-    """Joint-valid bins with the rates of the age tables: of all eligible development bins (common), of the design's own (dev)."""
+#: What all that is said of a bin depends on: bins that agree in it are a cell of the design.
+CELL = ["endpoint", "role", "interval_start", "bin_start", "age_us", "target"]
+
+
+def cells_of(spark, d):
+    """All candidate bins by cell, and the cells that are joint-valid with their number of bins, features and rates of the age tables: of all eligible development bins (common), of the design's own (dev).
+
+    Bins are counted by cell before they meet features, tables and fits; there are as many cells as pairs of times that occur, however many intervals share them.
+    """
     gaps = written(gaps_of(spark, d), "gaps")
-    support = written(support_of(spark, d, gaps).filter("is_common AND NOT is_cross_split"), "common-bins")
-    audit = U.audited(signed_of(spark, d, candidates_of(spark, d, support), gaps), {"below_floor": F.col("below_floor")}, FLAGS).filter("is_joint_valid")
-    rows = audit.withColumn("age", F.col("age_us") / float(WIDTH)).select("acct", "interval_id", "endpoint", "role", "bin_start", "age", "target", *sorted({*REHEDGE, *UNLOCK}))
-    rows = written(rows, "design")
-    common = H.hazard_table(ages(spark, d, support).filter("split = 'development'"))
-    dev = H.hazard_table(rows.filter("role = 'development'"))
+    own = ["endpoint", "interval_start", "bin_start", "age_us", "target", "split", "is_common", "is_cross_split", "is_eligible"]
+    support = written(support_of(spark, d, gaps).filter("is_common AND NOT is_cross_split").select("acct", "interval_id", *own), "common-bins")
+    counted = written(support.groupBy(*own).agg(F.count(F.lit(1)).alias("n")), "counted-bins")
+    age = (F.col("age_us") / float(WIDTH)).alias("age")
+    audit = U.audited(signed_of(spark, d, candidates_of(spark, d, counted), gaps), {"below_floor": F.col("below_floor")}, FLAGS).filter("is_joint_valid")
+    rows = written(audit.select(*CELL, "n", age, *sorted({*REHEDGE, *UNLOCK})), "design")
+    common = H.hazard_table(counted.filter("is_eligible AND split = 'development'").select("endpoint", "target", age, "n"), weight="n")
+    dev = H.hazard_table(rows.filter("role = 'development'"), weight="n")
     for name, table in (("a_common", common), ("a_dev", dev)):
         rows = H.predict_hazard(rows, table).withColumnRenamed("p_age", f"p_{name}").drop("p_const", "fallback", "bucket")
     hour = F.floor(F.pmod("bin_start", F.lit(DAY)) / HOUR)
     rows = rows.withColumns(H.session_blocks(hour) | {"o_common": M.offset_of("p_a_common"), "o_dev": M.offset_of("p_a_dev")})
-    rows = M.scaled_by(rows, "endpoint", F.col("role") == "development", COLUMNS)
-    return written(rows.withColumns({f"fit_{e}": (F.col("role") == "development") & (F.col("endpoint") == e) for e in ENDPOINTS}), "scaled-design")
+    rows = M.scaled_by(rows, "endpoint", F.col("role") == "development", COLUMNS, weight="n")
+    rows = written(rows.withColumns({f"fit_{e}": (F.col("role") == "development") & (F.col("endpoint") == e) for e in ENDPOINTS}), "scaled-design")
+    return candidates_of(spark, d, support).select("acct", "interval_id", *CELL), rows
+
+
+def design_of(spark, d):
+    """Joint-valid bins, a row each, with all that cells_of() says of their cell."""
+    bins, cells = cells_of(spark, d)
+    return bins.join(cells.drop("n").hint("merge"), CELL)
 
 
 def first_models(endpoints):
@@ -79,17 +95,17 @@ def by_endpoint(fits, name):
 
 
 def predictions_of(spark, d):
-    """The eight probabilities of each joint-valid bin; an endpoint without development rows or events has no models and goes."""
-    rows = design_of(spark, d)
+    """All candidate bins by cell, and the eight probabilities of each joint-valid cell; an endpoint without development rows or events has no models and goes."""
+    bins, rows = cells_of(spark, d)
     seen = [r.endpoint for r in rows.filter("role = 'development'").groupBy("endpoint").agg(F.sum("target").alias("n")).filter("n > 0").orderBy("endpoint").collect()]
     rows = rows.filter(F.col("endpoint").isin(*seen))
     if not seen:
-        return rows.withColumns({f"p_{m}": F.lit(None).cast("double") for m in MODELS})
-    fits = M.fit_many(rows, list(first_models(seen)), "target")
+        return bins, rows.withColumns({f"p_{m}": F.lit(None).cast("double") for m in MODELS})
+    fits = M.fit_many(rows, list(first_models(seen)), "target", weight="n")
     rows = rows.withColumns({f"p_{m}": by_endpoint(fits, m) for m in ("a_level", "a_session", "b", "c_dev")})
     rows = written(rows.withColumn("o_session", M.offset_of("p_a_session")), "session-design")
-    fits = M.fit_many(rows, list(later_models(seen)), "target")
-    return rows.withColumns({f"p_{m}": by_endpoint(fits, m) for m in ("c_session", "c_shape")})
+    fits = M.fit_many(rows, list(later_models(seen)), "target", weight="n")
+    return bins, rows.withColumns({f"p_{m}": by_endpoint(fits, m) for m in ("c_session", "c_shape")})
 
 
 KEYS = ["endpoint", "role", "acct", "interval_id"]
@@ -98,14 +114,14 @@ KEYS = ["endpoint", "role", "acct", "interval_id"]
 @query("model_deltas")
 def model_deltas(spark, d):
     """Eight models' log likelihoods by interval and what one adds to another, over the same joint-valid bins. No SQL, as the fits are iterative; tests compare with numpy."""
-    return M.model_deltas(predictions_of(spark, d), KEYS, MODELS, DELTAS)
+    return M.model_deltas(*predictions_of(spark, d), KEYS, CELL, MODELS, DELTAS)
 
 
 @query("model_scores")
 def model_scores(spark, d):
     """Events, AUC, Brier score and confusion of the full model on bins that weren't fitted, by endpoint."""
-    held = predictions_of(spark, d).filter("role <> 'development'")
-    return H.scores(held.withColumn("p", F.col("p_c_session")), ["endpoint"], "p")
+    held = predictions_of(spark, d)[1].filter("role <> 'development'")
+    return H.scores(held.withColumn("p", F.col("p_c_session")), ["endpoint"], "p", weight="n")
 
 
 DRAWS, SEED = 200, "5003"
